@@ -155,11 +155,11 @@ class IdTable:
 
     def put(self, keys: np.ndarray, vals: np.ndarray) -> None:
         """Adds keys that are not there yet and that differ from each other."""
-        if (self.n + len(keys)) * 3 > 1 << self.bits:
+        if (self.n + len(keys)) * 2 > 1 << self.bits:
             old = self.vals >= 0
             keys, vals = np.concatenate([self.keys[old], keys]), np.concatenate([self.vals[old], vals])
             bits = self.bits
-            while len(keys) * 3 > 1 << bits:
+            while len(keys) * 2 > 1 << bits:
                 bits += 1
             self._reset(bits)
         self.n += len(keys)

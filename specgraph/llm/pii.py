@@ -1,0 +1,403 @@
+"""Personal data: fixed patterns, and a linear-chain conditional random field over word shapes for what they miss.
+
+The field is trained from a small labelled table (``LABELLED``, or one given) and decoded by Viterbi for a whole batch of windows at
+once in numpy. Windows surround the signs that every kind needs (a digit, an at sign, a bracketed "at"); text without them is not
+personal data to either part. Spans of the field that fail a check of their form, or that touch a span of the patterns, are dropped.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import re
+from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import cache
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from specgraph.llm.arrays import row_chunks, text_buffers
+
+KINDS = ("email", "ip", "card", "phone")
+Span = tuple[str, int, int]
+
+_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+_LOCAL = re.compile(r"[A-Za-z0-9._%+-]*\Z")
+_IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
+_CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
+_PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+_LOCAL_SIGNS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
+
+
+def digits(text: str) -> str:
+    return "".join(c for c in text if "0" <= c <= "9")
+
+
+def luhn(number: str) -> bool:
+    total = 0
+    for i, c in enumerate(reversed(number)):
+        d = int(c) * (1 + i % 2)
+        total += d - 9 * (d > 9)
+    return total % 10 == 0
+
+
+def emails(line: str) -> Iterator[tuple[int, int]]:
+    """Matches of ``[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+``, found from each at sign so that long runs cost no more."""
+    free, at = 0, line.find("@")
+    while at >= 0:
+        lo = at
+        while lo > free and line[lo - 1] in _LOCAL_SIGNS:
+            lo -= 1
+        found = _DOMAIN.match(line, at + 1) if lo < at else None
+        if found:
+            yield lo, found.end()
+            free = found.end()
+        at = line.find("@", max(at + 1, free))
+
+
+def base_spans(line: str) -> list[Span]:
+    """The patterns' spans in one line: leftmost, not overlapping within a kind; a match that fails its check is dropped."""
+    out = [("email", a, b) for a, b in emails(line)]
+    out += [("ip", m.start(), m.end()) for m in _IP.finditer(line) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+    out += [("card", m.start(), m.end()) for m in _CARD.finditer(line) if 16 <= len(d := digits(m[0])) <= 19 and luhn(d)]
+    out += [("phone", m.start(), m.end()) for m in _PHONE.finditer(line) if 8 <= len(digits(m[0])) <= 15]
+    return out
+
+
+# --- the field ----------------------------------------------------------------------------------------------------------------
+
+#: Labelled examples: [kind|text] marks personal data. The rest of each line is not.
+LABELLED = (
+    "write to [email|anna.berg@mail.example.com] for more", "mail [email|k.lee+news@example.co.uk], please", "contact [email|info@example.org]",
+    "reach me at [email|jo.smith (at) example (dot) com] today", "address [email|peter [at] example [dot] org] is new", "send it to [email|mia at example dot net] now",
+    "my mail is [email|tom.k @ example.com] or none", "to [email|sales (at) shop.example.com] only", "from [email|r.roy@mail3.example.com] and the rest",
+    "call [phone|+1 (383) 555-6083] after six", "tel [phone|+49 30 1234567] or not", "phone: [phone|383-555-6083]", "ring [phone|(212) 555-0199] soon",
+    "fax [phone|212.555.0147] is off", "his number is [phone|0044 20 7946 0958]", "number [phone|030-9012345] in town", "mobile [phone|0151 23456789] please",
+    "call us [phone|1-800-555-0123] for free", "text [phone|(030) 555 12 34] to win", "ph. [phone|555-013-4477], later", "dial [phone|+33 1 23 45 67 89]",
+    "host [ip|192.168.0.17] went down", "from [ip|10.0.0.255] to [ip|172.16.4.9] and back", "server [ip|8.8.8.8]:53 answers", "at [ip|2001:db8:0:1:0:0:0:42] we saw",
+    "address [ip|fe80:0:0:0:a:b:c:1d] is local", "node [ip|2001:0db8:85a3:0000:0000:8a2e:0370:7334] replied", "ip [ip|203.0.113.99] was seen",
+    "card [card|4111 1111 1111 1111] was charged", "pay with [card|5500-0000-0000-0004] now", "visa [card|4012888888881881] is void", "amex [card|3782 822463 10005] is fine",
+    "amex [card|371449635398431] too", "number [card|6011 0009 9013 9424] and date", "the card [card|3056 9309 0259 04] is old", "use [card|3530.1113.3330.0000] here",
+    "in 2021 there were 14 of them", "on 12 May 2020 at 10:30 we met", "version 3.11.2 and 4.1 are out", "it cost 1,299.00 for 20 units", "see page 112, line 7", "chapter 12.3.4 says so",
+    "between 1990 and 2005 it grew by 35%", "room 4012 on floor 3", "the year 1999-2000 was good", "date 2024-01-30 and 2023-12-01", "call me at noon", "meet us at example street 12",
+    "isbn 978-3-16-148410-0 in print", "order 100200300 has 3 items", "a total of 123456 people", "figure 8: results of 2019", "ratio 16:9 at 60 hz", "scores 3-1 and 2-0", "step 1) mix 200 g (7 oz)",
+    "id 20240130-7741 is done", "sha 24be64439e3e49cf46b2d7c90f3602a3d0b907ff is old", "token = \"9f86d081884c7d65\" is set", "build 1.2.3.4567 failed", "at 10:15:30 it began", "www.example.com has 12 pages",
+    "temperature -12.5 to +30.2 degrees", "the @ sign and # sign", "user @anna said 2 things", "1234 5678 is short", "row 1 2 3 4 5 6 7 8", "size 10x20x30 cm", "a1b2c3d4e5 is a code",
+    "look at example dot by dot", "he was at home at ten", "the dot at the end", "items (a) and (b) at 5", "points (at) all times",
+)
+_MARKED = re.compile(r"\[(email|ip|card|phone)\|((?:[^\[\]]|\[(?:at|dot)\])*)\]")
+_TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|\S")
+_SIGN = re.compile(r"[0-9@]|[(\[]at[)\]]", re.I)
+LABELS = ["O", *(f"{p}-{k}" for k in KINDS for p in "BI")]
+N_FEATURES, REACH, SIDE = 1 << 14, 48, 6
+
+
+def unmark(marked: str) -> tuple[str, list[Span]]:
+    """A labelled line's text and spans."""
+    out, spans, size, end = [], [], 0, 0
+    for m in _MARKED.finditer(marked):
+        before = marked[end : m.start()]
+        out += [before, m[2]]
+        spans.append((m[1], size + len(before), size + len(before) + len(m[2])))
+        size, end = size + len(before) + len(m[2]), m.end()
+    return "".join([*out, marked[end:]]), spans
+
+
+def shape(token: str) -> str:
+    """d1..d4, d5-7, d8-11, d12-15, d16+ for digits; x, X, Xx or xX for letters (hex letters apart); a sign is itself."""
+    if token[0].isdigit():
+        n = len(token)
+        return f"d{n}" if n < 5 else "d5" if n < 8 else "d8" if n < 12 else "d12" if n < 16 else "d16"
+    if token[0].isalpha():
+        if len(token) <= 4 and not set(token.lower()) - set("abcdef"):
+            return "hex"
+        return "x" if token.islower() else "X" if token.isupper() else "Xx" if token[0].isupper() else "xX"
+    return token
+
+
+#: Words that are features of their own.
+CUES = frozenset("at dot com org net mail email tel phone call fax mobile ring number card visa amex ip host server address contact page year date room version isbn id order".split())
+
+
+def _slot(*parts: object) -> int:
+    return int.from_bytes(hashlib.blake2b(repr(parts).encode(), digest_size=4).digest(), "little") % N_FEATURES
+
+
+_slot_of = cache(_slot)
+
+
+def features(text: str) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Token places and the feature numbers of each token: shapes around it, gaps beside it, cue words near it."""
+    found = [(m.start(), m.end(), m[0]) for m in _TOKEN.finditer(text)]
+    shapes = ["<", "<", *(shape(t) for *_, t in found), ">", ">"]
+    words = ["", "", *(t.lower() if t.lower() in CUES else "" for *_, t in found), "", ""]
+    rows = []
+    for i, (a, b, _) in enumerate(found):
+        k = i + 2
+        left, right = bool(i) and found[i - 1][1] == a, i + 1 < len(found) and found[i + 1][0] == b
+        own = shapes[k]
+        parts = (
+            ("s", own), ("s-", shapes[k - 1], own, left), ("s+", own, shapes[k + 1], right), ("s--", shapes[k - 2], shapes[k - 1], own),
+            ("s++", own, shapes[k + 1], shapes[k + 2]), ("s3", shapes[k - 1], own, shapes[k + 1], left, right), ("w", words[k]),
+            ("w-", words[k - 1], words[k - 2], own), ("w+", own, words[k + 1], words[k + 2]), ("gap", left, right),
+        )
+        rows.append([_slot_of(*p) for p in parts])
+    return [(a, b) for a, b, _ in found], np.array(rows, dtype=np.int32).reshape(len(found), 10)
+
+
+@dataclass
+class Field:
+    """Weights of features by label, and of label pairs (row: the earlier one)."""
+
+    weights: np.ndarray
+    steps: np.ndarray
+
+    def decode(self, rows: list[np.ndarray]) -> list[np.ndarray]:
+        """Best labels of each sequence of feature rows: Viterbi over sequences of like length together."""
+        out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(rows)
+        order = sorted((i for i in range(len(rows)) if len(rows[i])), key=lambda i: len(rows[i]))
+        lo = 0
+        while lo < len(order):
+            hi = lo + 1
+            while hi < len(order) and (hi - lo) * len(rows[order[hi]]) < 1 << 15:
+                hi += 1
+            own, lo = order[lo:hi], hi
+            longest = len(rows[own[-1]])
+            score = np.zeros((len(own), longest, len(LABELS)))
+            for s, i in enumerate(own):
+                score[s, : len(rows[i])] = self.weights[rows[i]].sum(axis=1)
+            lens = np.array([len(rows[i]) for i in own])
+            best, back = score[:, 0].copy(), np.zeros((len(own), longest, len(LABELS)), np.int8)
+            best[:, 2::2] -= 1e9  # no sequence begins inside
+            for t in range(1, longest):
+                paths = best[:, :, None] + self.steps
+                back[:, t] = paths.argmax(axis=1)
+                live = (t < lens)[:, None]
+                best = np.where(live, paths.max(axis=1) + score[:, t], best)
+            last = best.argmax(axis=1)
+            labels = np.zeros((len(own), longest), np.int64)
+            for t in range(longest - 1, -1, -1):
+                last = np.where(t == lens - 1, best.argmax(axis=1), last)
+                labels[:, t] = last
+                last = np.where(t < lens, back[np.arange(len(own)), t, last], last)
+            for s, i in enumerate(own):
+                out[i] = labels[s, : len(rows[i])]
+        return out
+
+
+def _allowed() -> np.ndarray:
+    ok = np.zeros((len(LABELS), len(LABELS)), dtype=bool)
+    for a, x in enumerate(LABELS):
+        for b, y in enumerate(LABELS):
+            ok[a, b] = not y.startswith("I-") or x[2:] == y[2:]
+    return ok
+
+
+def fit(labelled: tuple[str, ...] = LABELLED, rounds: int = 150, rate: float = 0.1, decay: float = 0.002) -> Field:
+    """Maximum likelihood with a square penalty, by Adam over the whole table (exact gradients by forward and backward sums)."""
+    rows, tags = [], []
+    for marked in labelled:
+        text, spans = unmark(marked)
+        places, feats = features(text)
+        tag = np.zeros(len(places), np.int64)
+        for kind, a, b in spans:
+            inside = [i for i, (x, y) in enumerate(places) if a <= x and y <= b]
+            tag[inside] = LABELS.index(f"I-{kind}")
+            tag[inside[:1]] = LABELS.index(f"B-{kind}")
+        rows.append(feats)
+        tags.append(tag)
+    n, longest, k = len(rows), max(map(len, rows)), len(LABELS)
+    lens = np.array([len(r) for r in rows])
+    feats = np.zeros((n, longest, 10), np.int64)
+    gold = np.zeros((n, longest), np.int64)
+    for i in range(n):
+        feats[i, : lens[i]], gold[i, : lens[i]] = rows[i], tags[i]
+    live = np.arange(longest) < lens[:, None]
+    ban = np.where(_allowed(), 0.0, -1e9)
+    begin = np.where(np.array([x.startswith("I-") for x in LABELS]), -1e9, 0.0)
+    params = [np.zeros((N_FEATURES, k)), np.zeros((k, k))]
+    moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
+
+    def log_sum(x: np.ndarray, axis: int) -> np.ndarray:
+        top = x.max(axis=axis, keepdims=True)
+        return (top + np.log(np.exp(x - top).sum(axis=axis, keepdims=True))).squeeze(axis)
+
+    hot = np.eye(k)[gold] * live[:, :, None]
+    for step in range(1, rounds + 1):
+        score = params[0][feats].sum(axis=2)
+        move = params[1] + ban
+        fore, rear = np.zeros((n, longest, k)), np.zeros((n, longest, k))
+        fore[:, 0] = score[:, 0] + begin
+        for t in range(1, longest):
+            fore[:, t] = np.where(live[:, t, None], log_sum(fore[:, t - 1][:, :, None] + move, 1) + score[:, t], fore[:, t - 1])
+        for t in range(longest - 2, -1, -1):
+            rear[:, t] = np.where(live[:, t + 1, None], log_sum(move + (score[:, t + 1] + rear[:, t + 1])[:, None, :], 2), 0.0)
+        total = log_sum(fore[:, -1], 1)
+        marginal = np.exp(np.minimum(fore + rear - total[:, None, None], 0)) * live[:, :, None]
+        grad_f = np.zeros_like(params[0])
+        np.add.at(grad_f, feats.reshape(-1), np.repeat((hot - marginal).reshape(-1, k), 10, axis=0))
+        grad_m = np.zeros((k, k))
+        for t in range(1, longest):
+            pair = fore[:, t - 1][:, :, None] + move + (score[:, t] + rear[:, t])[:, None, :] - total[:, None, None]
+            grad_m += (hot[:, t - 1][:, :, None] * hot[:, t][:, None, :]).sum(axis=0) - (np.exp(np.minimum(pair, 0)) * live[:, t, None, None]).sum(axis=0)
+        for p, g, (m, v) in zip(params, (grad_f, grad_m), moments, strict=True):
+            g = g - decay * n * p
+            m += 0.1 * (g - m)
+            v += 0.01 * (g * g - v)
+            p += rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+    return Field(params[0], np.where(_allowed(), params[1], -1e9))
+
+
+@cache
+def default_field() -> Field:
+    return fit()
+
+
+def passes(kind: str, text: str) -> bool:
+    """The form that a span of the field must have."""
+    number = digits(text)
+    if kind == "card":
+        return 13 <= len(number) <= 19 and luhn(number) and not re.search(r"[^0-9 .-]", text)
+    if kind == "phone":
+        return 9 <= len(number) <= 15 and len(re.findall(r"[0-9]+", text)) >= 2 and not re.search(r"[^0-9 ().+-]", text)
+    if kind == "ip":
+        if ":" in text:
+            parts = text.split(":")
+            return len(parts) == 8 and all(re.fullmatch(r"[0-9A-Fa-f]{1,4}", p) for p in parts)
+        return bool(re.fullmatch(r"[0-9]+(\.[0-9]+){3}", text)) and all(int(p) <= 255 for p in text.split("."))
+    return bool(re.fullmatch(r"[\w.%+-]+\s?(?:@|[(\[]at[)\]])\s?[\w-]+(?:\s?(?:\.|[(\[]dot[)\]])\s?[\w-]+)+", text, re.I))
+
+
+def windows(line: str) -> list[tuple[int, int]]:
+    """Stretches of ``REACH`` signs around digits and at signs, ended at white space; near ones are one."""
+    out: list[list[int]] = []
+    for m in _SIGN.finditer(line):
+        if out and m.start() - out[-1][1] <= 2 * REACH:
+            out[-1][1] = m.end()
+        else:
+            out.append([m.start(), m.end()])
+    for w in out:
+        w[0] = max(0, w[0] - REACH)
+        w[1] = min(len(line), w[1] + REACH)
+        while w[0] and not line[w[0] - 1].isspace() and line[w[0] - 1].isalnum():
+            w[0] -= 1
+        while w[1] < len(line) and line[w[1]].isalnum():
+            w[1] += 1
+    return [(a, b) for a, b in out]
+
+
+def field_spans(pieces: list[str], field: Field) -> list[list[Span]]:
+    """The field's spans in each window that pass the check of their form."""
+    made = [features(p) for p in pieces]
+    out = []
+    for text, (places, _), labels in zip(pieces, made, field.decode([f for _, f in made]), strict=True):
+        spans: list[Span] = []
+        i = 0
+        while i < len(labels):
+            name = LABELS[labels[i]]
+            if name.startswith("B-"):
+                j = i + 1
+                while j < len(labels) and LABELS[labels[j]] == f"I-{name[2:]}":
+                    j += 1
+                a, b = places[i][0], places[j - 1][1]
+                if passes(name[2:], text[a:b]):
+                    spans.append((name[2:], a, b))
+                i = j
+            else:
+                i += 1
+        out.append(spans)
+    return out
+
+
+_SIGN_BYTES = np.zeros(256, dtype=bool)
+_SIGN_BYTES[[*b"0123456789@([+"]] = True
+_LEAD = (np.arange(256) & 0xC0) != 0x80
+
+
+def find_all(buf: np.ndarray, offs: np.ndarray, field: Field) -> list[tuple[list[Span], list[Span]]]:
+    """(patterns' spans, all spans) of each text, in code points, ordered by kind and start."""
+    n = len(offs) - 1
+    base: list[list[Span]] = [[] for _ in range(n)]
+    more: list[list[Span]] = [[] for _ in range(n)]
+    if not len(buf):
+        return list(zip(base, more, strict=True))
+    edges = np.unique(np.concatenate([offs, np.flatnonzero(buf == 10) + 1]))
+    some = np.unique(np.searchsorted(edges, np.flatnonzero(_SIGN_BYTES[buf]), "right") - 1)
+    chars = np.zeros(len(buf) + 1, np.int64)
+    np.cumsum(_LEAD[buf], out=chars[1:])
+    owners = np.searchsorted(offs, edges[some], "right") - 1
+    todo: list[tuple[int, int, int, str]] = []
+    for e, row in zip(some.tolist(), owners.tolist(), strict=True):
+        lo, hi = int(edges[e]), int(edges[e + 1])
+        line, at = buf[lo:hi].tobytes().decode("utf-8", "replace"), int(chars[lo] - chars[offs[row]])
+        own = base_spans(line)
+        base[row] += [(k, at + a, at + b) for k, a, b in own]
+        todo += [(row, at, a, line[a:b]) for a, b in windows(line)]
+    for (row, at, a, _), spans in zip(todo, field_spans([t[3] for t in todo], field), strict=True):
+        more[row] += [(k, at + a + x, at + a + y) for k, x, y in spans]
+    out = []
+    for own, extra in zip(base, more, strict=True):
+        own.sort(key=lambda s: (KINDS.index(s[0]), s[1]))
+        both = own + [s for s in extra if not any(s[1] < b and a < s[2] for _, a, b in own)]
+        both.sort(key=lambda s: (KINDS.index(s[0]), s[1]))
+        out.append((own, both))
+    return out
+
+
+def joined(spans: list[Span]) -> str:
+    return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+
+
+SCHEMA = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
+
+
+def find_personal_data(docs: DataFrame, field: Field | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, n_email, n_ip, n_card, n_phone, base_sha256, spans) of every row.
+
+    The counts and the digest are of the patterns' spans; ``spans`` has those and the field's, as kind:start:end in code points.
+    Null and empty texts have none. Repeated rows and null keys are kept. Other columns are not read.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(field or default_field())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            buf, offs = text_buffers(batch.column(1))
+            for lo, hi in row_chunks(offs):
+                found = find_all(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], held.value)
+                counts = [pa.array([sum(s[0] == k for s in own) for own, _ in found], pa.int64()) for k in KINDS]
+                hashes = pa.array([hashlib.sha256(joined(own).encode()).hexdigest() for own, _ in found])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *counts, hashes, pa.array([joined(both) for _, both in found])], names=["key", *(x.split()[0] for x in SCHEMA.split(", "))])
+
+    kind = docs.schema[key].dataType.simpleString()
+    return docs.select(F.col(key), F.col(text)).mapInArrow(run, f"key {kind}, {SCHEMA}").withColumnRenamed("key", key)
+
+
+def mask_personal_data(docs: DataFrame, field: Field | None = None, text: str = "text") -> DataFrame:
+    """The rows with each span of ``text`` replaced by its kind in angle brackets; where spans overlap, the outermost stretch is replaced once. A null text stays null."""
+    held = docs.sparkSession.sparkContext.broadcast(field or default_field())
+    place = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            buf, offs = text_buffers(batch.column(place))
+            for lo, hi in row_chunks(offs):
+                part = batch.slice(lo, hi - lo)
+                texts = part.column(place).to_pylist()
+                for i, (_, spans) in enumerate(find_all(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], held.value)):
+                    if spans:
+                        texts[i] = masked(texts[i], spans)
+                columns = [pa.array(texts, part.column(place).type) if k == place else part.column(k) for k in range(part.num_columns)]
+                yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def masked(text: str, spans: list[Span]) -> str:
+    out, end = [], 0
+    for kind, a, b in sorted(spans, key=lambda s: (s[1], -s[2])):
+        if a >= end:
+            out += [text[end:a], f"<{kind.upper()}>"]
+        end = max(end, b)
+    return "".join([*out, text[end:]])
