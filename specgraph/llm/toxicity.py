@@ -26,9 +26,9 @@ U64 = np.uint64
 FOLDS, HELD_OUT, THRESHOLD = 4, 2, 0.3
 #: Most labelled texts of each label that are fitted, drawn by a hash of the key.
 SAMPLE = 3000
-#: Lengths in bytes of word beginnings. Texts that a feature must occur in; how far its gradient must stand out; most features.
-BEGINNINGS, LEAST, STANDS_OUT, MOST = (4, 5, 6), 4, 2.2, 400
-RIDGE, SWAP_PENALTY = 0.5, 10.0
+#: Lengths in bytes of word beginnings. Texts that a feature must occur in; standard deviations its gradient must stand out by; most features.
+BEGINNINGS, LEAST, STANDS_OUT, MOST = (4, 5, 6), 4, 3.5, 400
+RIDGE, SWAP_PENALTY = 0.15, 10.0
 #: Identity terms by group. A term is swapped for others of its group.
 IDENTITY = (
     ("women", "men"), ("woman", "man"), ("female", "male"), ("girls", "boys"), ("muslims", "christians", "jews", "hindus", "buddhists", "atheists"),
@@ -144,7 +144,8 @@ def fit(keys: np.ndarray, rows: np.ndarray, y: np.ndarray, prior: float, swapped
             if np.abs(step).max() < 1e-3:
                 break
         p = 1 / (1 + np.exp(-np.clip(x @ theta, -30, 30)))
-        pull = np.bincount(at, weights=(y - p)[rows], minlength=len(names)) / np.sqrt(np.maximum(count, 1))
+        spread = np.bincount(at, weights=(p * (1 - p))[rows], minlength=len(names)) + 0.5
+        pull = np.bincount(at, weights=(y - p)[rows], minlength=len(names)) / np.sqrt(spread)
         pull = np.where(usable, np.abs(pull), 0.0)
         pull[active] = 0.0
         new = np.flatnonzero(pull > STANDS_OUT)
