@@ -1,17 +1,70 @@
-"""Corpus pipeline: stages that each take and return documents, written and read again between stages."""
+"""Corpus pipeline: stages that each take and return documents, written as Parquet and read again between stages.
+
+Language identification drops documents it cannot name a language for; SimHash keeps one document of each group of near copies;
+decontamination drops documents that overlap a benchmark item; personal data is masked; the last stage encodes what is left.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from specgraph.llm import decontaminate, langid, pii, simhash, subword
+from specgraph.llm.common import scratch_path
+from specgraph.llm.tokenizers import tokenizer_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-STAGES: list[tuple[str, Stage]] = []
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents whose language is identified; null, empty and letterless texts go. Trees are trained on these documents."""
+    return langid.keep_identified(docs, langid.train(docs))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document of least id of each component; rows repeated with the same id and text are one.
+
+    A document without an id cannot be named by a component, so it stays.
+    """
+    found = simhash.near_duplicates(docs)
+    first = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    named = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(docs.columns)
+    return named.unionByName(docs.where(F.col("doc_id").isNull()))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that overlap an item of ``benchmark``."""
+    return decontaminate.without_overlaps(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces personal data by its kind; n_chars is that of the new text."""
+    return pii.mask_personal_data(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, n_chars, n_pieces, ids, lossless) of each document."""
+    return subword.encode_documents(docs, tokenizer_path("piece_bpe_32k.model"))
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("language", language),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("personal_data", personal_data),
+    ("encoding", encoding),
+]
 #: Trained models and hash sketches have no SQL form; tests/llm compares run() with a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents."""
-    raise NotImplementedError
+    """All stages over ``documents``; the last one's rows."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    base = scratch_path(spark, "pipeline")
+    for name, stage in STAGES:
+        stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
+        docs = spark.read.parquet(f"{base}/{name}")
+    return docs

@@ -16,7 +16,8 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from specgraph.llm.arrays import Words, from_texts, mix64, row_chunks, text_buffers
@@ -121,7 +122,6 @@ def best_stretch(equal: np.ndarray) -> tuple[int, int]:
     np.cumsum(np.where(equal, 1, -PENALTY), out=score[1:])
     least = np.minimum.accumulate(score)
     end = int((score - least).argmax())
-    start = int(score[: end + 1].argmin()) if end else 0
     start = end - int(np.argmin(score[end::-1])) if end else 0
     return start, end
 
@@ -129,34 +129,52 @@ def best_stretch(equal: np.ndarray) -> tuple[int, int]:
 def overlapping(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, first_token, n_tokens, n_equal, item_tokens): the best overlap of each document row and benchmark item that have one.
 
-    Null and empty texts overlap nothing, on either side. Repeated items give a row each (rows of one item id and text are merged);
+    Null and empty texts overlap nothing, on either side. A null item id is given as -1. Repeated items give a row each (rows of one item id and text are merged);
     repeated documents too. Other columns are not read. An empty table on either side gives an empty table.
     """
-    spark = docs.sparkSession
-    items = benchmark.select(F.col(item).cast("long").alias("item"), F.col(item_text).alias("text")).where("text is not null and text <> ''").distinct()
-    size = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = int(size // (4 * BLOCK_TOKENS)) + 1
-    rows = docs.select(F.col(key).cast("long"), F.col(text))
-
-    def scan(index) -> DataFrame:  # noqa: ANN001
-        held = spark.sparkContext.broadcast(index)
+    rows, out = docs.select(F.col(key).cast("long"), F.col(text)), None
+    for held in indexes(docs.sparkSession, benchmark, item, item_text):
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
             for batch in batches:
-                buf, offs = text_buffers(batch.column(1))
-                found: list[tuple] = []
-                for lo, hi in row_chunks(offs):
-                    words = Words(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
-                    found += [(batch.column(0)[lo + r].as_py(), int(held.value.items[i]), *x) for r, i, *x in held.value.overlaps(words)]
+                found = [(batch.column(0)[r].as_py(), int(held.value.items[i]), *x) for r, i, *x in batch_overlaps(batch.column(1), held.value)]
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
-        return rows.mapInArrow(run, SCHEMA)
+        one = rows.mapInArrow(run, SCHEMA)
+        out = one if out is None else out.unionByName(one)
+    return out if out is not None else docs.sparkSession.createDataFrame([], SCHEMA)
+
+
+def without_overlaps(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows, with all their columns, that overlap no benchmark item."""
+    place = docs.columns.index(text)
+    for held in indexes(docs.sparkSession, benchmark, item, item_text):
+
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+            for batch in batches:
+                keep = np.ones(batch.num_rows, dtype=bool)
+                keep[[r for r, *_ in batch_overlaps(batch.column(place), held.value)]] = False
+                yield batch.filter(pa.array(keep))
 
-    out = None
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
+def batch_overlaps(column: pa.Array, index: SeedIndex) -> Iterator[tuple[int, int, int, int, int, int]]:
+    """``SeedIndex.overlaps`` of a column of texts, with rows of the column."""
+    buf, offs = text_buffers(column)
+    for lo, hi in row_chunks(offs):
+        for row, *rest in index.overlaps(Words(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])):
+            yield (lo + row, *rest)
+
+
+def indexes(spark: SparkSession, benchmark: DataFrame, item: str, item_text: str) -> Iterator[Broadcast]:
+    """The benchmark's windows in blocks of about ``BLOCK_TOKENS`` tokens, each sent to all machines."""
+    items = benchmark.select(F.col(item).cast("long").alias("item"), F.col(item_text).alias("text")).where("text is not null and text <> ''").distinct()
+    size = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    blocks = int(size // (4 * BLOCK_TOKENS)) + 1
     for b in range(blocks):
-        some = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b).orderBy("item", "text").collect()  # a block holds about BLOCK_TOKENS
+        some = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b).orderBy("item", "text").collect()
         if some:
-            one = scan(SeedIndex(np.array([r["item"] for r in some], dtype=np.int64), [r["text"] for r in some]))
-            out = one if out is None else out.unionByName(one)
-    return out if out is not None else spark.createDataFrame([], SCHEMA)
+            yield spark.sparkContext.broadcast(SeedIndex(np.array([-1 if r["item"] is None else r["item"] for r in some], dtype=np.int64), [r["text"] for r in some]))

@@ -15,6 +15,7 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +28,6 @@ TRAIN_BYTES, CONTEXTS = 3_000_000, 20_000
 #: Documents held out of training.
 FOLDS, HELD_OUT = 5, 0
 UNKNOWN = "und"
-_PAD = 10  # texts are read as lines: each begins after line ends
 
 
 def folded(text: str | None) -> bytes:
@@ -59,7 +59,6 @@ class LanguageModel:
             table[1:] = self._refine(order, codes, bits[-1][shorter])
             places.append(place)
             bits.append(table)
-        # a context of full length that no language has: the place of its longest known end
         return places, bits
 
     def _refine(self, order: int, codes: np.ndarray, shorter: np.ndarray) -> np.ndarray:
@@ -97,8 +96,10 @@ class LanguageModel:
         buf, offs = from_texts(raw)
         row, bits = self.flat
         wide = buf.astype(np.int32)
-        code = (wide[:-3] << 16) | (wide[1:-2] << 8) | wide[2:-1] if ORDER == 3 else None
-        cost = bits[row[code], buf[3:]]
+        code = np.zeros(len(buf) - ORDER, np.int32)
+        for k in range(ORDER):
+            code = code << 8 | wide[k : len(buf) - ORDER + k]
+        cost = bits[row[code], buf[ORDER:]]
         total = np.zeros((len(cost) + 1, bits.shape[2]))
         np.cumsum(cost, axis=0, dtype=np.float64, out=total[1:])
         return total[offs[1:] - ORDER] - total[offs[:-1]]
@@ -181,21 +182,43 @@ def train(docs: DataFrame, lang: str = "lang", key: str = "doc_id", text: str =
     return LanguageModel(names, trees)
 
 
+def _predicted(column: pa.Array, model: LanguageModel) -> tuple[list[str], np.ndarray]:
+    """Predictions for a batch's texts, made for a bounded number of signs at once."""
+    sizes = np.append(0, np.cumsum(pc.fill_null(pc.utf8_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)))
+    langs: list[str] = []
+    shares = [np.zeros(0)]
+    for lo, hi in row_chunks(sizes, 1 << 20):
+        some, share = model.predict(column.slice(lo, hi - lo).to_pylist())
+        langs += some
+        shares.append(share)
+    return langs, np.concatenate(shares)
+
+
 def identify(docs: DataFrame, model: LanguageModel, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """All columns of ``docs`` in a struct ``row``, with lang_pred and score. Columns that clash in name are therefore no trouble."""
+    """(key, lang_pred, score) of every row."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = np.append(0, np.cumsum(np.array(batch.column(1).fill_null("").to_pandas().str.len(), dtype=np.int64)))
-            for lo, hi in row_chunks(sizes, 1 << 20):
-                langs, share = held.value.predict(batch.column(1).slice(lo, hi - lo).to_pylist())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(langs, pa.string()), pa.array(share)], names=["key", "lang_pred", "score"])
+            langs, shares = _predicted(batch.column(1), held.value)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(shares)], names=["key", "lang_pred", "score"])
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(F.col(key), F.col(text)).mapInArrow(run, f"key {kind}, lang_pred string, score double")
 
 
+def keep_identified(docs: DataFrame, model: LanguageModel, text: str = "text", least: float = 0.0) -> DataFrame:
+    """The rows, with all their columns, whose text has a language of the model with a score above ``least``."""
+    held, place = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs, shares = _predicted(batch.column(place), held.value)
+            yield batch.filter(pa.array((np.array(langs, dtype=object) != UNKNOWN) & (shares > least), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def identify_documents(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of every row, by a model trained on the rows that are not held out.
 
