@@ -78,6 +78,8 @@ LABELLED = (
     "call us [phone|1-800-555-0123] for free", "text [phone|(030) 555 12 34] to win", "ph. [phone|555-013-4477], later", "dial [phone|+33 1 23 45 67 89]",
     "host [ip|192.168.0.17] went down", "from [ip|10.0.0.255] to [ip|172.16.4.9] and back", "server [ip|8.8.8.8]:53 answers", "at [ip|2001:db8:0:1:0:0:0:42] we saw",
     "address [ip|fe80:0:0:0:a:b:c:1d] is local", "node [ip|2001:0db8:85a3:0000:0000:8a2e:0370:7334] replied", "ip [ip|203.0.113.99] was seen",
+    "call [phone|212-555-0160] or [phone|(030) 444 98 70] please", "tel [phone|040 123 45 67] and [phone|0171-2345678] at night", "fax [phone|(201) 555-0123] or mail", "ring [phone|555-867-5309] or [phone|555-013-2200]",
+    "seen at [ip|2001:db8:0:2:0:0:0:9] again", "ping [ip|2a02:810d:1:0:0:0:0:77] now", "use [ip|fd00:1:2:3:4:5:6:78] or [ip|fd00:1:2:3:4:5:6:90] here", "ip [ip|10.1.2.3] or [ip|10.1.2.44] is up",
     "card [card|4111 1111 1111 1111] was charged", "pay with [card|5500-0000-0000-0004] now", "visa [card|4012888888881881] is void", "amex [card|3782 822463 10005] is fine",
     "amex [card|371449635398431] too", "number [card|6011 0009 9013 9424] and date", "the card [card|3056 9309 0259 04] is old", "use [card|3530.1113.3330.0000] here",
     "in 2021 there were 14 of them", "on 12 May 2020 at 10:30 we met", "version 3.11.2 and 4.1 are out", "it cost 1,299.00 for 20 units", "see page 112, line 7", "chapter 12.3.4 says so",
