@@ -240,7 +240,7 @@ ASKED = "SELECT 'q' || CAST(x.n AS STRING) AS query, x.term AS term FROM (SELECT
 
 @query(
     f"""WITH a AS ({ASKED}), d AS (SELECT doc_id AS doc, {WORDS.format("text")} AS ws FROM documents), s AS (SELECT count(*) AS n, avg(len(ws)) AS avg_dl FROM d),
-    p AS (SELECT doc, term, dl, count(*) AS tf FROM (SELECT doc, len(ws) AS dl, unnest(list_filter(ws, lambda w: list_contains((SELECT list(DISTINCT term) FROM a), w))) AS term FROM d) x GROUP BY ALL),
+    p AS (SELECT doc, term, dl, count(*) AS tf FROM (SELECT doc, len(ws) AS dl, unnest(ws) AS term FROM d) x WHERE term IN (SELECT term FROM a) GROUP BY ALL),
     i AS (SELECT term, ln(1 + (n - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM p, s GROUP BY term, n)
     SELECT a.query, p.doc, round(sum(i.idf * p.tf * 2.2 / (p.tf + 1.2 * (0.25 + 0.75 * p.dl / s.avg_dl))), 6) AS score FROM p JOIN i ON i.term = p.term JOIN a ON a.term = p.term, s GROUP BY a.query, p.doc"""
 )
