@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specgraph.operators import specs
+from specgraph.operators import projection, specs
 from specgraph.plans.bridge import frame
 from specgraph.plans.registry import query
 
@@ -16,8 +16,8 @@ PATH = "'/parts/' || CAST(part AS STRING) || '/lines/' || CAST(n AS STRING)"
 PROVIDER = "'prov' || CAST(o % 3 AS STRING)"
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(spec_source, source, title, raw): one document per order with lines."""
+def documents(spark: SparkSession, sf_dir: str, rich: bool = False) -> DataFrame:
+    """(spec_source, source, title, raw): one document per order with lines. ``rich``: with device types, inline objects, composition and commands."""
 
     def ref(name) -> F.Column:  # noqa: ANN001
         return F.struct(F.concat(F.lit("#/components/schemas/"), name).alias("$ref"))
@@ -32,6 +32,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         ).alias("parameters"),
         F.when(F.col("method") != "get", F.struct(media.alias("content"))).alias("requestBody"),
         F.create_map(F.lit("200"), F.struct(F.lit("fine").alias("description"), media.alias("content"))).alias("responses"),
+        *([F.struct(F.concat(F.lit("show part "), F.col("part")).alias("commandName"), F.array(F.lit("id"), F.lit("mode")).alias("paramKeys")).alias("x-cliParam")] if rich else []),
     )
     paths = lines.groupBy("o", "path").agg(F.map_from_entries(F.collect_list(F.struct("method", operation))).alias("item")).groupBy("o").agg(F.map_from_entries(F.collect_list(F.struct("path", "item"))).alias("paths"))
     parts = frame(spark, sf_dir, PARTS)
@@ -41,7 +42,9 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.struct(F.lit("integer").alias("type"), (F.col("flag") == "A").alias("readOnly"), F.lit("const").alias("format"), F.concat(F.lit("/m"), F.col("part") % 4, F.lit(":top/qty")).alias("x-path")).alias("qty"),
             F.when(F.col("flag") == "N", ref(F.concat(F.lit("Gone"), F.col("sup")))).otherwise(ref(F.concat(F.lit("S"), F.col("sup")))).alias("sup"),
             F.struct(F.lit("array").alias("type"), ref(F.concat(F.lit("S"), F.col("sup"))).alias("items")).alias("all"),
+            *([F.struct(F.lit("object").alias("type"), F.struct(F.struct(F.lit("integer").alias("type"), F.lit(1).alias("minimum"), F.col("qty").cast("int").alias("maximum")).alias("h")).alias("properties")).alias("dim")] if rich else []),
         ).alias("properties"),
+        *([F.when(F.col("flag") == "A", F.array(F.lit("SWITCH"), F.lit("AP"))).alias("x-supportedDeviceType"), F.when(F.col("flag") == "R", F.array(ref(F.concat(F.lit("S"), F.col("sup"))))).alias("allOf")] if rich else []),
     )
     supplier = F.struct(F.lit("string").alias("type"), F.array(F.lit("a"), F.lit("b")).alias("enum"))
     own = parts.select("o", F.concat(F.lit("P"), "part").alias("k"), F.to_json(body).alias("v"))
@@ -52,8 +55,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select(F.concat(F.lit("prov"), F.col("o") % 3).alias("spec_source"), F.lpad(F.col("o").cast("string"), 12, "0").alias("source"), F.concat(F.lit("Part "), F.col("o") % 40).alias("title"), head.alias("raw"))
 
 
-def _ast(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    corpus = documents(spark, sf_dir)
+def _ast(spark: SparkSession, sf_dir: str, rich: bool = False) -> tuple[DataFrame, DataFrame]:
+    corpus = documents(spark, sf_dir, rich)
     return specs.flatten(corpus), specs.spec_rows(corpus)
 
 
@@ -217,3 +220,76 @@ def sm_1_semantic_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pr_1_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PR-1..6: components that each operation reaches and required paths of its body."""
     return specs.endpoint_projections(documents(spark, sf_dir)).select("source", "method", "path", "n_components", "required")
+
+
+PID = f"{PROVIDER} || ':schemas:P' || CAST(part AS STRING)"
+
+
+@query(f"SELECT {PID} AS id, CASE WHEN flag = 'A' THEN 'SWITCH,AP' ELSE 'all' END AS device_types, count(*) AS n FROM ({PARTS}) x GROUP BY ALL")
+def sg_7_device_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SG-7: device types of named schemas; absent means all."""
+    ast, rows = _ast(spark, sf_dir, rich=True)
+    own = ast.where("parent = '/components/schemas' AND key LIKE 'P%'").join(rows.select("spec_id", "spec_source"), "spec_id")
+    return own.groupBy(projection.component_id(F.col("spec_source"), F.col("pointer")).alias("id"), F.coalesce(F.array_join(projection.device_types(), ","), F.lit("all")).alias("device_types")).agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT DISTINCT {PID} || '#prop:dim' AS id, {PID} AS parent_id, 'object' AS role FROM ({PARTS}) x")
+def sg_9_inline_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SG-9, PJ-1, PJ-2: inline objects become components with an id from their pointer's lineage."""
+    return projection.inline_components(*_ast(spark, sf_dir, rich=True)).select("id", "parent_id", "role").distinct()
+
+
+@query(f"WITH {FIRST} SELECT eid || '::show part ' || CAST(part AS STRING) AS id, eid, 'show part ' || CAST(part AS STRING) AS command, 'id,mode' AS param_keys FROM first_line")
+def sg_11_cli_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SG-11."""
+    ast, rows = _ast(spark, sf_dir, rich=True)
+    return projection.cli_rows(ast, specs.endpoint_rows(ast, rows)).withColumn("param_keys", F.array_join("param_keys", ","))
+
+
+@query(f"SELECT {PID} || '#prop:dim#prop:h' AS id, CAST(qty AS INT)::DOUBLE AS maximum, 1.0::DOUBLE AS minimum, count(*) AS n FROM ({PARTS}) x GROUP BY ALL")
+def sm_5_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SM-5: typed constraint columns of properties."""
+    ast, rows = _ast(spark, sf_dir, rich=True)
+    own = ast.where("kind = 'Property' AND key = 'h'").join(rows.select("spec_id", "spec_source"), "spec_id").select(projection.component_id(F.col("spec_source"), F.col("pointer")).alias("id"), *projection.constraints())
+    return own.groupBy("id", "maximum", "minimum").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT kind, count(*) AS n FROM (SELECT 'RETURNS_SCHEMA' AS kind FROM ({LINES}) x UNION ALL SELECT 'ACCEPTS_SCHEMA' FROM ({LINES}) x WHERE qty > 20) y GROUP BY kind")
+def sm_7_schema_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SM-7: operations to the schemas they accept and return."""
+    return projection.schema_edges(_ast(spark, sf_dir)[0]).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+SID = f"{PROVIDER} || ':schemas:S' || CAST(sup AS STRING)"
+
+
+@query(
+    f"""SELECT DISTINCT 'PROPERTY_OF_TYPE' AS kind, {PID} || '#prop:sup' AS a, {PROVIDER} || ':schemas:' || CASE WHEN flag = 'N' THEN 'Gone' ELSE 'S' END || CAST(sup AS STRING) AS b FROM ({PARTS}) x
+    UNION SELECT 'HAS_ITEM_SCHEMA', {PID} || '#prop:all', {SID} FROM ({PARTS}) x UNION SELECT 'COMPOSED_OF', {PID}, {SID} FROM ({PARTS}) x WHERE flag = 'R'"""
+)
+def jn_6_type_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JN-5, JN-6: property types, item schemas and composition."""
+    return projection.type_edges(*_ast(spark, sf_dir, rich=True))
+
+
+@query(f"SELECT 'op_' || CAST(part AS STRING) || '_' || CAST(n AS STRING) AS call, min(upper({METHOD}) || ':' || {PATH}) AS eid FROM ({LINES}) x GROUP BY part, n")
+def ep_3_find_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """EP-3: lookups by operation id where the path asked for is unknown."""
+    ends = specs.endpoint_rows(*_ast(spark, sf_dir))
+    wanted = frame(spark, sf_dir, f"SELECT DISTINCT 'op_' || CAST(part AS STRING) || '_' || CAST(n AS STRING) AS call, 'GET' AS method, '/no/' || CAST(part AS STRING) AS path, 'op_' || CAST(part AS STRING) || '_' || CAST(n AS STRING) AS operation_id FROM ({LINES}) x")
+    return projection.find_endpoints(ends, wanted)
+
+
+POOLED = "SELECT provider, name, body FROM (SELECT *, row_number() OVER (PARTITION BY provider, name ORDER BY length(body) DESC, ord) AS k FROM b_source_row) x WHERE k = 1"
+OWN = "SELECT CAST(ord AS STRING) AS source, provider, name, body FROM b_source_row WHERE ord % 3 = 0"
+ASK = "SELECT CAST(ord AS STRING) AS source, CASE WHEN ord % 5 = 0 THEN 'nobody' ELSE provider END AS provider, name FROM b_source_row"
+
+
+@query(
+    f"""SELECT scope, count(*) AS n, sum(length(coalesce(body, '')))::BIGINT AS size FROM (SELECT CASE WHEN o.body IS NOT NULL AND (p.body IS NULL OR length(o.body) >= length(p.body)) THEN 'own' WHEN p.body IS NOT NULL THEN 'provider' ELSE 'none' END AS scope,
+    CASE WHEN o.body IS NOT NULL AND (p.body IS NULL OR length(o.body) >= length(p.body)) THEN o.body ELSE p.body END AS body FROM ({ASK}) a LEFT JOIN ({OWN}) o ON o.source = a.source AND o.name = a.name LEFT JOIN ({POOLED}) p ON p.provider = a.provider AND p.name = a.name) y GROUP BY scope"""
+)
+def jn_2_two_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JN-2: the document's own body or the provider's, whichever is richer."""
+    found = projection.resolve_two_scopes(frame(spark, sf_dir, ASK), frame(spark, sf_dir, OWN), frame(spark, sf_dir, POOLED))
+    return found.groupBy("scope").agg(F.count("*").alias("n"), F.sum(F.length(F.coalesce("body", F.lit("")))).alias("size"))
