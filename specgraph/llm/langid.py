@@ -43,63 +43,53 @@ class LanguageModel:
     counts: list[list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = field(repr=False)
 
     @cached_property
-    def tables(self) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """For each context length: place of each context code (0: not seen) and bits[place, byte, language]; place 0 goes on with the shorter context."""
-        n = len(self.languages)
-        places, bits = [np.zeros(1, np.int32)], []
-        below = np.full((1, 256, n), 8.0, np.float32)
-        below = self._refine(0, np.zeros(1, np.int64), below)
-        bits.append(below)
-        for order in range(1, ORDER + 1):
-            codes = np.unique(np.concatenate([c[order][0] for c in self.counts]))
-            place = np.zeros(256**order, np.int32)
-            place[codes] = np.arange(1, len(codes) + 1)
-            shorter = places[-1][codes & (256 ** (order - 1) - 1)]
-            table = np.zeros((len(codes) + 1, 256, n), np.float32)
-            table[1:] = self._refine(order, codes, bits[-1][shorter])
-            places.append(place)
-            bits.append(table)
-        return places, bits
-
-    def _refine(self, order: int, codes: np.ndarray, shorter: np.ndarray) -> np.ndarray:
-        """Code lengths after the given contexts, from those after the contexts one byte shorter."""
-        out = shorter.copy()
+    def flat(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The trees as one table: row of each code of ``ORDER`` bytes, class of each byte, and bits[row, class, language].
+
+        A code that is not known at full length has the row of its longest known end. Bytes that no language has seen are one class:
+        their code lengths are equal.
+        """
+        seen = np.unique(np.concatenate([c[0][1] for c in self.counts]))
+        classes = np.full(256, len(seen), np.uint8 if len(seen) < 256 else np.int16)
+        classes[seen] = np.arange(len(seen))
+        codes = [np.zeros(1, np.int64)] + [np.unique(np.concatenate([c[k][0] for c in self.counts])) for k in range(1, ORDER + 1)]
+        starts = np.append(0, np.cumsum([len(c) for c in codes]))
+        bits = np.empty((starts[-1], len(seen) + 1, len(self.languages)), np.float32)
+        row = np.zeros(1, np.int32)
+        for order, own in enumerate(codes):
+            rows = bits[starts[order] : starts[order + 1]]
+            if order:
+                rows[:] = bits[row[own & (256 ** (order - 1) - 1)]]  # the shorter context is the code's low bytes
+                row = np.tile(row, 256)
+                row[own] = np.arange(starts[order], starts[order + 1], dtype=np.int32)
+            else:
+                rows[:] = 8.0
+            self._refine(order, own, classes, rows)
+        return row, classes, bits
+
+    def _refine(self, order: int, codes: np.ndarray, classes: np.ndarray, rows: np.ndarray) -> None:
+        """Turns code lengths of the contexts one byte shorter into those of the given contexts, in place."""
         for lang, counts in enumerate(self.counts):
             ctx, byte, count = counts[order]
             at = np.searchsorted(codes, ctx)
             total = np.bincount(at, weights=count, minlength=len(codes))
             kinds = np.bincount(at, minlength=len(codes))
             known = kinds > 0
-            escape = np.zeros(len(codes))
+            escape = np.zeros(len(codes), np.float32)
             escape[known] = np.log2((total[known] + kinds[known]) / kinds[known])
-            out[:, :, lang] += escape[:, None].astype(np.float32)
-            out[at, byte, lang] = np.log2((total[at] + kinds[at]) / count).astype(np.float32)
-        return out
-
-    @cached_property
-    def flat(self) -> tuple[np.ndarray, np.ndarray]:
-        """One table of all contexts used at full length: code of ``ORDER`` bytes to a row, and bits[row, byte, language].
-
-        Rows of contexts that are not known at full length are those of their longest known end.
-        """
-        places, bits = self.tables
-        starts = np.cumsum([0] + [len(b) for b in bits])
-        row = np.zeros(1, np.int32)
-        for order in range(1, ORDER + 1):
-            spread = np.tile(row, 256)  # the shorter context is the code's low bytes
-            row = np.where(places[order] > 0, starts[order] + places[order], spread).astype(np.int32)
-        return row, np.concatenate(bits)
+            rows[:, :, lang] += escape[:, None]
+            rows[at, classes[byte], lang] = np.log2((total[at] + kinds[at]) / count).astype(np.float32)
 
     def code_lengths(self, texts: list[str | None]) -> np.ndarray:
         """Bits of each text under each language."""
         raw = [folded(t) for t in texts]
         buf, offs = from_texts(raw)
-        row, bits = self.flat
+        row, classes, bits = self.flat
         wide = buf.astype(np.int32)
         code = np.zeros(len(buf) - ORDER, np.int32)
         for k in range(ORDER):
             code = code << 8 | wide[k : len(buf) - ORDER + k]
-        cost = bits[row[code], buf[ORDER:]]
+        cost = bits[row[code], classes[buf[ORDER:]]]
         total = np.zeros((len(cost) + 1, bits.shape[2]))
         np.cumsum(cost, axis=0, dtype=np.float64, out=total[1:])
         return total[offs[1:] - ORDER] - total[offs[:-1]]

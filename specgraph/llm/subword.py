@@ -65,7 +65,7 @@ class MergeModel:
         for value, i in enumerate(self.byte_ids.tolist()):
             texts[i] = bytes([value])
         self.bytes, self.offs = from_texts(texts)
-        self.chunks = IdCache(2_500_000)
+        self.chunks = IdCache()
 
     # --- one agenda step for many chunks -------------------------------------------------------------------------------------
 
