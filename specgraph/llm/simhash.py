@@ -108,7 +108,9 @@ def near_links(distinct_fps: DataFrame, fp: str = "fp") -> DataFrame:
     keys = distinct_fps.select(fp).mapInArrow(_block_keys, "k long, fp long")
     met = keys.groupBy("k").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi").select("k")
     able = checkpointed(keys.join(met, "k", "left_semi").select("fp").distinct())
-    meets = able.mapInArrow(_variants, "v long, fp long, hub boolean").groupBy("v")
+    # few bytes, but hundreds of rows come from each: an even deal over all tasks, whatever their bytes suggest
+    dealt = able.repartition(int(able.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    meets = dealt.mapInArrow(_variants, "v long, fp long, hub boolean").groupBy("v")
     buckets = meets.agg(F.min(F.when(F.col("hub"), F.col("fp"))).alias("hub"), F.collect_list("fp").alias("fps")).where("hub is not null and size(fps) > 1")
     return buckets.select(F.explode("fps").alias("fp"), "hub").where("fp <> hub").distinct()
 
