@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from specgraph.operators import projection, specs
+from specgraph.operators.walk import shared_checkpoint
 from specgraph.plans.bridge import frame
 from specgraph.plans.registry import query
 
@@ -52,12 +53,14 @@ def documents(spark: SparkSession, sf_dir: str, rich: bool = False) -> DataFrame
     schemas = schemas.groupBy("o").agg(F.concat(F.lit("{"), F.array_join(F.array_sort(F.collect_list(F.concat(F.lit('"'), F.col("k"), F.lit('":'), F.col("v")))), ","), F.lit("}")).alias("schemas"))
     head = F.concat(F.lit('{"openapi":"3.0.3","info":{"title":"Part '), F.col("o") % 40, F.lit('","version":"1"},"paths":'), F.to_json("paths"), F.lit(',"components":{"schemas":'), F.col("schemas"), F.lit("}}"))
     joined = paths.join(schemas, "o")
+    # documents are small in bytes but much work each: an even deal over all tasks, whatever their bytes suggest
+    joined = joined.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "o")
     return joined.select(F.concat(F.lit("prov"), F.col("o") % 3).alias("spec_source"), F.lpad(F.col("o").cast("string"), 12, "0").alias("source"), F.concat(F.lit("Part "), F.col("o") % 40).alias("title"), head.alias("raw"))
 
 
 def _ast(spark: SparkSession, sf_dir: str, rich: bool = False) -> tuple[DataFrame, DataFrame]:
-    corpus = documents(spark, sf_dir, rich)
-    return specs.flatten(corpus), specs.spec_rows(corpus)
+    corpus = shared_checkpoint(documents(spark, sf_dir, rich))  # both tables are read several times
+    return shared_checkpoint(specs.flatten(corpus)), specs.spec_rows(corpus)
 
 
 SOURCE = "lpad(CAST(o AS STRING), 12, '0')"
