@@ -34,20 +34,39 @@ def fold(doc_id: Column, parts: int) -> Column:
     return F.crc32(doc_id.cast("string")) % F.lit(parts)
 
 
+#: A key with more than one in so many of the rows is common; there are at most so many common keys.
+COMMON = 1000
+
+
+def lookup(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """Left join of ``rows`` with a table of one row for each key, whatever share of the rows a key has.
+
+    Common keys, of which there are ``COMMON`` at most, are joined by broadcast where their rows lie; the other rows are shuffled.
+    ``rows`` is read several times, so it should be a written table. Null keys find nothing.
+    """
+    total = rows.count()
+    common = checkpointed(rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") * COMMON > total).select(key))
+    values = table.join(F.broadcast(common), key, "left_semi")
+    held = rows.join(F.broadcast(common.join(values, key, "left")), key)
+    others = rows.join(F.broadcast(common), key, "left_anti").join(table, key, "left")
+    return held.unionByName(others)
+
+
 def linked_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """Smallest linked node of every node of an undirected edge list, as (node, root).
 
     Each round gives a node the least label among its own and its neighbours', then follows the label's own label once (so long
-    chains halve). Counts of changed rows decide the end; each round is checkpointed. Null ends are ignored.
+    chains halve). Counts of changed rows decide the end; each round is checkpointed. Null ends are ignored. The label of a large
+    component is asked for by all its members, so it is found by ``lookup``.
     """
     both = edges.select(F.col(a).alias("node"), F.col(b).alias("near")).where("node is not null and near is not null and node <> near")
     both = checkpointed(both.union(both.select("near", "node")).distinct())
     labels = checkpointed(both.groupBy("node").agg(F.least(F.min("near"), F.col("node")).alias("root")))
     while True:
         heard = both.join(labels.withColumnRenamed("node", "near"), "near").groupBy("node").agg(F.min("root").alias("heard"))
-        lower = labels.join(heard, "node").select("node", "root", F.least("root", "heard").alias("low"))
-        jump = lower.select(F.col("node").alias("low"), F.col("low").alias("far"))
-        step = lower.join(jump, "low", "left").select("node", "root", F.coalesce(F.least("low", "far"), F.col("low")).alias("next"))
+        lower = checkpointed(labels.join(heard, "node").select("node", "root", F.least("root", "heard").alias("low")))
+        step = lookup(lower, lower.select(F.col("node").alias("low"), F.col("low").alias("far")), "low")
+        step = step.select("node", "root", F.coalesce(F.least("low", "far"), F.col("low")).alias("next"))
         step = checkpointed(step)
         changed = step.where("next < root").limit(1).count()
         labels = step.select("node", F.col("next").alias("root"))

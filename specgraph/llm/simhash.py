@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from specgraph.llm.arrays import mix64
-from specgraph.llm.common import checkpointed, linked_components
+from specgraph.llm.common import checkpointed, linked_components, lookup
 
 RADIUS = 3
 _HASH = partial(xxhash.xxh64_intdigest, seed=42)
@@ -118,14 +118,14 @@ def near_links(distinct_fps: DataFrame, fp: str = "fp") -> DataFrame:
 def near_components(fps: DataFrame) -> DataFrame:
     """Adds component_id, the least key reachable over links of at most three bits, to (key, fp).
 
-    Equal fingerprints, 0 among them, are one node. A null key is kept and never names a component unless no other key is there.
+    Equal fingerprints, 0 among them, are one node. ``fps`` is read several times, so it should be a written table. A null key is kept and never names a component unless no other key is there.
     """
     nodes = checkpointed(fps.groupBy("fp").agg(F.min("key").alias("least")))
     roots = linked_components(near_links(nodes), "fp", "hub").withColumnRenamed("node", "fp")
-    named = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    named = checkpointed(nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = named.select("fp", "root").join(ids, "root").select("fp", "component_id")
-    return fps.join(by_fp, "fp", "left")
+    by_fp = lookup(named.select("fp", "root"), ids, "root").select("fp", "component_id")
+    return lookup(fps, checkpointed(by_fp), "fp")
 
 
 def hex16(fp: Column) -> Column:

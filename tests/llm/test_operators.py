@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from specgraph.llm import decontaminate, fingerprint, htmltemplate, langid, pii, pieces, quality, simhash, subword, tokenfile, toxicity
 from specgraph.llm.arrays import IdTable, Words, from_texts, mix64
-from specgraph.llm.common import linked_components
+from specgraph.llm.common import linked_components, lookup
 from specgraph.llm.tokenizers import tokenizer_path
 
 BPE, PIECES = tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model")
@@ -69,6 +69,15 @@ def test_id_table_finds_what_was_put():
     assert table.get(keys).tolist() == [*range(4000), *[-1] * 1000]
 
 
+def test_lookup_of_common_rare_absent_and_null_keys(spark):
+    keys = [1] * 3000 + [2] * 1500 + list(range(10, 1500)) + [None] * 5
+    rows = spark.createDataFrame(list(enumerate(keys)), "row long, k long")
+    table = spark.createDataFrame([(k, -k) for k in [1, *range(10, 1000)]], "k long, v long")
+    got = {r["row"]: r["v"] for r in lookup(rows, table, "k").collect()}
+    assert got == {i: -k if k is not None and (k == 1 or 10 <= k < 1000) else None for i, k in enumerate(keys)}
+    assert lookup(rows.limit(0), table, "k").count() == 0
+
+
 def test_components_follow_long_chains(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 101), (102, 101), (None, 5), (7, 7)]
     found = linked_components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()
