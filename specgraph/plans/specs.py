@@ -296,3 +296,14 @@ def jn_2_two_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JN-2: the document's own body or the provider's, whichever is richer."""
     found = projection.resolve_two_scopes(frame(spark, sf_dir, ASK), frame(spark, sf_dir, OWN), frame(spark, sf_dir, POOLED))
     return found.groupBy("scope").agg(F.count("*").alias("n"), F.sum(F.length(F.coalesce("body", F.lit("")))).alias("size"))
+
+
+@query(
+    f"""SELECT DISTINCT {PROVIDER} || ':responses:Fine' || CAST(o % 5 AS STRING) AS id, 'responses' AS section, 'Fine' || CAST(o % 5 AS STRING) AS name FROM ({LINES}) x
+    UNION ALL SELECT DISTINCT {PROVIDER} || ':parameters:page' || CAST(o % 4 AS STRING), 'parameters', 'page' || CAST(o % 4 AS STRING) FROM ({LINES}) x"""
+)
+def pj_3_reusable_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PJ-3: reusable responses and parameters, each once for a provider."""
+    more = """concat(left(raw, length(raw) - 2), ',"responses":{"Fine', CAST(source AS BIGINT) % 5, '":{"description":"fine"}},"parameters":{"page', CAST(source AS BIGINT) % 4, '":{"name":"page","in":"query"}}}}')"""
+    corpus = shared_checkpoint(documents(spark, sf_dir).withColumn("raw", F.expr(more)))
+    return projection.reusable_parts(specs.flatten(corpus), specs.spec_rows(corpus))
