@@ -2,8 +2,8 @@
 
 A mask keeps some token positions of a window and ignores the others, so a window whose substituted tokens fall on ignored
 positions hashes like the original. Every window of every text, under every mask, is looked up among the windows of the benchmark
-items. A hit fixes how text and item lie on each other; the tokens around it are then compared one by one, and the best-scoring
-stretch (a match counts 1, a substitution ``-PENALTY``) is an overlap if it is long enough and enough of it agrees.
+items. A hit fixes how text and item lie on each other; the tokens around it are then compared one by one, and the longest stretch
+in which enough tokens agree is an overlap if it is long enough.
 
 The benchmark is held in blocks of a bounded number of tokens; texts are read once for each block.
 """
@@ -27,7 +27,6 @@ U64 = np.uint64
 MASKS = ("111111", "1101100011", "11010010011", "110010100101")
 #: Shortest overlap in tokens (an item of fewer tokens must lie in the text whole) and least share of agreeing tokens in it.
 MIN_TOKENS, MIN_SHARE = 12, 0.8
-PENALTY = 3
 #: Tokens of benchmark text held at once.
 BLOCK_TOKENS = 1_000_000
 SCHEMA = "doc_id long, item_id long, first_token long, n_tokens long, n_equal long, item_tokens long"
@@ -109,21 +108,23 @@ class SeedIndex:
                 continue
             own = self.tokens[self.bounds[i] + lo - d : self.bounds[i] + hi - d]
             equal = words.hashes[lo:hi] == own
-            a, b = best_stretch(equal)
+            a, b = longest_stretch(equal)
             n, same, size = b - a, int(equal[a:b].sum()), int(self.bounds[i + 1] - self.bounds[i])
-            if n >= min(MIN_TOKENS, size) and same >= MIN_SHARE * n and same > best.get((r, i), (0, 0, 0, 0))[2]:
+            if n >= min(MIN_TOKENS, size) and same > best.get((r, i), (0, 0, 0, 0))[2]:
                 best[r, i] = (lo + a - int(words.bounds[r]), n, same, size)
         return [(r, i, *x) for (r, i), x in best.items()]
 
 
-def best_stretch(equal: np.ndarray) -> tuple[int, int]:
-    """The stretch of best score: matches count 1, others -PENALTY; the first of equals."""
+def longest_stretch(equal: np.ndarray) -> tuple[int, int]:
+    """The longest stretch with a share of ``MIN_SHARE`` equal at least; of those the one with most equal, then the first. Whole percents keep the sums exact."""
     score = np.zeros(len(equal) + 1, np.int64)
-    np.cumsum(np.where(equal, 1, -PENALTY), out=score[1:])
+    np.cumsum(np.where(equal, 100, 0) - round(100 * MIN_SHARE), out=score[1:])
     least = np.minimum.accumulate(score)
-    end = int((score - least).argmax())
-    start = end - int(np.argmin(score[end::-1])) if end else 0
-    return start, end
+    starts = np.searchsorted(-least, -score, "left")  # for each end the first place whose sum is no greater
+    n = np.arange(len(score)) - starts
+    ends = np.flatnonzero(n == n.max())
+    end = int(ends[np.argmax(score[ends] - score[starts[ends]])])
+    return int(starts[end]), end
 
 
 def overlapping(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:

@@ -1,11 +1,13 @@
 """Corpus operators against brute force, library results, exact round trips or held-out labels, on awkward rows as well."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -470,6 +472,28 @@ def test_overlaps_with_substitutions(spark):
     assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == want
 
 
+@pytest.mark.parametrize(("size", "subs"), [(12, 2), (15, 1), (15, 2), (15, 3), (16, 2), (16, 3), (20, 3), (20, 4)])
+def test_overlaps_with_substitutions_at_every_place(size, subs):
+    item = [f"w{k}" for k in range(size)]
+    texts, want = [], []
+    for row, places in enumerate(itertools.combinations(range(size), subs)):
+        texts.append(" ".join(["before"] * 3 + ["other" if k in places else w for k, w in enumerate(item)] + ["after"] * 3))
+        hit = any(not any(mask[k - at : k - at + 1] == "1" for k in places if k >= at) for mask in decontaminate.MASKS for at in range(size - len(mask) + 1))
+        want += [(row, 0, 3, size, size - subs, size)] * hit
+    index = decontaminate.SeedIndex(np.array([7]), [" ".join(item)])
+    assert sorted(decontaminate.batch_overlaps(pa.array(texts), index)) == want and want
+
+
+def test_longest_stretch_equals_brute_force():
+    rng = np.random.default_rng(2)
+    for _ in range(300):
+        equal = rng.random(rng.integers(1, 40)) < rng.choice([0.3, 0.7, 0.85])
+        spans = [(b - a, int(equal[a:b].sum()), -a) for a in range(len(equal) + 1) for b in range(a, len(equal) + 1) if 5 * int(equal[a:b].sum()) >= 4 * (b - a)]
+        n, same, a = max(spans)
+        got = decontaminate.longest_stretch(equal)
+        assert got[1] - got[0] == n and int(equal[got[0] : got[1]].sum()) == same and (n == 0 or got[0] == -a)
+
+
 def test_whole_items_are_found_in_documents(spark, documents, tiny, monkeypatch):
     benchmark = spark.read.parquet(f"{tiny}/benchmark.parquet")
     items = {r["item_id"]: " ".join(re.findall(r"\w+", r["text"].lower())) for r in benchmark.collect()}
