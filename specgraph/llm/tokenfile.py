@@ -8,6 +8,7 @@ number columns, reads those pages.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -48,7 +49,7 @@ BYTE_SIGNS = byte_signs()
 class ByteLevelEncoder:
     """Ids of a tokenizer of the tokenizers library whose pieces are those of ``byte_level_starts`` and do not depend on each other.
 
-    The library's model merges each distinct piece; strings of special tokens in a text are ordinary text.
+    Texts are split at the tokenizer's added tokens first; then the library's model merges each distinct piece.
     """
 
     def __init__(self, path: str):
@@ -58,9 +59,42 @@ class ByteLevelEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.ids = IdCache(2_000_000)
+        if any(t.lstrip or t.rstrip or t.single_word for t in self.tokenizer.get_added_tokens_decoder().values()):
+            raise ValueError("added tokens that take in spaces or match whole words only are not built")
+
+    def added_tokens(self) -> dict[str, int]:
+        """Ids of the strings that the tokenizer keeps whole, as it is set now."""
+        known = self.tokenizer.get_added_tokens_decoder().items()
+        return {t.content: i for i, t in known if t.content and not (t.special and self.tokenizer.encode_special_tokens)}
 
     def encode(self, texts: list[str], end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts on end, each followed by ``end_id`` unless that is None, and n + 1 offsets."""
+        added = self.added_tokens()
+        if any(t in text for text in texts for t in added):
+            ids, bounds = self.encode_split(texts, added)
+        else:
+            ids, bounds = self.encode_pieces(texts)
+        if end_id is None:
+            return ids, bounds
+        return np.insert(ids, bounds[1:], np.int32(end_id)), bounds + np.arange(len(bounds))
+
+    def encode_split(self, texts: list[str], added: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and offsets of texts that hold added tokens: what lies between them is encoded like texts of its own. The longest of tokens that begin at one place counts."""
+        token = re.compile("(" + "|".join(re.escape(t) for t in sorted(added, key=len, reverse=True)) + ")")
+        parts, after, n_parts = [], [], []
+        for text in texts:
+            found = token.split(text)
+            parts += found[::2]
+            after += [*(added[t] for t in found[1::2]), -1]
+            n_parts.append(len(found) // 2 + 1)
+        ids, bounds = self.encode_pieces(parts)
+        follows = np.array(after, dtype=np.int32)
+        some = follows >= 0
+        ids = np.insert(ids, bounds[1:][some], follows[some])
+        return ids, (bounds + np.append(0, np.cumsum(some)))[np.append(0, np.cumsum(n_parts))]
+
+    def encode_pieces(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and offsets of texts without added tokens."""
         whole, cps, offs = code_points(texts)
         pieces = PieceHashes(cps, offs, byte_level_starts(cps, offs))
 
@@ -70,10 +104,7 @@ class ByteLevelEncoder:
             return np.array([i for ids in got for i in ids], dtype=np.int32), np.array([len(ids) for ids in got], dtype=np.int64)
 
         ids, lens = self.ids.encode(pieces.hashes, make)
-        bounds = row_bounds(pieces.bounds, lens)
-        if end_id is None:
-            return ids, bounds
-        return np.insert(ids, bounds[1:], np.int32(end_id)), bounds + np.arange(len(bounds))
+        return ids, row_bounds(pieces.bounds, lens)
 
 
 @cache

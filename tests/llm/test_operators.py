@@ -422,6 +422,25 @@ def test_pieces_and_ids_are_the_librarys():
     assert pieces.classes()[ord("é")] == pieces.LETTER and pieces.classes()[0x1C] == pieces.OTHER
 
 
+def test_added_tokens_are_the_librarys():
+    end = "<|endoftext|>"
+    texts = [f"a {end} b", end, f"{end}{end}", f"x{end}", f"{end}\n y  {end} 's", "", "no token", "<|endoftext", f"<{end}>", f"é {end}漢{end} "]
+    enc = tokenfile.ByteLevelEncoder(BPE)
+    want = [enc.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert want[0] == [64, 220, 50256, 275]
+    for end_id in (None, 0):
+        ids, bounds = enc.encode(texts, end_id)
+        assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:], strict=False)] == [w if end_id is None else [*w, end_id] for w in want]
+
+
+def test_token_files_of_texts_with_added_tokens(spark):
+    docs = [(1, "a <|endoftext|> b"), (2, "<|endoftext|>"), (3, None), (4, "the end")]
+    found = tokenfile.tokenize_to_files(spark.createDataFrame(docs, "doc_id long, text string"), BPE).orderBy("doc_id").collect()
+    ids = [[64, 220, 50256, 275, 0], [50256, 0], [0], [*tokenfile.encoder(BPE).tokenizer.encode("the end", add_special_tokens=False).ids, 0]]
+    assert [r["start"] for r in found] == [0, 5, 7, 8]
+    assert [(r["n_tokens"], r["ids_crc32"]) for r in found] == [(len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for x in ids]
+
+
 def test_token_files_read_back(spark, documents, tmp_path):
     enc, start = tokenfile.encoder(BPE), 0
     path = str(tmp_path / "ids")
