@@ -10,7 +10,10 @@ from pyspark.sql import types as T
 
 from specgraph.functions import jsonwalk
 from specgraph.operators import audit, merge, projection, search, specs, topology, walk
+from specgraph.plans import discovery, registry  # noqa: F401
+from specgraph.plans import sources as source_plans  # noqa: F401
 from specgraph.sources import documents, sinks
+from tests.conftest import DATA
 
 SPEC = {
     "openapi": "3.0.3",
@@ -201,3 +204,9 @@ def test_gate_and_search_edges(spark):
     queries = spark.createDataFrame([("q", "a")], "query string, term string")
     assert [r["doc"] for r in search.bm25(rows, "ord", F.col("summary"), queries).collect()] == [1]
     assert search.keyword_search(rows, ["a"]).count() == 1
+
+
+def test_whole_blobs_are_decoded(spark):
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{DATA}/sf0.001/documents.parquet").select("doc_id", "text").collect()}
+    got = {r["doc_id"]: r["json"] for r in registry.QUERIES["sg_12_decode_whole_blobs"](spark, f"{DATA}/sf0.001").collect()}
+    assert got == {i: "b64:%%%" if i % 3 == 1 else t for i, t in texts.items()} and max(len(t) for i, t in got.items() if i % 3 == 0) > 76
