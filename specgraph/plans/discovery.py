@@ -11,9 +11,9 @@ from specgraph.plans.bridge import frame
 from specgraph.plans.registry import query
 
 
-def _walk(hops: int, edges: str = "b_composed", name: str = "w") -> str:
+def _walk(hops: int, edges: str = "b_composed", name: str = "w", roots: str = "b_body") -> str:
     """Least depth of each node within some hops of each body's root, without recursion on the number of paths."""
-    levels = [f"{name}0 AS (SELECT DISTINCT root_id AS root, root_id AS node FROM b_body)"]
+    levels = [f"{name}0 AS (SELECT DISTINCT root_id AS root, root_id AS node FROM {roots})"]
     levels += [f"{name}{k} AS (SELECT DISTINCT p.root, e.b AS node FROM {name}{k - 1} p JOIN {edges} e ON e.a = p.node)" for k in range(1, hops + 1)]
     union = " UNION ALL ".join(f"SELECT root, node, {k} AS depth FROM {name}{k}" for k in range(hops + 1))
     return ", ".join(levels) + f", {name} AS (SELECT root, node, min(depth) AS depth FROM ({union}) x GROUP BY root, node)"
@@ -263,13 +263,32 @@ def tk_3_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {FIELDS} SELECT DISTINCT f.property_id, b.eid FROM f JOIN b_body b ON b.eid = f.eid WHERE f.name IN ('s1', 's7') AND NOT f.read_only")
 def tk_4_keyword_to_endpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """TK-4: property hits, walked back from component to root to endpoint: only what a hit reaches moves."""
+    """TK-4, request bodies only (all in ``tk_4_keyword_to_any_endpoint``): property hits, walked back from component to root to endpoint: only what a hit reaches moves."""
     hits = frame(spark, sf_dir, "b_property").where("name IN ('s1', 's7') AND NOT read_only").select(F.col("id").alias("property_id"), F.col("component_id").alias("root"))
     back = frame(spark, sf_dir, "b_composed").select(F.col("b").alias("a"), F.col("a").alias("b"))
     up = within(hits.select("root").distinct(), back, discover.HOPS).withColumnRenamed("node", "root_id")
     return hits.join(up, "root").join(frame(spark, sf_dir, "b_body").select("eid", "root_id"), "root_id").select("property_id", "eid").distinct()
 
 
+SOUGHT = "SELECT 'q' AS query, 's1' AS term UNION ALL SELECT 'q', 's7'"
+
+
+@query(
+    f"""WITH r AS (SELECT eid, root_id FROM b_body UNION SELECT eid, root_id FROM b_response), {_walk(5, roots="r")},
+    h AS (SELECT id AS property_id, component_id FROM b_property WHERE list_has_any({WORDS.format("name")}, ['s1', 's7']))
+    SELECT DISTINCT h.property_id, x.eid FROM h LEFT JOIN (SELECT w.node, r.eid FROM w JOIN r ON r.root_id = w.root) x ON x.node = h.component_id"""
+)
+def tk_4_keyword_to_any_endpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TK-4: searched properties to all endpoints that accept or return them; a property that no endpoint has keeps a row without one."""
+    properties = frame(spark, sf_dir, "b_property")
+    found = search.query_postings(properties, "id", F.col("name"), frame(spark, sf_dir, SOUGHT)).select(F.col("doc").alias("id")).distinct()
+    hits = properties.join(found, "id", "left_semi").select(F.col("id").alias("property_id"), F.col("component_id").alias("root"))
+    back = frame(spark, sf_dir, "b_composed").select(F.col("b").alias("a"), F.col("a").alias("b"))
+    up = within(hits.select("root").distinct(), back, discover.HOPS).withColumnRenamed("node", "root_id")
+    ends = frame(spark, sf_dir, "b_body").select("eid", "root_id").unionByName(frame(spark, sf_dir, "b_response").select("eid", "root_id")).distinct()
+    return hits.join(up.join(ends, "root_id").select("root", "eid").distinct(), "root", "left").select("property_id", "eid").distinct()
+
+
 @query(f"WITH {YANG} SELECT DISTINCT p.id AS property_id, p.yang_path, regexp_extract(p.yang_path, '(?:^|/)([^/:]*):', 1) AS module, yang.eid, coalesce(c.command, '') AS command FROM b_property p JOIN yang ON yang.yang_path = p.yang_path LEFT JOIN b_cli c ON c.eid = yang.eid WHERE p.name = 's5'")
 def tk_5_keyword_to_yang(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TK-5: property hit to yang path, module, endpoint and command."""

@@ -210,3 +210,9 @@ def test_whole_blobs_are_decoded(spark):
     texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{DATA}/sf0.001/documents.parquet").select("doc_id", "text").collect()}
     got = {r["doc_id"]: r["json"] for r in registry.QUERIES["sg_12_decode_whole_blobs"](spark, f"{DATA}/sf0.001").collect()}
     assert got == {i: "b64:%%%" if i % 3 == 1 else t for i, t in texts.items()} and max(len(t) for i, t in got.items() if i % 3 == 0) > 76
+
+
+def test_keyword_reaches_endpoints_that_only_return_a_component(spark):
+    found = {tuple(r) for r in registry.QUERIES["tk_4_keyword_to_any_endpoint"](spark, f"{DATA}/sf0.001").select("property_id", "eid").collect()}
+    bodies = {tuple(r) for r in registry.QUERIES["tk_4_keyword_to_endpoint"](spark, f"{DATA}/sf0.001").select("property_id", "eid").collect()}
+    assert bodies < found and any(eid and eid.startswith("GET:") for _, eid in found) and not any(eid.startswith("GET:") for _, eid in bodies)
