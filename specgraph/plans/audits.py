@@ -142,7 +142,7 @@ def ag_11_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT "check", count(*) AS n_missing, count_if(alias) AS n_alias, count_if(NOT alias AND target) AS n_target, count_if(NOT alias AND NOT target) AS n_open FROM x GROUP BY "check\"""".replace("AS check", 'AS "check"')
 )
 def ag_12_excuses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AG-12: missing keys with an excuse."""
+    """AG-12 without the structural excuse: missing keys with an excuse."""
     return audit.excused(frame(spark, sf_dir, LEFT), frame(spark, sf_dir, RIGHT))
 
 
@@ -151,7 +151,7 @@ def ag_12_excuses(spark: SparkSession, sf_dir: str) -> DataFrame:
     round(count_if(eid IN (SELECT eid FROM b_parameter WHERE required)) / count(*), 4) AS has_required, round(count_if(eid IN (SELECT eid FROM b_cli)) / count(*), 4) AS has_cli FROM (SELECT DISTINCT eid FROM b_endpoint) e"""
 )
 def ag_15_endpoint_health(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AG-13, AG-15, ST-3: shares of endpoints that have bodies, responses, required parameters, commands."""
+    """Parts of AG-13 and AG-15 (README), ST-3: shares of endpoints that have bodies, responses, required parameters, commands."""
     keys = {n: frame(spark, sf_dir, t).select(F.col("eid").alias("key")) for n, t in (("body", "b_body"), ("response", "b_response"), ("required", "SELECT eid FROM b_parameter WHERE required"), ("cli", "b_cli"))}
     return audit.coverage(frame(spark, sf_dir, "b_endpoint"), "eid", keys)
 
