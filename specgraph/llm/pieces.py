@@ -106,9 +106,9 @@ class PieceHashes:
 
 
 class IdCache:
-    """Token ids of pieces by hash; it starts anew once it holds ``most`` pieces, so its size is bounded."""
+    """Token ids of pieces by hash; it starts anew once it holds ``most`` pieces or eight times as many ids, so its bytes are bounded (about 80 for each of ``most``)."""
 
-    def __init__(self, most: int = 1_500_000):
+    def __init__(self, most: int = 500_000):
         self.most = most
         self._clear()
 
@@ -127,7 +127,7 @@ class IdCache:
 
     def encode(self, hashes: np.ndarray, make: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all pieces on end, and the number of each piece's ids. ``make`` gets places in ``hashes`` of pieces that are new, and gives the same two arrays for them."""
-        if self.n > self.most:
+        if self.n > self.most or self.used > 8 * self.most:
             self._clear()
         at = self.table.get(hashes)
         new = np.flatnonzero(at < 0)

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from specgraph.llm.arrays import row_chunks
+from specgraph.llm.arrays import row_chunks, text_buffers
 from specgraph.llm.common import scratch_path
 from specgraph.llm.pieces import IdCache, PieceHashes, byte_level_starts, code_points, row_bounds
 
@@ -28,12 +28,14 @@ LAYOUT = {
     "parquet.writer.version": "PARQUET_2_0",
     "parquet.enable.dictionary": "true",
     "parquet.dictionary.page.size": str(1 << 20),
-    "parquet.block.size": str(32 << 20),
+    "parquet.block.size": str(8 << 20),
     "parquet.page.size": str(256 << 10),
     "parquet.page.row.count.limit": "5000",
     "parquet.columnindex.truncate.length": "64",
 }
 SCHEMA = "doc_id long, part int, first long, n_tokens long, ids array<int>"
+#: Bytes of text that a worker encodes at once.
+CHUNK = 256 << 10
 
 
 def byte_signs() -> dict[int, str]:
@@ -58,7 +60,7 @@ class ByteLevelEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.ids = IdCache(2_000_000)
+        self.ids = IdCache(250_000)
         if any(t.lstrip or t.rstrip or t.single_word for t in self.tokenizer.get_added_tokens_decoder().values()):
             raise ValueError("added tokens that take in spaces or match whole words only are not built")
 
@@ -121,23 +123,23 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int |
     """Encodes every text and writes (doc_id, part, first, n_tokens, ids): files are parts in ascending key order, rows in order within.
 
     ``first`` is the number of the part's ids before the document. A null text is empty and gets the end id alone. Null keys come
-    first; rows with one key go by text. Keys must be whole numbers. Other columns are not read. The path must not exist.
+    first; rows with one key go by a hash of their text, so that a key with many rows is spread over parts too. Keys must be whole
+    numbers. Other columns are not read. The path must not exist.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, first, enc = TaskContext.get().partitionId(), 0, encoder(tokenizer_path)
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            sizes = np.append(0, np.cumsum([len(t) for t in texts], dtype=np.int64))
-            for lo, hi in row_chunks(sizes, 1 << 20):
-                ids, bounds = enc.encode(texts[lo:hi], end_id)
+            for lo, hi in row_chunks(text_buffers(batch.column(1))[1], CHUNK):
+                ids, bounds = enc.encode([t or "" for t in batch.column(1).slice(lo, hi - lo).to_pylist()], end_id)
                 counts = np.diff(bounds)
                 columns = [batch.column(0).slice(lo, hi - lo), pa.array(np.full(hi - lo, part, np.int32)), pa.array(first + bounds[:-1]), pa.array(counts), list_array(ids, bounds)]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "part", "first", "n_tokens", "ids"])
                 first += int(bounds[-1])
 
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    dealt = rows.repartitionByRange(F.col("key").asc_nulls_first()).sortWithinPartitions(F.col("key").asc_nulls_first(), F.col("text").asc_nulls_first())
+    order = (F.col("key").asc_nulls_first(), F.xxhash64("text").asc())
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order, F.col("text").asc_nulls_first())
     dealt.mapInArrow(run, SCHEMA).write.options(**LAYOUT).parquet(path)
 
 

@@ -467,6 +467,15 @@ def test_token_files_of_awkward_rows(awkward):
     assert tokenfile.tokenize_to_files(empty(awkward), BPE).count() == 0
 
 
+def test_a_hot_id_is_spread_over_parts(spark):
+    docs = spark.createDataFrame([(None if i % 2 else 7, f"text number {i}") for i in range(400)], "doc_id long, text string").repartition(4)
+    path = tokenfile.scratch_path(spark, "hot")
+    rows = sorted(tokenfile.tokenize_to_files(docs, BPE, path).collect(), key=lambda r: r["start"])
+    assert all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(rows, rows[1:], strict=False)) and [r["doc_id"] for r in rows] == [None] * 200 + [7] * 200
+    parts = tokenfile.read_tokens(spark, path).groupBy("part").count().collect()
+    assert len(parts) > 2 and max(r["count"] for r in parts) < 300
+
+
 # --- 8: decontamination ---------------------------------------------------------------------------------------------------
 
 
