@@ -38,20 +38,45 @@ def fold(doc_id: Column, parts: int) -> Column:
 COMMON = 1000
 
 
-def lookup(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+def common_keys(rows: DataFrame, *keys: str) -> DataFrame:
+    """The keys that more than one in ``COMMON`` of the rows has: at most ``COMMON`` of them, as a written table."""
+    total = rows.count()
+    known = rows.dropna(subset=list(keys)).groupBy(*keys).agg(F.count("*").alias("n"))
+    return checkpointed(known.where(F.col("n") * COMMON > total).select(*keys))
+
+
+def lookup(rows: DataFrame, table: DataFrame, *keys: str) -> DataFrame:
     """Left join of ``rows`` with a table of one row for each key, whatever share of the rows a key has.
 
     Common keys, of which there are ``COMMON`` at most, are joined by broadcast where their rows lie; the other rows are shuffled.
     ``rows`` is read several times, so it should be a written table. Null keys find nothing.
     """
-    total = rows.count()
-    common = checkpointed(rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") * COMMON > total).select(key))
-    values = table.join(F.broadcast(common), key, "left_semi")
-    held = rows.join(F.broadcast(common.join(values, key, "left")), key)
-    others = rows.join(F.broadcast(common), key, "left_anti").join(table, key, "left")
+    on = list(keys)
+    common = common_keys(rows, *keys)
+    values = table.join(F.broadcast(common), on, "left_semi")
+    held = rows.join(F.broadcast(common.join(values, on, "left")), on)
+    others = rows.join(F.broadcast(common), on, "left_anti").join(table, on, "left")
     return held.unionByName(others)
 
 
+#: Parts that the rows of a common key are spread over.
+SPREAD = 64
+
+
+def spread_join(rows: DataFrame, table: DataFrame, *keys: str) -> DataFrame:
+    """Inner join of ``rows`` with a table that may have many rows for a key, whatever share of the rows a key has.
+
+    The rows of a common key are dealt over ``SPREAD`` parts, and the table's rows of that key are repeated in each. ``rows`` is read
+    several times, so it should be a written table.
+    """
+    on = list(keys)
+    common = F.broadcast(common_keys(rows, *keys).withColumn("_hot", F.lit(True)))
+    dealt = rows.join(common, on, "left").withColumn("_part", F.when(F.col("_hot"), F.pmod(F.xxhash64(*rows.columns), F.lit(SPREAD)).cast("int")).otherwise(0)).drop("_hot")
+    parts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0)))
+    repeated = table.join(common, on, "left").withColumn("_part", F.explode(parts)).drop("_hot")
+    return dealt.join(repeated, [*on, "_part"]).drop("_part")
+
+
 def linked_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """Smallest linked node of every node of an undirected edge list, as (node, root).
 

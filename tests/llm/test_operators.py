@@ -558,16 +558,57 @@ def test_overlaps_with_substitutions(spark):
     assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == want
 
 
-@pytest.mark.parametrize(("size", "subs"), [(12, 2), (15, 1), (15, 2), (15, 3), (16, 2), (16, 3), (20, 3), (20, 4)])
-def test_overlaps_with_substitutions_at_every_place(size, subs):
+def words_of(text):
+    return Words(*from_texts([text.encode()])).hashes
+
+
+@pytest.mark.parametrize(("size", "subs"), [(12, 1), (12, 2), (13, 2), (14, 2), (15, 1), (15, 2), (15, 3), (16, 2), (16, 3), (18, 3), (20, 3), (20, 4), (24, 4), (30, 6)])
+def test_recall_of_substituted_items_over_all_places(size, subs):
+    """Every way of substituting tokens within the rule; the masks leave few out, and whatever hits is verified whole."""
     item = [f"w{k}" for k in range(size)]
-    texts, want = [], []
-    for row, places in enumerate(itertools.combinations(range(size), subs)):
-        texts.append(" ".join(["before"] * 3 + ["other" if k in places else w for k, w in enumerate(item)] + ["after"] * 3))
-        hit = any(not any(mask[k - at : k - at + 1] == "1" for k in places if k >= at) for mask in decontaminate.MASKS for at in range(size - len(mask) + 1))
-        want += [(row, 0, 3, size, size - subs, size)] * hit
-    index = decontaminate.SeedIndex(np.array([7]), [" ".join(item)])
-    assert sorted(decontaminate.batch_overlaps(pa.array(texts), index)) == want and want
+    own, masks = words_of(" ".join(item)), decontaminate.all_masks([])
+    rng, every = random.Random(1), list(itertools.combinations(range(size), subs))
+    every = every if len(every) <= 5000 else rng.sample(every, 5000)
+    found = 0
+    for places in every:
+        text = words_of(" ".join(["before"] * 3 + ["other" if k in places else w for k, w in enumerate(item)] + ["after"] * 3))
+        got = decontaminate.best_overlap(text, own, masks)
+        assert got in (None, (3, size, size - subs, size))
+        found += got is not None
+    print("recall", size, subs, found / len(every))
+    assert found / len(every) >= 0.9
+
+
+def test_repeated_words_take_linear_memory():
+    text, item = words_of("word " * 20_000), words_of("word " * 5000)
+    assert decontaminate.best_overlap(text, item, decontaminate.all_masks([])) == (0, 5000, 5000, 5000)
+
+
+def brute_overlap(text, item):
+    best = None
+    for d in range(-len(item), len(text) + 1):
+        lo, hi = max(0, d), min(len(text), d + len(item))
+        if hi <= lo:
+            continue
+        a, b = decontaminate.longest_stretch(text[lo:hi] == item[lo - d : hi - d])
+        same = int((text[lo:hi] == item[lo - d : hi - d])[a:b].sum())
+        if b - a >= min(decontaminate.MIN_TOKENS, len(item)) and (best is None or same > best[2]):
+            best = (lo + a, b - a, same, len(item))
+    return best
+
+
+def test_overlaps_equal_brute_force_over_all_shifts():
+    rng, right, wrong = random.Random(12), 0, 0
+    for _ in range(400):
+        item = [f"t{rng.randrange(60)}" for _ in range(rng.randint(5, 40))]
+        copy = [w if rng.random() > 0.12 else "other" for w in item]
+        text = [f"t{rng.randrange(60)}" for _ in range(30)] + copy + [f"t{rng.randrange(60)}" for _ in range(30)]
+        a, b = words_of(" ".join(text)), words_of(" ".join(item))
+        want, got = brute_overlap(a, b), decontaminate.best_overlap(a, b, decontaminate.all_masks([len(item)] if len(item) < 12 else []))
+        assert got is None or (want is not None and got[2] <= want[2])
+        right += want is not None and got is not None and got[2] == want[2]
+        wrong += want is not None and (got is None or got[2] != want[2])
+    assert right / (right + wrong) > 0.9
 
 
 def test_longest_stretch_equals_brute_force():
@@ -586,7 +627,8 @@ def test_whole_items_are_found_in_documents(spark, documents, tiny, monkeypatch)
     want = {(r["doc_id"], i) for r in documents.collect() for i, t in items.items() if f" {t} " in f" {' '.join(re.findall(r'\w+', r['text'].lower()))} "}
     found = {(r["doc_id"], r["item_id"]) for r in decontaminate.overlapping(documents, benchmark).collect()}
     assert want and want <= found
-    monkeypatch.setattr(decontaminate, "BLOCK_TOKENS", 300)
+    monkeypatch.setattr(decontaminate, "MOST_BITS", 15)
+    monkeypatch.setattr(decontaminate, "FEW", 1)
     assert {(r["doc_id"], r["item_id"]) for r in decontaminate.overlapping(documents, benchmark).collect()} == found
     kept = {r["doc_id"] for r in decontaminate.without_overlaps(documents, benchmark).collect()}
     assert kept == {r["doc_id"] for r in documents.collect()} - {d for d, _ in found}
@@ -600,6 +642,13 @@ def test_overlaps_of_awkward_rows(spark, awkward):
     assert decontaminate.without_overlaps(awkward, benchmark).columns == awkward.columns
 
 
+def test_a_passage_that_most_texts_share(spark):
+    passage = " ".join(f"p{i}" for i in range(30))
+    docs = spark.createDataFrame([(i, f"own{i} {passage} end{i}" if i % 3 else passage) for i in range(600)], "doc_id long, text string")
+    items = spark.createDataFrame([(k, passage + f" tail{k}") for k in range(40)], "item_id long, text string")
+    assert decontaminate.overlapping(docs, items).count() == 600 * 40 and decontaminate.without_overlaps(docs, items).count() == 0
+
+
 # --- 9: personal data -----------------------------------------------------------------------------------------------------
 
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
