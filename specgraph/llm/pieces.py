@@ -84,13 +84,21 @@ def byte_level_starts(cps: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return np.flatnonzero(start)
 
 
-class PieceHashes:
-    """Hashes of the pieces of a chunk of code points; ``bounds`` gives the pieces of each text."""
+class Pieces:
+    """Where the pieces of a chunk of code points begin and end; ``bounds`` gives the pieces of each text."""
+
+    def __init__(self, offs: np.ndarray, starts: np.ndarray):
+        self.starts, self.ends = starts, np.append(starts[1:], offs[-1])
+        self.bounds = np.searchsorted(starts, offs)
+
+
+class PieceHashes(Pieces):
+    """Pieces with their hashes."""
 
     _powers = np.ones(1, U64)
 
     def __init__(self, cps: np.ndarray, offs: np.ndarray, starts: np.ndarray):
-        self.starts, self.ends = starts, np.append(starts[1:], len(cps))
+        super().__init__(offs, starts)
         lens = self.ends - starts
         longest = int(lens.max(initial=1))
         if longest > len(PieceHashes._powers):
@@ -102,7 +110,6 @@ class PieceHashes:
         with np.errstate(over="ignore"):
             coded = mix64(cps.astype(U64) + U64(1)) * PieceHashes._powers[place]
             self.hashes = mix64(np.add.reduceat(coded, starts)) if len(starts) else np.zeros(0, U64)
-        self.bounds = np.searchsorted(starts, offs)
 
 
 class IdCache:

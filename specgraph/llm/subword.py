@@ -1,13 +1,13 @@
 """SentencePiece merge encoding with seeded dropout, and its inverse.
 
 A chunk is a run of spaces with the signs after it; merges never leave a chunk. The agenda of a chunk takes, again and again, the
-candidate of best score (leftmost among equals) and merges its two symbols. A candidate is skipped if the hash of (seed, variant,
-chunk, place, merged piece) falls below the dropout rate, so a seed and a document's variant fix its segmentation, and other seeds
-give others. Rate 0 gives the library's own segmentation. Signs outside the vocabulary become byte pieces. A literal U+2581, which
-the library reads as a space, becomes byte pieces as well, so that decoding gives every text back.
+candidate of best score (leftmost among equals) and merges its two symbols. A candidate is skipped if the hash of (seed, document,
+place of the chunk in the text, place in the chunk, merged piece) falls below the dropout rate, so a seed fixes a document's
+segmentation, and every occurrence of a word is drawn anew. Rate 0 gives the library's own segmentation. Signs outside the vocabulary
+become byte pieces. A literal U+2581, which the library reads as a space, becomes byte pieces as well, so that decoding gives every
+text back.
 
-Chunks are handled as arrays: all chunks of like length take an agenda step at once, and a worker keeps the ids of chunks it has
-seen for each variant.
+Chunks are handled as arrays: all chunks of like length take an agenda step at once. Nothing is kept from chunk to chunk.
 """
 
 from __future__ import annotations
@@ -22,14 +22,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from specgraph.llm.arrays import IdTable, from_texts, mix64, row_chunks, text_buffers
-from specgraph.llm.pieces import IdCache, PieceHashes, code_points, row_bounds
+from specgraph.llm.pieces import Pieces, code_points, row_bounds
 from specgraph.llm.tokenfile import list_array
 
 U64 = np.uint64
 MARK = "▁"
-DROPOUT, SEED, VARIANTS = 0.1, 20, 4
+DROPOUT, SEED = 0.1, 20
 _NONE = np.int32(1 << 30)
-_LONG = 48
+_LONG = 32
 
 
 class MergeModel:
@@ -65,7 +65,6 @@ class MergeModel:
         for value, i in enumerate(self.byte_ids.tolist()):
             texts[i] = bytes([value])
         self.bytes, self.offs = from_texts(texts)
-        self.chunks = IdCache()
 
     # --- one agenda step for many chunks -------------------------------------------------------------------------------------
 
@@ -75,9 +74,7 @@ class MergeModel:
         out = np.full(left.shape, -1, np.int32)
         got = self.table.get(left[ok].astype(U64) << U64(32) | right[ok].astype(U64))
         if rate > 0:
-            with np.errstate(over="ignore"):
-                drawn = mix64(key[ok] ^ mix64(place[ok].astype(U64) * U64(0x100000001) + got.astype(np.int64).view(U64) * U64(0x9E3779B9)))
-            got[(drawn >> U64(11)).astype(np.float64) * 2.0**-53 < rate] = -1
+            got[skipped(key[ok], place[ok], got, rate)] = -1
         out[ok] = got
         return out
 
@@ -148,8 +145,8 @@ class MergeModel:
         ids[ids < 0] = self.byte_ids[np.frombuffer(b"".join(raw), np.uint8)]
         return ids, lens
 
-    def encode(self, texts: list[str], variants: np.ndarray, rate: float = DROPOUT, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts on end and n + 1 offsets; ``variants`` has a number for each text. An empty text has no ids."""
+    def encode(self, texts: list[str], documents: np.ndarray, rate: float = DROPOUT, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts on end and n + 1 offsets; ``documents`` has a number for each text that its draws depend on. An empty text has no ids."""
         _, cps, offs = code_points([" " + t if t else "" for t in texts])
         if not len(cps):
             return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
@@ -158,42 +155,40 @@ class MergeModel:
         start[offs] = True
         start = start[:-1]
         start[1:] |= space[1:] & ~space[:-1] | alone[1:] | alone[:-1]
-        chunks = PieceHashes(cps, offs, np.flatnonzero(start))
-        variant = np.repeat(variants.astype(U64), np.diff(chunks.bounds))
+        chunks = Pieces(offs, np.flatnonzero(start))
+        counts = np.diff(chunks.bounds)
+        number = np.arange(len(chunks.starts)) - np.repeat(chunks.bounds[:-1], counts)
         with np.errstate(over="ignore"):
-            keys = mix64(chunks.hashes + mix64(variant * U64(0x632BE59BD9B4E019) + U64(seed) * U64(0xD1342543DE82EF95) + U64(1))) if rate > 0 else chunks.hashes
-
-        def make(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            first, size = chunks.starts[at], chunks.ends[at] - chunks.starts[at]
-            parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # chunk, symbol, the place of its first sign
-            lo = 0
-            for hi in (4, 8, 12, 16, 24, _LONG):
-                own = np.flatnonzero((size > lo) & (size <= hi))
-                lo = hi
-                for k in range(0, len(own), 1 << 15):
-                    some = own[k : k + (1 << 15)]
-                    cols = np.arange(hi)
-                    inside = cols < size[some][:, None]
-                    where = first[some][:, None] + np.minimum(cols, size[some][:, None] - 1)
-                    sym = np.where(inside, self.symbol[cps[where]], np.int32(-2))
-                    merged = self._merge_many(sym, keys[at[some]], rate)
-                    row, col = np.nonzero(merged > -2)
-                    parts.append((some[row], merged[row, col], first[some[row]] + col))
-            for i in np.flatnonzero(size > _LONG).tolist():
-                merged = self._merge_long(self.symbol[cps[first[i] : first[i] + size[i]]], keys[at[i]], rate)
-                parts.append((np.full(len(merged), i), merged, first[i] + np.arange(len(merged))))
-            owner, sym, place = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.argsort(owner, kind="stable")
-            owner, sym, place = owner[order], sym[order], place[order]
-            # a sign outside the vocabulary is a symbol of its own: its place follows from the lengths of the symbols before it
-            width = np.where(sym >= 0, self.signs()[np.maximum(sym, 0)], 1)
-            begin = np.cumsum(width) - width
-            head = np.searchsorted(owner, owner)
-            ids, lens = self._expand(sym, first[owner] + begin - begin[head], cps)
-            return ids, np.bincount(owner, weights=lens, minlength=len(at)).astype(np.int64)
-
-        ids, lens = self.chunks.encode(keys ^ U64(int(rate * (1 << 20))), make)
-        return ids, row_bounds(chunks.bounds, lens)
+            document = mix64(documents.astype(np.int64).view(U64) + U64(seed) * U64(0xD1342543DE82EF95) + U64(1))
+            keys = mix64(np.repeat(document, counts) + number.astype(U64) * U64(0x632BE59BD9B4E019))
+
+        first, size = chunks.starts, chunks.ends - chunks.starts
+        parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # chunk, symbol, the place of its first sign
+        lo = 0
+        for hi in (2, 4, 6, 8, 10, 12, 16, 24, _LONG):
+            own = np.flatnonzero((size > lo) & (size <= hi))
+            lo = hi
+            for k in range(0, len(own), 1 << 14):
+                some = own[k : k + (1 << 14)]
+                cols = np.arange(hi)
+                inside = cols < size[some][:, None]
+                where = first[some][:, None] + np.minimum(cols, size[some][:, None] - 1)
+                sym = np.where(inside, self.symbol[cps[where]], np.int32(-2))
+                merged = self._merge_many(sym, keys[some], rate)
+                row, col = np.nonzero(merged > -2)
+                parts.append((some[row], merged[row, col], first[some[row]] + col))
+        for i in np.flatnonzero(size > _LONG).tolist():
+            merged = self._merge_long(self.symbol[cps[first[i] : first[i] + size[i]]], keys[i], rate)
+            parts.append((np.full(len(merged), i), merged, first[i] + np.arange(len(merged))))
+        owner, sym, place = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(owner, kind="stable")
+        owner, sym, place = owner[order], sym[order], place[order]
+        # a sign outside the vocabulary is a symbol of its own: its place follows from the lengths of the symbols before it
+        width = np.where(sym >= 0, self.signs()[np.maximum(sym, 0)], 1)
+        begin = np.cumsum(width) - width
+        head = np.searchsorted(owner, owner)
+        ids, lens = self._expand(sym, first[owner] + begin - begin[head], cps)
+        return ids, row_bounds(chunks.bounds, np.bincount(owner, weights=lens, minlength=len(size)).astype(np.int64))
 
     @cache
     def signs(self) -> np.ndarray:
@@ -214,27 +209,34 @@ class MergeModel:
         return raw[keep], offs - np.append(0, np.cumsum(np.diff(offs) > 0))
 
 
+def skipped(key: np.ndarray, place: np.ndarray, piece: np.ndarray, rate: float) -> np.ndarray:
+    """Whether a candidate is skipped: its draw, by the chunk's key, its place in the chunk and the merged piece, is below the rate."""
+    with np.errstate(over="ignore"):
+        drawn = mix64(key ^ (place.astype(np.int64).view(U64) * U64(0x9E3779B97F4A7C15) + piece.astype(np.int64).view(U64) * U64(0xC2B2AE3D27D4EB4F)))
+    return (drawn >> U64(11)).astype(np.float64) * 2.0**-53 < rate
+
+
 @cache
 def model(path: str) -> MergeModel:
-    """One for each worker, with its cache."""
+    """One for each worker."""
     return MergeModel(path)
 
 
-def encode_documents(docs: DataFrame, model_path: str, rate: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS, key: str = "doc_id", text: str = "text") -> DataFrame:
+def encode_documents(docs: DataFrame, model_path: str, rate: float = DROPOUT, seed: int = SEED, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_chars, n_pieces, ids, lossless) of every row; lossless says that decoding the ids gave the text back.
 
-    A row's variant is a hash of its key modulo ``variants``. A null or empty text has no ids. Repeated rows and null keys are kept.
-    Other columns are not read. An empty table gives an empty table.
+    Draws depend on the seed, a hash of the row's key and the place in the text, so rows that repeat both key and text are segmented
+    alike. A null or empty text has no ids. Repeated rows and null keys are kept. Other columns are not read. An empty table gives an empty table.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merges = model(model_path)
         for batch in batches:
             _, offs = text_buffers(batch.column(1))
-            variant = batch.column(2).to_numpy(zero_copy_only=False)
-            for lo, hi in row_chunks(offs, 1 << 20):
+            document = batch.column(2).to_numpy(zero_copy_only=False)
+            for lo, hi in row_chunks(offs, 512 << 10):
                 texts = [t or "" for t in batch.column(1).slice(lo, hi - lo).to_pylist()]
-                ids, bounds = merges.encode(texts, variant[lo:hi], rate, seed)
+                ids, bounds = merges.encode(texts, document[lo:hi], rate, seed)
                 raw, ends = merges.decode(ids, bounds)
                 want, own = from_texts([t.encode() for t in texts])
                 same = np.array_equal(raw, want) and np.array_equal(ends, own)
@@ -243,7 +245,7 @@ def encode_documents(docs: DataFrame, model_path: str, rate: float = DROPOUT, se
                 yield pa.RecordBatch.from_arrays(columns, names=["key", "n_chars", "n_pieces", "ids", "lossless"])
 
     kind = docs.schema[key].dataType.simpleString()
-    rows = docs.select(F.col(key), F.col(text), F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(variants)).alias("variant"))
+    rows = docs.select(F.col(key), F.col(text), F.xxhash64(F.col(key)).alias("document"))
     return rows.mapInArrow(run, f"key {kind}, n_chars long, n_pieces long, ids array<int>, lossless boolean").withColumnRenamed("key", key)
 
 

@@ -187,15 +187,45 @@ def test_dropout_follows_the_agenda(rate):
         assert model._merge_long(sym[0], np.uint64(key), rate).tolist() == want
 
 
-def test_dropout_varies_with_seed_and_variant_and_decodes():
+def test_dropout_varies_with_seed_document_and_place_and_decodes():
     model, texts = subword.model(PIECES), random_texts(300)
     seen = set()
-    for seed, variant in ((1, 0), (2, 0), (1, 1)):
-        ids, bounds = model.encode(texts, np.full(len(texts), variant), 0.3, seed)
+    for seed, document in ((1, 0), (2, 0), (1, 1)):
+        ids, bounds = model.encode(texts, np.full(len(texts), document), 0.3, seed)
         raw, offs = model.decode(ids, bounds)
         assert [raw[a:b].tobytes().decode() for a, b in zip(offs, offs[1:], strict=False)] == texts
         seen.add(ids.tobytes())
+        again = model.encode(texts, np.full(len(texts), document), 0.3, seed)
+        assert again[0].tobytes() == ids.tobytes() and (again[1] == bounds).all()
     assert len(seen) == 3
+    ids, _ = model.encode([" ".join(["international"] * 400)], np.array([5]), 0.3)
+    pieces_of, one = set(), []
+    for i in ids.tolist():
+        if model.bytes[model.offs[i]] == 32 and one:
+            pieces_of.add(tuple(one))
+            one = []
+        one.append(i)
+    assert len(pieces_of) > 20
+
+
+@pytest.mark.parametrize("rate", [0.1, 0.5])
+def test_whole_texts_follow_the_agenda_chunk_by_chunk(rate):
+    """Each chunk by itself, one merge at a time, with the same keys."""
+    model = subword.MergeModel(PIECES)
+    texts = ["the international cat and the cat and the international hat", "other words and other words of the cat", "x" * 50 + " and the end"]
+    documents = np.array([3, 4, -9])
+    ids, bounds = model.encode(texts, documents, rate, 7)
+    keys = []
+    for t, d, a, b in zip(texts, documents.tolist(), bounds, bounds[1:], strict=False):
+        want = []
+        with np.errstate(over="ignore"):
+            document = mix64(np.array([d], np.int64).view(np.uint64) + np.uint64(7) * np.uint64(0xD1342543DE82EF95) + np.uint64(1))
+            for k, chunk in enumerate(re.findall(" [^ ]+", " " + t)):
+                key = mix64(document + np.uint64(k) * np.uint64(0x632BE59BD9B4E019))[0]
+                want += agenda(model, chunk, key, rate)
+                keys.append(key)
+        assert ids[a:b].tolist() == want
+    assert len(set(keys)) == len(keys)
 
 
 def test_encode_and_decode_awkward_rows(awkward):
