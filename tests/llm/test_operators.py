@@ -422,7 +422,7 @@ def brute_bits(counts, text):
 def test_code_lengths_equal_the_walk_over_contexts():
     counts = [langid.count_contexts(["the cat sat", "on the mat"]), langid.count_contexts(["der hund und die katze"])]
     model = langid.LanguageModel(["a", "b"], counts)
-    texts = ["the hat", "Die Maus", "zz9 ü", ""]
+    texts = ["the hat", "Die Maus", "zz9 ü", "", "the the the cat sat on the mat"]
     got = model.code_lengths(texts)
     assert got == pytest.approx(np.array([[brute_bits(c, t) for c in counts] for t in texts]), rel=1e-5, abs=1e-4)
 
@@ -432,6 +432,14 @@ def test_language_of_held_out_documents(documents):
     assert np.mean([r["lang"] == r["lang_pred"] for r in rows]) > 0.97
 
 
+def test_texts_that_no_tree_codes_are_rejected_and_lang_is_the_one_named(spark):
+    rows = [(i, "the cat sat on the mat and the dog ate the hat", None if i == 3 else "en") for i in range(8)] + [(20, "der hund und die katze liegen auf der strasse", "de"), (21, "qx7#zkv%w9@jq!x0^", "en"), (22, "12 !!", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(docs.where("doc_id < 21"))
+    kept = {r["doc_id"]: r["lang"] for r in langid.keep_identified(docs, model).collect()}
+    assert kept == {**dict.fromkeys(range(8), "en"), 20: "de"}
+
+
 def test_language_of_awkward_rows(awkward):
     rows = langid.identify_documents(awkward).collect()
     by = {r["doc_id"]: r for r in rows}

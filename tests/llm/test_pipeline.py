@@ -19,7 +19,8 @@ def test_stages_and_run(spark, tiny):
         assert kept.columns == columns
     rows = {r["doc_id"]: r["text"] for r in docs.collect()}
     model = langid.train(docs)
-    alive = [i for i, x in zip(rows, model.predict(list(rows.values()))[0], strict=True) if x != "und"]
+    named, _, rates = model.predict(list(rows.values()))
+    alive = [i for i, x, rate in zip(rows, named, rates, strict=True) if x != "und" and rate < 8]
     fps = np.array([simhash.simhash(rows[i]) for i in alive], dtype=np.uint64)
     ids = np.array(alive)
     near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 3
