@@ -1,6 +1,6 @@
 """Corpus pipeline: stages that each take and return documents, written as Parquet and read again between stages.
 
-Language identification drops documents it cannot name a language for; SimHash keeps one document of each group of near copies;
+Language identification names a document's language and drops those it can name none for; SimHash keeps one document of each group of near copies;
 decontamination drops documents that overlap a benchmark item; personal data is masked; the last stage encodes what is left.
 """
 
@@ -19,7 +19,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents whose language is identified; null, empty and letterless texts go. Trees are trained on these documents."""
+    """Keeps documents whose language is identified, and names it in ``lang``; null, empty and letterless texts and those that no tree codes shorter than plain bytes go. Trees are trained on these documents."""
     return langid.keep_identified(docs, langid.train(docs))
 
 
