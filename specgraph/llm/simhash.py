@@ -1,17 +1,17 @@
 """SimHash near-duplicates: ball hashing that meets in the middle.
 
 Two 64-bit fingerprints that differ in three bits or fewer have a value between them, one flip from one of them and two from the
-other. So each fingerprint emits the variants in its own half of the way, the variants are shuffled, and fingerprints that meet at
-a variant are linked. Parity says which half is whose: fingerprints at an odd distance have different parities, so those with an
-even number of ones emit their two-flip variants and those with an odd number the one-flip variants, and at distance two both
-emit one flip. Of any three bits two lie in the same 32-bit half, so two-flip variants within a half are enough.
-
-All members of a variant's bucket that lie one flip from it or less are within three bits of every other member; each member is
-linked to the least such one. A bucket has at most 1 + 64 + 992 distinct fingerprints, whatever the input holds, and its links are
-as many as its members, never all its pairs.
-
-Fingerprints that cannot have a partner are left out before the variants are made: three differing bits touch at most three of
-seven blocks, so partners agree on some four whole blocks (35 exact keys of 36 or 37 bits). Equal fingerprints are merged first.
+other. So every distinct fingerprint emits the variants in its own half of the way, the variants are shuffled, and fingerprints that
+meet at a variant are linked. Parity says which half is whose: fingerprints at an odd distance have different parities, so those with
+an even number of ones emit their two-flip variants and those with an odd number the one-flip variants, and at distance two both
+emit one flip. Of any three bits two lie in the same 32-bit half, so two-flip variants within a half are enough: 1,057 or 65 variants
+a fingerprint.
+
+Variants travel in packets: for each part of the variants' range, the fingerprints and the numbers of their flips. A part is one row
+group of one task; it rebuilds its variants and sorts them, and fingerprints that share one are compared. All members of a variant's
+bucket that lie one flip from it or less are within three bits of every other member; each member is linked to the least such one,
+once the bits in which the two differ are counted. A bucket has at most 1 + 64 + 992 distinct fingerprints, whatever the input holds,
+and its links are as many as its members, never all its pairs. Equal fingerprints are merged first.
 """
 
 from __future__ import annotations
@@ -59,60 +59,104 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words
     return docs.select(F.col(key), F.col(text)).mapInArrow(run, f"key {kind}, fp long")
 
 
-def _block_masks(blocks: int = 7, touched: int = RADIUS) -> np.ndarray:
-    """A mask for each choice of the blocks that stay equal."""
-    cuts = [64 * i // blocks for i in range(blocks + 1)]
-    own = [sum(1 << b for b in range(lo, hi)) for lo, hi in zip(cuts, cuts[1:], strict=False)]
-    return np.array([sum(own[i] for i in keep) for keep in combinations(range(blocks), blocks - touched)], dtype=np.uint64)
-
-
-MASKS = _block_masks()
 ONE = np.uint64(1) << np.arange(64, dtype=np.uint64)
 TWO = np.array([(1 << i) | (1 << j) for half in (0, 32) for i, j in combinations(range(half, half + 32), 2)], dtype=np.uint64)
 
 
-def _longs(values: np.ndarray) -> pa.Array:
-    return pa.array(np.ascontiguousarray(values).reshape(-1).view(np.int64))
-
-
-def _block_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The exact keys of each fingerprint; the choice of blocks is mixed into the key."""
-    salt = mix64(np.arange(1, len(MASKS) + 1, dtype=np.uint64))
-    for batch in batches:
-        all_fps = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-        for lo in range(0, len(all_fps), 2048):
-            fps = all_fps[lo : lo + 2048]
-            keys = mix64((fps[:, None] & MASKS) ^ salt)
-            yield pa.RecordBatch.from_arrays([_longs(keys), _longs(np.repeat(fps, len(MASKS)))], names=["k", "fp"])
+#: The flips by number: none, one (64), two within a half (992). Even fingerprints emit all, odd ones those of up to one flip.
+FLIPS = np.concatenate([np.zeros(1, np.uint64), ONE, TWO])
+ODD = 1 + len(ONE)
+#: Variants that a part of the range is meant to hold, and fingerprints whose packets are made together.
+IN_PART, TOGETHER = 1 << 20, 4096
+_PACKED = np.dtype([("fp", "<u8"), ("flip", "<u2")])
 
 
-def ball(fps: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(variants, fingerprints, flips) that fingerprints emit."""
+def ball(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(variants, fingerprints, numbers of flips) that fingerprints emit."""
     odd = np.bitwise_count(fps) & 1 == 1
-    even = fps[~odd]
-    for own, flips, n in ((even, np.zeros(1, np.uint64), 0), (fps, ONE, 1), (even, TWO, 2)):
-        yield (own[:, None] ^ flips).reshape(-1), np.repeat(own, len(flips)), np.full(len(own) * len(flips), n, np.int8)
+    out = []
+    for own, n in ((fps[odd], ODD), (fps[~odd], len(FLIPS))):
+        flips = np.arange(n, dtype=np.uint16)
+        if n == ODD:
+            flips = flips[1:]  # none of its partners' variants is an odd fingerprint itself
+        out.append(((own[:, None] ^ FLIPS[flips]).reshape(-1), np.repeat(own, len(flips)), np.tile(flips, len(own))))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))  # type: ignore[return-value]
 
 
-def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _packets(parts: int):  # noqa: ANN202
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            every = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            for lo in range(0, len(every), TOGETHER):
+                variants, fps, flips = ball(every[lo : lo + TOGETHER])
+                part = ((mix64(variants) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32)
+                order = np.argsort(part, kind="stable")
+                packed = np.empty(len(order), _PACKED)
+                packed["fp"], packed["flip"] = fps[order], flips[order]
+                own, first = np.unique(part[order], return_index=True)
+                raw, offs = pa.py_buffer(packed.tobytes()), np.append(first, len(order)) * _PACKED.itemsize
+                rows = pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(offs.astype(np.int32).tobytes()), raw])
+                yield pa.RecordBatch.from_arrays([pa.array(own), rows], names=["part", "packet"])
+
+    return run
+
+
+def links_of(packets: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(fingerprint, hub) links of the fingerprints that meet at a variant of one part and differ in ``RADIUS`` bits at most, each once."""
+    packed = np.frombuffer(b"".join(packets), _PACKED)
+    fps, flips = packed["fp"], packed["flip"]
+    variants = fps ^ FLIPS[flips]
+    order = np.argsort(variants)
+    variants = variants[order]
+    same = np.append(variants[1:] == variants[:-1], False)
+    meets = same.copy()
+    meets[1:] |= same[:-1]
+    at = order[meets]
+    variants, fps, near = variants[meets], fps[at], flips[at] < ODD
+    if not len(at):
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    group = np.cumsum(np.append(True, variants[1:] != variants[:-1])) - 1
+    first = np.lexsort((fps, ~near, group))  # in each group the least fingerprint that is one flip away or less comes first
+    heads = first[np.flatnonzero(np.append(True, group[first][1:] != group[first][:-1]))]
+    hub = fps[heads][group]
+    ok = near[heads][group] & (fps != hub)
+    ok &= np.bitwise_count(fps ^ hub) <= RADIUS
+    pairs = np.unique(np.stack([fps[ok], hub[ok]], axis=1), axis=0)
+    return pairs[:, 0], pairs[:, 1]
+
+
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packets come by part."""
+    part, held = None, []
     for batch in batches:
-        all_fps = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-        for lo in range(0, len(all_fps), 64):
-            for variant, fp, n in ball(all_fps[lo : lo + 64]):
-                if len(fp):
-                    yield pa.RecordBatch.from_arrays([_longs(variant), _longs(fp), pa.array(n < 2)], names=["v", "fp", "hub"])
+        for own, packet in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if own != part and held:
+                yield _link_batch(held)
+                held = []
+            part = own
+            held.append(packet)
+    if held:
+        yield _link_batch(held)
+
+
+def _link_batch(packets: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x).view(np.int64)) for x in links_of(packets)], names=["fp", "hub"])
 
 
 def near_links(distinct_fps: DataFrame, fp: str = "fp") -> DataFrame:
-    """(fp, hub): links between distinct fingerprints at most three bits apart whose components are those of all such pairs."""
-    keys = distinct_fps.select(fp).mapInArrow(_block_keys, "k long, fp long")
-    met = keys.groupBy("k").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi").select("k")
-    able = checkpointed(keys.join(met, "k", "left_semi").select("fp").distinct())
-    # few bytes, but hundreds of rows come from each: an even deal over all tasks, whatever their bytes suggest
-    dealt = able.repartition(int(able.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
-    meets = dealt.mapInArrow(_variants, "v long, fp long, hub boolean").groupBy("v")
-    buckets = meets.agg(F.min(F.when(F.col("hub"), F.col("fp"))).alias("hub"), F.collect_list("fp").alias("fps")).where("hub is not null and size(fps) > 1")
-    return buckets.select(F.explode("fps").alias("fp"), "hub").where("fp <> hub").distinct()
+    """(fp, hub): links between distinct fingerprints at most three bits apart whose components are those of all such pairs.
+
+    ``distinct_fps`` is read twice, so it should be a written table.
+    """
+    spark = distinct_fps.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = distinct_fps.count()
+    parts = min(1 << 20, max(8 * tasks, -(-n * 561 // IN_PART)))
+    # few bytes, but hundreds of variants come from each: an even deal over all tasks, whatever their bytes suggest
+    dealt = distinct_fps.select(fp).repartition(max(tasks, -(-n // TOGETHER)), fp)
+    packets = dealt.mapInArrow(_packets(parts), "part int, packet binary")
+    by_part = packets.repartition(max(tasks, parts // 4), "part").sortWithinPartitions("part")
+    return by_part.mapInArrow(_linked, "fp long, hub long").distinct()
 
 
 def near_components(fps: DataFrame) -> DataFrame:
