@@ -1,10 +1,12 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests.
 
-A digest stands for a paragraph (a line), or for each run of ``RUN`` words of a longer one. A sketch has cells of (count, sum of
-digests, sum of digest checks); a digest is added to one cell in each of three parts. Subtracting two sketches cancels what the
-texts share, and peeling cells that hold one digest recovers the digests that only one of them has. The stored sketch is small
-(``CELLS`` cells in each part); where its difference does not peel, both sides are sketched again four times as large, as often
-as needed, from the digests. Likeness is the Jaccard index of the digest sets that the recovered difference implies.
+A digest stands for a paragraph: a line, or, of a longer line, the words from one content-given cut to the next. A line is cut before
+a word if a hash of that word and the one before says so, once in ``RUN`` times, so an insertion changes the paragraph it falls in and
+leaves the others as they are. A sketch has cells of (count, sum of digests, sum of digest checks); a digest is added to one cell in
+each of three parts. Subtracting two sketches cancels what the texts share, and peeling cells that hold one digest recovers the digests
+that only one of them has. The stored sketch is small (``CELLS`` cells in each part) and is tried first; where the difference does not
+peel, both sides are sketched again four times as large, as often as needed, from the digests. Likeness is the Jaccard index of the
+digest sets that the recovered difference implies.
 """
 
 from __future__ import annotations
@@ -23,10 +25,8 @@ from specgraph.llm.arrays import BYTE_CODES, NON_SPACE, Words, from_texts, mix64
 RUN = 4
 CELLS = 8
 GROWTH = 4
-#: Sizes tried; the last has 8 * 4 ** 12 cells a part. Beyond it digest sets are compared as they are.
-LEVELS = 13
 U64 = np.uint64
-_CHECK = U64(0xC2B2AE3D27D4EB4F)
+_CHECK, _PAIR = U64(0xC2B2AE3D27D4EB4F), U64(0x9E3779B97F4A7C15)
 
 
 class DigestSets:
@@ -41,11 +41,11 @@ class DigestSets:
         line = lines[w.starts]
         new = np.ones(n, dtype=bool)
         new[1:] = (line[1:] != line[:-1]) | (rows[1:] != rows[:-1])
-        first = np.flatnonzero(new)
-        place = (np.arange(n) - np.repeat(first, np.diff(np.append(first, n)))) % run
         with np.errstate(over="ignore"):
-            coded = w.hashes * (mix64(np.arange(run, dtype=U64) + U64(77)) | U64(1))[place]
-            at = np.flatnonzero(place == 0)
+            new[1:] |= mix64(w.hashes[:-1] * _PAIR + w.hashes[1:]) % U64(run) == 0
+            at = np.flatnonzero(new)
+            place = np.arange(n) - np.repeat(at, np.diff(np.append(at, n)))
+            coded = w.hashes * (mix64(place.astype(U64) + U64(77)) | U64(1))
             keys = mix64(np.add.reduceat(coded, at)) if n else np.zeros(0, U64)
         rows = rows[at] if n else np.zeros(0, np.int64)
         order = np.argsort(keys, kind="stable")
@@ -116,6 +116,15 @@ class Sketches:
         parts = [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64)]
         return *parts, ~left
 
+    def chosen(self, which: slice) -> Sketches:
+        """The sketches of some of the texts."""
+        rows = range(self.n)[which]
+        out = Sketches(0, self.level)
+        out.n = len(rows)
+        size = 3 * self.part
+        out.count, out.key, out.check = (x[rows.start * size : rows.stop * size] for x in (self.count, self.key, self.check))
+        return out
+
     def texts(self, counts: np.ndarray) -> list[str]:
         """Each sketch as text: number of digests, then cells as hex (16-bit count, 64-bit sum, 32-bit check)."""
         cell = np.zeros((self.n, 3 * self.part), dtype=np.dtype([("c", ">u2"), ("k", ">u8"), ("h", ">u4")]))
@@ -130,25 +139,21 @@ def sketch(sets: DigestSets, which: np.ndarray, level: int = 0) -> Sketches:
     return out
 
 
-def differences(a: DigestSets, ia: np.ndarray, b: DigestSets, ib: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """How many digests only text ia[i] of ``a`` has and only ib[i] of ``b``, by subtraction and peeling; and how many pairs were left to plain comparison."""
-    only_a, only_b, todo = np.zeros(len(ia), np.int64), np.zeros(len(ia), np.int64), np.arange(len(ia))
-    for level in range(LEVELS):
-        if not len(todo):
-            return only_a, only_b, 0
-        _, rows, sign, whole = sketch(a, ia[todo], level).minus(sketch(b, ib[todo], level)).peel()
+def differences(a: DigestSets, ia: np.ndarray, b: DigestSets, ib: np.ndarray, first: tuple[Sketches, Sketches] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """How many digests only text ia[i] of ``a`` has and only ib[i] of ``b``, by subtraction and peeling; ``first`` has the stored sketches of both."""
+    only_a, only_b, todo, level = np.zeros(len(ia), np.int64), np.zeros(len(ia), np.int64), np.arange(len(ia)), 0
+    while len(todo):
+        x, y = first if first is not None and not level else (sketch(a, ia[todo], level), sketch(b, ib[todo], level))
+        _, rows, sign, whole = x.minus(y).peel()
         plus, minus = np.bincount(rows[sign > 0], minlength=len(todo)), np.bincount(rows[sign < 0], minlength=len(todo))
         only_a[todo[whole]], only_b[todo[whole]] = plus[whole], minus[whole]
-        todo = todo[~whole]
-    for i in todo:
-        x, y = (s.keys[s.bounds[j] : s.bounds[j + 1]] for s, j in ((a, ia[i]), (b, ib[i])))
-        only_a[i], only_b[i] = len(np.setdiff1d(x, y)), len(np.setdiff1d(y, x))
-    return only_a, only_b, len(todo)
+        todo, level = todo[~whole], level + 1
+    return only_a, only_b
 
 
-def likeness(a: DigestSets, ia: np.ndarray, b: DigestSets, ib: np.ndarray) -> np.ndarray:
+def likeness(a: DigestSets, ia: np.ndarray, b: DigestSets, ib: np.ndarray, first: tuple[Sketches, Sketches] | None = None) -> np.ndarray:
     """Jaccard index of two digest sets; 1 if both are empty."""
-    only_a, only_b, _ = differences(a, ia, b, ib)
+    only_a, only_b = differences(a, ia, b, ib, first)
     both = a.counts[ia] - only_a
     union = both + only_a + only_b
     return np.where(union > 0, both / np.maximum(union, 1), 1.0)
@@ -168,10 +173,12 @@ def _compare(ids: list, texts: list[str], following: str) -> pa.RecordBatch:
     changed = [edited(t, x).encode() for t, x in zip(texts, [*texts[1:], following], strict=True)]
     raw = [t.encode() for t in [*texts, following]]
     own, edits, every = DigestSets(raw), DigestSets(changed), np.arange(len(texts))
+    stored, of_edits = sketch(own, np.arange(len(raw))), sketch(edits, every)
+    here, following_ones = stored.chosen(slice(0, -1)), stored.chosen(slice(1, None))
     values = [
         pa.array(ids, pa.int64()), pa.array([len(t) for t in texts], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in changed]),
-        pa.array(sketch(own, every).texts(own.counts[:-1])), pa.array(sketch(edits, every).texts(edits.counts)),
-        pa.array(likeness(own, every, edits, every)), pa.array(likeness(own, every, own, every + 1)), pa.array(own.counts[:-1]),
+        pa.array(here.texts(own.counts[:-1])), pa.array(of_edits.texts(edits.counts)),
+        pa.array(likeness(own, every, edits, every, (here, of_edits))), pa.array(likeness(own, every, own, every + 1, (here, following_ones))), pa.array(own.counts[:-1]),
     ]
     return pa.RecordBatch.from_arrays(values, names=[x.split()[0] for x in SCHEMA.split(", ")])
 
@@ -200,35 +207,47 @@ ROWS_IN_BUCKET, MOST_BUCKETS = 200, 10_000
 
 
 def with_following(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(bucket, guest, key, text): buckets are ranges of the key, and each has as its guest the first row of the next one.
+    """(bucket, guest, key, h, text): buckets are ranges of the key, and each has as its guest the first row of the next one.
 
-    The last bucket's guest is the first row of all. Order is by key, then text, nulls first.
+    The last bucket's guest is the first row of all. Order is by key, nulls first, then a hash of the text, then the text. The rows of
+    a key that a thousandth of the rows have, null among them, are cut into ranges of that hash.
     """
     docs = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     parts = min(MOST_BUCKETS, docs.count() // ROWS_IN_BUCKET)
-    cuts = np.array(sorted(set(docs.approxQuantile("key", [i / parts for i in range(1, parts)], 0.25 / parts))) if parts > 1 else [], dtype=np.int64)
-
-    @F.pandas_udf("int")
-    def bucket_of(keys: pd.Series) -> pd.Series:
-        found = np.searchsorted(cuts, keys.fillna(0).to_numpy().astype(np.int64), "right")
-        return pd.Series(np.where(keys.isna(), -1, found).astype(np.int32))
-
-    rows = docs.withColumn("bucket", bucket_of("key"))
-    least = rows.select("bucket", "key").groupBy("bucket").agg(F.min("key").alias("key")).orderBy("bucket").collect()
-    seats = [(least[i - 1].bucket, r.bucket, r.key) for i, r in enumerate(least)]
-    seats = F.broadcast(docs.sparkSession.createDataFrame(seats, "seat int, own int, least long"))
-    firsts = rows.join(seats, (F.col("bucket") == F.col("own")) & F.col("key").eqNullSafe(F.col("least")))
-    firsts = firsts.groupBy("seat", "least").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
-    guests = firsts.select(F.col("seat").alias("bucket"), F.lit(1).alias("guest"), F.col("least").alias("key"), "text")
-    return rows.select("bucket", F.lit(0).alias("guest"), "key", "text").unionByName(guests)
+    cuts = docs.approxQuantile("key", [i / parts for i in range(1, parts)], 0.25 / parts) if parts > 1 else []
+    common = {r["key"]: r["n"] for r in docs.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") * 1000 > parts * ROWS_IN_BUCKET).where(F.col("n") > ROWS_IN_BUCKET).collect()}
+    hot = np.array(sorted(k for k in common if k is not None), dtype=np.int64)
+    pieces = np.array([min(MOST_BUCKETS, common[k] // ROWS_IN_BUCKET) for k in hot.tolist()], dtype=np.int64)
+    of_null = max(1, min(MOST_BUCKETS, common.get(None, 0) // ROWS_IN_BUCKET))
+    cuts = np.array(sorted({*map(int, cuts), *hot.tolist(), *(hot + 1).tolist()}), dtype=np.int64)
+
+    @F.pandas_udf("long")
+    def bucket_of(keys: pd.Series, h: pd.Series) -> pd.Series:
+        none, known = keys.isna().to_numpy(), keys.fillna(0).to_numpy().astype(np.int64)
+        bucket = np.where(none, 0, np.searchsorted(cuts, known, "right") + 1)
+        n = np.where(none, of_null, 1)
+        if len(hot):
+            at = np.minimum(np.searchsorted(hot, known), len(hot) - 1)
+            n = np.where(~none & (hot[at] == known), pieces[at], n)
+        share = (h.to_numpy().astype(np.int64).view(np.uint64) ^ np.uint64(1 << 63)) >> np.uint64(32)
+        return pd.Series(bucket * (1 << 20) + (share.astype(np.int64) * n >> 32))
+
+    rows = docs.withColumn("h", F.xxhash64("text")).withColumn("bucket", bucket_of("key", "h"))
+    least = rows.groupBy("bucket").agg(F.min(F.struct("key", "h")).alias("first")).orderBy("bucket").collect()
+    seats = [(least[i - 1].bucket, r.bucket, r.first.key, r.first.h) for i, r in enumerate(least)]
+    seats = F.broadcast(docs.sparkSession.createDataFrame(seats, "seat long, own long, least long, least_h long"))
+    firsts = rows.join(seats, (F.col("bucket") == F.col("own")) & F.col("key").eqNullSafe(F.col("least")) & (F.col("h") == F.col("least_h")))
+    firsts = firsts.groupBy("seat", "least", "least_h").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    guests = firsts.select(F.col("seat").alias("bucket"), F.lit(1).alias("guest"), F.col("least").alias("key"), F.col("least_h").alias("h"), "text")
+    return rows.select("bucket", F.lit(0).alias("guest"), "key", "h", "text").unionByName(guests)
 
 
 def fingerprint_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: its sketch, that of its edited text (see ``edited``), and its likeness to that and to the next document.
 
     The next document is the one with the next key; after the last comes the first, so a lone document follows itself. Null texts
-    count as empty; two empty texts have likeness 1. Rows with one key go by text. Null keys go first and stay null. Other columns
+    count as empty; two empty texts have likeness 1. Rows with one key go by a hash of their text. Null keys go first and stay null. Other columns
     are not read. An empty table gives an empty table.
     """
-    rows = with_following(docs, key, text).repartition("bucket").sortWithinPartitions("bucket", "guest", "key", "text")
+    rows = with_following(docs, key, text).repartition("bucket").sortWithinPartitions("bucket", "guest", "key", "h", "text")
     return rows.select("guest", "key", "text").mapInArrow(_stream, SCHEMA)

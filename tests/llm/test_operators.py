@@ -90,8 +90,17 @@ def test_components_follow_long_chains(spark):
 
 
 def digest_set(text):
-    """Runs of four words of each line, as text."""
-    return {tuple(w[k : k + 4]) for line in text.split("\n") if (w := re.split(r"[ \t\r\x0b\x0c]+", line.strip(" \t\r\x0b\x0c"))) != [""] for k in range(0, len(w), 4)}
+    """Paragraphs as tuples of words: each line cut before a word where the hash of it and the word before says so."""
+    out = set()
+    for line in text.split("\n"):
+        words = [w for w in re.split(r"[ \t\r\x0b\x0c]+", line) if w]
+        hashes = [int(Words(*from_texts([w.encode()]), fingerprint.NON_SPACE, fingerprint.BYTE_CODES).hashes[0]) for w in words]
+        lo = 0
+        for i in range(1, len(words) + 1):
+            if i == len(words) or int(mix64(np.array([(hashes[i - 1] * int(fingerprint._PAIR) + hashes[i]) % (1 << 64)], np.uint64))[0]) % fingerprint.RUN == 0:
+                out.add(tuple(words[lo:i]))
+                lo = i
+    return out
 
 
 def jaccard(a, b):
@@ -122,14 +131,29 @@ def test_sketch_recovers_the_digests_that_differ():
     assert set(keys.tolist()) == set(a.keys.tolist()) ^ set(b.keys.tolist())
 
 
-def test_a_failing_sketch_is_tried_larger_and_last_compared_plainly(monkeypatch):
-    a, b = (fingerprint.DigestSets(["\n".join(f"{p}{i}" for i in range(900)).encode()]) for p in "xy")
+def test_a_failing_sketch_is_tried_larger_until_it_peels():
+    a, b = (fingerprint.DigestSets(["\n".join(f"{p}{i}" for i in range(90_000)).encode()]) for p in "xy")
     zero = np.zeros(1, np.int64)
     assert not fingerprint.sketch(a, zero).minus(fingerprint.sketch(b, zero)).peel()[3].any()
-    assert [int(x[0]) for x in fingerprint.differences(a, zero, b, zero)[:2]] == [900, 900]
-    monkeypatch.setattr(fingerprint, "LEVELS", 1)
-    only_a, only_b, plain = fingerprint.differences(a, zero, b, zero)
-    assert (int(only_a[0]), int(only_b[0]), plain) == (900, 900, 1)
+    assert [int(x[0]) for x in fingerprint.differences(a, zero, b, zero)] == [90_000, 90_000]
+
+
+def test_a_word_put_in_front_changes_one_paragraph():
+    rng = random.Random(3)
+    text = " ".join(f"w{rng.randrange(500)}" for _ in range(2000))
+    sets, zero = fingerprint.DigestSets([text.encode(), ("and " + text).encode()]), np.zeros(1, np.int64)
+    assert fingerprint.likeness(sets, zero, sets, zero + 1)[0] > 0.99
+
+
+def test_hot_and_null_ids_are_cut_into_ranges(spark, monkeypatch):
+    monkeypatch.setattr(fingerprint, "ROWS_IN_BUCKET", 20)
+    docs = spark.createDataFrame([(None if i % 3 == 0 else 7 if i % 3 == 1 else i, f"text number {i} of them") for i in range(600)], "doc_id long, text string")
+    sizes = fingerprint.with_following(docs, "doc_id", "text").where("guest = 0").groupBy("bucket").count().collect()
+    assert max(r["count"] for r in sizes) < 60 and sum(r["count"] for r in sizes) == 600
+    order = sorted(docs.withColumn("h", F.xxhash64("text")).collect(), key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["h"]))
+    want = {r["text"]: jaccard(digest_set(r["text"]), digest_set(order[(i + 1) % 600]["text"])) for i, r in enumerate(order)}
+    got = fingerprint.fingerprint_documents(docs).select("near_next", "edited_sha256").collect()
+    assert sorted(r["near_next"] for r in got) == pytest.approx(sorted(want.values()))
 
 
 def test_fingerprints_of_awkward_rows(awkward):
