@@ -50,9 +50,10 @@ def statistics(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
     begins = np.append(0, ends[:-1])[: len(ends)]
     owner = np.searchsorted(offs, begins, "right") - 1
     total = np.zeros(len(words.hashes) + 1, np.uint64)
+    a, b = np.searchsorted(words.starts, begins), np.searchsorted(words.starts, ends)
+    place = np.arange(len(words.hashes)) - np.repeat(a, b - a)
     with np.errstate(over="ignore"):
-        np.cumsum(mix64(words.hashes + np.arange(len(words.hashes), dtype=np.uint64) * np.uint64(0)), out=total[1:])
-        a, b = np.searchsorted(words.starts, begins), np.searchsorted(words.starts, ends)
+        np.cumsum(mix64(words.hashes + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), out=total[1:])
         line_key = mix64(total[b] - total[a]) ^ mix64(owner.astype(np.uint64) + np.uint64(1))
     full = (b > a) & (lens[owner] > 0)
     _, where = np.unique(line_key[full], return_index=True)
@@ -126,7 +127,7 @@ def pooled(counts: np.ndarray, positives: np.ndarray) -> np.ndarray:
 
 
 def fit(rows: DataFrame, seed: int = SEED) -> QualityModel | None:
-    """A model from (key, x, y) rows, y 0 or 1; None if there are none. A quarter of the rows, by a hash of the key, calibrates."""
+    """A model from (key, x, y) rows, y 0 or 1, read three times, so they should be a written table; None if there are none. A quarter of the rows, by a hash of the key, calibrates."""
     dims = range(len(STATISTICS))
     row = rows.agg(F.count("*").alias("n"), *(f(F.col("x")[i]).alias(f"{f.__name__}{i}") for i in dims for f in (F.avg, F.stddev_pop))).first()
     if not row["n"]:
@@ -182,7 +183,7 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     stats = checkpointed(document_statistics(docs))
     given = labels.select(F.col("doc_id").alias("key"), F.col("quality").alias("y")).where(F.col("y").isNotNull() & (fold(F.col("doc_id"), FOLDS) != HELD_OUT))
-    model = fit(stats.join(given, "key"))
+    model = fit(checkpointed(stats.join(given, "key")))
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

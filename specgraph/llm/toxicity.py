@@ -5,8 +5,8 @@ two penalties: a ridge, and the square of what the score of a labelled sentence
 for another of its group. Group mentions then weigh alike, and a group that toxic texts mention more often does not raise the score
 of neutral mentions.
 
-Only features whose gradient stands out from chance enter the fit, strongest first, so it is a small dense Newton solve. Weights are
-kept by full 64-bit hashes: no two words share one.
+Only features whose gradient stands out from chance enter the fit, strongest first, until none is left that does, so it is a small
+dense Newton solve. Weights are kept by full 64-bit hashes: no two words share one.
 """
 
 from __future__ import annotations
@@ -26,8 +26,8 @@ U64 = np.uint64
 FOLDS, HELD_OUT, THRESHOLD = 4, 2, 0.3
 #: Most labelled texts of each label that are fitted, drawn by a hash of the key.
 SAMPLE = 3000
-#: Lengths in bytes of word beginnings. Texts that a feature must occur in; standard deviations its gradient must stand out by; most features.
-BEGINNINGS, LEAST, STANDS_OUT, MOST = (4, 5, 6), 4, 3.5, 400
+#: Lengths in bytes of word beginnings. Texts that a feature must occur in; standard deviations its gradient must stand out by.
+BEGINNINGS, LEAST, STANDS_OUT = (4, 5, 6), 4, 3.5
 RIDGE, SWAP_PENALTY = 0.15, 10.0
 #: Identity terms by group. A term is swapped for others of its group.
 IDENTITY = (
@@ -121,7 +121,7 @@ def fit(keys: np.ndarray, rows: np.ndarray, y: np.ndarray, prior: float, swapped
 
     order = np.argsort(at, kind="stable")
     rows_of, first = rows[order], np.append(0, np.cumsum(count))
-    for _ in range(40):
+    while True:
         if len(active) + 1 > x.shape[1]:
             x = np.hstack([x, *(column(j).reshape(-1, 1) for j in active[x.shape[1] - 1 :])])
             theta = np.append(theta, np.zeros(x.shape[1] - len(theta)))
@@ -149,7 +149,7 @@ def fit(keys: np.ndarray, rows: np.ndarray, y: np.ndarray, prior: float, swapped
         pull = np.where(usable, np.abs(pull), 0.0)
         pull[active] = 0.0
         new = np.flatnonzero(pull > STANDS_OUT)
-        new = new[np.argsort(-pull[new], kind="stable")][: min(12, MOST - len(active))]
+        new = new[np.argsort(-pull[new], kind="stable")][:12]
         if not len(new):
             break
         active = np.append(active, new)

@@ -304,6 +304,60 @@ def test_quality_on_held_out_rows(spark):
     assert (rows.predicted == (rows.score >= 0.5)).all()
 
 
+def test_line_statistics_equal_plain_counts():
+    texts = ["a b c\nb a c\nc a b", "a b c\na b c\nx y", "same\nsame\nsame", "one two\n\none  two", "", "\n\n"]
+    got = dict(zip(quality.STATISTICS, quality.statistics(*from_texts([t.encode() for t in texts])).T, strict=True))
+    for i, t in enumerate(texts):
+        lines = [tuple(x.split()) for x in t.split("\n") if x.split()]
+        words = t.split()
+        assert got["repeated_lines"][i] == pytest.approx((len(lines) - len(set(lines))) / max(len(lines), 1))
+        assert got["unique_words"][i] == pytest.approx(len(set(words)) / max(len(words), 1))
+        assert got["commonest_word"][i] == pytest.approx(max((words.count(w) for w in words), default=0) / max(len(words), 1))
+
+
+def test_quality_weights_solve_the_normal_equations_of_all_rows(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, len(quality.STATISTICS)))
+    y = (x[:, 0] > 0.3 * x[:, 1]).astype(int)
+    rows = spark.createDataFrame([(i, r.tolist(), int(k)) for i, (r, k) in enumerate(zip(x, y, strict=True))], "key long, x array<double>, y int").repartition(5)
+    model = quality.fit(rows)
+    part = {r["key"]: r["p"] for r in rows.select("key", F.pmod(F.xxhash64(F.lit("part"), "key"), F.lit(4)).alias("p")).collect()}
+    own = np.array([part[i] != 0 for i in range(300)])
+    z = model.features(x[own])
+    ridge = np.eye(z.shape[1]) * quality.RIDGE
+    ridge[-1, -1] = 1e-6
+    assert model.weights == pytest.approx(np.linalg.solve(z.T @ z + ridge, z.T @ y[own]), abs=1e-6)
+    assert model.mean == pytest.approx(x.mean(axis=0)) and model.spread == pytest.approx(x.std(axis=0))
+    assert np.mean((model.score(x) >= 0.5) == y) > 0.9
+
+
+def test_toxicity_weights_are_the_least_of_the_penalised_loss():
+    """The gradient of loss, ridge and swap penalty, from scratch on the dense matrix, is zero at the fit."""
+    rng = random.Random(2)
+    terms, texts, y = ["women", "men"], [], []
+    for i in range(200):
+        bad = int(rng.random() < 0.4)
+        texts.append(" ".join([rng.choice(["stone", "water", "field"]), *(["meanie"] if bad and rng.random() < 0.9 else []), "women" if rng.random() < (0.8 if bad else 0.3) else "men"]))
+        y.append(bad)
+    keys, rows = toxicity.distinct(*toxicity.features(Words(*from_texts([t.encode() for t in texts]))))
+    named = [[terms.index(w) for w in t.split() if w in terms] for t in texts]
+    swapped = toxicity.swaps(named, (tuple(terms),))
+    y = np.array(y, float)
+    model = toxicity.fit(keys, rows, y, y.mean(), swapped, terms, 5.0)
+    x = np.zeros((200, len(model.keys)))
+    at = {int(k): i for i, k in enumerate(model.keys)}
+    for k, r in zip(keys.tolist(), rows.tolist(), strict=True):
+        if k in at:
+            x[r, at[k]] = 1
+    bias = model.bias - np.log(y.mean() / (1 - y.mean())) + np.log((y.sum() + 0.5) / (200 - y.sum() + 0.5))
+    p = 1 / (1 + np.exp(-(x @ model.weights + bias)))
+    grad = x.T @ (p - y) + toxicity.RIDGE * model.weights
+    own = toxicity.term_features(terms)
+    d = np.array([float(k in own[0].tolist()) - float(k in own[1].tolist()) for k in model.keys.tolist()])
+    grad += 5.0 * sum(len(t) for t in named) * d * (d @ model.weights)
+    assert np.abs(grad).max() < 0.05 and {toxicity.term_features(["meanie"])[0].tolist()[0]} & set(model.keys.tolist())
+
+
 def test_isotonic_levels_rise_and_keep_the_mean():
     counts, hits = np.array([2, 0, 4, 4, 1, 3.0]), np.array([1, 0, 1, 3, 0, 3.0])
     levels = quality.pooled(counts, hits)
