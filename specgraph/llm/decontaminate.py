@@ -5,8 +5,8 @@ positions hashes like the original. Every window of every text, under every mask
 items; texts and items that share a hash are joined on it. A hit fixes how text and item lie on each other; the tokens around it are
 then compared one by one, and the longest stretch in which enough tokens agree is an overlap if it is long enough.
 
-Most windows of a text are in no item. A bit table of the items' hashes, of ``MOST_BITS`` bits at most, keeps them from the shuffle;
-a benchmark too large for it lets more windows through, never fewer. Equal texts are joined once, and hashes that many texts share
+Most windows of a text are in no item. A Bloom filter of the items' hashes, of 2 ** ``MOST_BITS`` bits at most, keeps them from the
+shuffle; a benchmark too large for it lets more windows through, never fewer. Equal texts are joined once, and hashes that many texts share
 are spread over tasks.
 """
 
@@ -27,8 +27,9 @@ U64 = np.uint64
 MASKS = ("111111", "1101100011", "11010010011", "110010100101")
 #: Shortest overlap in tokens (an item of fewer tokens must lie in the text whole) and least share of agreeing tokens in it.
 MIN_TOKENS, MIN_SHARE = 12, 0.8
-#: Size of the bit table (16 MB; about 64 to 128 bits for each window of a smaller benchmark), and bits in one of its pages.
+#: Size of the filter (16 MB; about 64 to 128 bits for each window of a smaller benchmark), bits in one of its pages, and bits that a window sets.
 MOST_BITS, PAGE_BITS = 27, 15
+TURNS = (1, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)
 #: Most rows that are sent to all machines; more are joined by key.
 FEW = 1_000_000
 SCHEMA = "doc_id long, item_id long, first_token long, n_tokens long, n_equal long, item_tokens long"
@@ -129,20 +130,29 @@ def _item_windows(masks: list[str]):  # noqa: ANN202
     return run
 
 
-def bit_table(windows: DataFrame) -> tuple[bytes, int]:
-    """One bit for each first bits of the windows' hashes, and how many those are. Pages are made by Spark; their bytes together are bounded."""
+def filter_bits(hashes: np.ndarray, turn: int, bits: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return ((hashes * U64(turn)) >> U64(64 - bits)).astype(np.int64)
+
+
+def window_filter(windows: DataFrame) -> tuple[bytes, int]:
+    """The filter's bits, and how many first bits of a turned hash say which. Pages are made by Spark; their bytes together are bounded."""
     bits = min(MOST_BITS, max(PAGE_BITS, int(windows.count() * 64).bit_length()))
-    place = F.shiftrightunsigned("hash", 64 - bits)
-    pages = windows.select(F.shiftright(place, PAGE_BITS).cast("int").alias("page"), place.bitwiseAND((1 << PAGE_BITS) - 1).cast("int").alias("bit")).groupBy("page").agg(F.collect_set("bit").alias("bits"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = batch.column(0).to_numpy(zero_copy_only=False).view(U64)
+            for turn in TURNS:
+                at = np.unique(filter_bits(h, turn, bits))
+                yield pa.RecordBatch.from_arrays([pa.array((at >> PAGE_BITS).astype(np.int32)), pa.array((at & ((1 << PAGE_BITS) - 1)).astype(np.int32))], names=["page", "bit"])
+
+    pages = windows.select("hash").mapInArrow(run, "page int, bit int").groupBy("page").agg(F.collect_set("bit").alias("bits"))
     table = np.zeros(1 << bits, dtype=bool).reshape(-1, 1 << PAGE_BITS)
     for row in pages.toLocalIterator():
         table[row["page"], row["bits"]] = True
     return np.packbits(table.reshape(-1), bitorder="little").tobytes(), bits
 
 
-TEXT_KEY = ("t1", "t2")
-
-
 def text_key(column: str) -> list:
     """Two hashes, 128 bits together, that stand for a text."""
     return [F.xxhash64(column).alias("t1"), F.xxhash64(F.lit("text"), column).alias("t2")]
@@ -155,18 +165,20 @@ def found_texts(texts: DataFrame, benchmark: DataFrame, item: str, item_text: st
     sizes = items.select("text").mapInArrow(_token_counts, "n int").where(f"n between 1 and {max(map(len, MASKS)) - 1}").distinct()
     masks = all_masks([r["n"] for r in sizes.collect()])  # at most as many as the longest mask has positions
     windows = checkpointed(items.select("i1", "i2", "text").mapInArrow(_item_windows(masks), "hash long, i1 long, i2 long").distinct())
-    table = texts.sparkSession.sparkContext.broadcast(bit_table(windows))
+    table = texts.sparkSession.sparkContext.broadcast(window_filter(windows))
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, bits = table.value
-        flags, shift = np.frombuffer(raw, np.uint8), U64(64 - bits)
+        flags = np.frombuffer(raw, np.uint8)
         for batch in batches:
             buf, offs = text_buffers(batch.column(2))
             for lo, hi in row_chunks(offs):
                 words = Words(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
                 h, row = seeds(words.hashes, words.bounds, masks)
-                at = (h >> shift).astype(np.int64)
-                some = np.flatnonzero(flags[at >> 3] >> (at & 7).astype(np.uint8) & 1)
+                some = np.arange(len(h))
+                for turn in TURNS:
+                    at = filter_bits(h[some], turn, bits)
+                    some = some[(flags[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)]
                 if not len(some):
                     continue
                 order = some[np.argsort(row[some], kind="stable")]
