@@ -66,8 +66,8 @@ TWO = np.array([(1 << i) | (1 << j) for half in (0, 32) for i, j in combinations
 #: The flips by number: none, one (64), two within a half (992). Even fingerprints emit all, odd ones those of up to one flip.
 FLIPS = np.concatenate([np.zeros(1, np.uint64), ONE, TWO])
 ODD = 1 + len(ONE)
-#: Variants that a part of the range is meant to hold, and fingerprints whose packets are made together.
-IN_PART, TOGETHER = 1 << 20, 4096
+#: Variants that a part of the range is meant to hold, and fingerprints whose packets are made together; least parts and tasks. All go by the number of fingerprints alone.
+IN_PART, TOGETHER, LEAST_PARTS, LEAST_TASKS = 1 << 19, 4096, 512, 32
 _PACKED = np.dtype([("fp", "<u8"), ("flip", "<u2")])
 
 
@@ -148,14 +148,12 @@ def near_links(distinct_fps: DataFrame, fp: str = "fp") -> DataFrame:
 
     ``distinct_fps`` is read twice, so it should be a written table.
     """
-    spark = distinct_fps.sparkSession
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     n = distinct_fps.count()
-    parts = min(1 << 20, max(8 * tasks, -(-n * 561 // IN_PART)))
+    parts = min(1 << 20, max(LEAST_PARTS, -(-n * 561 // IN_PART)))
     # few bytes, but hundreds of variants come from each: an even deal over all tasks, whatever their bytes suggest
-    dealt = distinct_fps.select(fp).repartition(max(tasks, -(-n // TOGETHER)), fp)
+    dealt = distinct_fps.select(fp).repartition(max(LEAST_TASKS, -(-n // TOGETHER)), fp)
     packets = dealt.mapInArrow(_packets(parts), "part int, packet binary")
-    by_part = packets.repartition(max(tasks, parts // 4), "part").sortWithinPartitions("part")
+    by_part = packets.repartition(parts // 8, "part").sortWithinPartitions("part")
     return by_part.mapInArrow(_linked, "fp long, hub long").distinct()
 
 
