@@ -28,6 +28,44 @@ def duplicates(rows: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(F.col(key).alias("detail"))
 
 
+SHAPES = ("object", "union-oneOf", "union-anyOf", "allOf-composite", "map")
+
+
+def graph_invariants(t: Mapping[str, DataFrame]) -> DataFrame:
+    """The ten invariants of a typed graph, each with its offenders counted and sampled.
+
+    ``component`` (id, kind, body, shape, named), ``property`` (id, parent, name), ``command`` (id), ``yang`` (path, module), and edges
+    (a, b): ``has_property``, ``composed``, ``value``, ``has_command`` (endpoint, command), ``in_module`` (path, module).
+    """
+    c, p, has = t["component"], t["property"], t["has_property"].distinct()
+    full = c.where("body <> ''")
+    fields = F.col("body").contains('"properties"')
+
+    def without(rows: DataFrame, edges: DataFrame) -> DataFrame:
+        return rows.join(edges.select(F.col("a").alias("id")).distinct(), "id", "left_anti")
+
+    def not_once(nodes: DataFrame, ends: DataFrame) -> DataFrame:
+        """Nodes that other than one edge leads to or from; both have ``detail``."""
+        return nodes.distinct().join(ends.groupBy("detail").agg(F.count("*").alias("n")), "detail", "left").where(F.coalesce("n", F.lit(0)) != 1).select("detail")
+
+    leaf = without(without(without(full.where(F.col("shape").isin(*SHAPES) & ~F.col("kind").isin("primitive", "unresolved") & F.col("named") & ((F.col("shape") != "object") | fields)), has), t["composed"]), t["value"])
+    from_component = has.join(c.select(F.col("id").alias("a")).distinct(), "a", "left_semi")
+    modules = t["yang"].where("module <> ''")
+    found = {
+        "INV-1": leaf.select(F.col("id").alias("detail")),
+        "INV-2": full.where(F.col("shape").isin(*SHAPES) & (F.col("kind") == "primitive")).select(F.col("id").alias("detail")),
+        "INV-3": duplicates(c, "id"),
+        "INV-5": has.join(p.select(F.col("id").alias("b"), "name"), "b").groupBy("a", "name").agg(F.count("*").alias("n")).where("n > 1").select(F.concat_ws("|", "a", "name").alias("detail")),
+        "INV-6": without(full.where((F.col("shape") == "object") & fields & (F.col("kind") != "unresolved") & F.col("named")), has).select(F.col("id").alias("detail")),
+        "INV-7": full.where((F.col("shape").isin(*SHAPES) & (F.col("kind") == "primitive")) | ((F.col("shape") == "primitive") & (F.col("kind") == "object"))).select(F.col("id").alias("detail")),
+        "INV-8": p.join(from_component.select(F.col("b").alias("id")).distinct(), "id", "left_anti").select(F.col("id").alias("detail")),
+        "INV-9": p.where("parent <> ''").join(from_component.select(F.col("a").alias("parent"), F.col("b").alias("id")), ["parent", "id"], "left_anti").select(F.col("id").alias("detail")),
+        "INV-13": not_once(t["command"].select(F.col("id").alias("detail")), t["has_command"].select(F.col("b").alias("detail"))),
+        "INV-14": not_once(modules.select(F.concat_ws("|", "path", "module").alias("detail")), t["in_module"].select(F.concat_ws("|", "a", "b").alias("detail"))),
+    }
+    return union_all([invariant(n, d) for n, d in found.items()])
+
+
 def union_all(parts: Sequence[DataFrame]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:

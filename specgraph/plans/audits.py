@@ -86,38 +86,43 @@ def _first(sql: str) -> str:
     return f"coalesce((SELECT string_agg(detail, ',' ORDER BY detail) FROM (SELECT detail FROM ({sql}) s ORDER BY detail LIMIT 25) t), '')"
 
 
+#: A typed graph with offenders of every invariant: kinds and shapes that disagree, repeated ids and names, edges left out, led astray or doubled.
+GRAPH = {
+    "component": """SELECT id, CASE WHEN ord % 37 = 5 THEN 'primitive' ELSE kind END AS kind, CASE WHEN ord % 41 = 7 THEN '' WHEN ord % 3 <> 0 THEN '{"type":"object","properties":{}}' ELSE body_json END AS body,
+        CASE WHEN ord % 43 = 3 THEN 'primitive' WHEN kind = 'union' THEN 'union-oneOf' WHEN kind = 'map' THEN 'map' ELSE 'object' END AS shape, ord % 11 <> 0 AS named
+        FROM (SELECT * FROM b_component UNION ALL SELECT * FROM b_component WHERE ord % 53 = 1) x""",
+    "property": "SELECT id, CASE WHEN name LIKE '%8' THEN '' ELSE component_id END AS parent, name FROM b_property UNION ALL SELECT id || '~2', component_id, name FROM b_property WHERE name LIKE '%3'",
+    "has_property": """SELECT CASE WHEN name LIKE '%6' THEN component_id || '~' ELSE component_id END AS a, id AS b FROM b_property WHERE name NOT LIKE '%7' AND length(component_id) % 3 <> 0
+        UNION ALL SELECT component_id, id || '~2' FROM b_property WHERE name LIKE '%3'""",
+    "composed": "SELECT a, b FROM b_composed WHERE length(a) % 2 = 0", "value": "SELECT a, b FROM b_value WHERE length(a) % 2 = 0", "command": "SELECT id FROM b_cli",
+    "has_command": "SELECT eid AS a, id AS b FROM b_cli WHERE id NOT LIKE '%9' UNION ALL SELECT eid || '~', id FROM b_cli WHERE id LIKE '%4'",
+    "yang": "SELECT DISTINCT yang_path AS path, CASE WHEN contains(yang_path, ':') THEN substr(yang_path, 2, 4) ELSE '' END AS module FROM b_property WHERE yang_path <> ''",
+    "in_module": "SELECT DISTINCT yang_path AS a, substr(yang_path, 2, 4) AS b FROM b_property WHERE yang_path <> '' AND yang_path NOT LIKE '%15'",
+}
+SHAPE_LIST = "('object', 'union-oneOf', 'union-anyOf', 'allOf-composite', 'map')"
+NO_EDGE = "NOT EXISTS (SELECT 1 FROM {} e WHERE e.a = c.id)"
+FROM_COMPONENT = "SELECT a, b FROM g_has_property WHERE a IN (SELECT id FROM g_component)"
 OFFENDERS = {
-    "INV-1 dangling body": "SELECT DISTINCT root_id AS detail FROM b_body WHERE root_id NOT IN (SELECT id FROM b_component)",
-    "INV-2 dangling type": "SELECT DISTINCT type_id AS detail FROM b_property WHERE type_id NOT IN (SELECT id FROM b_component)",
-    "INV-3 duplicate endpoint": "SELECT eid AS detail FROM b_endpoint GROUP BY eid HAVING count(*) > 1",
-    "INV-5 unresolved in use": "SELECT DISTINCT b.root_id AS detail FROM b_body b JOIN b_component c ON c.id = b.root_id WHERE c.kind = 'unresolved'",
-    "INV-6 composed of itself": "SELECT a AS detail FROM b_composed WHERE a = b",
-    "INV-7 map without value": "SELECT id AS detail FROM b_component WHERE kind = 'map' AND id NOT IN (SELECT a FROM b_value)",
-    "INV-8 component without properties": "SELECT id AS detail FROM b_component WHERE kind = 'object' AND id NOT IN (SELECT component_id FROM b_property)",
-    "INV-9 orphan property": "SELECT id AS detail FROM b_property WHERE component_id NOT IN (SELECT id FROM b_component)",
-    "INV-13 command without endpoint": "SELECT DISTINCT eid AS detail FROM b_cli WHERE eid NOT IN (SELECT eid FROM b_endpoint)",
-    "INV-14 yang path without module": "SELECT DISTINCT yang_path AS detail FROM b_property WHERE yang_path <> '' AND NOT contains(yang_path, ':')",
-}
-
-
-@query(" UNION ALL ".join(f"SELECT '{n}' AS invariant, (SELECT count(*) FROM ({s}) c) AS n, {_first(s)} AS sample" for n, s in OFFENDERS.items()))
+    "INV-1": f"""SELECT c.id AS detail FROM g_component c WHERE body <> '' AND kind NOT IN ('primitive', 'unresolved') AND shape IN {SHAPE_LIST} AND NOT (shape = 'object' AND NOT contains(body, '"properties"')) AND named
+        AND {NO_EDGE.format("g_has_property")} AND {NO_EDGE.format("g_composed")} AND {NO_EDGE.format("g_value")}""",
+    "INV-2": f"SELECT id AS detail FROM g_component WHERE kind = 'primitive' AND body <> '' AND shape IN {SHAPE_LIST}",
+    "INV-3": "SELECT id AS detail FROM g_component GROUP BY id HAVING count(*) > 1",
+    "INV-5": "SELECT e.a || '|' || p.name AS detail FROM (SELECT DISTINCT a, b FROM g_has_property) e JOIN g_property p ON p.id = e.b GROUP BY e.a, p.name HAVING count(*) > 1",
+    "INV-6": f"""SELECT c.id AS detail FROM g_component c WHERE shape = 'object' AND body <> '' AND contains(body, '"properties"') AND kind <> 'unresolved' AND named AND {NO_EDGE.format("g_has_property")}""",
+    "INV-7": f"SELECT id AS detail FROM g_component WHERE body <> '' AND ((shape IN {SHAPE_LIST} AND kind = 'primitive') OR (shape = 'primitive' AND kind = 'object'))",
+    "INV-8": f"SELECT id AS detail FROM g_property WHERE id NOT IN (SELECT b FROM ({FROM_COMPONENT}) f)",
+    "INV-9": f"SELECT p.id AS detail FROM g_property p WHERE parent <> '' AND NOT EXISTS (SELECT 1 FROM ({FROM_COMPONENT}) f WHERE f.a = p.parent AND f.b = p.id)",
+    "INV-13": "SELECT c.id AS detail FROM (SELECT DISTINCT id FROM g_command) c LEFT JOIN g_has_command e ON e.b = c.id GROUP BY c.id HAVING count(e.b) <> 1",
+    "INV-14": "SELECT y.path || '|' || y.module AS detail FROM (SELECT DISTINCT * FROM g_yang WHERE module <> '') y LEFT JOIN g_in_module m ON m.a = y.path AND m.b = y.module GROUP BY y.path, y.module HAVING count(m.b) <> 1",
+}
+WITH_GRAPH = "WITH " + ", ".join(f"g_{n} AS ({s})" for n, s in GRAPH.items())
+ALL_OFFENDERS = " UNION ALL ".join(f"SELECT '{n}' AS invariant, (SELECT count(*) FROM ({s}) c) AS n, {_first(s)} AS sample" for n, s in OFFENDERS.items())
+
+
+@query(f"{WITH_GRAPH} {ALL_OFFENDERS}")
 def ag_9_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AG-9: offenders of each invariant with a sample."""
-    t = {n: frame(spark, sf_dir, f"b_{n}") for n in ("body", "component", "property", "endpoint", "composed", "value", "cli")}
-    c = t["component"]
-    found = {
-        "INV-1 dangling body": audit.dangling(t["body"], "root_id", c, "id"),
-        "INV-2 dangling type": audit.dangling(t["property"], "type_id", c, "id"),
-        "INV-3 duplicate endpoint": audit.duplicates(t["endpoint"], "eid"),
-        "INV-5 unresolved in use": t["body"].join(c.where("kind = 'unresolved'").select(F.col("id").alias("root_id")), "root_id", "left_semi").select(F.col("root_id").alias("detail")).distinct(),
-        "INV-6 composed of itself": t["composed"].where("a = b").select(F.col("a").alias("detail")),
-        "INV-7 map without value": c.where("kind = 'map'").join(t["value"].select(F.col("a").alias("id")), "id", "left_anti").select(F.col("id").alias("detail")),
-        "INV-8 component without properties": c.where("kind = 'object'").join(t["property"].select(F.col("component_id").alias("id")), "id", "left_anti").select(F.col("id").alias("detail")),
-        "INV-9 orphan property": t["property"].join(c.select(F.col("id").alias("component_id")), "component_id", "left_anti").select(F.col("id").alias("detail")),
-        "INV-13 command without endpoint": audit.dangling(t["cli"], "eid", t["endpoint"], "eid"),
-        "INV-14 yang path without module": t["property"].where("yang_path <> '' AND NOT contains(yang_path, ':')").select(F.col("yang_path").alias("detail")).distinct(),
-    }
-    return audit.union_all([audit.invariant(n, d) for n, d in found.items()])
+    """AG-9: offenders of each invariant with a sample, on a graph that has some of each."""
+    return audit.graph_invariants({n: frame(spark, sf_dir, s) for n, s in GRAPH.items()})
 
 
 LEFT = """SELECT 'component' AS check, id AS key FROM b_component UNION ALL SELECT 'property', id FROM b_property UNION ALL SELECT 'composed', a || '|' || b FROM b_composed UNION ALL SELECT 'body', eid || '|' || root_id FROM b_body"""
@@ -187,14 +192,18 @@ def ag_17_sync_health(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    " UNION ALL ".join(
-        [f"SELECT 'invariants' AS gate, (SELECT count(*) FROM ({OFFENDERS['INV-9 orphan property']}) x) = 0 AS passed", f"SELECT 'unique endpoints', (SELECT count(*) FROM ({OFFENDERS['INV-3 duplicate endpoint']}) x) = 0", "SELECT 'bodies', (SELECT count_if(eid IN (SELECT eid FROM b_body)) / count(*) FROM b_endpoint) >= 0.5"]
-    )
+    f"""{WITH_GRAPH}, i AS (SELECT sum(n) = 0 AS ok FROM ({ALL_OFFENDERS}) x), p AS (SELECT sum(CASE WHEN r.key IS NULL THEN 1 ELSE 0 END) = 0 AS ok FROM ({LEFT}) l LEFT JOIN ({RIGHT}) r ON r."check" = l."check" AND r.key = l.key),
+    t AS (SELECT count(*) = 0 AS ok FROM b_body WHERE root_id NOT IN (SELECT id FROM b_component))
+    SELECT i.ok AND t.ok AS passed, p.ok AS parity_passed, i.ok AS invariants_passed, t.ok AS traversal_passed, p.ok AND i.ok AND t.ok AS default_flip_ready FROM i, p, t""".replace("AS check", 'AS "check"')
 )
 def ag_18_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AG-10, AG-18: gates from invariants and coverage."""
-    inv = ag_9_invariants(spark, sf_dir).where("invariant LIKE 'INV-9 %' OR invariant LIKE 'INV-3 %'").select(F.when(F.col("invariant").startswith("INV-9"), "invariants").otherwise("unique endpoints").alias("gate"), (F.col("n") == 0).alias("passed"))
-    return inv.unionByName(ag_15_endpoint_health(spark, sf_dir).select(F.lit("bodies").alias("gate"), (F.col("has_body") >= 0.5).alias("passed")))
+    """AG-10, AG-18: release and switch-over gates from invariants, parity and dangling bodies."""
+    invariants = ag_9_invariants(spark, sf_dir).agg((F.sum("n") == 0).alias("invariants_passed"))
+    parity = ag_11_parity(spark, sf_dir).agg((F.sum("missing") == 0).alias("parity_passed"))
+    body = audit.dangling(frame(spark, sf_dir, "b_body"), "root_id", frame(spark, sf_dir, "b_component"), "id").agg((F.count("*") == 0).alias("traversal_passed"))
+    one = invariants.crossJoin(parity).crossJoin(body)  # one row each
+    passed = F.col("invariants_passed") & F.col("traversal_passed")
+    return one.select(passed.alias("passed"), "parity_passed", "invariants_passed", "traversal_passed", (passed & F.col("parity_passed")).alias("default_flip_ready"))
 
 
 @query(

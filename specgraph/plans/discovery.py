@@ -36,7 +36,8 @@ def jn_13_body_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {FIELDS} SELECT eid, count(*) AS n_required, string_agg(DISTINCT name, ',' ORDER BY name) AS names FROM f WHERE required AND depth = 0 GROUP BY eid")
 def jn_15_required_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JN-15, DQ-3: required fields at the top level of a body."""
-    top = _fields(spark, sf_dir).where("required AND depth = 0")
+    own = frame(spark, sf_dir, "b_property").where("required").select(F.col("component_id").alias("root_id"), "name")
+    top = frame(spark, sf_dir, "b_body").select("eid", "root_id").distinct().join(own, "root_id")
     return top.groupBy("eid").agg(F.count("*").alias("n_required"), F.array_join(F.array_sort(F.collect_set("name")), ",").alias("names"))
 
 

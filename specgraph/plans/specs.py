@@ -90,6 +90,31 @@ def cl_7_normalise_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, "source").select("source", (F.col("content_hash") == F.col("again")).alias("same"))
 
 
+SHAPED = """SELECT o_custkey AS c, o_orderkey AS o, o_orderkey % 5 AS u, o_orderkey % 3 AS v, 400 + o_orderkey % 4 AS status FROM orders"""
+INNER, OUTER = "'x' || CAST(u AS STRING)", "'x' || CAST(u AS STRING) || 'y' || CAST(v AS STRING)"
+
+
+def shape_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(spec_source, source, title, raw): a document per customer, an operation per order, with nested objects and error responses that repeat."""
+    inner = "'{\"type\":\"object\",\"properties\":{\"' || " + INNER + " || '\":{},\"b\":{},\"c\":{}}}'"
+    outer = "'{\"type\":\"object\",\"properties\":{\"' || " + OUTER + " || '\":{},\"e\":{},\"f\":' || " + inner + " || '}}'"
+    operation = f"'\"/o' || CAST(o AS STRING) || '\":{{\"post\":{{\"requestBody\":{{\"content\":{{\"application/json\":{{\"schema\":' || {outer} || '}}}}}},\"responses\":{{\"' || CAST(status AS STRING) || '\":{{\"description\":\"error ' || CAST(status AS STRING) || '\"}}}}}}}}'"
+    text = f"SELECT 'made' AS spec_source, CAST(c AS STRING) AS source, 'shapes' AS title, '{{\"paths\":{{' || array_join(array_sort(collect_list({operation})), ',') || '}}}}' AS raw FROM ({SHAPED}) x GROUP BY c"
+    return frame(spark, sf_dir, text)
+
+
+@query(
+    f"""WITH x AS ({SHAPED}), o AS (SELECT c, u, v, count(*) AS n FROM x GROUP BY ALL), i AS (SELECT c, u, sum(CASE WHEN n >= 2 THEN 1 ELSE n END) AS n, sum(n) AS every FROM o GROUP BY ALL), e AS (SELECT c, status FROM x GROUP BY ALL HAVING count(*) >= 2)
+    SELECT CAST(k.c AS STRING) AS source, coalesce(s.n, 0)::BIGINT AS n_schemas, coalesce(r.n, 0)::BIGINT AS n_responses FROM (SELECT DISTINCT c FROM x) k
+    LEFT JOIN (SELECT c, count(*) AS n FROM (SELECT c FROM o WHERE n >= 2 UNION ALL SELECT c FROM i WHERE every >= 2) t GROUP BY c) s ON s.c = k.c LEFT JOIN (SELECT c, count(*) AS n FROM e GROUP BY c) r ON r.c = k.c"""
+)
+def cl_6_shared_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CL-5, CL-6: nested objects and error responses that repeat in a document become one component each."""
+    rows = specs.flatten(specs.normalised(shape_documents(spark, sf_dir)))
+    counts = rows.groupBy("spec_id").agg(F.count_if(F.col("pointer").rlike("^/components/schemas/[^/]+$")).alias("n_schemas"), F.count_if(F.col("pointer").rlike("^/components/responses/[^/]+$")).alias("n_responses"))
+    return specs.spec_rows(specs.normalised(shape_documents(spark, sf_dir))).select("spec_id", "source").join(counts, "spec_id").select("source", "n_schemas", "n_responses")
+
+
 @query(f"SELECT {SOURCE} AS source, 0::BIGINT AS n_resolvable FROM ({LINES}) x GROUP BY o")
 def cl_9_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CL-9, JN-2: after expansion only unknown references are left."""

@@ -79,6 +79,20 @@ def test_repeated_parts_become_components_and_expand_back():
     assert jsonwalk.expanded({"paths": once["paths"]}, once) == doc and len(json.dumps(once)) < len(json.dumps(doc))
 
 
+def test_all_repeated_shapes_are_shared_however_many():
+    def shape(k, inner):
+        return {"type": "object", "title": f"T {k}", "properties": {f"p{k}": {}, "q": {}, "r": inner}}
+
+    doc = {"paths": {f"/p{i}": {"post": {"requestBody": {"content": {"application/json": {"schema": shape(i % 20, shape(100 + i % 20, {}))}}}, "responses": {"4XX": {"description": "no"}, "200": {"description": "no"}}}} for i in range(60)}}
+    once = jsonwalk.shared(doc)
+    names = once["components"]["schemas"]
+    assert len(names) == 40 and all(n.startswith("T") for n in names) and list(once["components"]["responses"])[0].startswith("Error4XX_")
+    assert jsonwalk.shared(once) == once and jsonwalk.expanded({"paths": once["paths"]}, once) == doc
+    clash = dict(doc, components={"schemas": {n: {"type": "string"} for n in names}})
+    again = jsonwalk.shared(clash)
+    assert len(again["components"]["schemas"]) == 80 and jsonwalk.expanded({"paths": again["paths"]}, again) == doc
+
+
 def test_projections_of_one_operation():
     got = jsonwalk.projections(SPEC, "/things/{id}", "post")
     assert got["required"] == ["a", "deep.z", "list[].q"] and set(got["components"]) == {"Thing", "Leaf", "Gone"}
