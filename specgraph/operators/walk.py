@@ -9,27 +9,33 @@ from pyspark.sql import functions as F
 
 
 def shared_checkpoint(df: DataFrame) -> DataFrame:
-    """The rows, written to the folder of spark.checkpoint.dir (a temporary one only where that is unset, as in tests)."""
+    """The rows, written to the folder of spark.checkpoint.dir (a temporary one only where that is unset and all runs on one machine, as in tests)."""
     spark: SparkSession = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="specgraph-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="specgraph-"))
     return df.checkpoint()
 
 
 def within(roots: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
     """(root, node, depth): nodes at most ``hops`` steps from each root over (a, b) edges, by their least depth.
 
-    Only the last step's new pairs move on, and a (root, node) pair moves on once, so hubs do not multiply rows. The plan has one join
-    per hop and no action in between.
+    Only the last step's new pairs move on, and a (root, node) pair moves on once, so hubs do not multiply rows. Each hop's new pairs
+    are checkpointed, so no hop computes those before it again; the walk ends early when there are none.
     """
-    steps = edges.select(F.col("a").alias("node"), F.col("b").alias("next")).distinct()
-    front = roots.select(F.col("root"), F.col("root").alias("node")).distinct()
+    steps = shared_checkpoint(edges.select(F.col("a").alias("node"), F.col("b").alias("next")).distinct())
+    front = shared_checkpoint(roots.select(F.col("root"), F.col("root").alias("node")).distinct())
     every = front.withColumn("depth", F.lit(0))
     for depth in range(1, hops + 1):
-        front = front.join(steps, "node").select("root", F.col("next").alias("node")).distinct()
+        reached = front.join(steps, "node").select("root", F.col("next").alias("node")).distinct()
+        front = shared_checkpoint(reached.join(every, ["root", "node"], "left_anti"))
+        if front.isEmpty():
+            break
         every = every.unionByName(front.withColumn("depth", F.lit(depth)))
-    return every.groupBy("root", "node").agg(F.min("depth").alias("depth"))
+    return every
 
 
 def closure(roots: DataFrame, edges: DataFrame) -> DataFrame:

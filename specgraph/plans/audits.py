@@ -94,8 +94,8 @@ GRAPH = {
     "property": "SELECT id, CASE WHEN name LIKE '%8' THEN '' ELSE component_id END AS parent, name FROM b_property UNION ALL SELECT id || '~2', component_id, name FROM b_property WHERE name LIKE '%3'",
     "has_property": """SELECT CASE WHEN name LIKE '%6' THEN component_id || '~' ELSE component_id END AS a, id AS b FROM b_property WHERE name NOT LIKE '%7' AND length(component_id) % 3 <> 0
         UNION ALL SELECT component_id, id || '~2' FROM b_property WHERE name LIKE '%3'""",
-    "composed": "SELECT a, b FROM b_composed WHERE length(a) % 2 = 0", "value": "SELECT a, b FROM b_value WHERE length(a) % 2 = 0", "command": "SELECT id FROM b_cli",
-    "has_command": "SELECT eid AS a, id AS b FROM b_cli WHERE id NOT LIKE '%9' UNION ALL SELECT eid || '~', id FROM b_cli WHERE id LIKE '%4'",
+    "composed": "SELECT a, b FROM b_composed WHERE length(a) % 2 = 1", "value": "SELECT a, b FROM b_value WHERE length(a) % 2 = 1", "command": "SELECT id FROM b_cli",
+    "has_command": "SELECT eid AS a, id AS b FROM b_cli WHERE length(id) % 5 <> 0 UNION ALL SELECT eid || '~', id FROM b_cli WHERE length(id) % 7 = 0",
     "yang": "SELECT DISTINCT yang_path AS path, CASE WHEN contains(yang_path, ':') THEN substr(yang_path, 2, 4) ELSE '' END AS module FROM b_property WHERE yang_path <> ''",
     "in_module": "SELECT DISTINCT yang_path AS a, substr(yang_path, 2, 4) AS b FROM b_property WHERE yang_path <> '' AND yang_path NOT LIKE '%15'",
 }
