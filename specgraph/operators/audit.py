@@ -96,28 +96,46 @@ def parity(left: DataFrame, right: DataFrame) -> DataFrame:
     return sums.withColumn("coverage", ratio(F.col("n_left") - F.col("missing"), F.col("n_left"), 1.0))
 
 
+#: Fixed value: ids of components that were named by their shape.
+SYNTHETIC = ":Shape_[0-9a-f]+$"
+
+
 def without_variant(id_: Column) -> Column:
     """An id without its ``@`` and 12 hex digits, wherever they stand."""
     return F.regexp_replace(id_, "@[0-9a-f]{12}", "")
 
 
-def excused(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(check, n_missing, n_alias, n_target, n_open): keys the right side lacks, and how many of them have an excuse.
+def excuses(left: DataFrame, right: DataFrame, targets: Sequence[str] | None = None) -> DataFrame:
+    """(check, key, excuse) of every key the right side lacks: alias, target, structural or open, the first that holds.
 
     A key is an alias if it is there without its variant suffix. An edge key ``a|b`` has an alternate target if its first part occurs
-    once on either side with another second part.
+    once on either side with another second part (``targets``: only in these checks). With a ``shape`` column on both sides, a key of a
+    synthetic component is excused if the right side has an equal shape, for keys ``a|b`` with an equal second part.
     """
     missing = left.join(right, ["check", "key"], "left_anti").distinct()
     bare_right = right.select("check", without_variant(F.col("key")).alias("bare")).distinct().withColumn("alias", F.lit(True))
     marked = missing.withColumn("bare", without_variant(F.col("key"))).join(bare_right, ["check", "bare"], "left")
 
     def once(rows: DataFrame, name: str) -> DataFrame:
-        return rows.where("contains(key, '|')").distinct().groupBy("check", F.substring_index("key", "|", 1).alias("context")).agg(F.count("*").alias(name)).where(f"{name} = 1")
+        own = rows if targets is None else rows.where(F.col("check").isin(list(targets)))
+        return own.select("check", "key").where("contains(key, '|')").distinct().groupBy("check", F.substring_index("key", "|", 1).alias("context")).agg(F.count("*").alias(name)).where(f"{name} = 1")
 
     both = once(left, "nl").join(once(right, "nr"), ["check", "context"]).select("check", "context", F.lit(True).alias("target"))
     marked = marked.withColumn("context", F.substring_index("key", "|", 1)).join(both, ["check", "context"], "left")
-    alias, target = F.coalesce("alias", F.lit(False)), F.coalesce("target", F.lit(False))
-    return marked.groupBy("check").agg(F.count("*").alias("n_missing"), F.count_if(alias).alias("n_alias"), F.count_if(~alias & target).alias("n_target"), F.count_if(~alias & ~target).alias("n_open"))
+    structural = F.lit(False)
+    if "shape" in left.columns:
+        member = F.when(F.contains("key", F.lit("|")), F.substring_index("key", "|", -1)).otherwise("").alias("member")
+        shapes = right.where("shape <> ''").select("check", "shape", member).distinct().withColumn("equal", F.lit(True))
+        marked = marked.select("*", member).join(shapes, ["check", "shape", "member"], "left")
+        structural = F.coalesce("equal", F.lit(False)) & F.col("context").rlike(SYNTHETIC)
+    excuse = F.when(F.coalesce("alias", F.lit(False)), "alias").when(F.coalesce("target", F.lit(False)), "target").when(structural, "structural").otherwise("open")
+    return marked.select("check", "key", excuse.alias("excuse"))
+
+
+def excused(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(check, n_missing, n_alias, n_target, n_open): keys the right side lacks, and how many of them have which excuse."""
+    names = ("alias", "target", "open")
+    return excuses(left, right).groupBy("check").agg(F.count("*").alias("n_missing"), *[F.count_if(F.col("excuse") == n).alias(f"n_{n}") for n in names])
 
 
 def ratio(part: Column, whole: Column, empty: float = 0.0) -> Column:
@@ -184,11 +202,30 @@ def top_share(rows: DataFrame, size: str, key: str, tops: Sequence[int] = (1, 5,
     return running.where(F.col("top").isin(list(tops))).crossJoin(F.broadcast(total)).select("top", F.round(F.col("upto") / F.col("total"), 4).alias("share"))  # one row
 
 
-def byte_budget(rows: DataFrame, query: str, order: str, text: Column, cap: int = 50_000) -> DataFrame:
-    """(query, kept, dropped): rows in order until their texts' bytes pass the cap."""
-    upto = F.sum(F.octet_length(text)).over(Window.partitionBy(query).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    fits = rows.select(query, (upto <= cap).alias("fits"))
-    return fits.groupBy(query).agg(F.count_if("fits").alias("kept"), F.count_if(~F.col("fits")).alias("dropped"))
+def byte_budget(rows: DataFrame, query: str, order: str, text: Column, cap: int = 50_000, width: int = 1000) -> DataFrame:
+    """(query, kept, dropped): rows in order until their texts' bytes pass the cap; ``order`` is a whole number.
+
+    The place is found from coarse to fine: sums over blocks of ``width`` squared values of ``order`` give the block in which a query
+    passes the cap, sums over ``width`` values within it the finer one, and last the single values. A window sees blocks of a query or
+    the values of one block, never all its rows. Rows of equal ``order`` go together. Null texts take no bytes; rows without ``order``
+    come first.
+    """
+    least = F.lit(-(2**63)).cast("long")
+    sized = rows.select(F.col(query).alias("q"), F.coalesce(F.col(order).cast("long"), least).alias("at"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("size"))
+    sums = sized.groupBy("q", "at").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    parts = [sums.groupBy("q").agg(F.lit(0).cast("long").alias("kept"), F.sum("n").alias("n"))]
+    cut = None
+    for step in (width * width, width, 1):
+        level = sums.groupBy("q", F.expr(f"at div {step}").alias("block")).agg(F.sum("n").alias("n"), F.sum("size").alias("size"))
+        if cut is None:
+            level = level.withColumn("base", F.lit(0).cast("long"))
+        else:
+            level = level.join(cut, F.col("q").eqNullSafe(F.col("of")) & (F.expr(f"block div {width}") == F.col("inside")))
+        earlier = F.sum("size").over(Window.partitionBy("q").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+        level = level.withColumn("before", F.col("base") + F.coalesce(earlier, F.lit(0)))
+        parts.append(level.where(F.col("before") + F.col("size") <= cap).select("q", F.col("n").alias("kept"), F.lit(0).cast("long").alias("n")))
+        cut = level.where((F.col("before") <= cap) & (F.col("before") + F.col("size") > cap)).select(F.col("q").alias("of"), F.col("block").alias("inside"), F.col("before").alias("base"))
+    return union_all(parts).groupBy(F.col("q").alias(query)).agg(F.sum("kept").alias("kept"), (F.sum("n") - F.sum("kept")).alias("dropped"))
 
 
 def path_tree(endpoints: DataFrame) -> DataFrame:

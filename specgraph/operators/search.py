@@ -41,11 +41,8 @@ def postings(rows: DataFrame, key: str, text: Column) -> DataFrame:
 
 
 def query_postings(rows: DataFrame, key: str, text: Column, terms: DataFrame) -> DataFrame:
-    """Postings of query terms only, and documents' lengths: other words are dropped before the shuffle."""
-    words = terms.agg(F.array_sort(F.collect_set("term")).alias("asked"))  # the words of the queries of one call
-    split = rows.select(F.col(key).alias("doc"), tokens(text).alias("words")).crossJoin(F.broadcast(words))
-    kept = split.select("doc", F.size("words").cast("long").alias("dl"), F.explode(F.filter("words", lambda w: F.array_contains("asked", w))).alias("term"))
-    return kept.groupBy("doc", "term", "dl").agg(F.count("*").alias("tf"))
+    """Postings of query terms only, with documents' lengths: words are counted within each document, then joined with the terms."""
+    return postings(rows, key, text).join(terms.select("term").distinct(), "term", "left_semi")
 
 
 def bm25(rows: DataFrame, key: str, text: Column, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:

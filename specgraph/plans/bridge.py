@@ -58,9 +58,14 @@ VIEWS: dict[str, str] = {
 }
 
 
-def tables(spark: SparkSession, sf_dir: str) -> None:
-    """The base tables as temporary views."""
-    for name in BASE:
+def words(sql: str) -> set[str]:
+    return set(sql.replace("(", " ").replace(")", " ").replace(",", " ").split())
+
+
+def tables(spark: SparkSession, sf_dir: str, sql: str | None = None) -> None:
+    """The base tables as temporary views; only those that a text names, if one is given."""
+    named = set(BASE) if sql is None else words(sql)
+    for name in (n for n in BASE if n in named):
         spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
 
 
@@ -71,7 +76,7 @@ def needed(sql: str) -> list[str]:
     while todo:
         text = todo.pop()
         for name, body in VIEWS.items():
-            if name not in found and any(w == name for w in text.replace("(", " ").replace(")", " ").replace(",", " ").split()):
+            if name not in found and name in words(text):
                 found.add(name)
                 todo.append(body)
     return [name for name in VIEWS if name in found]
@@ -79,9 +84,9 @@ def needed(sql: str) -> list[str]:
 
 def frame(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """A view by name, or any SQL over views and base tables."""
-    tables(spark, sf_dir)
-    text = f"SELECT * FROM {sql}" if sql in VIEWS else sql
-    return spark.sql(with_views(text))
+    text = with_views(f"SELECT * FROM {sql}" if sql in VIEWS else sql)
+    tables(spark, sf_dir, text)
+    return spark.sql(text)
 
 
 def with_views(sql: str, recursive: bool = False) -> str:
