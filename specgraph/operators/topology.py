@@ -8,10 +8,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Path lengths of a site are found from every node; above this many nodes they are left null (the work grows with nodes times edges).
-MOST_NODES = 5000
+from specgraph.operators.walk import components, shared_checkpoint
 
-METRICS = "site_id string, n_nodes long, n_edges long, n_components long, connected boolean, diameter long, avg_path double, bridges string, cut_nodes string"
+WEAK = "site_id string, n_nodes long, n_edges long, n_components long, connected boolean, bridges string, cut_nodes string"
+#: Nodes whose distances one task finds: the searches of a large site are spread over many tasks.
+STARTS = 256
 
 
 def simple_edges(edges: DataFrame) -> DataFrame:
@@ -73,32 +74,68 @@ def weak_points(near: dict[int, list[int]]) -> tuple[list[tuple[int, int]], list
     return sorted(bridges), sorted(cuts)
 
 
-def _analyse(key: tuple, nodes: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
+def _weak(key: tuple, nodes: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
     names = sorted(set(nodes["node"]) | set(edges["u"]) | set(edges["v"]))
     near = adjacency(names, list(zip(edges["u"], edges["v"], strict=True)))
     left, components = set(names), 0
     while left:
         left -= distances(near, next(iter(left))).keys()
         components += 1
-    diameter, average = None, None
-    if components == 1 and len(names) <= MOST_NODES:
-        reach = [distances(near, n) for n in names]
-        diameter = max(max(r.values()) for r in reach)
-        pairs = len(names) * (len(names) - 1)
-        average = round(sum(sum(r.values()) for r in reach) / pairs, 2) if pairs else 0.0
     bridges, cuts = weak_points(near)
-    return pd.DataFrame([[key[0], len(names), len(edges), components, components == 1, diameter, average, ",".join(f"{u}-{v}" for u, v in bridges), ",".join(map(str, cuts))]], columns=[x.split()[0] for x in METRICS.split(", ")])
+    return pd.DataFrame([[key[0], len(names), len(edges), components, components == 1, ",".join(f"{u}-{v}" for u, v in bridges), ",".join(map(str, cuts))]], columns=[x.split()[0] for x in WEAK.split(", ")])
+
+
+def _reach(key: tuple, starts: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
+    near = adjacency(list(starts["node"]), list(zip(edges["u"], edges["v"], strict=True)))
+    found = [distances(near, n) for n in starts["node"]]
+    return pd.DataFrame([[key[0], max((max(r.values()) for r in found), default=0), sum(sum(r.values()) for r in found)]], columns=["site_id", "far", "steps"])
+
+
+def path_lengths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(site_id, diameter, avg_path) of sites that are connected, for any number of nodes.
+
+    The nodes of a site are dealt into blocks of about ``STARTS``; a task has one block and the site's links, so that its memory grows
+    with the links and the number of tasks with the nodes. A site of one node has zeros.
+    """
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / STARTS)).cast("long")
+    sizes = nodes.groupBy("site_id").agg(F.count("*").alias("n"))
+    starts = nodes.join(sizes, "site_id").select("site_id", "node", "n", F.pmod(F.xxhash64("node"), blocks).alias("block"))
+    copies = starts.select("site_id", "block").distinct().join(edges, "site_id").select(F.col("site_id").alias("of"), F.col("block").alias("part"), "u", "v")
+    found = starts.groupBy("site_id", "block").cogroup(copies.groupBy("of", "part")).applyInPandas(_reach, "site_id string, far long, steps long")
+    sums = found.groupBy("site_id").agg(F.max("far").alias("diameter"), F.sum("steps").alias("steps")).join(sizes, "site_id")
+    pairs = F.col("n") * (F.col("n") - 1)
+    return sums.select("site_id", "diameter", F.when(pairs > 0, F.round(F.col("steps") / pairs, 2)).otherwise(0.0).alias("avg_path"))
+
+
+def _whole(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(site_id, node): the nodes given and the ends of links, each once."""
+    return nodes.select("site_id", "node").union(pairs.select("site_id", "u")).union(pairs.select("site_id", "v")).distinct()
 
 
 def site_metrics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Counts, components, diameter, average path, bridges and cut nodes of every site; a site is one group, as large as one network."""
-    return nodes.groupBy("site_id").cogroup(simple_edges(edges).groupBy("site_id")).applyInPandas(_analyse, METRICS)
+    """Counts, components, diameter, average path, bridges and cut nodes of every site.
+
+    Bridges and cut nodes need one walk over a site, so a task holds the links of one site (one network); path lengths, whose work grows
+    with nodes times links, are spread (``path_lengths``) and null where a site is not connected.
+    """
+    pairs = simple_edges(edges)
+    weak = shared_checkpoint(nodes.groupBy("site_id").cogroup(pairs.groupBy("site_id")).applyInPandas(_weak, WEAK))
+    joined = weak.where("connected").select("site_id")
+    paths = path_lengths(_whole(nodes, pairs).join(joined, "site_id", "left_semi"), pairs.join(joined, "site_id", "left_semi"))
+    return weak.join(paths, "site_id", "left").select("site_id", "n_nodes", "n_edges", "n_components", "connected", "diameter", "avg_path", "bridges", "cut_nodes")
+
+
+def site_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(site_id, n_nodes, n_edges, n_components, connected) by joins and counts, for sites of any size: no task holds a site."""
+    pairs = simple_edges(edges)
+    parts = site_components(_whole(nodes, pairs), edges)
+    own = parts.groupBy("site_id", "component").agg(F.count("*").alias("n")).groupBy("site_id").agg(F.sum("n").alias("n_nodes"), F.count("*").alias("n_components"))
+    links = pairs.groupBy("site_id").agg(F.count("*").alias("n_edges"))
+    return own.join(links, "site_id", "left").select("site_id", "n_nodes", F.coalesce("n_edges", F.lit(0)).alias("n_edges"), "n_components", (F.col("n_components") == 1).alias("connected"))
 
 
 def site_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(site_id, node, component) for graphs of any size: smallest reachable node, by rounds of joins over the whole table."""
-    from specgraph.operators.walk import components
-
     labelled = components(simple_edges(edges).select(F.concat_ws("/", "site_id", F.lpad(F.col("u").cast("string"), 20, "0")).alias("a"), F.concat_ws("/", "site_id", F.lpad(F.col("v").cast("string"), 20, "0")).alias("b")))
     own = nodes.select("site_id", "node", F.concat_ws("/", "site_id", F.lpad(F.col("node").cast("string"), 20, "0")).alias("id"))
     named = own.join(labelled.withColumnRenamed("node", "id"), "id", "left").select("site_id", "node", F.coalesce("root", "id").alias("root"))

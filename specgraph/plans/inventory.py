@@ -152,11 +152,24 @@ def ta_1_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM (SELECT site_id, count(*) AS n_nodes, count(DISTINCT component) AS n_components FROM c GROUP BY site_id) n LEFT JOIN (SELECT site_id, count(*) AS n_edges FROM e GROUP BY site_id) m ON m.site_id = n.site_id"""
 )
 def ta_1_site_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """TA-1, by the grouped helper."""
-    return ta_2_3_site_paths(spark, sf_dir).select("site_id", "n_nodes", "n_edges", "n_components", "connected")
+    """TA-1, for sites of any size."""
+    return topology.site_counts(frame(spark, sf_dir, "b_site_node"), frame(spark, sf_dir, "b_site_edge"))
 
 
 @query()
 def ta_2_3_site_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TA-2, TA-3: diameter, average path, bridges and cut nodes; tests/ compares them with removal of each edge and node."""
     return topology.site_metrics(frame(spark, sf_dir, "b_site_node"), frame(spark, sf_dir, "b_site_edge"))
+
+
+#: Every site as a ring of its customers.
+RING = """SELECT CAST(c_nationkey AS STRING) AS site_id, CAST(c_custkey AS BIGINT) AS u, CAST(coalesce(lead(c_custkey) OVER (PARTITION BY c_nationkey ORDER BY c_custkey), min(c_custkey) OVER (PARTITION BY c_nationkey)) AS BIGINT) AS v FROM customer"""
+
+
+@query(
+    """SELECT site_id, n AS n_nodes, CASE WHEN n > 2 THEN n ELSE n - 1 END AS n_edges, 1::BIGINT AS n_components, true AS connected, (n // 2)::BIGINT AS diameter,
+    CASE WHEN n = 1 THEN 0.0 WHEN n % 2 = 0 THEN round(n * n / (4.0 * (n - 1)), 2) ELSE (n + 1) / 4.0 END::DOUBLE AS avg_path FROM (SELECT site_id, count(*) AS n FROM b_site_node GROUP BY site_id) x"""
+)
+def ta_2_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TA-1, TA-2: path lengths of connected sites: rings, whose lengths a formula gives."""
+    return topology.site_metrics(frame(spark, sf_dir, "b_site_node"), frame(spark, sf_dir, RING)).drop("bridges", "cut_nodes")

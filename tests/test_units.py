@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from specgraph.functions import jsonwalk
-from specgraph.operators import audit, merge, projection, search, specs, topology, walk
+from specgraph.functions.shapes import shape_hash
+from specgraph.operators import audit, merge, models, projection, search, specs, topology, walk
 from specgraph.plans import discovery, registry  # noqa: F401
 from specgraph.plans import sources as source_plans  # noqa: F401
 from specgraph.sources import documents, sinks
@@ -230,3 +231,50 @@ def test_keyword_reaches_endpoints_that_only_return_a_component(spark):
     found = {tuple(r) for r in registry.QUERIES["tk_4_keyword_to_any_endpoint"](spark, f"{DATA}/sf0.001").select("property_id", "eid").collect()}
     bodies = {tuple(r) for r in registry.QUERIES["tk_4_keyword_to_endpoint"](spark, f"{DATA}/sf0.001").select("property_id", "eid").collect()}
     assert bodies < found and any(eid and eid.startswith("GET:") for _, eid in found) and not any(eid.startswith("GET:") for _, eid in bodies)
+
+
+def test_path_lengths_in_blocks(spark, monkeypatch):
+    """Distances do not depend on how starts are dealt, and no size leaves them out."""
+    monkeypatch.setattr(topology, "STARTS", 2)
+    pairs = [(i, i + 1) for i in range(40)] + [(0, 17), (5, 33), (21, 40)]
+    near = topology.adjacency(list(range(41)), pairs)
+    far = [topology.distances(near, n) for n in range(41)]
+    nodes = spark.createDataFrame([("a", i) for i in range(41)] + [("b", 1)], "site_id string, node long")
+    edges = spark.createDataFrame([("a", u, v) for u, v in pairs] + [("b", 1, 1)], "site_id string, u long, v long")
+    got = {r["site_id"]: r for r in topology.site_metrics(nodes, edges).collect()}
+    assert got["a"]["diameter"] == max(max(f.values()) for f in far)
+    assert got["a"]["avg_path"] == pytest.approx(round(sum(sum(f.values()) for f in far) / (41 * 40), 2))
+    assert (got["b"]["diameter"], got["b"]["avg_path"]) == (0, 0.0)
+    assert {r["site_id"]: (r["n_nodes"], r["n_edges"], r["connected"]) for r in topology.site_counts(nodes, edges).collect()} == {"a": (41, 43, True), "b": (1, 0, True)}
+
+
+@pytest.mark.parametrize("cap", [0, 5, 23, 1000])
+def test_byte_budget_from_coarse_to_fine(spark, cap):
+    rows = [(q, at, "x" * (abs(at or 0) * 7 % 5)) for q in ("p", None) for at in (None, -450, -21, -3, 0, 1, 2, 8, 9, 27, 99, 350)] + [("one", 1, None)]
+    df = spark.createDataFrame(rows, "q string, at long, t string")
+    want = {}
+    for q in ("p", None, "one"):
+        own = sorted((r for r in rows if r[0] == q), key=lambda r: (r[1] is not None, r[1] or 0))
+        sums = [sum(len(r[2] or "") for r in own[: i + 1]) for i in range(len(own))]
+        want[q] = (sum(s <= cap for s in sums), sum(s > cap for s in sums))
+    assert {r["q"]: (r["kept"], r["dropped"]) for r in audit.byte_budget(df, "q", "at", audit.F.col("t"), cap, width=4).collect()} == want
+
+
+def test_shapes_leave_prose_out():
+    assert shape_hash('{"type":"object","title":"a","items":[{"description":"b","x":1}]}') == shape_hash('{"items":[{"x":1}],"type":"object"}') != shape_hash('{"type":"object"}')
+    assert shape_hash(None) == shape_hash("") == shape_hash("[1]") == shape_hash("{") == ""
+
+
+def test_models_of_owned_unowned_and_unnamed_nodes(spark):
+    nodes = spark.createDataFrame(
+        [("s1", "SchemaComponent", "My Pool", "", "/s1"), ("s2", "SchemaComponent", "", None, "/s2"), ("p1", "Property", "--", "", "/p1"), ("p2", "Property", "b", "", "/p2"), ("p3", "Property", "c", "/m:x", "/p3"), ("/m:x", "YangPath", "", "", "")],
+        "id string, kind string, label string, yang_path string, pointer string",
+    )
+    edges = spark.createDataFrame([("HAS_PROPERTY", "s1", "p1"), ("HAS_PROPERTY", "s2", "p1"), ("HAS_PROPERTY", "gone", "p2"), ("COMPOSED_OF", "s1", "s2"), ("COMPOSED_OF", "s1", "gone")], "kind string, a string, b string")
+    assert {r["node"]: r["model"] for r in models.models_of(nodes, edges).collect()} == {
+        "s1": "schema:my-pool", "s2": "schema-pointer:/s2", "p1": "schema:my-pool.property:unnamed", "p2": "property-pointer:/p2", "p3": "yang:/m:x",
+    }
+    got = {tuple(r) for r in models.model_edges(nodes, edges).where("kind NOT IN ('REPRESENTS_MODEL')").collect()}
+    assert got == {("MODEL_HAS_PROPERTY", "schema:my-pool", "schema:my-pool.property:unnamed"), ("MODEL_AT_YANG", "yang:/m:x", "/m:x"), ("MODEL_COMPOSED_OF", "schema:my-pool", "schema-pointer:/s2")}
+    empty = {r["name"]: (r["n"], r["total"], r["ratio"]) for r in models.semantic_metrics(nodes.select("id", "kind").limit(0), edges.limit(0), nodes.select("id").limit(0)).collect()}
+    assert len(empty) == 19 and set(empty.values()) == {(0, 0, 0.0)}
