@@ -250,6 +250,28 @@ def pr_1_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return specs.endpoint_projections(documents(spark, sf_dir)).select("source", "method", "path", "n_components", "required")
 
 
+_GONE = "CASE WHEN p.flag = 'N' THEN 'Gone' ELSE 'S' END || CAST(p.sup AS STRING)"
+_REFS = f"""'"#/components/schemas/' || {_GONE} || '"' || CASE WHEN p.flag = 'N' THEN ',"#/components/schemas/S' || CAST(p.sup AS STRING) || '"' ELSE '' END"""
+_SCHEMA = """'{"$ref":"#/components/schemas/P' || CAST(l.part AS STRING) || '"}'"""
+_SUPPLIER = """'"S' || CAST(p.sup AS STRING) || '":{"type":"string","enum":["a","b"]}'"""
+_GONE_ENTRY = "CASE WHEN p.flag = 'N' THEN '\"Gone' || CAST(p.sup AS STRING) || '\":{0},' ELSE '' END"
+
+
+@query(
+    f"""SELECT {SOURCE.replace("CAST(o ", "CAST(l.o ")} AS source, upper(l.method) AS method, l.path, '{{"method":"' || upper(l.method) || '","path":"' || l.path || '","summary":"flag ' || l.flag || '","operation_id":"op_' || CAST(l.part AS STRING) || '_' || CAST(l.n AS STRING) || '","tags":[],"deprecated":'
+    || CASE WHEN l.flag = 'R' THEN 'true' ELSE 'false' END || ',"parameters":[{{"name":"limit","in":"query","required":true,"schema":{{"type":"integer","default":"5"}}}},{{"name":"since' || CAST(l.n % 2 AS STRING) || '","in":"query","required":' || CASE WHEN l.qty > 25 THEN 'true' ELSE 'false' END
+    || ',"schema":{{"type":"string","format":"date-time"}}}}],"request_body":' || CASE WHEN l.method = 'get' THEN 'null' ELSE '{{"content_type":"application/json","schema":' || {_SCHEMA} || ',"required":false}}' END || ',"responses":{{"200":{{"schema":' || {_SCHEMA} || '}}}},"components":{{'
+    || {_GONE_ENTRY.format("{}")} || '"P' || CAST(l.part AS STRING) || '":{{"type":"object"' || CASE WHEN p.qty > 25 THEN ',"required":["qty","sup"]' ELSE '' END || ',"refs":[' || {_REFS} || ']}},' || {_SUPPLIER} || '}}}}' AS skeleton,
+    '{{' || {_GONE_ENTRY.format("null")} || '"P' || CAST(l.part AS STRING) || '":{{"type":"object","_id":1,' || CASE WHEN p.qty > 25 THEN '"required":["qty","sup"],' ELSE '' END || '"properties":{{"qty":{{"type":"integer","readOnly":' || CASE WHEN p.flag = 'A' THEN 'true' ELSE 'false' END || ',"format":"const","x-path":"/m'
+    || CAST(l.part % 4 AS STRING) || ':top/qty"}},"sup":{{"$ref":"#/components/schemas/' || {_GONE} || '"}},"all":{{"type":"array","items":{{"$ref":"#/components/schemas/S' || CAST(p.sup AS STRING) || '"}}}}}}}},' || {_SUPPLIER} || '}}' AS components,
+    '{{"operation":{{"summary":"flag ' || l.flag || '","responses":{{"200":{{"description":"fine"}}}}}},"components":{{}}}}' AS glossary
+    FROM (SELECT *, {METHOD} AS method, {PATH} AS path FROM ({LINES}) x) l JOIN ({PARTS}) p ON p.o = l.o AND p.part = l.part"""
+)
+def pr_2_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PR-1..4, PR-6: skeleton, components and glossary of every operation, as written."""
+    return specs.endpoint_projections(documents(spark, sf_dir)).select("source", "method", "path", "skeleton", "components", "glossary")
+
+
 PID = f"{PROVIDER} || ':schemas:P' || CAST(part AS STRING)"
 
 

@@ -103,6 +103,19 @@ def test_projections_of_one_operation():
     assert looped["properties"]["self"]["properties"]["self"] == {"$circular_ref": True}
 
 
+def test_skeleton_keeps_one_success_and_the_first_referenced_error():
+    spec = {
+        "paths": {"/a": {"get": {"summary": "s", "parameters": [{"$ref": "#/components/parameters/q"}, "bad"], "responses": {
+            "299": {"description": "no"}, "400": {"description": "inline"}, "404": {"$ref": "#/components/responses/E"}, "201": {"$ref": "#/components/responses/Made"}, "500": {"$ref": "#/components/responses/F"}}}}},
+        "components": {"parameters": {"q": {"name": "q", "in": "query", "description": "d", "schema": {"type": "string"}}}, "responses": {"Made": {"content": {"application/json": {"schema": {"type": "object", "description": "d"}}}}, "E": {"description": "e"}}},
+    }
+    got = jsonwalk.projections(spec, "/a", "get")["skeleton"]
+    assert got["responses"] == {"201": {"schema": {"type": "object"}}, "error": {"status": "404", "$ref": "#/components/responses/E"}}
+    assert got["parameters"] == [{"name": "q", "in": "query", "required": False, "schema": {"type": "string"}}]
+    assert (got["summary"], got["request_body"], got["components"]) == ("s", None, {"E": {}})
+    assert jsonwalk.projections({"paths": {"/a": {"get": {"responses": None, "parameters": None}}}}, "/a", "get")["skeleton"]["responses"] == {}
+
+
 def test_rows_of_a_document(spark):
     docs = corpus(spark, SPEC, "[1]", "{broken", None)
     ast, rows = specs.flatten(docs), specs.spec_rows(docs)
