@@ -131,3 +131,90 @@ def assignments(profiles: DataFrame, scopes: dict[str, DataFrame]) -> DataFrame:
     for kind, table in scopes.items():
         out = out.unionByName(profiles.where(F.col("scope_kind") == kind).join(table.select(F.col("id").alias("scope_id")), "scope_id", "left_semi").select("profile_id", "scope_kind", "scope_id"))
     return out
+
+
+#: Columns of inventory tables: type, value where no row gives one (None: stays null), names to look under, first one first. The feeds' field names.
+FIELDS: dict[str, dict[str, tuple[str, object, tuple[str, ...]]]] = {
+    "collection": {"id": ("string", None, ("id", "scopeId")), "name": ("string", "", ("scopeName", "name")), "site_count": ("long", 0, ("siteCount", "site_count")), "device_count": ("long", 0, ("deviceCount", "device_count"))},
+    "site": {
+        "id": ("string", None, ("id", "scopeId")), "name": ("string", "", ("scopeName", "name")), "address": ("string", "", ("address",)), "city": ("string", "", ("city",)), "country": ("string", "", ("country",)),
+        "state": ("string", "", ("state",)), "zipcode": ("string", "", ("zipcode",)), "lat": ("double", 0.0, ("latitude", "lat")), "lon": ("double", 0.0, ("longitude", "lon")), "device_count": ("long", 0, ("deviceCount", "device_count")),
+        "collection_id": ("string", "", ("collectionId", "collection_id")), "collection_name": ("string", "", ("collectionName", "collection_name")), "timezone": ("string", "", ("timezone",)),
+    },
+    "group": {"id": ("string", None, ("id", "scopeId")), "name": ("string", "", ("scopeName", "name")), "device_count": ("long", 0, ("deviceCount", "device_count"))},
+    "device": {
+        "serial": ("string", None, ("serialNumber", "serial")), "name": ("string", "", ("deviceName", "name")), "mac": ("string", "", ("macAddress", "mac")), "model": ("string", "", ("model",)), "device_type": ("string", "", ("deviceType", "device_type")),
+        "status": ("string", "", ("status",)), "ipv4": ("string", "", ("ipv4", "ip_address")), "firmware": ("string", "", ("firmwareVersion", "firmware")), "persona": ("string", "", ("persona",)), "device_function": ("string", "", ("deviceFunction", "device_function")),
+        "site_id": ("string", "", ("siteId", "site_id")), "site_name": ("string", "", ("siteName", "site_name")), "part_number": ("string", "", ("partNumber", "part_number")), "deployment": ("string", "", ("deployment",)), "config_status": ("string", "", ("configStatus", "config_status")),
+        "group_id": ("string", "", ("deviceGroupId",)), "group_name": ("string", "", ("deviceGroupName",)),
+    },
+    "profile": {
+        "id": ("string", None, ("id", "name")), "name": ("string", None, ("name", "id")), "scope_id": ("string", "", ("scopeId", "scope_id")), "device_function": ("string", "", ("deviceFunction", "device_function")), "object_type": ("string", "", ("objectType", "object_type")),
+        "is_default": ("boolean", False, ("isDefault", "is_default")), "is_editable": ("boolean", True, ("isEditable", "is_editable")), "device_scope_only": ("boolean", False, ("deviceScopeOnly", "device_scope_only")),
+        "assigned_scope_ids": ("string", "[]", ("assignedScopeIds", "assigned_scope_ids")), "assigned_device_functions": ("string", "[]", ("assignedDeviceFunctions", "assigned_device_functions")),
+    },
+    "port": {
+        "number": ("long", 0, ("port_number",)), "name": ("string", "", ("name",)), "admin_status": ("string", "", ("admin_status",)), "oper_status": ("string", "", ("oper_status",)), "speed": ("string", "", ("speed",)),
+        "duplex": ("string", "", ("duplex",)), "type": ("string", "", ("type",)), "vlan_id": ("long", 0, ("vlan_id",)), "poe_status": ("string", "", ("poe_status",)),
+    },
+    "radio": {
+        "number": ("long", 0, ("index",)), "band": ("string", "", ("band",)), "channel": ("long", 0, ("channel",)), "tx_power": ("double", 0.0, ("tx_power",)), "client_count": ("long", 0, ("client_count",)),
+        "noise_floor": ("double", 0.0, ("noise_floor",)), "utilization": ("double", 0.0, ("utilization",)), "mode": ("string", "", ("radio_mode",)),
+    },
+    "client": {
+        "mac": ("string", None, ("macaddr",)), "name": ("string", "", ("name",)), "ip": ("string", "", ("ip_address",)), "os": ("string", "", ("os_type",)), "connection": ("string", "", ("connection_type",)),
+        "signal_db": ("double", 0.0, ("signal_db",)), "snr": ("double", 0.0, ("snr",)), "speed_mbps": ("double", 0.0, ("speed_mbps",)), "device": ("string", "", ("associated_device",)),
+    },
+}
+
+
+def landed(items: DataFrame, table: str, item: str = "item") -> DataFrame:
+    """The columns of an inventory table beside those of the feed, read from each row's JSON item: first name that is filled, else the table's value.
+
+    A number as an id becomes text; a list becomes its JSON text; a site's timezone may be text or an object with an id. An item that is no
+    JSON object fills nothing, so a table with a key loses it in ``upsert``.
+    """
+    fields = FIELDS[table]
+    sources = sorted({s for _, _, names in fields.values() for s in names})
+    read = items.withColumn("_read", F.from_json(item, ", ".join(f"`{s}` string" for s in sources)))
+    columns = []
+    for name, (kind, default, names) in fields.items():
+        found = [F.col("_read").getField(s).try_cast(kind) for s in names]
+        if name == "timezone":
+            zone = F.get_json_object(found[0], "$.timezoneId")
+            found = [F.when(found[0].startswith("{"), zone).otherwise(found[0])]
+        columns.append(F.coalesce(*found, F.lit(default).cast(kind)).alias(name))
+    rest = [c for c in items.columns if c != item and c not in fields]
+    return read.select(*rest, *columns)
+
+
+def scope_rows(items: DataFrame, table: str, order: str, site: str | None = None, group: str | None = None) -> DataFrame:
+    """Latest row of each collection, site, group or device with an id; ``site`` and ``group`` keep one site's or group's rows only."""
+    rows = landed(items, table)
+    of_site, of_group = {"site": "id", "device": "site_id"}.get(table), {"group": "id", "device": "group_id"}.get(table)
+    if site and of_site:
+        rows = rows.where(F.col(of_site) == site)
+    if group and of_group:
+        rows = rows.where(F.col(of_group) == group)
+    return upsert(rows, "serial" if table == "device" else "id", order).drop(order)
+
+
+def profile_rows(items: DataFrame, category: str, order: str) -> DataFrame:
+    """Latest row of each profile; its id is {category}:{id or name}."""
+    rows = landed(items, "profile").withColumn("id", F.when(F.col("id") != "", F.concat_ws(":", F.lit(category), "id")))
+    return upsert(rows, "id", order).drop(order)
+
+
+def part_rows(items: DataFrame, table: str, serial: str, order: str) -> DataFrame:
+    """Latest row of each port or radio; its id is {serial}:{number}."""
+    return upsert(landed(items, table).withColumn("id", F.concat_ws(":", serial, F.col("number").cast("string"))), "id", order).drop(order)
+
+
+def client_rows(items: DataFrame, order: str) -> DataFrame:
+    """Latest row of each client with a mac."""
+    return upsert(landed(items, "client"), "mac", order).drop(order)
+
+
+def client_edges(clients: DataFrame, devices: DataFrame) -> DataFrame:
+    """(kind, a, b): device to client, where the device is known."""
+    return clients.where("device <> ''").join(devices.select(F.col("serial").alias("device")).distinct(), "device", "left_semi").select(F.lit("HAS_CLIENT").alias("kind"), F.col("device").alias("a"), F.col("mac").alias("b"))

@@ -200,20 +200,20 @@ def parameter_rows(ast: DataFrame, endpoints: DataFrame) -> DataFrame:
 
 
 def media_rows(ast: DataFrame, endpoints: DataFrame) -> DataFrame:
-    """(eid, part, status, media, root_ref): every media type of the body (status empty) and of each response, with its schema's reference."""
-    media = ast.where("kind = 'MediaType'").select("spec_id", "pointer", F.col("key").alias("media"), F.get_json_object("raw", "$.schema.$ref").alias("a"), F.get_json_object("raw", "$.schema['$ref']").alias("b"))
-    media = media.select("spec_id", "pointer", "media", F.coalesce("a", "b", F.lit("")).alias("root_ref"))
+    """(eid, part, status, media, root_ref, ord): every media type of the body (status empty) and of each response, with its schema's reference and its place in the document."""
+    media = ast.where("kind = 'MediaType'").select("spec_id", "pointer", "ord", F.col("key").alias("media"), F.get_json_object("raw", "$.schema.$ref").alias("a"), F.get_json_object("raw", "$.schema['$ref']").alias("b"))
+    media = media.select("spec_id", "pointer", "ord", "media", F.coalesce("a", "b", F.lit("")).alias("root_ref"))
     media = media.withColumn("op", F.regexp_extract("pointer", r"^(/paths/[^/]+/[^/]+)/(?:requestBody|responses)/", 1))
     rows = endpoints.select("eid", "spec_id", F.col("pointer").alias("op")).join(media, ["spec_id", "op"])
     status = F.regexp_extract("pointer", r"^/paths/[^/]+/[^/]+/responses/([^/]+)/", 1)
-    return rows.select("eid", F.when(status == "", "body").otherwise("response").alias("part"), status.alias("status"), "media", "root_ref")
+    return rows.select("eid", F.when(status == "", "body").otherwise("response").alias("part"), status.alias("status"), "media", "root_ref", "ord")
 
 
 def main_media(rows: DataFrame) -> DataFrame:
-    """One media type for each body and response: application/json, then merge-patch, then the first by name."""
+    """One media type for each body and response: application/json, then merge-patch, then the first in the document."""
     order = F.when(F.col("media") == "application/json", 0).when(F.col("media") == "application/merge-patch+json", 1).otherwise(2)
-    best = Window.partitionBy("eid", "part", "status").orderBy(order, "media")
-    return rows.withColumn("n", F.row_number().over(best)).where("n = 1").drop("n")
+    best = Window.partitionBy("eid", "part", "status").orderBy(order, "ord")
+    return rows.withColumn("n", F.row_number().over(best)).where("n = 1").drop("n", "ord")
 
 
 def body_shape(raw: Column) -> Column:

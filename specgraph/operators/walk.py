@@ -8,15 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def shared_checkpoint(df: DataFrame) -> DataFrame:
-    """The rows, written to the folder of spark.checkpoint.dir (a temporary one only where that is unset and all runs on one machine, as in tests)."""
-    spark: SparkSession = df.sparkSession
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, that of spark.checkpoint.dir (a temporary one only where that is unset and all runs on one machine, as in tests)."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         named = sc.getConf().get("spark.checkpoint.dir")
         if not named and not sc.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="specgraph-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def shared_checkpoint(df: DataFrame) -> DataFrame:
+    """The rows, written to the checkpoint folder."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -191,11 +191,12 @@ def ag_17_sync_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.sync_health(frame(spark, sf_dir, FETCH))
 
 
-@query(
-    f"""{WITH_GRAPH}, i AS (SELECT sum(n) = 0 AS ok FROM ({ALL_OFFENDERS}) x), p AS (SELECT sum(CASE WHEN r.key IS NULL THEN 1 ELSE 0 END) = 0 AS ok FROM ({LEFT}) l LEFT JOIN ({RIGHT}) r ON r."check" = l."check" AND r.key = l.key),
+GATES = f"""{WITH_GRAPH}, i AS (SELECT sum(n) = 0 AS ok FROM ({ALL_OFFENDERS}) x), p AS (SELECT sum(CASE WHEN r.key IS NULL THEN 1 ELSE 0 END) = 0 AS ok FROM ({LEFT}) l LEFT JOIN ({RIGHT}) r ON r."check" = l."check" AND r.key = l.key),
     t AS (SELECT count(*) = 0 AS ok FROM b_body WHERE root_id NOT IN (SELECT id FROM b_component))
     SELECT i.ok AND t.ok AS passed, p.ok AS parity_passed, i.ok AS invariants_passed, t.ok AS traversal_passed, p.ok AND i.ok AND t.ok AS default_flip_ready FROM i, p, t""".replace("AS check", 'AS "check"')
-)
+
+
+@query(GATES)
 def ag_18_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AG-10, AG-18: release and switch-over gates from invariants, parity and dangling bodies."""
     invariants = ag_9_invariants(spark, sf_dir).agg((F.sum("n") == 0).alias("invariants_passed"))

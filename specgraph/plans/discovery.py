@@ -217,6 +217,21 @@ def jn_25_suggest_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return discover.suggest_paths(unknown, known)
 
 
+PIECES = "SELECT path, segment, row_number() OVER (PARTITION BY path ORDER BY length(segment) DESC, pos) AS n FROM (SELECT path, unnest(string_split(path, '/')) AS segment, generate_subscripts(string_split(path, '/'), 1) AS pos FROM"
+
+
+@query(
+    f"""WITH u AS (SELECT DISTINCT path FROM b_call WHERE path NOT IN (SELECT path FROM b_endpoint)), l AS (SELECT path, segment, n FROM ({PIECES} u) y WHERE segment <> '' AND NOT regexp_matches(segment, '^v[0-9]+([a-z]+[0-9]*)?$', 'i')) z WHERE n <= 3 AND length(segment) >= 3),
+    k AS (SELECT segment, method, path AS suggestion FROM (SELECT s.segment, e.method, e.path, row_number() OVER (PARTITION BY s.segment ORDER BY length(e.path), e.path, e.method) AS k FROM (SELECT DISTINCT segment FROM l) s JOIN (SELECT DISTINCT method, path FROM b_endpoint) e ON contains(e.path, s.segment)) x WHERE k <= 5)
+    SELECT path, "rank", method, suggestion FROM (SELECT path, method, suggestion, row_number() OVER (PARTITION BY path ORDER BY n, length(suggestion), suggestion, method)::INT AS "rank" FROM (SELECT l.path, k.method, k.suggestion, min(l.n) AS n FROM l JOIN k ON k.segment = l.segment GROUP BY ALL) w) v WHERE "rank" <= 5"""
+)
+def jn_25_suggest_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JN-25: endpoints whose paths contain a segment, also inside a longer one."""
+    known = frame(spark, sf_dir, "b_endpoint")
+    unknown = frame(spark, sf_dir, "b_call").select("path").distinct().join(known.select("path"), "path", "left_anti")
+    return discover.suggest_endpoints(unknown, known)
+
+
 @query(
     """SELECT eid, score FROM (SELECT eid, ord, CASE WHEN contains(path, 'eco') THEN 3 ELSE 0 END + CASE WHEN contains(lower(summary), 'eco') THEN 2 ELSE 0 END + CASE WHEN contains(operation_id, 'eco') THEN 2 ELSE 0 END
     + CASE WHEN contains(tag, 'eco') THEN 2 ELSE 0 END + CASE WHEN contains(lower(category), 'eco') THEN 1 ELSE 0 END AS s1, CASE WHEN contains(path, '-1') THEN 3 ELSE 0 END + CASE WHEN contains(lower(summary), '-1') THEN 2 ELSE 0 END

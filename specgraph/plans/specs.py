@@ -82,6 +82,49 @@ def cl_1_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return specs.spec_rows(cleaned).select("spec_id", "source").join(counts, "spec_id").drop("spec_id")
 
 
+NOISY = """SELECT p_partkey AS k, CAST(p_partkey AS STRING) AS t, p_size AS size, p_partkey % 2 = 0 AS even, p_partkey % 3 AS m FROM part"""
+_PAIR = "CASE m WHEN 0 THEN 'Use either p1 or p2.' WHEN 1 THEN 'Either p1 or p9, or else p2' ELSE 'EITHER p2 OR p1 and either p1 or p2' END"
+_RAW = f"""'{{"b":{{"_x":' || t || ',"type":"integer","default":"' || t || '","format":"' || CASE WHEN even THEN 'const' ELSE 'int64' END || '","maxLength":' || CASE WHEN m = 0 THEN '9999' ELSE '999' END || ',"description":" d' || t || ' ","x-typeDescription":"' || CASE WHEN even THEN 'd' ELSE 'e' END || t || '"}},"_gone":{{"a":1}},'
+    || '"a":[{{"type":"boolean","default":"' || CASE m WHEN 0 THEN 'True' WHEN 1 THEN '0' ELSE 'maybe' END || '","x-patternSources":' || CASE WHEN even THEN '[1,2,3,4,5]' ELSE '[1,2,3,4]' END || '}},{{"type":"integer","default":"x' || t || '"}},{{"type":"string","default":"' || t || '"}}],"c":{{"description":"' || {_PAIR} || '","properties":{{"p1":{{}},"p2":{{"_y":[]}}}}}}}}'"""
+_CLEAN_B = """'"b":{"type":"integer","default":' || t || CASE WHEN even THEN '' ELSE ',"format":"int64"' END || CASE WHEN m = 0 THEN '' ELSE ',"maxLength":999' END || ',"description":" d' || t || ' "' || CASE WHEN even THEN '' ELSE ',"x-typeDescription":"e' || t || '"' END || '}'"""
+_CLEAN_A = """'"a":[{"type":"boolean","default":' || CASE m WHEN 0 THEN 'true' WHEN 1 THEN 'false' ELSE '"maybe"' END || CASE WHEN even THEN '' ELSE ',"x-patternSources":[1,2,3,4]' END || '},{"type":"integer","default":"x' || t || '"},{"type":"string","default":"' || t || '"}]'"""
+_CLEAN_C = f"""'"c":{{"description":"' || {_PAIR} || '","properties":{{"p1":{{}},"p2":{{}}}}' || CASE m WHEN 0 THEN ',"x-mutually-exclusive":[["p1","p2"]]' WHEN 1 THEN '' ELSE ',"x-mutually-exclusive":[["p2","p1"],["p1","p2"]]' END || '}}'"""
+
+
+def noisy_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(spec_source, source, title, raw): a document per part, with all that cleaning takes away, changes and adds."""
+    return frame(spark, sf_dir, f"SELECT 'made' AS spec_source, t AS source, 'noise' AS title, {_RAW} AS raw FROM ({NOISY}) x")
+
+
+@query(f"SELECT t AS source, '{{' || {_CLEAN_B} || ',' || {_CLEAN_A} || ',' || {_CLEAN_C} || '}}' AS raw FROM ({NOISY}) x")
+def cl_2_cleaned_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CL-1..4: whole cleaned documents: keys and noise gone, defaults typed where they convert, pairs that exclude each other named."""
+    return specs.clean(noisy_documents(spark, sf_dir)).select("source", "raw")
+
+
+HASHED = "SELECT c_custkey AS k, CAST(c_custkey AS STRING) AS t, c_name AS name FROM customer"
+
+
+@query(f"""SELECT t AS source, sha1('{{"A":"' || name || '","a":[{{"x":null,"y":' || t || '}},true],"b":1.5,"é":{{}}}}') AS content_hash FROM ({HASHED}) x""")
+def cl_8_content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CL-8: hash of the canonical text, whatever the order of keys and the spaces between."""
+    raw = """CASE WHEN k % 2 = 0 THEN '{"b": 1.5, "a": [{"y": ' || t || ', "x": null}, true], "é": {}, "A": "' || name || '"}' ELSE '{"é":{},"A":"' || name || '","b":1.5,"a":[{"x":null,"y":' || t || '},true]}' END"""
+    return specs.spec_rows(frame(spark, sf_dir, f"SELECT 'made' AS spec_source, t AS source, 'h' AS title, {raw} AS raw FROM ({HASHED}) x")).select("source", "content_hash")
+
+
+MEDIA = "SELECT p_partkey AS k, CAST(p_partkey AS STRING) AS t, p_partkey % 4 AS m FROM part"
+
+
+@query(f"""SELECT 'POST:/m/' || t AS eid, 'body' AS part, '' AS status, CASE m WHEN 0 THEN 'text/z' WHEN 1 THEN 'application/json' WHEN 2 THEN 'application/merge-patch+json' ELSE 'b/b' END AS media, CASE m WHEN 1 THEN '#/J' WHEN 2 THEN '#/M' ELSE '#/First' END AS root_ref FROM ({MEDIA}) x""")
+def sg_1_first_media_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SG-1: application/json, then merge-patch, then the first one in the document, whatever its name."""
+    content = """CASE m WHEN 0 THEN '"text/z":{"schema":{"$ref":"#/First"}},"a/a":{"schema":{"$ref":"#/A"}}' WHEN 1 THEN '"a/a":{"schema":{"$ref":"#/A"}},"application/merge-patch+json":{"schema":{"$ref":"#/M"}},"application/json":{"schema":{"$ref":"#/J"}}'
+        WHEN 2 THEN '"a/a":{"schema":{"$ref":"#/A"}},"application/merge-patch+json":{"schema":{"$ref":"#/M"}}' ELSE '"b/b":{"schema":{"$ref":"#/First"}},"a/a":{}' END"""
+    corpus = frame(spark, sf_dir, f"""SELECT 'made' AS spec_source, t AS source, 'm' AS title, '{{"paths":{{"/m/' || t || '":{{"post":{{"requestBody":{{"content":{{' || {content} || '}}}}}}}}}}}}' AS raw FROM ({MEDIA}) x""")
+    ast = shared_checkpoint(specs.flatten(corpus))
+    return specs.main_media(specs.media_rows(ast, specs.endpoint_rows(ast, specs.spec_rows(corpus))))
+
+
 @query(f"SELECT {SOURCE} AS source, true AS same FROM ({LINES}) x GROUP BY o")
 def cl_7_normalise_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CL-5..8: normalising again changes nothing: equal content hashes."""

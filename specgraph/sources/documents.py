@@ -180,16 +180,50 @@ def page_sections(pages: DataFrame, root: str, key: str = "page_id", url: str =
     return pages.select(F.col(key), F.col(url), F.col(html)).mapInArrow(run, f"key {kind}, section_id string, title string, content string, source string").withColumnRenamed("key", key)
 
 
-def response_items(pages: DataFrame, body: str, names: tuple[str, ...] = ("items", "result")) -> DataFrame:
-    """The page's columns but the body, with ``pos`` and ``item`` (JSON) of every item: a list itself, or the first of the named lists, or the object itself if it has a name."""
+def _list(v: Column) -> Column:
+    """A variant that is a list, else null."""
+    return F.when(F.schema_of_variant(v).startswith("ARRAY"), v)
+
+
+def response_items(pages: DataFrame, body: str, names: tuple[str, ...] = ("items", "result"), category: str | None = None) -> DataFrame:
+    """The page's columns but the body, with ``pos`` and ``item`` (JSON) of every item.
+
+    A list is its own items; an object has those of the first named list in it, then of the list that is called like the page's
+    ``category`` column, and is itself the one item if it has a name. Everything else has none.
+    """
     v = F.try_parse_json(body)
-    lists = F.coalesce(F.when(F.schema_of_variant(v).startswith("ARRAY"), v), *[F.try_variant_get(v, f"$.{n}", "variant") for n in names])
-    as_list = F.try_variant_get(lists, "$", "array<variant>")
-    alone = F.when(F.try_variant_get(v, "$.name", "string").isNotNull(), F.array(v))
+    lists = [_list(v), *(_list(F.try_variant_get(v, f"$.{n}", "variant")) for n in names)]
+    if category is not None:
+        # a name from the data is no literal path, so the list is taken by its key from the object's members
+        members = F.expr(f"try_cast(try_variant_get(try_parse_json(`{body}`), '$', 'variant') AS map<string,variant>)")
+        lists.append(_list(F.try_element_at(members, F.col(category))))
+    as_list = F.try_variant_get(F.coalesce(*lists), "$", "array<variant>")
+    alone = F.when(F.try_variant_get(v, "$.name", "variant").isNotNull(), F.array(v))
     rest = [c for c in pages.columns if c != body]
     return pages.select(*rest, F.posexplode(F.coalesce(as_list, alone)).alias("pos", "v")).select(*rest, "pos", F.to_json("v").alias("item"))
 
 
+#: Categories that are asked for where a server does not list its own. Fixed values.
+CATEGORIES = ("wlan-ssids", "sw-port-profiles", "gw-port-profiles", "roles", "server-groups", "ntp", "dns", "snmp")
+
+
+def categories(roots: DataFrame, body: str) -> DataFrame:
+    """The root's columns but the body, with ``pos`` and ``category``: names in a list, or in the list ``categories``, ``items`` or ``result``; entries may be objects with a name or category.
+
+    Blank names are left out; a root without such a list has the fixed ones.
+    """
+    v = F.try_parse_json(body)
+    listed = F.coalesce(_list(v), *(_list(F.try_variant_get(v, f"$.{n}", "variant")) for n in ("categories", "items", "result")))
+
+    def named(e: Column) -> Column:
+        inside = F.coalesce(F.try_variant_get(e, "$.name", "string"), F.try_variant_get(e, "$.category", "string"))
+        return F.when(F.schema_of_variant(e) == "STRING", F.try_variant_get(e, "$", "string")).otherwise(inside)
+
+    own = F.filter(F.transform(F.try_variant_get(listed, "$", "array<variant>"), named), lambda n: n.isNotNull() & (F.trim(n) != ""))
+    rest = [c for c in roots.columns if c != body]
+    return roots.select(*rest, F.posexplode(F.coalesce(own, F.array(*map(F.lit, CATEGORIES)))).alias("pos", "category"))
+
+
 def paging_report(pages: DataFrame, source: str, page: str, n_items: str, total: str) -> DataFrame:
     """(source, n_pages, collected, total, truncated): truncated if the last page is not empty and items are missing; an empty page ends a list."""
     return pages.groupBy(source).agg(

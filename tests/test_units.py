@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from specgraph.functions import jsonwalk
 from specgraph.functions.shapes import shape_hash
-from specgraph.operators import audit, merge, models, projection, search, specs, topology, walk
+from specgraph.operators import audit, discover, inventory, merge, models, projection, search, specs, topology, walk
 from specgraph.plans import discovery, registry  # noqa: F401
 from specgraph.plans import sources as source_plans  # noqa: F401
 from specgraph.sources import documents, sinks
@@ -291,3 +291,25 @@ def test_models_of_owned_unowned_and_unnamed_nodes(spark):
     assert got == {("MODEL_HAS_PROPERTY", "schema:my-pool", "schema:my-pool.property:unnamed"), ("MODEL_AT_YANG", "yang:/m:x", "/m:x"), ("MODEL_COMPOSED_OF", "schema:my-pool", "schema-pointer:/s2")}
     empty = {r["name"]: (r["n"], r["total"], r["ratio"]) for r in models.semantic_metrics(nodes.select("id", "kind").limit(0), edges.limit(0), nodes.select("id").limit(0)).collect()}
     assert len(empty) == 19 and set(empty.values()) == {(0, 0, 0.0)}
+
+
+def test_landed_rows_of_odd_items(spark):
+    items = spark.createDataFrame([(1, '{"serial":"a","name":null,"site_id":5}'), (2, None), (3, "no json"), (4, "[1]"), (5, '{"serialNumber":"a","name":"new"}'), (5, '{"serial":"b"}'), (None, '{"serial":"b","name":"undated"}')], "ord int, item string")
+    rows = {r["serial"]: (r["name"], r["site_id"], r["group_id"]) for r in inventory.scope_rows(items, "device", "ord").collect()}
+    assert rows == {"a": ("new", "", ""), "b": ("", "", "")}  # the latest row replaces whole rows; undated ones are oldest
+    assert {r["serial"]: r["site_id"] for r in inventory.scope_rows(items, "device", "ord", site="5").collect()} == {"a": "5"}
+    assert inventory.client_rows(items.limit(0), "ord").count() == 0
+    assert [r["id"] for r in inventory.profile_rows(spark.createDataFrame([(1, '{"name":"x"}'), (2, '{"id":""}'), (3, "{}")], "ord int, item string"), "dns", "ord").collect()] == ["dns:x"]
+
+
+def test_endpoints_of_contained_segments(spark):
+    known = spark.createDataFrame([("GET", "/v1/vlans-all"), ("PUT", "/v1/vlans-all"), ("GET", "/v1/ab"), ("GET", "/v1/%_x"), ("GET", None)], "method string, path string")
+    asked = spark.createDataFrame([("/v2beta1/vlan/ab",), ("/v1/v1",), ("/%_x",), ("",), (None,)], "path string")
+    found = sorted((r["path"], r["rank"], r["method"], r["suggestion"]) for r in discover.suggest_endpoints(asked, known).collect())
+    assert found == [("/%_x", 1, "GET", "/v1/%_x"), ("/v2beta1/vlan/ab", 1, "GET", "/v1/vlans-all"), ("/v2beta1/vlan/ab", 2, "PUT", "/v1/vlans-all")]
+
+
+def test_manifest_fails_with_a_gate(spark):
+    gates = spark.createDataFrame([("a", True), ("b", False)], "gate string, passed boolean")
+    row = sinks.manifest({"t": spark.range(3)}, "v", gates).first()
+    assert (row["tables"], row["gates"], row["passed"]) == ('{"t":3}', '{"a":true,"b":false}', False)
