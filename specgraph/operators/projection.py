@@ -127,3 +127,20 @@ def find_endpoints(endpoints: DataFrame, wanted: DataFrame) -> DataFrame:
     by_id = wanted.join(endpoints.where("operation_id <> ''").select("operation_id", "eid"), "operation_id").select("call", "eid", F.lit(1).alias("n"))
     best = Window.partitionBy("call").orderBy("n", "eid")
     return by_path.unionByName(by_id).withColumn("k", F.row_number().over(best)).where("k = 1").select("call", "eid")
+
+
+def yang_rows(properties: DataFrame, path: str = "yang_path") -> DataFrame:
+    """(kind, id, module): every model path with its module, what stands before the colon of the first segment that has one (empty if none has), and every module."""
+    paths = properties.where(F.col(path) != "").select(F.col(path).alias("id")).distinct().withColumn("module", F.regexp_extract("id", "(?:^|/)([^/:]*):", 1))
+    return paths.select(F.lit("YangPath").alias("kind"), "id", "module").unionByName(paths.where("module <> ''").select(F.lit("YangModule").alias("kind"), F.col("module").alias("id"), "module").distinct())
+
+
+def projection_map(rows: DataFrame) -> DataFrame:
+    """Map rows from typed rows to overlay and AST nodes, each once: the id is the table, the row and a hash of what the row came from.
+
+    Rows of one id from several runs become one, with the least source and status; a row of other origin is kept beside it.
+    """
+    key = ["table_name", "row_id", "semantic_id", "ast_id", "spec_id", "pointer"]
+    origin = F.concat_ws("|", *(F.coalesce(F.col(c), F.lit("")) for c in key))
+    ids = rows.withColumn("projection_id", F.concat_ws(":", "table_name", "row_id", F.substring(F.sha1(origin), 1, 16)))
+    return ids.groupBy("projection_id", *key).agg(F.min("source").alias("source"), F.min("status").alias("status"))

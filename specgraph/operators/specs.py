@@ -302,6 +302,24 @@ def semantic_nodes(ast: DataFrame) -> DataFrame:
     return own.select("spec_id", kind.alias("kind"), F.col("pointer").alias("stable_key"), "pointer").select(semantic_id(F.col("spec_id"), F.col("kind"), F.col("stable_key")).alias("node_id"), "*")
 
 
+def carry_through(corpus: DataFrame, ast: DataFrame) -> DataFrame:
+    """(spec_source, n_raw, n_failed, n_resolved, n_unresolved, n_overlay, resolved_ratio, overlay_ratio): what became of the documents of each provider.
+
+    Failed: not a JSON object. Resolved: every internal reference names something. Overlay: it has at least one overlay node. Ratios are
+    of all raw documents, to four places. ``ast`` is the flattened corpus.
+    """
+    lost = references(ast).where("target IS NULL").select("spec_id").distinct().withColumn("lost", F.lit(1))
+    overlay = semantic_nodes(ast).select("spec_id").distinct().withColumn("over", F.lit(1))
+    each = spec_rows(corpus).select("spec_id", "spec_source").join(lost, "spec_id", "left").join(overlay, "spec_id", "left")
+    read = each.groupBy("spec_source").agg(F.count("*").alias("n_read"), F.count("lost").alias("n_unresolved"), F.count("over").alias("n_overlay"))
+    joined = corpus.groupBy("spec_source").agg(F.count("*").alias("n_raw")).join(read, "spec_source", "left").na.fill(0)
+    resolved = F.col("n_read") - F.col("n_unresolved")
+    return joined.select(
+        "spec_source", "n_raw", (F.col("n_raw") - F.col("n_read")).alias("n_failed"), resolved.alias("n_resolved"), "n_unresolved", "n_overlay",
+        F.round(resolved / F.col("n_raw"), 4).alias("resolved_ratio"), F.round(F.col("n_overlay") / F.col("n_raw"), 4).alias("overlay_ratio"),
+    )
+
+
 def decode_blob(stored: Column, mark: str = "b64:") -> Column:
     """Text kept as base64 behind a mark; what does not decode stays as it is."""
     decoded = F.try_validate_utf8(F.try_to_binary(F.expr("substring(stored, 5)") if mark == "b64:" else stored, F.lit("base64")).cast("string"))

@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from specgraph.operators import inventory, specs
+from specgraph.operators import inventory, projection, specs
 from specgraph.operators.walk import checkpoint_folder, shared_checkpoint
 from specgraph.plans.audits import GATES, ag_18_gates
 from specgraph.plans.bridge import frame
 from specgraph.plans.registry import query
-from specgraph.plans.specs import LINES, METHOD, PARTS, PATH, SOURCE
+from specgraph.plans.semantics import MAPPED
+from specgraph.plans.specs import LINES, METHOD, PARTS, PATH, PROVIDER, SOURCE
 from specgraph.plans.specs import documents as spec_documents
 from specgraph.sources import documents, sinks
 
@@ -224,3 +225,39 @@ def io_10_gated_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = ("invariants_passed", "parity_passed", "traversal_passed")
     gates = ag_18_gates(spark, sf_dir).select(F.explode(F.array(*(F.struct(F.lit(n).alias("gate"), F.col(n).alias("passed")) for n in names))).alias("g")).select("g.gate", "g.passed")
     return sinks.manifest({n: spark.read.parquet(f"{at}/{n}") for n in ("component", "endpoint")}, "v1", gates)
+
+
+@query(
+    f"""WITH d AS (SELECT o, {PROVIDER} AS spec_source, count_if(flag = 'N') > 0 AS lost, o % 11 IN (0, 1) AS failed FROM ({PARTS}) x GROUP BY o)
+    SELECT spec_source, count(*) AS n_raw, count_if(failed) AS n_failed, count_if(NOT failed AND NOT lost) AS n_resolved, count_if(NOT failed AND lost) AS n_unresolved, count_if(NOT failed) AS n_overlay,
+    round(count_if(NOT failed AND NOT lost) / count(*), 4) AS resolved_ratio, round(count_if(NOT failed) / count(*), 4) AS overlay_ratio FROM d GROUP BY spec_source"""
+)
+def ag_20_carry_through(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AG-20: documents from raw to overlay by provider; some are cut off, some are lists."""
+    number = F.col("source").cast("long") % 11
+    corpus = spec_documents(spark, sf_dir).withColumn("raw", F.when(number == 0, F.substring("raw", 1, 20)).when(number == 1, F.lit("[1]")).otherwise(F.col("raw")))
+    corpus = shared_checkpoint(corpus)
+    return specs.carry_through(corpus, shared_checkpoint(specs.flatten(corpus)))
+
+
+MODULES = "SELECT CAST(p_partkey AS STRING) AS t, p_partkey % 4 AS m, p_size AS n FROM part"
+
+
+@query(
+    f"""WITH p AS (SELECT DISTINCT CASE m WHEN 0 THEN '/mod' || CAST(n AS STRING) || ':top/' || t WHEN 1 THEN '/top/mod' || CAST(n AS STRING) || ':leaf/x:' || t ELSE '/plain/' || t END AS id, CASE WHEN m < 2 THEN 'mod' || CAST(n AS STRING) ELSE '' END AS module FROM ({MODULES}) x WHERE m < 3)
+    SELECT 'YangPath' AS kind, id, module FROM p UNION ALL SELECT DISTINCT 'YangModule', module, module FROM p WHERE module <> ''"""
+)
+def sg_10_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SG-10: model paths and their modules."""
+    rows = f"SELECT CASE m WHEN 0 THEN '/mod' || CAST(n AS STRING) || ':top/' || t WHEN 1 THEN '/top/mod' || CAST(n AS STRING) || ':leaf/x:' || t WHEN 2 THEN '/plain/' || t ELSE '' END AS yang_path FROM ({MODULES}) x"
+    return projection.yang_rows(frame(spark, sf_dir, f"{rows} UNION ALL {rows}"))
+
+
+@query(
+    f"""SELECT table_name || ':' || row_id || ':' || substr(sha1(table_name || '|' || row_id || '|' || semantic_id || '|' || ast_id || '|' || spec_id || '|' || pointer), 1, 16) AS projection_id, table_name, row_id, semantic_id, ast_id, spec_id, pointer, min(source) AS source, min(status) AS status
+    FROM ({MAPPED}) g GROUP BY table_name, row_id, semantic_id, ast_id, spec_id, pointer"""
+)
+def ag_7_projection_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AG-7: map rows of all documents, each origin once, with hashed ids; here every row comes twice."""
+    rows = frame(spark, sf_dir, MAPPED)
+    return projection.projection_map(rows.unionByName(rows))
