@@ -14,7 +14,7 @@ from specgraph.plans.audits import GATES, ag_18_gates
 from specgraph.plans.bridge import frame
 from specgraph.plans.registry import query
 from specgraph.plans.semantics import MAPPED
-from specgraph.plans.specs import LINES, METHOD, PARTS, PATH, PROVIDER, SOURCE
+from specgraph.plans.specs import ASK, LINES, METHOD, OWN, PARTS, PATH, POOLED, PROVIDER, SOURCE
 from specgraph.plans.specs import documents as spec_documents
 from specgraph.sources import documents, sinks
 
@@ -261,3 +261,30 @@ def ag_7_projection_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AG-7: map rows of all documents, each origin once, with hashed ids; here every row comes twice."""
     rows = frame(spark, sf_dir, MAPPED)
     return projection.projection_map(rows.unionByName(rows))
+
+
+@query(
+    f"""WITH l AS (SELECT *, {SOURCE} AS source, {OPERATION} AS op, '/components/schemas/P' || CAST(part AS STRING) AS target FROM ({LINES}) x)
+    SELECT source, 'RETURNS_SCHEMA' AS kind, op AS a, target AS b, '{{"status":"200","media":"application/json"}}' AS evidence FROM l UNION ALL SELECT source, 'ACCEPTS_SCHEMA', op, target, '{{"status":"","media":"application/json"}}' FROM l WHERE qty > 20"""
+)
+def sm_7_edges_with_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SM-7: every edge from an operation to a schema with its evidence; both ends are found among the overlay's nodes."""
+    corpus = shared_checkpoint(spec_documents(spark, sf_dir))
+    ast = shared_checkpoint(specs.flatten(corpus))
+    nodes = specs.semantic_nodes(ast).select("node_id", "spec_id", "pointer")
+    edges = projection.schema_edges(ast).join(nodes.select(F.col("node_id").alias("source"), "spec_id", F.col("pointer").alias("a")), "source")
+    edges = edges.join(nodes.select(F.col("node_id").alias("target"), F.col("pointer").alias("b")), "target").select("spec_id", "kind", "a", "b", "evidence")
+    return specs.spec_rows(corpus).select("spec_id", "source").join(edges, "spec_id").drop("spec_id")
+
+
+UNTIED = POOLED.replace("DESC, ord)", "DESC, ord, body)")
+
+
+@query(
+    f"""SELECT a.source, a.name, CASE WHEN o.body IS NOT NULL AND (p.body IS NULL OR length(o.body) >= length(p.body)) THEN 'own' WHEN p.body IS NOT NULL THEN 'provider' ELSE 'none' END AS scope, coalesce(CASE WHEN o.body IS NOT NULL AND (p.body IS NULL OR length(o.body) >= length(p.body)) THEN o.body ELSE p.body END, '') AS body, count(*) AS n
+    FROM ({ASK}) a LEFT JOIN ({OWN}) o ON o.source = a.source AND o.name = a.name LEFT JOIN (SELECT provider, name, body FROM ({UNTIED}) q) p ON p.provider = a.provider AND p.name = a.name GROUP BY ALL"""
+)
+def jn_2_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JN-2: the body found for every name asked for, and where."""
+    found = projection.resolve_two_scopes(frame(spark, sf_dir, ASK), frame(spark, sf_dir, OWN), frame(spark, sf_dir, UNTIED))
+    return found.groupBy("source", "name", "scope", F.coalesce("body", F.lit("")).alias("body")).agg(F.count("*").alias("n"))

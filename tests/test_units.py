@@ -313,3 +313,17 @@ def test_manifest_fails_with_a_gate(spark):
     gates = spark.createDataFrame([("a", True), ("b", False)], "gate string, passed boolean")
     row = sinks.manifest({"t": spark.range(3)}, "v", gates).first()
     assert (row["tables"], row["gates"], row["passed"]) == ('{"t":3}', '{"a":true,"b":false}', False)
+
+
+def test_module_and_map_rows(spark):
+    rows = spark.createDataFrame([("/a/m:b/n:c",), ("/x",), ("",), (None,), ("m:b",)], "yang_path string")
+    assert sorted(tuple(r) for r in projection.yang_rows(rows).collect()) == [("YangModule", "m", "m"), ("YangPath", "/a/m:b/n:c", "m"), ("YangPath", "/x", ""), ("YangPath", "m:b", "m")]
+    kind = "table_name string, row_id string, semantic_id string, ast_id string, spec_id string, pointer string, source string, status string"
+    maps = spark.createDataFrame([("T", "r", None, "a", "s", "/p", "y", "tolerant"), ("T", "r", None, "a", "s", "/p", "x", "strict_valid"), ("T", "r", "q", "a", "s", "/p", "x", "tolerant")], kind)
+    assert sorted((r["semantic_id"] or "", r["source"], r["status"]) for r in projection.projection_map(maps).collect()) == [("", "x", "strict_valid"), ("q", "x", "tolerant")]
+
+
+def test_carry_through_of_unreadable_documents(spark):
+    corpus = spark.createDataFrame([("p", "a", "t", json.dumps(SPEC)), ("p", "b", "t", "{"), ("q", "c", "t", None), ("r", "d", "t", '{"paths":{"/x":{"get":{"responses":{"200":{"$ref":"#/nothing"}}}}}}')], "spec_source string, source string, title string, raw string")
+    rows = {r["spec_source"]: tuple(r)[1:6] for r in specs.carry_through(corpus, specs.flatten(corpus)).collect()}
+    assert rows["q"] == (1, 1, 0, 0, 0) and rows["r"] == (1, 0, 0, 1, 1) and rows["p"][:2] == (2, 1)
