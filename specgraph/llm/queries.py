@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from specgraph.llm import decontaminate, fingerprint, htmltemplate, langid, pii, quality, simhash, subword, tokenfile, toxicity
+from specgraph.llm import decontaminate, fingerprint, htmltemplate, langid, pii, quality, simhash, subword, supervision, tokenfile, toxicity
 from specgraph.llm.tokenizers import tokenizer_path
 
 
@@ -54,11 +54,15 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return supervision.judge_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_fingerprints, op2_sentencepiece, op3_toxicity, op4_html_template, op5_language, op6_simhash, op7_token_files, op8_decontamination,
-        op9_personal_data, op10_quality,
+        op9_personal_data, op10_quality, op11_quality_rules,
     )
 }
 #: None of these can be said in SQL (hash sketches, trained models, tokenizers, closures); their tests compare with brute force.
