@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from specgraph.llm import decontaminate, fingerprint, htmltemplate, langid, lexical, pii, quality, simhash, subword, supervision, tokenfile, toxicity
+from specgraph.llm import collocation, decontaminate, fingerprint, htmltemplate, langid, lexical, pii, quality, simhash, subword, supervision, tokenfile, toxicity
 from specgraph.llm.tokenizers import tokenizer_path
 
 
@@ -58,6 +58,10 @@ def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return supervision.judge_documents(table(spark, sf_dir, "documents"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocation.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -66,7 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_fingerprints, op2_sentencepiece, op3_toxicity, op4_html_template, op5_language, op6_simhash, op7_token_files, op8_decontamination,
-        op9_personal_data, op10_quality, op11_quality_rules, op13_lexical_search,
+        op9_personal_data, op10_quality, op11_quality_rules, op12_collocations, op13_lexical_search,
     )
 }
 #: None of these can be said in SQL (hash sketches, trained models, tokenizers, closures); their tests compare with brute force.
