@@ -15,7 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from specgraph.functions import jsonwalk
+from specgraph.functions import jsonwalk, views
+from specgraph.functions.expand import Expansion
 
 AST = "spec_id string, pointer string, parent string, key string, idx int, kind string, value_type string, name string, scalar string, raw string, is_extension boolean, ord int, depth int"
 _AST_TYPES = (pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.int32(), pa.int32())
@@ -27,13 +28,9 @@ def spec_id(source: str, raw: str) -> str:
     return "oas:" + hashlib.sha1(f"{source}\0{jsonwalk.content_hash(json.loads(raw))}".encode()).hexdigest()[:20]
 
 
-def parsed(raw: str | None) -> Any:
-    """The document, or None for what is not a JSON object."""
-    try:
-        document = json.loads(raw or "")
-    except ValueError:
-        return None
-    return document if isinstance(document, dict) else None
+def parsed(raw: str | None) -> dict | None:
+    """The document, or None for what is not a JSON object or is nested too deeply."""
+    return jsonwalk.parsed(raw)[0]
 
 
 def map_documents(corpus: DataFrame, change: Callable[[dict], dict]) -> DataFrame:
@@ -58,14 +55,48 @@ def normalised(corpus: DataFrame) -> DataFrame:
     return map_documents(corpus, lambda d: jsonwalk.shared(jsonwalk.cleaned(d)))
 
 
-def expand_references(corpus: DataFrame) -> DataFrame:
-    return map_documents(corpus, lambda d: jsonwalk.expanded(d, d))
+#: Longest expanded text that is written; a longer one (references that branch again and again) is null, and its length is given.
+MOST_TEXT = 1 << 26
+
+
+def expand_references(corpus: DataFrame, most: int = MOST_TEXT) -> DataFrame:
+    """The corpus with all references of each document expanded; raw is null where that is longer than ``most``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            documents = [parsed(r) for r in batch.column("raw").to_pylist()]
+            made = [None if d is None else Expansion(d).text(d, most)[0] for d in documents]
+            columns = [pa.array(made, pa.string()) if name == "raw" else batch.column(name) for name in batch.schema.names]
+            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array([d is not None for d in documents], pa.bool_()))
+
+    return corpus.mapInArrow(run, corpus.schema)
+
+
+def expanded_components(corpus: DataFrame, most: int = MOST_TEXT) -> DataFrame:
+    """(source, section, name, body, n_chars): every component with all its references expanded, circles and what lies deeper marked; body is null where it is longer than ``most``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for source, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                document = parsed(raw) or {}
+                expansion, rows = Expansion(document), []
+                for section, parts in views.as_object(document.get("components")).items():
+                    rows += [(source, section, name, *expansion.text(body, most)) for name, body in views.as_object(parts).items()]
+                columns = list(zip(*rows, strict=True)) or [()] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, [pa.string()] * 4 + [pa.int64()], strict=True)], names=["source", "section", "name", "body", "n_chars"])
+
+    return corpus.select("source", "raw").mapInArrow(run, "source string, section string, name string, body string, n_chars long")
 
 
 def outcomes(corpus: DataFrame) -> DataFrame:
-    """(spec_source, status, n): rows that are JSON objects and rows that are not."""
-    ok = F.coalesce(F.schema_of_variant(F.try_parse_json("raw")).startswith("OBJECT"), F.lit(False))
-    return corpus.groupBy("spec_source", F.when(ok, "ok").otherwise("not an object").alias("status")).agg(F.count("*").alias("n"))
+    """(spec_source, status, n): rows that are documents (``ok``), and others by why they are none: ``broken``, ``too deep``, ``not an object``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            status = [jsonwalk.parsed(r)[1] for r in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(status, pa.string())], names=["spec_source", "status"])
+
+    return corpus.select("spec_source", "raw").mapInArrow(run, "spec_source string, status string").groupBy("spec_source", "status").agg(F.count("*").alias("n"))
 
 
 def flatten(corpus: DataFrame) -> DataFrame:
@@ -101,7 +132,7 @@ def spec_rows(corpus: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [
-                (spec_id(s, r), p, s, t, str((d.get("info") or {}).get("version") or ""), jsonwalk.content_hash(d))
+                (spec_id(s, r), p, s, t, str(views.as_object(d.get("info")).get("version") or ""), jsonwalk.content_hash(d))
                 for p, s, t, r in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True)
                 if (d := parsed(r)) is not None
             ]
@@ -327,20 +358,19 @@ def decode_blob(stored: Column, mark: str = "b64:") -> Column:
 
 
 def endpoint_projections(corpus: DataFrame) -> DataFrame:
-    """(source, method, path, skeleton, components, glossary, required, n_components) of every operation, as JSON text."""
+    """(source, method, path, skeleton, components, glossary, required, n_components) of every operation, as JSON text; ``required`` joins its required paths."""
+    names = ["source", "method", "path", "skeleton", "components", "glossary", "required", "n_components"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
             for source, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                document = parsed(raw)
-                for path, item in ((document or {}).get("paths") or {}).items():
-                    for method in item if isinstance(item, dict) else ():
-                        if method in jsonwalk.METHODS:
-                            p = jsonwalk.projections(document, path, method)
-                            rows.append((source, method.upper(), path, *(jsonwalk.compact(p[k]) for k in ("skeleton", "components", "glossary")), ",".join(p["required"]), len(p["components"])))
-            columns = list(zip(*rows, strict=True)) or [()] * 8
-            kinds = [pa.string()] * 7 + [pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], names=["source", "method", "path", "skeleton", "components", "glossary", "required", "n_components"])
+                document, rows = parsed(raw) or {}, []
+                seen = views.Views(document)
+                for path, item in views.as_object(document.get("paths")).items():
+                    for method in (m for m in views.as_object(item) if m in jsonwalk.METHODS):
+                        skeleton, parts, glossary = seen.skeleton(path, method), seen.components(path, method), seen.glossary(path, method)
+                        rows.append((source, method.upper(), path, *map(jsonwalk.compact, (skeleton, parts, glossary)), ",".join(skeleton["required_paths"]), sum(map(len, parts.values()))))
+                columns = list(zip(*rows, strict=True)) or [()] * 8
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, [pa.string()] * 7 + [pa.int64()], strict=True)], names=names)
 
     return corpus.select("source", "raw").mapInArrow(run, "source string, method string, path string, skeleton string, components string, glossary string, required string, n_components long")

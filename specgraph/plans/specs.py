@@ -85,10 +85,10 @@ def cl_1_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 NOISY = """SELECT p_partkey AS k, CAST(p_partkey AS STRING) AS t, p_size AS size, p_partkey % 2 = 0 AS even, p_partkey % 3 AS m FROM part"""
 _PAIR = "CASE m WHEN 0 THEN 'Use either p1 or p2.' WHEN 1 THEN 'Either p1 or p9, or else p2' ELSE 'EITHER p2 OR p1 and either p1 or p2' END"
 _RAW = f"""'{{"b":{{"_x":' || t || ',"type":"integer","default":"' || t || '","format":"' || CASE WHEN even THEN 'const' ELSE 'int64' END || '","maxLength":' || CASE WHEN m = 0 THEN '9999' ELSE '999' END || ',"description":" d' || t || ' ","x-typeDescription":"' || CASE WHEN even THEN 'd' ELSE 'e' END || t || '"}},"_gone":{{"a":1}},'
-    || '"a":[{{"type":"boolean","default":"' || CASE m WHEN 0 THEN 'True' WHEN 1 THEN '0' ELSE 'maybe' END || '","x-patternSources":' || CASE WHEN even THEN '[1,2,3,4,5]' ELSE '[1,2,3,4]' END || '}},{{"type":"integer","default":"x' || t || '"}},{{"type":"string","default":"' || t || '"}}],"c":{{"description":"' || {_PAIR} || '","properties":{{"p1":{{}},"p2":{{"_y":[]}}}}}}}}'"""
+    || '"a":[{{"type":"boolean","default":"' || CASE m WHEN 0 THEN 'True' WHEN 1 THEN '0' ELSE 'maybe' END || '","x-patternSources":' || CASE WHEN even THEN '[1,2,3,4,5]' ELSE '[1,2,3,4]' END || '}},{{"type":"integer","default":"x' || t || '"}},{{"type":"string","default":"' || t || '"}}],"components":{{"schemas":{{"c":{{"description":"' || {_PAIR} || '","properties":{{"p1":{{}},"p2":{{"_y":[]}}}}}}}},"links":{{"c":{{"description":"either p1 or p2","properties":{{"p1":1,"p2":2}}}}}}}}}}'"""
 _CLEAN_B = """'"b":{"type":"integer","default":' || t || CASE WHEN even THEN '' ELSE ',"format":"int64"' END || CASE WHEN m = 0 THEN '' ELSE ',"maxLength":999' END || ',"description":" d' || t || ' "' || CASE WHEN even THEN '' ELSE ',"x-typeDescription":"e' || t || '"' END || '}'"""
 _CLEAN_A = """'"a":[{"type":"boolean","default":' || CASE m WHEN 0 THEN 'true' WHEN 1 THEN 'false' ELSE '"maybe"' END || CASE WHEN even THEN '' ELSE ',"x-patternSources":[1,2,3,4]' END || '},{"type":"integer","default":"x' || t || '"},{"type":"string","default":"' || t || '"}]'"""
-_CLEAN_C = f"""'"c":{{"description":"' || {_PAIR} || '","properties":{{"p1":{{}},"p2":{{}}}}' || CASE m WHEN 0 THEN ',"x-mutually-exclusive":[["p1","p2"]]' WHEN 1 THEN '' ELSE ',"x-mutually-exclusive":[["p2","p1"],["p1","p2"]]' END || '}}'"""
+_CLEAN_C = f"""'"components":{{"schemas":{{"c":{{"description":"' || {_PAIR} || '","properties":{{"p1":{{}},"p2":{{}}}}' || CASE m WHEN 0 THEN ',"x-mutually-exclusive":["p1","p2"]' WHEN 1 THEN '' ELSE ',"x-mutually-exclusive":["p2","p1"]' END || '}}}},"links":{{"c":{{"description":"either p1 or p2","properties":{{"p1":1,"p2":2}}}}}}}}'"""
 
 
 def noisy_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,7 +147,7 @@ def shape_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH x AS ({SHAPED}), o AS (SELECT c, u, v, count(*) AS n FROM x GROUP BY ALL), i AS (SELECT c, u, sum(CASE WHEN n >= 2 THEN 1 ELSE n END) AS n, sum(n) AS every FROM o GROUP BY ALL), e AS (SELECT c, status FROM x GROUP BY ALL HAVING count(*) >= 2)
+    f"""WITH x AS ({SHAPED}), o AS (SELECT c, u, v, count(*) AS n FROM x GROUP BY ALL), i AS (SELECT c, u, sum(CASE WHEN n >= 2 THEN 1 ELSE n END) AS n, sum(n) AS every FROM o GROUP BY ALL), e AS (SELECT c, status FROM x WHERE status <> 402 GROUP BY ALL HAVING count(*) >= 2)
     SELECT CAST(k.c AS STRING) AS source, coalesce(s.n, 0)::BIGINT AS n_schemas, coalesce(r.n, 0)::BIGINT AS n_responses FROM (SELECT DISTINCT c FROM x) k
     LEFT JOIN (SELECT c, count(*) AS n FROM (SELECT c FROM o WHERE n >= 2 UNION ALL SELECT c FROM i WHERE every >= 2) t GROUP BY c) s ON s.c = k.c LEFT JOIN (SELECT c, count(*) AS n FROM e GROUP BY c) r ON r.c = k.c"""
 )
@@ -285,7 +285,7 @@ def sm_1_semantic_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""SELECT lpad(CAST(l.o AS STRING), 12, '0') AS source, upper({METHOD}) AS method, {PATH} AS path, (CASE WHEN p.flag = 'N' THEN 3 ELSE 2 END)::BIGINT AS n_components, CASE WHEN l.qty > 20 AND p.qty > 25 THEN 'qty,sup' ELSE '' END AS required
+    f"""SELECT lpad(CAST(l.o AS STRING), 12, '0') AS source, upper({METHOD}) AS method, {PATH} AS path, 2::BIGINT AS n_components, CASE WHEN l.qty > 20 AND p.qty > 25 THEN 'qty,sup' ELSE '' END AS required
     FROM (SELECT l.o, l.n, l.part, l.qty FROM ({LINES}) l) l JOIN (SELECT o AS po, part AS pp, qty AS pq, flag, qty FROM ({PARTS}) z) p ON p.po = l.o AND p.pp = l.part""".replace(f"upper({METHOD})", "upper(CASE WHEN l.qty > 30 THEN 'post' WHEN l.qty > 20 THEN 'put' ELSE 'get' END)")
 )
 def pr_1_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -297,17 +297,17 @@ _GONE = "CASE WHEN p.flag = 'N' THEN 'Gone' ELSE 'S' END || CAST(p.sup AS STRING
 _REFS = f"""'"#/components/schemas/' || {_GONE} || '"' || CASE WHEN p.flag = 'N' THEN ',"#/components/schemas/S' || CAST(p.sup AS STRING) || '"' ELSE '' END"""
 _SCHEMA = """'{"$ref":"#/components/schemas/P' || CAST(l.part AS STRING) || '"}'"""
 _SUPPLIER = """'"S' || CAST(p.sup AS STRING) || '":{"type":"string","enum":["a","b"]}'"""
-_GONE_ENTRY = "CASE WHEN p.flag = 'N' THEN '\"Gone' || CAST(p.sup AS STRING) || '\":{0},' ELSE '' END"
+_NEEDS = """CASE WHEN p.qty > 25 THEN '"required":["qty","sup"],' ELSE '' END"""
 
 
 @query(
     f"""SELECT {SOURCE.replace("CAST(o ", "CAST(l.o ")} AS source, upper(l.method) AS method, l.path, '{{"method":"' || upper(l.method) || '","path":"' || l.path || '","summary":"flag ' || l.flag || '","operation_id":"op_' || CAST(l.part AS STRING) || '_' || CAST(l.n AS STRING) || '","tags":[],"deprecated":'
     || CASE WHEN l.flag = 'R' THEN 'true' ELSE 'false' END || ',"parameters":[{{"name":"limit","in":"query","required":true,"schema":{{"type":"integer","default":"5"}}}},{{"name":"since' || CAST(l.n % 2 AS STRING) || '","in":"query","required":' || CASE WHEN l.qty > 25 THEN 'true' ELSE 'false' END
-    || ',"schema":{{"type":"string","format":"date-time"}}}}],"request_body":' || CASE WHEN l.method = 'get' THEN 'null' ELSE '{{"content_type":"application/json","schema":' || {_SCHEMA} || ',"required":false}}' END || ',"responses":{{"200":{{"schema":' || {_SCHEMA} || '}}}},"components":{{'
-    || {_GONE_ENTRY.format("{}")} || '"P' || CAST(l.part AS STRING) || '":{{"type":"object"' || CASE WHEN p.qty > 25 THEN ',"required":["qty","sup"]' ELSE '' END || ',"refs":[' || {_REFS} || ']}},' || {_SUPPLIER} || '}}}}' AS skeleton,
-    '{{' || {_GONE_ENTRY.format("null")} || '"P' || CAST(l.part AS STRING) || '":{{"type":"object","_id":1,' || CASE WHEN p.qty > 25 THEN '"required":["qty","sup"],' ELSE '' END || '"properties":{{"qty":{{"type":"integer","readOnly":' || CASE WHEN p.flag = 'A' THEN 'true' ELSE 'false' END || ',"format":"const","x-path":"/m'
-    || CAST(l.part % 4 AS STRING) || ':top/qty"}},"sup":{{"$ref":"#/components/schemas/' || {_GONE} || '"}},"all":{{"type":"array","items":{{"$ref":"#/components/schemas/S' || CAST(p.sup AS STRING) || '"}}}}}}}},' || {_SUPPLIER} || '}}' AS components,
-    '{{"operation":{{"summary":"flag ' || l.flag || '","responses":{{"200":{{"description":"fine"}}}}}},"components":{{}}}}' AS glossary
+    || ',"schema":{{"type":"string","format":"date-time"}}}}],"request_body":' || CASE WHEN l.method = 'get' THEN 'null' ELSE '{{"content_type":"application/json","schema":' || {_SCHEMA} || ',"required":false}}' END || ',"required_paths":[' || CASE WHEN l.method <> 'get' AND p.qty > 25 THEN '"qty","sup"' ELSE '' END
+    || '],"responses":{{"200":{{"schema":' || {_SCHEMA} || '}}}},"$components_index":{{"schemas":{{"P' || CAST(l.part AS STRING) || '":{{"type":"object",' || {_NEEDS} || '"child_refs":[' || {_REFS} || ']}},' || {_SUPPLIER} || '}}}}}}' AS skeleton,
+    '{{"schemas":{{"P' || CAST(l.part AS STRING) || '":{{"type":"object","_id":1,' || {_NEEDS} || '"properties":{{"qty":{{"type":"integer","readOnly":' || CASE WHEN p.flag = 'A' THEN 'true' ELSE 'false' END || ',"format":"const","x-path":"/m'
+    || CAST(l.part % 4 AS STRING) || ':top/qty"}},"sup":{{"$ref":"#/components/schemas/' || {_GONE} || '"}},"all":{{"type":"array","items":{{"$ref":"#/components/schemas/S' || CAST(p.sup AS STRING) || '"}}}}}}}},' || {_SUPPLIER} || '}}}}' AS components,
+    '{{"method":"' || upper(l.method) || '","path":"' || l.path || '","components":{{}}}}' AS glossary
     FROM (SELECT *, {METHOD} AS method, {PATH} AS path FROM ({LINES}) x) l JOIN ({PARTS}) p ON p.o = l.o AND p.part = l.part"""
 )
 def pr_2_texts(spark: SparkSession, sf_dir: str) -> DataFrame:

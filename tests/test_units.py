@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from specgraph.functions import jsonwalk
+from specgraph.functions.expand import Expansion
+from specgraph.functions.views import Views
 from specgraph.functions.shapes import shape_hash
 from specgraph.operators import audit, discover, inventory, merge, models, projection, search, specs, topology, walk
 from specgraph.plans import discovery, registry  # noqa: F401
@@ -67,7 +69,7 @@ def test_walk_kinds_and_round_trip():
 def test_cleaning():
     raw = {"_x": 1, "type": "integer", "default": "7", "description": " d ", "x-typeDescription": "d", "format": "const", "maxLength": 9999, "x-patternSources": [1] * 5, "in": [{"_y": 2, "type": "number", "default": "no"}]}
     assert jsonwalk.cleaned(raw) == {"type": "integer", "default": 7, "description": " d ", "in": [{"type": "number", "default": "no"}]}
-    assert jsonwalk.cleaned(SPEC)["components"]["schemas"]["Thing"]["x-mutually-exclusive"] == [["a", "b"]]
+    assert jsonwalk.cleaned(SPEC)["components"]["schemas"]["Thing"]["x-mutually-exclusive"] == ["a", "b"]
     assert jsonwalk.coerced("0", "boolean") is False and jsonwalk.coerced("1.5", "number") == 1.5 and jsonwalk.coerced("q", "boolean") == "q"
 
 
@@ -77,7 +79,7 @@ def test_repeated_parts_become_components_and_expand_back():
     doc = {"paths": {f"/p{i}": {"get": {"responses": {"200": {"description": "ok", "content": {"application/json": {"schema": json.loads(json.dumps(rule))}}}, "404": dict(error)}}} for i in range(12)}}
     once = jsonwalk.shared(doc)
     assert jsonwalk.shared(once) == once and len(once["components"]["responses"]) == 1 and len(once["components"]["schemas"]) >= 1
-    assert jsonwalk.expanded({"paths": once["paths"]}, once) == doc and len(json.dumps(once)) < len(json.dumps(doc))
+    assert expanded({"paths": once["paths"]}, once) == doc and len(json.dumps(once)) < len(json.dumps(doc))
 
 
 def test_all_repeated_shapes_are_shared_however_many():
@@ -88,32 +90,101 @@ def test_all_repeated_shapes_are_shared_however_many():
     once = jsonwalk.shared(doc)
     names = once["components"]["schemas"]
     assert len(names) == 40 and all(n.startswith("T") for n in names) and list(once["components"]["responses"])[0].startswith("Error4XX_")
-    assert jsonwalk.shared(once) == once and jsonwalk.expanded({"paths": once["paths"]}, once) == doc
+    assert jsonwalk.shared(once) == once and expanded({"paths": once["paths"]}, once) == doc
     clash = dict(doc, components={"schemas": {n: {"type": "string"} for n in names}})
     again = jsonwalk.shared(clash)
-    assert len(again["components"]["schemas"]) == 80 and jsonwalk.expanded({"paths": again["paths"]}, again) == doc
+    assert len(again["components"]["schemas"]) == 80 and expanded({"paths": again["paths"]}, again) == doc
+
+
+def expanded(value, document, depth=15):
+    return json.loads(Expansion(document, depth).text(value, 1 << 30)[0])
 
 
 def test_projections_of_one_operation():
-    got = jsonwalk.projections(SPEC, "/things/{id}", "post")
-    assert got["required"] == ["a", "deep.z", "list[].q"] and set(got["components"]) == {"Thing", "Leaf", "Gone"}
-    thing = got["components"]["Thing"]
-    assert "description" not in thing and "description" in thing["properties"] and got["glossary"]["components"]["Thing"] == {"description": "either `a` or `b`", "properties": {"a": {"description": "prose"}}}
-    looped = jsonwalk.expanded({"$ref": "#/components/schemas/Thing"}, SPEC, 2)
+    got = Views(SPEC)
+    paths = got.skeleton("/things/{id}", "post")["required_paths"]
+    assert paths[:4] == ["a", "deep.z", "list[].q", "self.a"] and len(paths) == 45  # 15 times: an optional member of its own kind
+    parts, glossary = got.components("/things/{id}", "post"), got.glossary("/things/{id}", "post")
+    thing = parts["schemas"]["Thing"]
+    assert set(parts["schemas"]) == {"Thing", "Leaf"} and "description" not in thing and "description" in thing["properties"]
+    assert glossary["components"]["Thing"] == {"description": "either `a` or `b`", "properties": {"a": {"description": "prose"}}}
+    looped = expanded({"$ref": "#/components/schemas/Thing"}, SPEC, 2)
     assert looped["properties"]["self"]["properties"]["self"] == {"$circular_ref": True}
 
 
+def test_required_paths_below_optional_members():
+    parts = {"O": {"type": "object", "required": ["k"], "properties": {"k": {}, "l": {"type": "array", "items": {"$ref": "#/components/schemas/O"}}}}}
+    schema = {"required": ["a", "b", 5, "gone"], "properties": {
+        "x": {"type": "object", "required": ["y"], "properties": {"y": {"type": "object"}}}, "a": {"type": "array"}, "b": {"type": "array", "items": {"required": ["c"], "properties": {}}}, "z": {"type": "array", "items": {"required": ["w"]}}, "n": "odd",
+        "all": {"allOf": [{"required": ["hidden"]}]}}}
+    assert Views({}).required_paths(schema) == ["a", "b[].c", "gone", "x.y", "z[].w"]
+    deep = Views({"components": {"schemas": parts}}).required_paths({"$ref": "#/components/schemas/O"})
+    assert deep[:3] == ["k", "l[].k", "l[].l[].k"] and len(deep) == 15
+    assert Views({}).required_paths({"required": 5, "properties": []}) == Views({}).required_paths("odd") == []
+
+
+def test_expansion_equals_plain_recursion():
+    parts = {f"K{i}": {"x": {"$ref": f"#/components/schemas/K{i + 1}"}, "y": [{"$ref": "#/components/schemas/T"}, {"$ref": "#/none"}]} for i in range(20)} | {"K20": {"e": 'q"é'}, "T": {"t": {"$ref": "#/components/schemas/K18"}}, "L": {"l": {"$ref": "#/components/schemas/L"}, "m": {"$ref": "#/components/schemas/Gone"}}}
+    document = {"components": {"schemas": parts}}
+
+    def plain(v, depth=0):
+        if depth > 15:
+            return {"$circular_ref": True}
+        if isinstance(v, list):
+            return [plain(x, depth) for x in v]
+        if not isinstance(v, dict):
+            return v
+        named = parts.get(v["$ref"].removeprefix("#/components/schemas/")) if "$ref" in v else None
+        return plain(named, depth + 1) if named is not None else {k: plain(x, depth) for k, x in v.items()}
+
+    once = Expansion(document)
+    for name in ("K0", "K3", "K5", "K10", "T", "L"):
+        assert json.loads(once.text(parts[name], 1 << 30)[0]) == plain(parts[name])
+    bushy = {"components": {"schemas": {f"B{i}": [{"$ref": f"#/components/schemas/B{i + 1}"}] * 8 for i in range(12)} | {"B12": 1}}}
+    text, size = Expansion(bushy).text({"$ref": "#/components/schemas/B0"}, 1000)
+    assert text is None and size == sum(2 * 8**i + 7 * 8**i for i in range(12)) + 8**12
+
+
+def test_no_document_breaks_a_walk():
+    for text, outcome in (("[" * 100_000, "too deep"), ('{"a":' * 6000 + "1" + "}" * 6000, "too deep"), ('{"a": NaN}', "broken"), ("{", "broken"), (None, "broken"), ("[1]", "not an object"), ('{"a":' * 4900 + "1" + "}" * 4900, "ok")):
+        assert jsonwalk.parsed(text)[1] == outcome
+    deep = {"paths": {"/a": {"post": {"requestBody": {"content": {"application/json": {"schema": {}}}}}}}}
+    schema = deep["paths"]["/a"]["post"]["requestBody"]["content"]["application/json"]["schema"]
+    for _ in range(1200):
+        schema |= {"type": "object", "required": ["p"], "description": "d", "properties": {"p": {}}}
+        schema = schema["properties"]["p"]
+    assert jsonwalk.cleaned(deep) == deep and jsonwalk.shared(deep)["paths"] == deep["paths"] and len(list(jsonwalk.walk(deep))) > 3600
+    assert Views(deep).skeleton("/a", "post")["required_paths"][0].count(".") == 1199 and expanded(deep, deep) == deep and Views(deep).glossary("/a", "post")["components"]
+    assert jsonwalk.cleaned({"type": "number", "default": "nan"}) == {"type": "number", "default": "nan"}
+    odd = {"paths": {"/a": {"get": {"parameters": [5, {"name": 7}], "requestBody": {"content": {"application/json": "text"}}, "responses": {"200": "text", "404": []}}, "post": "text"}, "/b": []}, "components": []}
+    for path, method in (("/a", "get"), ("/a", "post"), ("/b", "get"), ("/c", "get")):
+        assert Views(odd).skeleton(path, method)["request_body"] is None and Views(odd).components(path, method) == {} and Views(odd).glossary(path, method)["components"] == {}
+
+
+def test_hints_and_errors_that_are_given_stay():
+    def at(schema):
+        return {"paths": {"/a": {"get": {"x": schema}}}}
+
+    both = {"p": {}, "q": {}}
+    given = {"description": "either p or q", "properties": both, "x-mutually-exclusive": ["z"]}
+    assert jsonwalk.cleaned(at(given)) == at(given)
+    assert jsonwalk.cleaned(at({"description": "either p, or q; either p or q", "properties": both}))["paths"]["/a"]["get"]["x"]["x-mutually-exclusive"] == ["p", "q"]
+    assert "x-mutually-exclusive" not in jsonwalk.cleaned({"x": {"description": "either p or q", "properties": both}})["x"]
+    teapot = {"paths": {f"/{i}": {"get": {"responses": {"418": {"description": "t"}, "5xx": {"description": "u"}}}} for i in range(2)}}
+    assert list(jsonwalk.shared(teapot)["components"]["responses"])[0].startswith("Error5xx_") and len(jsonwalk.shared(teapot)["components"]["responses"]) == 1
+
+
 def test_skeleton_keeps_one_success_and_the_first_referenced_error():
     spec = {
         "paths": {"/a": {"get": {"summary": "s", "parameters": [{"$ref": "#/components/parameters/q"}, "bad"], "responses": {
             "299": {"description": "no"}, "400": {"description": "inline"}, "404": {"$ref": "#/components/responses/E"}, "201": {"$ref": "#/components/responses/Made"}, "500": {"$ref": "#/components/responses/F"}}}}},
         "components": {"parameters": {"q": {"name": "q", "in": "query", "description": "d", "schema": {"type": "string"}}}, "responses": {"Made": {"content": {"application/json": {"schema": {"type": "object", "description": "d"}}}}, "E": {"description": "e"}}},
     }
-    got = jsonwalk.projections(spec, "/a", "get")["skeleton"]
+    got = Views(spec).skeleton("/a", "get")
     assert got["responses"] == {"201": {"schema": {"type": "object"}}, "error": {"status": "404", "$ref": "#/components/responses/E"}}
     assert got["parameters"] == [{"name": "q", "in": "query", "required": False, "schema": {"type": "string"}}]
-    assert (got["summary"], got["request_body"], got["components"]) == ("s", None, {"E": {}})
-    assert jsonwalk.projections({"paths": {"/a": {"get": {"responses": None, "parameters": None}}}}, "/a", "get")["skeleton"]["responses"] == {}
+    assert (got["summary"], got["request_body"], got["$components_index"]) == ("s", None, {"responses": {"E": {}}})
+    assert Views({"paths": {"/a": {"get": {"responses": None, "parameters": None}}}}).skeleton("/a", "get")["responses"] == {}
 
 
 def test_rows_of_a_document(spark):
@@ -132,7 +203,7 @@ def test_rows_of_a_document(spark):
     inline = {(r["id"], r["parent_id"], r["role"]) for r in projection.inline_components(ast, rows).collect()}
     assert ("p0:schemas:Thing#prop:deep", "p0:schemas:Thing", "object") in inline and ("p0:schemas:Thing#prop:list#items", "p0:schemas:Thing#prop:list", "items") in inline
     status = {r["status"]: r["n"] for r in specs.outcomes(docs).groupBy("status").agg(F.sum("n").alias("n")).collect()}
-    assert status == {"ok": 1, "not an object": 3}
+    assert status == {"ok": 1, "not an object": 1, "broken": 2}
     assert projection.shared_objects(specs.flatten(corpus(spark, {"a": {"properties": {"x": 1, "y": 1, "z": 1}}, "b": 1})), least=1).count() == 0
 
 
