@@ -7,15 +7,15 @@ mass divided by the threshold, so that bound stays below the threshold and every
 heavier than its share, capacity is doubled instead of taking more. Survivors whose count with the bound reaches the threshold are candidates.
 
 Words and pairs of words come first; longer phrases are dealt only where all their pairs are candidates, for a phrase is no more frequent
-than its parts. A last reading counts the candidates exactly, by their text. Between readings candidates are known by a filter of fixed size: it
+than its parts. A last reading counts the candidates exactly, partition by partition, and keeps their texts. Between readings candidates are known by a filter of fixed size: it
 lets all of them through, and others at a small rate, which the exact counts remove.
 
-A language is any value of ``lang``, and a part of every hash. Within a task's counts a phrase is known by 64 bits.
+A language is any value of ``lang``, and a part of every hash. A phrase is known by 64 bits.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +31,8 @@ LEAST, MOST_WORDS, TOP, NO_LANGUAGE = 100, 5, 2000, "und"
 SLACK, PART_MASS = 4, 1 << 22
 #: Phrases that a task holds before it counts and sends them, and most that it sends in a row.
 FLUSH, ROW = 1 << 22, 1 << 17
+#: Candidates that a task counts before it sends them.
+KEPT = 1 << 20
 #: Filter: bits, turns of a hash that set one each, and bits in one of the pages that it is made of.
 FILTER_BITS, TURNS, PAGE_BITS = 26, (1, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5), 15
 #: Parts of a language in the first selection, and most languages that are sent to all machines; more are joined by key.
@@ -195,39 +197,97 @@ def filter_of(hashes: DataFrame) -> bytes:
     return np.packbits(table.reshape(-1), bitorder="little").tobytes()
 
 
-def exact_counts(docs: DataFrame, candidates: bytes, least: int) -> DataFrame:
-    """(lang, phrase, n_words, times) of the phrases found ``least`` times or more."""
+class Tally:
+    """Exact counts of phrases by hash, with the number of words and the text of each, found once."""
+
+    def __init__(self) -> None:
+        self.keys, self.counts = np.zeros(0, U64), np.zeros(0, np.int64)
+        self.words, self.texts = np.zeros(0, np.uint8), np.zeros(0, object)
+
+    def add(self, keys: np.ndarray, counts: np.ndarray, words: np.ndarray, texts: Callable[[np.ndarray], list[bytes]]) -> None:
+        """``keys`` differ from each other; ``texts`` gives those of the keys at some places, and is asked for new ones only."""
+        if not len(keys):
+            return
+        at = np.searchsorted(self.keys, keys)
+        known = np.zeros(len(keys), dtype=bool)
+        inside = at < len(self.keys)
+        known[inside] = self.keys[at[inside]] == keys[inside]
+        self.counts[at[known]] += counts[known]
+        new = np.flatnonzero(~known)
+        if len(new):
+            named = np.empty(len(new), object)
+            named[:] = texts(new)
+            both = np.concatenate([self.keys, keys[new]])
+            order = np.argsort(both, kind="stable")
+            self.keys, self.counts = both[order], np.concatenate([self.counts, counts[new]])[order]
+            self.words, self.texts = np.concatenate([self.words, words[new]])[order], np.concatenate([self.texts, named])[order]
+
+
+def tallied(docs: DataFrame, candidates: bytes, parts: int) -> DataFrame:
+    """(lang, part, keys, counts, words, texts): what each task counted of the candidates, a row for each language and hash partition."""
     held = docs.sparkSession.sparkContext.broadcast(candidates)
+    names = ["lang", "part", "keys", "counts", "words", "texts"]
+
+    def rows(found: dict[str, Tally]) -> Iterator[pa.RecordBatch]:
+        for lang, t in found.items():
+            part = (t.keys % U64(parts)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            edges = np.unique(np.append(np.flatnonzero(np.diff(part[order], prepend=-1)), len(order)))
+            for lo, hi in zip(edges, edges[1:], strict=False):
+                mine = order[lo:hi]
+                packed = [t.keys[mine].tobytes(), t.counts[mine].tobytes(), t.words[mine].tobytes(), b"\n".join(t.texts[mine])]  # no word has a line end
+                yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([int(part[mine[0]])]), *(pa.array([x], pa.binary()) for x in packed)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags = np.frombuffer(held.value, np.uint8)
-        found: dict[int, list] = {}
-
-        def flushed() -> pa.RecordBatch:
-            langs, texts, words, times = zip(*found.values(), strict=True) if found else ((),) * 4
-            return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array([t.decode() for t in texts], pa.string()), pa.array(words, pa.int32()), pa.array(times, pa.int64())], names=["lang", "phrase", "n_words", "times"])
-
+        found: dict[str, Tally] = {}
         for batch in batches:
             buf, offs = text_buffers(batch.column(2))
             salts = batch.column(1).to_numpy(zero_copy_only=False).view(U64)
+            langs = dict(zip(salts.tolist(), batch.column(0).to_pylist(), strict=True))
             for lo, hi in row_chunks(offs):
                 phrases = Phrases(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], salts[lo:hi])
-                rows = phrases.words.rows()
                 for n in range(1, MOST_WORDS + 1):
                     h, at = phrases.of(n)
                     ok = passing(flags, h)
-                    keys, first, times = np.unique(h[ok], return_index=True, return_counts=True)
-                    for key, i, t in zip(keys.tolist(), at[ok][first].tolist(), times.tolist(), strict=True):
-                        if key in found:
-                            found[key][3] += t
-                        else:
-                            found[key] = [batch.column(0)[lo + int(rows[i])].as_py(), phrases.text(i, n), n, t]
-                if len(found) > ROW:
-                    yield flushed()
-                    found.clear()
-        yield flushed()
+                    h, at = h[ok], at[ok]
+                    for salt in np.unique(phrases.salts[at]).tolist():
+                        own = phrases.salts[at] == U64(salt)
+                        keys, first, times = np.unique(h[own], return_index=True, return_counts=True)
+                        starts = at[own][first]
+                        found.setdefault(langs[salt], Tally()).add(keys, times, np.full(len(keys), n, np.uint8), lambda new, starts=starts, n=n: [phrases.text(i, n) for i in starts[new].tolist()])
+                if sum(len(t.keys) for t in found.values()) > KEPT:
+                    yield from rows(found)
+                    found = {}
+        yield from rows(found)
+
+    return docs.mapInArrow(run, "lang string, part long, keys binary, counts binary, words binary, texts binary")
+
+
+def exact_counts(docs: DataFrame, candidates: bytes, parts: int, least: int) -> DataFrame:
+    """(lang, phrase, n_words, times) of the phrases found ``least`` times or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, tally = None, Tally()
+
+        def frequent() -> pa.RecordBatch:
+            some = np.flatnonzero(tally.counts >= least)
+            texts = pa.array([t.decode() for t in tally.texts[some]], pa.string())
+            return pa.RecordBatch.from_arrays([pa.array([now[0] if now else None] * len(some), pa.string()), texts, pa.array(tally.words[some].astype(np.int32)), pa.array(tally.counts[some])], names=["lang", "phrase", "n_words", "times"])
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                key = (batch.column(0)[i].as_py(), batch.column(1)[i].as_py())
+                if key != now:
+                    yield frequent()
+                    now, tally = key, Tally()
+                keys, counts, words = (np.frombuffer(batch.column(c)[i].as_py(), kind) for c, kind in ((2, U64), (3, np.int64), (4, np.uint8)))
+                texts = np.array(batch.column(5)[i].as_py().split(b"\n"), object)
+                tally.add(keys, counts, words, lambda new, texts=texts: list(texts[new]))
+        yield frequent()
 
-    return docs.mapInArrow(run, "lang string, phrase string, n_words int, times long").groupBy("lang", "phrase", "n_words").agg(F.sum("times").alias("times")).where(F.col("times") >= least)
+    rows = tallied(docs, candidates, parts).repartition(parts, "lang", "part").sortWithinPartitions("lang", "part")
+    return rows.mapInArrow(run, "lang string, phrase string, n_words int, times long")
 
 
 def word_totals(docs: DataFrame) -> DataFrame:
@@ -266,7 +326,7 @@ def collocations(docs: DataFrame, lang: str = "lang", text: str = "text", least:
     parts = 2 * mass // PART_MASS + 1
     short = checkpointed(frequent_hashes(dealt(docs, (1, 2), parts), 2 * mass, parts, least))
     longer = frequent_hashes(dealt(docs, tuple(range(3, MOST_WORDS + 1)), parts, filter_of(short)), 2 * mass, parts, least)
-    counts = checkpointed(exact_counts(docs, filter_of(short.unionByName(longer)), least))
+    counts = checkpointed(exact_counts(docs, filter_of(short.unionByName(longer)), parts, least))
     phrases = counts.where("n_words > 1")
     longest = part_phrases(phrases).groupBy("lang", "phrase").agg(F.max("times").alias("within"))
     kept = phrases.join(longest, ["lang", "phrase"], "left").where("within is null or within < times")
