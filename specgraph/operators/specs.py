@@ -212,41 +212,6 @@ def parameter_hint(name: Column, kind: Column, form: Column) -> Column:
     )
 
 
-def parameter_rows(ast: DataFrame, endpoints: DataFrame) -> DataFrame:
-    """(id, eid, name, location, required, type, format, hint) of operations and, where they do not override it by name and place, of their path items."""
-    own = members(ast, "Parameter", ["name", "in", "required"]).where("pointer LIKE '/paths/%'")
-    schemas = ast.where("kind = 'Schema' AND key = 'schema'").select("spec_id", F.col("parent").alias("pointer"), F.get_json_object("raw", "$.type").alias("type"), F.get_json_object("raw", "$.format").alias("format"))
-    own = own.join(schemas, ["spec_id", "pointer"], "left").withColumn("holder", F.expr("substring(up, 1, length(up) - length('/parameters'))"))
-    ops = endpoints.select("eid", "spec_id", F.col("pointer").alias("op"), F.expr("substring(pointer, 1, length(pointer) - length(method) - 1)").alias("item"))
-    direct = own.join(ops.withColumn("holder", F.col("op")), ["spec_id", "holder"]).withColumn("prio", F.lit(0))
-    inherited = own.join(ops.withColumn("holder", F.col("item")), ["spec_id", "holder"]).withColumn("prio", F.lit(1))
-    rows = direct.unionByName(inherited)
-    best = Window.partitionBy("eid", "name", "in").orderBy("prio", "own_ord")
-    rows = rows.withColumn("n", F.row_number().over(best)).where("n = 1")
-    text = {c: F.coalesce(c, F.lit("")) for c in ("type", "format")}
-    return rows.select(
-        F.concat(F.col("eid"), F.lit("#param:"), F.col("in"), F.lit(":"), F.col("name")).alias("id"), "eid", "name", F.col("in").alias("location"), (F.coalesce("required", F.lit("")) == "true").alias("required"),
-        text["type"].alias("type"), text["format"].alias("format"), parameter_hint(F.col("name"), text["type"], text["format"]).alias("hint"),
-    )
-
-
-def media_rows(ast: DataFrame, endpoints: DataFrame) -> DataFrame:
-    """(eid, part, status, media, root_ref, ord): every media type of the body (status empty) and of each response, with its schema's reference and its place in the document."""
-    media = ast.where("kind = 'MediaType'").select("spec_id", "pointer", "ord", F.col("key").alias("media"), F.get_json_object("raw", "$.schema.$ref").alias("a"), F.get_json_object("raw", "$.schema['$ref']").alias("b"))
-    media = media.select("spec_id", "pointer", "ord", "media", F.coalesce("a", "b", F.lit("")).alias("root_ref"))
-    media = media.withColumn("op", F.regexp_extract("pointer", r"^(/paths/[^/]+/[^/]+)/(?:requestBody|responses)/", 1))
-    rows = endpoints.select("eid", "spec_id", F.col("pointer").alias("op")).join(media, ["spec_id", "op"])
-    status = F.regexp_extract("pointer", r"^/paths/[^/]+/[^/]+/responses/([^/]+)/", 1)
-    return rows.select("eid", F.when(status == "", "body").otherwise("response").alias("part"), status.alias("status"), "media", "root_ref", "ord")
-
-
-def main_media(rows: DataFrame) -> DataFrame:
-    """One media type for each body and response: application/json, then merge-patch, then the first in the document."""
-    order = F.when(F.col("media") == "application/json", 0).when(F.col("media") == "application/merge-patch+json", 1).otherwise(2)
-    best = Window.partitionBy("eid", "part", "status").orderBy(order, "ord")
-    return rows.withColumn("n", F.row_number().over(best)).where("n = 1").drop("n", "ord")
-
-
 def body_shape(raw: Column) -> Column:
     """Structure of a schema: an enum is primitive whatever wraps it; any additionalProperties but false is a map."""
 
@@ -325,12 +290,14 @@ def semantic_id(spec: Column, kind: Column, key: Column) -> Column:
 
 
 def semantic_nodes(ast: DataFrame) -> DataFrame:
-    """(node_id, spec_id, kind, stable_key, pointer): endpoints, parameters, bodies, responses (each media type), schemas and properties. Schemas that only refer are left out."""
+    """(node_id, spec_id, kind, stable_key, pointer): endpoints, parameters, bodies, responses (each media type, of the kind of what holds it), schemas and properties. Schemas that only refer are left out."""
     kinds = F.when(F.col("kind") == "Operation", "Endpoint").when(F.col("kind") == "Items", "Schema").otherwise(F.col("kind"))
     only_ref = F.get_json_object("raw", "$['$ref']").isNotNull() & F.col("kind").isin("Schema", "Items")
-    own = ast.where(F.col("kind").isin("Operation", "Parameter", "MediaType", "Schema", "Items", "Property") & (F.col("value_type") == "object")).where(~F.coalesce(only_ref, F.lit(False)))
-    kind = F.when(F.col("kind") == "MediaType", F.when(F.col("pointer").contains("/requestBody/"), "RequestBody").otherwise("Response")).otherwise(kinds)
-    return own.select("spec_id", kind.alias("kind"), F.col("pointer").alias("stable_key"), "pointer").select(semantic_id(F.col("spec_id"), F.col("kind"), F.col("stable_key")).alias("node_id"), "*")
+    own = ast.where(F.col("kind").isin("Operation", "Parameter", "Schema", "Items", "Property") & (F.col("value_type") == "object")).where(~F.coalesce(only_ref, F.lit(False)))
+    media = ast.where("kind = 'MediaType' AND value_type = 'object'").select("spec_id", "pointer", F.regexp_replace("pointer", "/content/[^/]*$", "").alias("holder"))
+    holders = ast.where(F.col("kind").isin("RequestBody", "Response") & (F.col("value_type") == "object")).select("spec_id", F.col("pointer").alias("holder"), "kind")
+    rows = own.select("spec_id", kinds.alias("kind"), "pointer").unionByName(media.join(holders, ["spec_id", "holder"]).select("spec_id", "kind", "pointer"))
+    return rows.select(semantic_id(F.col("spec_id"), F.col("kind"), F.col("pointer")).alias("node_id"), "spec_id", "kind", F.col("pointer").alias("stable_key"), "pointer")
 
 
 def carry_through(corpus: DataFrame, ast: DataFrame) -> DataFrame:

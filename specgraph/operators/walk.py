@@ -44,16 +44,36 @@ def within(roots: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
 
 
 def closure(roots: DataFrame, edges: DataFrame) -> DataFrame:
-    """(root, node): all nodes reachable from each root, itself included. Rounds end when no pair is new; each is checkpointed."""
-    steps = edges.select(F.col("a").alias("node"), F.col("b").alias("next")).distinct()
+    """(root, node): all nodes reachable from each root, itself included.
+
+    Each round writes the new pairs alone, so what is written in all is the result once; they are told from the old by an anti join with
+    the rounds before, which are read and not written again. Rounds end when no pair is new.
+    """
+    steps = shared_checkpoint(edges.select(F.col("a").alias("node"), F.col("b").alias("next")).distinct())
     front = shared_checkpoint(roots.select(F.col("root"), F.col("root").alias("node")).distinct())
     every = front
     while True:
-        front = front.join(steps, "node").select("root", F.col("next").alias("node")).distinct()
-        front = shared_checkpoint(front.join(every, ["root", "node"], "left_anti"))
+        reached = front.join(steps, "node").select("root", F.col("next").alias("node")).distinct()
+        front = shared_checkpoint(reached.join(every, ["root", "node"], "left_anti"))
         if front.isEmpty():
             return every
-        every = shared_checkpoint(every.unionByName(front))
+        every = every.unionByName(front)
+
+
+def reached_values(roots: DataFrame, edges: DataFrame, values: DataFrame) -> DataFrame:
+    """(root, value): values (node, value) of all nodes that each root reaches.
+
+    Values move against the edges, from a node to those that refer to it, so only pairs with a value are ever made; nodes without one below them cost nothing.
+    """
+    back = shared_checkpoint(edges.select(F.col("b").alias("node"), F.col("a").alias("user")).distinct())
+    front = shared_checkpoint(values.select("node", "value").distinct())
+    every = front
+    while True:
+        heard = front.join(back, "node").select(F.col("user").alias("node"), "value").distinct()
+        front = shared_checkpoint(heard.join(every, ["node", "value"], "left_anti"))
+        if front.isEmpty():
+            return every.join(roots.select(F.col("root").alias("node")).distinct(), "node", "left_semi").withColumnRenamed("node", "root")
+        every = every.unionByName(front)
 
 
 def components(edges: DataFrame) -> DataFrame:

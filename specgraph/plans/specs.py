@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specgraph.operators import projection, specs
+from specgraph.operators import parts, projection, specs
 from specgraph.operators.walk import shared_checkpoint
 from specgraph.plans.bridge import frame
 from specgraph.plans.registry import query
@@ -36,7 +36,7 @@ def documents(spark: SparkSession, sf_dir: str, rich: bool = False) -> DataFrame
         *([F.struct(F.concat(F.lit("show part "), F.col("part")).alias("commandName"), F.array(F.lit("id"), F.lit("mode")).alias("paramKeys")).alias("x-cliParam")] if rich else []),
     )
     paths = lines.groupBy("o", "path").agg(F.map_from_entries(F.collect_list(F.struct("method", operation))).alias("item")).groupBy("o").agg(F.map_from_entries(F.collect_list(F.struct("path", "item"))).alias("paths"))
-    parts = frame(spark, sf_dir, PARTS)
+    bodies = frame(spark, sf_dir, PARTS)
     body = F.struct(
         F.lit("object").alias("type"), F.lit(1).alias("_id"), F.when(F.col("qty") > 25, F.array(F.lit("qty"), F.lit("sup"))).alias("required"),
         F.struct(
@@ -48,8 +48,8 @@ def documents(spark: SparkSession, sf_dir: str, rich: bool = False) -> DataFrame
         *([F.when(F.col("flag") == "A", F.array(F.lit("SWITCH"), F.lit("AP"))).alias("x-supportedDeviceType"), F.when(F.col("flag") == "R", F.array(ref(F.concat(F.lit("S"), F.col("sup"))))).alias("allOf")] if rich else []),
     )
     supplier = F.struct(F.lit("string").alias("type"), F.array(F.lit("a"), F.lit("b")).alias("enum"))
-    own = parts.select("o", F.concat(F.lit("P"), "part").alias("k"), F.to_json(body).alias("v"))
-    schemas = own.unionByName(parts.select("o", F.concat(F.lit("S"), "sup").alias("k"), F.to_json(supplier).alias("v"))).distinct()
+    own = bodies.select("o", F.concat(F.lit("P"), "part").alias("k"), F.to_json(body).alias("v"))
+    schemas = own.unionByName(bodies.select("o", F.concat(F.lit("S"), "sup").alias("k"), F.to_json(supplier).alias("v"))).distinct()
     schemas = schemas.groupBy("o").agg(F.concat(F.lit("{"), F.array_join(F.array_sort(F.collect_list(F.concat(F.lit('"'), F.col("k"), F.lit('":'), F.col("v")))), ","), F.lit("}")).alias("schemas"))
     head = F.concat(F.lit('{"openapi":"3.0.3","info":{"title":"Part '), F.col("o") % 40, F.lit('","version":"1"},"paths":'), F.to_json("paths"), F.lit(',"components":{"schemas":'), F.col("schemas"), F.lit("}}"))
     joined = paths.join(schemas, "o")
@@ -115,14 +115,15 @@ def cl_8_content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 MEDIA = "SELECT p_partkey AS k, CAST(p_partkey AS STRING) AS t, p_partkey % 4 AS m FROM part"
 
 
-@query(f"""SELECT 'POST:/m/' || t AS eid, 'body' AS part, '' AS status, CASE m WHEN 0 THEN 'text/z' WHEN 1 THEN 'application/json' WHEN 2 THEN 'application/merge-patch+json' ELSE 'b/b' END AS media, CASE m WHEN 1 THEN '#/J' WHEN 2 THEN '#/M' ELSE '#/First' END AS root_ref FROM ({MEDIA}) x""")
+@query(f"""SELECT 'POST:/m/' || t AS eid, 'body' AS part, '' AS status, CASE m WHEN 0 THEN 'text/z' WHEN 1 THEN 'application/json' WHEN 2 THEN 'a/a' ELSE 'b/b' END AS media, CASE m WHEN 1 THEN '#/J' WHEN 2 THEN '#/A' ELSE '#/First' END AS root_ref FROM ({MEDIA}) x""")
 def sg_1_first_media_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SG-1: application/json, then merge-patch, then the first one in the document, whatever its name."""
+    """SG-1: application/json, then the first one in the document, whatever its name."""
     content = """CASE m WHEN 0 THEN '"text/z":{"schema":{"$ref":"#/First"}},"a/a":{"schema":{"$ref":"#/A"}}' WHEN 1 THEN '"a/a":{"schema":{"$ref":"#/A"}},"application/merge-patch+json":{"schema":{"$ref":"#/M"}},"application/json":{"schema":{"$ref":"#/J"}}'
         WHEN 2 THEN '"a/a":{"schema":{"$ref":"#/A"}},"application/merge-patch+json":{"schema":{"$ref":"#/M"}}' ELSE '"b/b":{"schema":{"$ref":"#/First"}},"a/a":{}' END"""
     corpus = frame(spark, sf_dir, f"""SELECT 'made' AS spec_source, t AS source, 'm' AS title, '{{"paths":{{"/m/' || t || '":{{"post":{{"requestBody":{{"content":{{' || {content} || '}}}}}}}}}}}}' AS raw FROM ({MEDIA}) x""")
     ast = shared_checkpoint(specs.flatten(corpus))
-    return specs.main_media(specs.media_rows(ast, specs.endpoint_rows(ast, specs.spec_rows(corpus))))
+    rows = specs.spec_rows(corpus)
+    return parts.main_media(parts.media_rows(ast, rows, specs.endpoint_rows(ast, rows))).drop("required")
 
 
 @query(f"SELECT {SOURCE} AS source, true AS same FROM ({LINES}) x GROUP BY o")
@@ -223,7 +224,8 @@ def ag_1_endpoints_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sg_2_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SG-2, SG-3, JN-7: parameters with hints."""
     ast, rows = _ast(spark, sf_dir)
-    return specs.parameter_rows(ast, specs.endpoint_rows(ast, rows))
+    found = parts.parameter_rows(ast, rows, specs.endpoint_rows(ast, rows))
+    return found.select("id", "eid", "name", "location", "required", "type", "format", "hint")
 
 
 @query(
@@ -233,7 +235,7 @@ def sg_2_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sg_4_bodies_and_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SG-1, SG-4, SM-4: media types of bodies and responses with their root."""
     ast, rows = _ast(spark, sf_dir)
-    return specs.main_media(specs.media_rows(ast, specs.endpoint_rows(ast, rows)))
+    return parts.main_media(parts.media_rows(ast, rows, specs.endpoint_rows(ast, rows))).drop("required")
 
 
 COMPONENTS = f"""c AS (SELECT {PROVIDER} || ':schemas:P' || CAST(part AS STRING) AS id, 'P' || CAST(part AS STRING) AS name, 'object' AS kind, 'object' AS shape FROM ({PARTS}) x GROUP BY ALL

@@ -12,7 +12,7 @@ from specgraph.functions import jsonwalk
 from specgraph.functions.expand import Expansion
 from specgraph.functions.views import Views
 from specgraph.functions.shapes import shape_hash
-from specgraph.operators import audit, discover, inventory, merge, models, projection, search, specs, topology, walk
+from specgraph.operators import audit, discover, inventory, merge, models, parts, projection, search, specs, topology, walk
 from specgraph.plans import discovery, registry  # noqa: F401
 from specgraph.plans import sources as source_plans  # noqa: F401
 from specgraph.sources import documents, sinks
@@ -192,10 +192,10 @@ def test_rows_of_a_document(spark):
     ast, rows = specs.flatten(docs), specs.spec_rows(docs)
     ends = specs.endpoint_rows(ast, rows)
     assert {r["eid"] for r in ends.collect()} == {"POST:/things/{id}", "GET:/things/{id}"} and rows.count() == 1
-    params = {(r["eid"][:3], r["name"]): (r["required"], r["hint"]) for r in specs.parameter_rows(ast, ends).collect()}
+    params = {(r["eid"][:3], r["name"]): (r["required"], r["hint"]) for r in parts.parameter_rows(ast, rows, ends).collect()}
     assert params == {("POS", "id"): (True, ""), ("POS", "filter"): (True, "odata-filter"), ("GET", "id"): (True, ""), ("GET", "filter"): (False, "odata-filter")}
-    media = specs.media_rows(ast, ends)
-    assert media.count() == 3 and {r["media"] for r in specs.main_media(media).collect()} == {"application/json"}
+    media = parts.media_rows(ast, rows, ends)
+    assert media.count() == 3 and {r["media"] for r in parts.main_media(media).collect()} == {"application/json"}
     parts = {r["name"]: (r["kind"], r["shape"]) for r in specs.component_rows(ast, rows).collect()}
     assert parts == {"Thing": ("object", "object"), "Leaf": ("primitive", "primitive"), "Map": ("map", "map"), "Gone": ("unresolved", "")}
     props = {r["name"]: r["required"] for r in specs.property_rows(ast, rows).collect()}
