@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from specgraph.llm import collocation, decontaminate, fingerprint, htmltemplate, langid, lexical, pii, quality, simhash, subword, supervision, tokenfile, toxicity
+from specgraph.llm import collocation, decontaminate, fingerprint, htmltemplate, langid, lexical, oracles, pii, quality, simhash, subword, supervision, tokenfile, toxicity
 from specgraph.llm.tokenizers import tokenizer_path
 
 
@@ -73,5 +73,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_personal_data, op10_quality, op11_quality_rules, op12_collocations, op13_lexical_search,
     )
 }
-#: None of these can be said in SQL (hash sketches, trained models, tokenizers, closures); their tests compare with brute force.
-ORACLES: dict[str, str] = {}
+#: The others cannot be said in SQL (hash sketches, trained models, tokenizers, closures); their tests compare with brute force.
+ORACLES: dict[str, str] = {"op11_quality_rules": oracles.quality_rules(), "op12_collocations": oracles.collocations(), "op13_lexical_search": oracles.lexical_search()}

@@ -102,7 +102,7 @@ def statistics(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 
     def of_lines(lines: Column) -> Column:
         ended = F.filter(lines, lambda x: F.right(F.btrim(x, F.lit(SPACE_SIGNS)), F.lit(1)).isin(".", "!", "?"))
-        marked = F.filter(lines, lambda x: F.regexp_like(x, F.lit(f"({SYMBOL}.*){{3}}")))
+        marked = F.filter(lines, lambda x: F.regexp_like(x, F.lit(f"({SYMBOL}[^#*$%&|<>]*){{3}}")))
         return F.struct(
             F.size(lines).cast("long").alias("n_lines"), (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
             F.size(ended).cast("long").alias("n_ended_lines"), F.size(marked).cast("long").alias("n_symbol_lines"),
