@@ -35,6 +35,8 @@ FLUSH, ROW = 1 << 22, 1 << 17
 KEPT = 1 << 20
 #: Filter: bits, turns of a hash that set one each, and bits in one of the pages that it is made of.
 FILTER_BITS, TURNS, PAGE_BITS = 26, (1, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5), 15
+#: Whole numbers of up to 38 digits.
+SCORE = "cast(1000 as decimal(38,0)) * a * n div (cast(l as decimal(38,0)) * r)"
 #: Parts of a language in the first selection, and most languages that are sent to all machines; more are joined by key.
 PARTS, FEW = 64, 10_000
 WORD_BYTES = np.ones(256, dtype=bool)
@@ -336,8 +338,7 @@ def collocations(docs: DataFrame, lang: str = "lang", text: str = "text", least:
     for side, name in (("head", "l"), ("tail", "r")):
         cut = lookup(checkpointed(cut), counts.select("lang", F.col("phrase").alias(side), F.col("times").alias(name)), "lang", side)
     cut = cut.join(F.broadcast(totals), "lang") if totals.limit(FEW + 1).count() <= FEW else cut.join(totals, "lang")
-    score = F.expr("cast(1000 as decimal(38,0)) * a * n div (cast(l as decimal(38,0)) * r)")
-    scored = cut.withColumn("score", score.cast("long"))
+    scored = cut.withColumn("score", F.expr(SCORE).cast("long"))
     best = scored.groupBy("lang", "phrase").agg(F.min(F.struct("score", "k", "a", "l", "r", "n")).alias("s")).select("lang", "phrase", "s.*")
     order = (F.desc("score"), F.desc("a"), F.asc("phrase"))
     first = best.withColumn("rank", F.row_number().over(Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(PARTS))).orderBy(*order))).where(F.col("rank") <= top)

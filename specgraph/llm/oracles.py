@@ -36,7 +36,7 @@ def quality_rules() -> str:
     first = [(j, v, r.expected(supervision.ON_GOOD)[v], r.expected(supervision.ON_BAD)[v]) for j, r in enumerate(rules) for v in (supervision.NONE, good, bad)]
 
     def vote(rule: supervision.Rule) -> str:
-        x = f"(({rule.statistic})::DOUBLE)"
+        x = f"({rule.share})"
         fine = f"WHEN {x} BETWEEN {rule.good[0]} AND {rule.good[1]} THEN {good}" if rule.good else ""
         return f"CASE WHEN {x} < {rule.fair[0]} OR {x} > {rule.fair[1]} THEN {bad} {fine} ELSE 0 END"
 
@@ -56,7 +56,7 @@ def quality_rules() -> str:
     st AS MATERIALIZED (SELECT d.doc_id, len(words)::BIGINT AS n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::BIGINT AS word_chars, len(regexp_extract_all(text, '{symbols}'))::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
     len(list_distinct(words)) AS n_distinct_words, len(lines) AS n_lines, len(list_filter(lines, lambda x: right(trim(x, {_BLANK}), 1) IN ('.', '!', '?'))) AS n_ended_lines, len(list_filter(lines, lambda x: regexp_matches(x, '({symbols}[^#*$%&|<>]*){{3}}'))) AS n_symbol_lines, len(regexp_extract_all(text, '\\p{{Lu}}')) AS n_upper,
     length(text) - length(replace(text, '!', '')) AS n_exclamations FROM d LEFT JOIN rep USING (doc_id)),
-    voted AS MATERIALIZED (SELECT *, n_words < {supervision.MIN_WORDS} OR 100 * n_repeat_words > {supervision.MAX_REPEATED_PERCENT} * n_words AS base_failed, {', '.join(f'{vote(r)} AS v{j}' for j, r in enumerate(rules))} FROM (SELECT * REPLACE (nullif(n_words, 0) AS n_words, nullif(n_lines, 0) AS n_lines, nullif(word_chars, 0) AS word_chars) FROM st) z),
-    pattern AS MATERIALIZED (SELECT {names}, count(*) AS n, row_number() OVER () AS pat FROM voted WHERE NOT coalesce(base_failed, true) GROUP BY {names}), o AS MATERIALIZED ({every}), {', '.join(steps)}, final AS ({post.format(key='doc_id', votes=f'({each})', k=supervision.ROUNDS)})
-    SELECT st.doc_id, st.n_words, st.word_chars, st.n_symbols, st.n_dup_lines, st.n_repeat_words, coalesce(v.base_failed, true) AS base_failed, NOT coalesce(v.base_failed, true) AND round(p, {supervision.DIGITS}) >= {supervision.KEEP_AT} AS kept, round(p, {supervision.DIGITS}) AS posterior
+    voted AS MATERIALIZED (SELECT *, n_words < {supervision.MIN_WORDS} OR 100 * n_repeat_words > {supervision.MAX_REPEATED_PERCENT} * n_words AS base_failed, {', '.join(f'{vote(r)} AS v{j}' for j, r in enumerate(rules))} FROM st),
+    pattern AS MATERIALIZED (SELECT {names}, count(*) AS n, row_number() OVER () AS pat FROM voted WHERE NOT base_failed GROUP BY {names}), o AS MATERIALIZED ({every}), {', '.join(steps)}, final AS ({post.format(key='doc_id', votes=f'({each})', k=supervision.ROUNDS)})
+    SELECT st.doc_id, st.n_words, st.word_chars, st.n_symbols, st.n_dup_lines, st.n_repeat_words, v.base_failed AS base_failed, NOT v.base_failed AND round(p, {supervision.DIGITS}) >= {supervision.KEEP_AT} AS kept, round(p, {supervision.DIGITS}) AS posterior
     FROM st JOIN voted v ON v.doc_id = st.doc_id JOIN final ON final.doc_id = st.doc_id"""

@@ -32,12 +32,18 @@ ON_GOOD, ON_BAD, WEIGHT = {BAD: 0.01, GOOD: 0.6}, {BAD: 0.2, GOOD: 0.3}, 10.0
 
 @dataclass(frozen=True)
 class Rule:
-    """Votes bad where the statistic is outside ``fair``, good where it is in ``good`` (ends included), and abstains elsewhere or where it is null."""
+    """Votes bad where the share of ``part`` in ``of`` is outside ``fair``, good where it is in ``good`` (ends included), and abstains elsewhere or where ``of`` is under ``least``."""
 
     name: str
-    statistic: str
+    part: str
+    of: str
     fair: tuple[float, float]
     good: tuple[float, float] | None = None
+    least: int = 1
+
+    @property
+    def share(self) -> str:
+        return f"CASE WHEN {self.of} >= {self.least} THEN CAST({self.part} AS DOUBLE) / {self.of} END"
 
     def expected(self, shares: dict[int, float]) -> dict[int, float]:
         found = {BAD: shares[BAD], GOOD: shares[GOOD] if self.good else 0.0}
@@ -45,16 +51,16 @@ class Rule:
 
 
 RULES = (
-    Rule("symbols", "n_symbols / n_words", (0, 0.1)),
-    Rule("symbol_characters", "n_symbols / word_chars", (0, 0.03)),
-    Rule("symbol_lines", "n_symbol_lines / n_lines", (0, 0.4)),
-    Rule("capitals", "n_upper / word_chars", (0, 0.3)),
-    Rule("exclamations", "n_exclamations / n_words", (0, 0.2)),
-    Rule("line_ends", "n_ended_lines / n_lines", (0.3, 1), (0.8, 1)),
-    Rule("variety", "n_distinct_words / n_words", (0.2, 1), (0.5, 1)),
-    Rule("repeats", "n_repeat_words / n_words", (0, 0.15)),
-    Rule("duplicate_lines", "case when n_lines >= 4 then n_dup_lines / n_lines end", (0, 0.35)),
-    Rule("word_length", "word_chars / n_words", (2, 13)),
+    Rule("symbols", "n_symbols", "n_words", (0, 0.1)),
+    Rule("symbol_characters", "n_symbols", "word_chars", (0, 0.03)),
+    Rule("symbol_lines", "n_symbol_lines", "n_lines", (0, 0.4)),
+    Rule("capitals", "n_upper", "word_chars", (0, 0.3)),
+    Rule("exclamations", "n_exclamations", "n_words", (0, 0.2)),
+    Rule("line_ends", "n_ended_lines", "n_lines", (0.3, 1), (0.8, 1)),
+    Rule("variety", "n_distinct_words", "n_words", (0.2, 1), (0.5, 1)),
+    Rule("repeats", "n_repeat_words", "n_words", (0, 0.15)),
+    Rule("duplicate_lines", "n_dup_lines", "n_lines", (0, 0.35), least=4),
+    Rule("word_length", "word_chars", "n_words", (2, 13)),
 )
 
 
@@ -118,8 +124,8 @@ def statistics(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 
 
 def votes(rule: Rule) -> Column:
-    """GOOD, BAD or NONE; a statistic of nothing (no words, no lines) is null and abstains."""
-    x = F.expr(f"cast({rule.statistic} as double)")
+    """GOOD, BAD or NONE; a share of nothing (no words, no lines) is null and abstains."""
+    x = F.expr(rule.share)
     bad = F.when((x < rule.fair[0]) | (x > rule.fair[1]), BAD)
     return (bad.when(x.between(*rule.good), GOOD) if rule.good else bad).otherwise(NONE)
 
