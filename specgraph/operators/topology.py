@@ -1,18 +1,19 @@
-"""Topology of sites: undirected simple graphs, analysed for all sites in one job."""
+"""Topology of sites: undirected simple graphs, analysed for all sites in one job by joins, whatever the size of a site.
 
-from __future__ import annotations
+No task holds a site. Searches go on level by level; what a node asks of its ancestors or descendants is found by jump pointers, which double
+each round. Rounds therefore follow the depth of a site's tree (searches) or its logarithm (all else). Nodes are long numbers.
+"""
 
-from collections import deque
+from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from specgraph.operators.walk import components, shared_checkpoint
 
-WEAK = "site_id string, n_nodes long, n_edges long, n_components long, connected boolean, bridges string, cut_nodes string"
-#: Nodes whose distances one task finds: the searches of a large site are spread over many tasks.
-STARTS = 256
+#: Start nodes in a group that is numbered together (about), and those that one word of bits stands for.
+GROUP, WORD = 1024, 63
+KEY = ["site_id", "node"]
 
 
 def simple_edges(edges: DataFrame) -> DataFrame:
@@ -20,123 +21,165 @@ def simple_edges(edges: DataFrame) -> DataFrame:
     return edges.where("u <> v").select("site_id", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
-def adjacency(nodes: list[int], pairs: list[tuple[int, int]]) -> dict[int, list[int]]:
-    near: dict[int, list[int]] = {n: [] for n in nodes}
-    for u, v in pairs:
-        near.setdefault(u, []).append(v)
-        near.setdefault(v, []).append(u)
-    return near
-
-
-def distances(near: dict[int, list[int]], start: int) -> dict[int, int]:
-    """Steps from one node to each that it reaches."""
-    seen, todo = {start: 0}, deque([start])
-    while todo:
-        u = todo.popleft()
-        for v in near[u]:
-            if v not in seen:
-                seen[v] = seen[u] + 1
-                todo.append(v)
-    return seen
-
-
-def weak_points(near: dict[int, list[int]]) -> tuple[list[tuple[int, int]], list[int]]:
-    """Bridges (u < v) and cut nodes, by depth-first low points without recursion."""
-    order: dict[int, int] = {}
-    low: dict[int, int] = {}
-    bridges: list[tuple[int, int]] = []
-    cuts: set[int] = set()
-    for root in near:
-        if root in order:
-            continue
-        order[root] = low[root] = len(order)
-        stack, branches = [(root, -1, iter(near[root]))], 0
-        while stack:
-            u, up, rest = stack[-1]
-            for v in rest:
-                if v not in order:
-                    order[v] = low[v] = len(order)
-                    branches += u == root
-                    stack.append((v, u, iter(near[v])))
-                    break
-                if v != up:
-                    low[u] = min(low[u], order[v])
-            else:
-                stack.pop()
-                if stack:
-                    low[up] = min(low[up], low[u])
-                    if low[u] > order[up]:
-                        bridges.append((min(u, up), max(u, up)))
-                    if up != root and low[u] >= order[up]:
-                        cuts.add(up)
-        if branches > 1:
-            cuts.add(root)
-    return sorted(bridges), sorted(cuts)
-
-
-def _weak(key: tuple, nodes: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
-    names = sorted(set(nodes["node"]) | set(edges["u"]) | set(edges["v"]))
-    near = adjacency(names, list(zip(edges["u"], edges["v"], strict=True)))
-    left, components = set(names), 0
-    while left:
-        left -= distances(near, next(iter(left))).keys()
-        components += 1
-    bridges, cuts = weak_points(near)
-    return pd.DataFrame([[key[0], len(names), len(edges), components, components == 1, ",".join(f"{u}-{v}" for u, v in bridges), ",".join(map(str, cuts))]], columns=[x.split()[0] for x in WEAK.split(", ")])
-
-
-def _reach(key: tuple, starts: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
-    near = adjacency(list(starts["node"]), list(zip(edges["u"], edges["v"], strict=True)))
-    found = [distances(near, n) for n in starts["node"]]
-    return pd.DataFrame([[key[0], max((max(r.values()) for r in found), default=0), sum(sum(r.values()) for r in found)]], columns=["site_id", "far", "steps"])
+def both_ways(pairs: DataFrame) -> DataFrame:
+    """(site_id, node, near): each link from both its ends."""
+    one = pairs.select("site_id", F.col("u").alias("node"), F.col("v").alias("near"))
+    return one.unionByName(pairs.select("site_id", F.col("v").alias("node"), F.col("u").alias("near")))
 
 
-def path_lengths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(site_id, diameter, avg_path) of sites that are connected, for any number of nodes.
+def whole(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(site_id, node): the nodes given and the ends of links, each once."""
+    return nodes.select("site_id", "node").union(pairs.select("site_id", "u")).union(pairs.select("site_id", "v")).distinct()
+
+
+def site_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(site_id, node, component) for graphs of any size: smallest reachable node, by rounds of joins over the whole table."""
+    labelled = components(simple_edges(edges).select(_name("u").alias("a"), _name("v").alias("b")))
+    own = nodes.select("site_id", "node", _name("node").alias("id"))
+    named = own.join(labelled.withColumnRenamed("node", "id"), "id", "left").select("site_id", "node", F.coalesce("root", "id").alias("root"))
+    return named.select("site_id", "node", F.element_at(F.split("root", "/"), -1).cast("long").alias("component"))
+
+
+def _name(column: str):  # noqa: ANN202
+    """A node of a site as one text, in the order of its numbers."""
+    return F.concat_ws("/", "site_id", F.lpad(F.col(column).cast("string"), 20, "0"))
+
+
+def search_tree(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(site_id, node, parent, level): breadth-first trees from the least node of every component; of several parents the least.
 
-    The nodes of a site are dealt into blocks of about ``STARTS``; a task has one block and the site's links, so that its memory grows
-    with the links and the number of tasks with the nodes. A site of one node has zeros.
+    A link that is not in the tree joins nodes of one level or of two that follow each other, and neither is above the other. So a node
+    that is reached again lies in one of the last two levels, and new ones are told from these alone.
     """
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / STARTS)).cast("long")
-    sizes = nodes.groupBy("site_id").agg(F.count("*").alias("n"))
-    starts = nodes.join(sizes, "site_id").select("site_id", "node", "n", F.pmod(F.xxhash64("node"), blocks).alias("block"))
-    copies = starts.select("site_id", "block").distinct().join(edges, "site_id").select(F.col("site_id").alias("of"), F.col("block").alias("part"), "u", "v")
-    found = starts.groupBy("site_id", "block").cogroup(copies.groupBy("of", "part")).applyInPandas(_reach, "site_id string, far long, steps long")
-    sums = found.groupBy("site_id").agg(F.max("far").alias("diameter"), F.sum("steps").alias("steps")).join(sizes, "site_id")
-    pairs = F.col("n") * (F.col("n") - 1)
-    return sums.select("site_id", "diameter", F.when(pairs > 0, F.round(F.col("steps") / pairs, 2)).otherwise(0.0).alias("avg_path"))
+    near = shared_checkpoint(both_ways(shared_checkpoint(simple_edges(edges))))
+    front = shared_checkpoint(site_components(nodes, edges).where("node = component").select(*KEY, F.lit(None).cast("long").alias("parent"), F.lit(0).alias("level")))
+    before, every, level = front, front, 0
+    while True:
+        level += 1
+        heard = front.select(*KEY).join(near, KEY).groupBy("site_id", F.col("near").alias("node")).agg(F.min("node").alias("parent"))
+        fresh = heard.join(front.select(*KEY).unionByName(before.select(*KEY)), KEY, "left_anti")
+        before, front = front, shared_checkpoint(fresh.withColumn("level", F.lit(level)))
+        if front.isEmpty():
+            return every
+        every = every.unionByName(front)
+
+
+def jumps(tree: DataFrame) -> list[DataFrame]:
+    """(site_id, node, up) tables: the ancestors 1, 2, 4, ... levels above; nodes that are not so deep are left out."""
+    found = [shared_checkpoint(tree.where("parent IS NOT NULL").select(*KEY, F.col("parent").alias("up")))]
+    while not found[-1].isEmpty():
+        step = found[-1]
+        found.append(shared_checkpoint(step.join(step.select("site_id", F.col("node").alias("up"), F.col("up").alias("far")), ["site_id", "up"]).select(*KEY, F.col("far").alias("up"))))
+    return found[:-1]
+
+
+def meeting_levels(tree: DataFrame, pairs: DataFrame, ups: list[DataFrame]) -> DataFrame:
+    """(site_id, u, v, meet): the level of the lowest common ancestor of each link that is not in the tree."""
+    own = tree.select("site_id", F.col("node").alias("u"), F.col("parent").alias("pu"), F.col("level").alias("lu"))
+    other = own.toDF("site_id", "v", "pv", "lv")
+    links = pairs.join(own, ["site_id", "u"]).join(other, ["site_id", "v"]).where("NOT (pu <=> v OR pv <=> u)")
+    # the deeper end goes up one level, so that both are on one
+    low = F.when(F.col("lu") > F.col("lv"), F.col("pu")).otherwise(F.col("u"))
+    high = F.when(F.col("lv") > F.col("lu"), F.col("pv")).otherwise(F.col("v"))
+    rows = shared_checkpoint(links.select("site_id", "u", "v", low.alias("x"), high.alias("y"), F.least("lu", "lv").alias("at")))
+    for k in reversed(range(len(ups))):
+        above = ups[k]
+        asked = rows.join(above.select("site_id", F.col("node").alias("x"), F.col("up").alias("ux")), ["site_id", "x"], "left").join(above.select("site_id", F.col("node").alias("y"), F.col("up").alias("uy")), ["site_id", "y"], "left")
+        apart = F.coalesce(F.col("ux") != F.col("uy"), F.lit(False))
+        rows = shared_checkpoint(asked.select("site_id", "u", "v", F.when(apart, F.col("ux")).otherwise(F.col("x")).alias("x"), F.when(apart, F.col("uy")).otherwise(F.col("y")).alias("y"), F.when(apart, F.col("at") - (1 << k)).otherwise(F.col("at")).alias("at")))
+    return rows.select("site_id", "u", "v", (F.col("at") - 1).alias("meet"))
+
+
+def least_below(values: DataFrame, ups: list[DataFrame]) -> DataFrame:
+    """(site_id, node, value): for each node the least value of itself and all its descendants."""
+    for above in ups:
+        passed = values.join(above, KEY).select("site_id", F.col("up").alias("node"), "value")
+        values = shared_checkpoint(values.unionByName(passed).groupBy(*KEY).agg(F.min("value").alias("value")))
+    return values
+
+
+def blocks(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(site_id, node, parent, bridge, block) of every node but the trees' roots, standing for the link to its parent, and the links themselves.
+
+    A link of the tree is a bridge if no other link leaves the part below it. It is in one block with the link above it if one leaves the
+    part below that as well. The ends of every other link stand for two links of the tree in one block. Blocks are what is linked by these.
+    """
+    pairs = shared_checkpoint(simple_edges(edges))
+    tree = shared_checkpoint(search_tree(whole(nodes, pairs), pairs))
+    ups = jumps(tree)
+    meets = shared_checkpoint(meeting_levels(tree, pairs, ups))
+    ends = meets.select("site_id", F.col("u").alias("node"), "meet").unionByName(meets.select("site_id", F.col("v").alias("node"), "meet"))
+    own = tree.select(*KEY).join(ends.groupBy(*KEY).agg(F.min("meet").alias("value")), KEY, "left")
+    below = least_below(shared_checkpoint(own.select(*KEY, F.coalesce("value", F.lit(1 << 30)).alias("value"))), ups)
+    links = shared_checkpoint(tree.where("parent IS NOT NULL").join(below, KEY).select(*KEY, "parent", "level", "value", (F.col("value") >= F.col("level")).alias("bridge")))
+    above = links.where("value < level - 1").select("site_id", F.col("node").alias("u"), F.col("parent").alias("v"))
+    joined = components(above.unionByName(meets.select("site_id", "u", "v")).select(_name("u").alias("a"), _name("v").alias("b")))
+    named = links.withColumn("id", _name("node")).join(joined.select(F.col("node").alias("id"), F.col("root").alias("block")), "id", "left")
+    return shared_checkpoint(named.select(*KEY, "parent", "bridge", F.coalesce("block", "id").alias("block"))), pairs
 
 
-def _whole(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(site_id, node): the nodes given and the ends of links, each once."""
-    return nodes.select("site_id", "node").union(pairs.select("site_id", "u")).union(pairs.select("site_id", "v")).distinct()
+def bridges(links: DataFrame) -> DataFrame:
+    """(site_id, u, v) with u < v: links without which a site falls apart; ``links`` as ``blocks`` gives them."""
+    return links.where("bridge").select("site_id", F.least("node", "parent").alias("u"), F.greatest("node", "parent").alias("v"))
 
 
-def site_metrics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Counts, components, diameter, average path, bridges and cut nodes of every site.
+def cut_nodes(links: DataFrame) -> DataFrame:
+    """(site_id, node): nodes whose links are in several blocks."""
+    at = links.select(*KEY, "block").unionByName(links.select("site_id", F.col("parent").alias("node"), "block")).distinct()
+    return at.groupBy(*KEY).agg(F.count("*").alias("n")).where("n > 1").select(*KEY)
 
-    Bridges and cut nodes need one walk over a site, so a task holds the links of one site (one network); path lengths, whose work grows
-    with nodes times links, are spread (``path_lengths``) and null where a site is not connected.
+
+def path_lengths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(site_id, far, steps): the longest of all shortest paths between nodes that reach each other, and the sum of all of them (each pair from both ends).
+
+    Searches start at all nodes at once, ``WORD`` of them in a word of bits: a row says which starts have come to a node. Each round only bits that are
+    new to a node move on.
     """
-    pairs = simple_edges(edges)
-    weak = shared_checkpoint(nodes.groupBy("site_id").cogroup(pairs.groupBy("site_id")).applyInPandas(_weak, WEAK))
-    joined = weak.where("connected").select("site_id")
-    paths = path_lengths(_whole(nodes, pairs).join(joined, "site_id", "left_semi"), pairs.join(joined, "site_id", "left_semi"))
-    return weak.join(paths, "site_id", "left").select("site_id", "n_nodes", "n_edges", "n_components", "connected", "diameter", "avg_path", "bridges", "cut_nodes")
+    near = shared_checkpoint(both_ways(shared_checkpoint(simple_edges(edges))))
+    nodes = shared_checkpoint(nodes)
+    count = nodes.groupBy("site_id").agg(F.count("*").alias("n"))
+    grouped = nodes.join(count, "site_id").withColumn("group", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / GROUP)))
+    number = F.row_number().over(Window.partitionBy("site_id", "group").orderBy("node")) - 1
+    bit = F.expr(f"shiftleft(1L, cast(number % {WORD} AS INT))")
+    starts = grouped.withColumn("number", number).select(*KEY, F.concat_ws(".", "group", F.floor(F.col("number") / WORD)).alias("word"), bit.alias("bits"))
+    front = shared_checkpoint(starts)
+    seen, depth, found = front, 0, None
+    while True:
+        depth += 1
+        heard = front.join(near, KEY).groupBy("site_id", F.col("near").alias("node"), "word").agg(F.bit_or("bits").alias("heard"))
+        fresh = heard.join(seen, [*KEY, "word"], "left").withColumn("fresh", F.col("heard").bitwiseAND(F.bitwise_not(F.coalesce("bits", F.lit(0).cast("long")))))
+        fresh = shared_checkpoint(fresh.where("fresh <> 0").select(*KEY, "word", F.col("fresh").alias("bits")))
+        of_round = shared_checkpoint(fresh.groupBy("site_id").agg(F.lit(depth).cast("long").alias("far"), F.sum(F.bit_count("bits") * depth).cast("long").alias("steps")))
+        if of_round.isEmpty():
+            break
+        found = of_round if found is None else found.unionByName(of_round)
+        seen = shared_checkpoint(seen.unionByName(fresh).groupBy(*KEY, "word").agg(F.bit_or("bits").alias("bits")))
+        front = fresh
+    zero = nodes.select("site_id", F.lit(0).cast("long").alias("far"), F.lit(0).cast("long").alias("steps")).distinct()
+    return (zero if found is None else zero.unionByName(found)).groupBy("site_id").agg(F.max("far").alias("far"), F.sum("steps").alias("steps"))
 
 
 def site_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(site_id, n_nodes, n_edges, n_components, connected) by joins and counts, for sites of any size: no task holds a site."""
+    """(site_id, n_nodes, n_edges, n_components, connected)."""
     pairs = simple_edges(edges)
-    parts = site_components(_whole(nodes, pairs), edges)
+    parts = site_components(whole(nodes, pairs), edges)
     own = parts.groupBy("site_id", "component").agg(F.count("*").alias("n")).groupBy("site_id").agg(F.sum("n").alias("n_nodes"), F.count("*").alias("n_components"))
     links = pairs.groupBy("site_id").agg(F.count("*").alias("n_edges"))
     return own.join(links, "site_id", "left").select("site_id", "n_nodes", F.coalesce("n_edges", F.lit(0)).alias("n_edges"), "n_components", (F.col("n_components") == 1).alias("connected"))
 
 
-def site_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(site_id, node, component) for graphs of any size: smallest reachable node, by rounds of joins over the whole table."""
-    labelled = components(simple_edges(edges).select(F.concat_ws("/", "site_id", F.lpad(F.col("u").cast("string"), 20, "0")).alias("a"), F.concat_ws("/", "site_id", F.lpad(F.col("v").cast("string"), 20, "0")).alias("b")))
-    own = nodes.select("site_id", "node", F.concat_ws("/", "site_id", F.lpad(F.col("node").cast("string"), 20, "0")).alias("id"))
-    named = own.join(labelled.withColumnRenamed("node", "id"), "id", "left").select("site_id", "node", F.coalesce("root", "id").alias("root"))
-    return named.select("site_id", "node", F.element_at(F.split("root", "/"), -1).cast("long").alias("component"))
+def site_metrics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Counts, components, diameter, average path (both null where a site is not connected), bridges and cut nodes of every site.
+
+    Bridges (``u-v``) and cut nodes are given as one text for each site; ``bridges`` and ``cut_nodes`` have them as rows.
+    """
+    counts = shared_checkpoint(site_counts(nodes, edges))
+    links, pairs = blocks(nodes, edges)
+    joined = counts.where("connected").select("site_id")
+    lengths = path_lengths(whole(nodes, pairs).join(joined, "site_id", "left_semi"), pairs.join(joined, "site_id", "left_semi"))
+    weak = bridges(links).groupBy("site_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("u", "v"))), lambda b: F.concat_ws("-", b["u"], b["v"])), ",").alias("bridges"))
+    cuts = cut_nodes(links).groupBy("site_id").agg(F.array_join(F.array_sort(F.collect_list("node")), ",").alias("cut_nodes"))
+    out = counts.join(lengths, "site_id", "left").join(weak, "site_id", "left").join(cuts, "site_id", "left")
+    pairs_of = F.col("n_nodes") * (F.col("n_nodes") - 1)
+    average = F.when(F.col("connected"), F.when(pairs_of > 0, F.round(F.col("steps") / pairs_of, 2)).otherwise(0.0))
+    return out.select("site_id", "n_nodes", "n_edges", "n_components", "connected", F.col("far").alias("diameter"), average.alias("avg_path"), F.coalesce("bridges", F.lit("")).alias("bridges"), F.coalesce("cut_nodes", F.lit("")).alias("cut_nodes"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from specgraph.operators import discover, search
-from specgraph.operators.walk import closure, within
+from specgraph.operators.walk import closure, reached_values, within
 from specgraph.plans.bridge import frame
 from specgraph.plans.registry import query
 
@@ -122,23 +122,24 @@ def jn_8_configures_yang(spark: SparkSession, sf_dir: str) -> DataFrame:
 REACHED = "step AS (SELECT a, b FROM b_composed UNION SELECT component_id, type_id FROM b_property WHERE type = 'object'), r AS (SELECT DISTINCT root_id AS root, root_id AS node FROM b_body UNION SELECT r.root, step.b FROM r JOIN step ON step.a = r.node)"
 
 
-def _reached(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _steps(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Roots of bodies, and composition and references."""
     edges = frame(spark, sf_dir, "SELECT a, b FROM b_composed UNION SELECT component_id, type_id FROM b_property WHERE type = 'object'")
-    return closure(frame(spark, sf_dir, "SELECT DISTINCT root_id AS root FROM b_body"), edges)
+    return frame(spark, sf_dir, "SELECT DISTINCT root_id AS root FROM b_body"), edges
 
 
 @query(f"WITH RECURSIVE {REACHED} SELECT root, count(*) AS n_reached FROM r GROUP BY root")
 def jn_3_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JN-3: components that a body's root reaches over composition and references."""
-    return _reached(spark, sf_dir).groupBy("root").agg(F.count("*").alias("n_reached"))
+    return closure(*_steps(spark, sf_dir)).groupBy("root").agg(F.count("*").alias("n_reached"))
 
 
 @query(f"WITH RECURSIVE {REACHED} SELECT DISTINCT b.eid, p.yang_path FROM b_body b JOIN r ON r.root = b.root_id JOIN b_property p ON p.component_id = r.node WHERE p.yang_path <> ''")
 def jn_9_yang_by_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JN-9: yang paths of everything a body refers to."""
-    paths = frame(spark, sf_dir, "b_property").where("yang_path <> ''").select(F.col("component_id").alias("node"), "yang_path").distinct()
+    paths = frame(spark, sf_dir, "b_property").where("yang_path <> ''").select(F.col("component_id").alias("node"), F.col("yang_path").alias("value"))
     roots = frame(spark, sf_dir, "b_body").select("eid", F.col("root_id").alias("root"))
-    return roots.join(_reached(spark, sf_dir).join(paths, "node").select("root", "yang_path").distinct(), "root").select("eid", "yang_path").distinct()
+    return roots.join(reached_values(*_steps(spark, sf_dir), paths), "root").select("eid", F.col("value").alias("yang_path")).distinct()
 
 
 @query(f"WITH {YANG}, n AS (SELECT yang_path, count(DISTINCT component_id) AS n_components FROM b_property WHERE yang_path <> '' GROUP BY yang_path) SELECT n.yang_path, regexp_extract(n.yang_path, '(?:^|/)([^/:]*):', 1) AS module, n.n_components, count(yang.eid) AS n_endpoints FROM n LEFT JOIN yang ON yang.yang_path = n.yang_path GROUP BY ALL")

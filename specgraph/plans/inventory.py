@@ -158,7 +158,7 @@ def ta_1_site_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def ta_2_3_site_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """TA-2, TA-3: diameter, average path, bridges and cut nodes; tests/ compares them with removal of each edge and node."""
+    """TA-2, TA-3: all figures of every site; ``ta_2_path_lengths``, ``ta_3_bridges`` and ``ta_3_cut_nodes`` have SQL for connected sites."""
     return topology.site_metrics(frame(spark, sf_dir, "b_site_node"), frame(spark, sf_dir, "b_site_edge"))
 
 
@@ -173,3 +173,40 @@ RING = """SELECT CAST(c_nationkey AS STRING) AS site_id, CAST(c_custkey AS BIGIN
 def ta_2_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TA-1, TA-2: path lengths of connected sites: rings, whose lengths a formula gives."""
     return topology.site_metrics(frame(spark, sf_dir, "b_site_node"), frame(spark, sf_dir, RING)).drop("bridges", "cut_nodes")
+
+
+#: Every site as one network: customers in a tree of two branches each, with links across it for one customer in four.
+WEB = """SELECT site_id, u, v FROM (SELECT a.site_id, a.node AS u, b.node AS v FROM ranked a JOIN ranked b ON b.site_id = a.site_id AND (b.r = CAST(floor((a.r - 1) / 2) AS BIGINT) OR (a.r % 8 = 5 AND b.r = a.r - 3) OR (a.r % 8 = 6 AND b.r = CAST(floor(a.r / 4) AS BIGINT))) WHERE a.r > 0) w"""
+RANKED = "ranked AS (SELECT CAST(c_nationkey AS STRING) AS site_id, CAST(c_custkey AS BIGINT) AS node, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS r FROM customer)"
+_LINKS = f"{RANKED}, e AS (SELECT DISTINCT site_id, least(u, v) AS u, greatest(u, v) AS v FROM ({WEB}) w WHERE u <> v), w AS (SELECT site_id, u AS a, v AS b FROM e UNION ALL SELECT site_id, v, u FROM e)"
+
+
+def _web(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return frame(spark, sf_dir, "b_site_node"), frame(spark, sf_dir, f"WITH {RANKED} {WEB}")
+
+
+@query(
+    f"""WITH RECURSIVE {_LINKS}, r AS (SELECT site_id, u, v, u AS node FROM e UNION SELECT r.site_id, r.u, r.v, w.b FROM r JOIN w ON w.site_id = r.site_id AND w.a = r.node AND NOT (least(w.a, w.b) = r.u AND greatest(w.a, w.b) = r.v))
+    SELECT e.site_id, e.u, e.v FROM e WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.site_id = e.site_id AND r.u = e.u AND r.v = e.v AND r.node = e.v)"""
+)
+def ta_3_bridges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TA-3: links without which a site falls apart; the SQL takes each link away in turn."""
+    return topology.bridges(topology.blocks(*_web(spark, sf_dir))[0])
+
+
+@query(
+    f"""WITH RECURSIVE {_LINKS}, r AS (SELECT site_id, a AS gone, min(b) AS node FROM w GROUP BY ALL UNION SELECT r.site_id, r.gone, w.b FROM r JOIN w ON w.site_id = r.site_id AND w.a = r.node AND w.b <> r.gone)
+    SELECT x.site_id, x.gone AS node FROM (SELECT site_id, gone, count(*) AS n FROM r GROUP BY ALL) x JOIN (SELECT site_id, count(*) AS n FROM ranked GROUP BY site_id) s ON s.site_id = x.site_id WHERE x.n < s.n - 1"""
+)
+def ta_3_cut_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TA-3: nodes without which a site falls apart; the SQL takes each node away in turn."""
+    return topology.cut_nodes(topology.blocks(*_web(spark, sf_dir))[0])
+
+
+@query(
+    f"""WITH RECURSIVE {_LINKS}, r AS (SELECT site_id, node AS start, node, 0 AS d FROM ranked UNION SELECT r.site_id, r.start, w.b, r.d + 1 FROM r JOIN w ON w.site_id = r.site_id AND w.a = r.node WHERE r.d < 2 * floor(log2((SELECT max(r) FROM ranked) + 1)))
+    SELECT site_id, max(d)::BIGINT AS far, sum(d)::BIGINT AS steps FROM (SELECT site_id, start, node, min(d) AS d FROM r GROUP BY ALL) x GROUP BY site_id"""
+)
+def ta_2_path_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TA-2: the longest shortest path of every site, and the sum of all."""
+    return topology.path_lengths(*_web(spark, sf_dir))

@@ -229,22 +229,40 @@ def test_richest_wins_in_either_order(spark):
         assert sum(r["is_primary"] for r in ids) == 1 and len({r["id"] for r in ids}) == 3
 
 
-def test_bridges_and_cut_nodes_by_removal():
+def distances(nodes, pairs, start):
+    """Steps from one node to each that it reaches."""
+    seen, front = {start: 0}, {start}
+    while front:
+        front = {m for n in front for p in pairs if n in p for m in p if m in nodes} - seen.keys()
+        seen |= dict.fromkeys(front, max(seen.values()) + 1)
+    return seen
+
+
+def test_bridges_cut_nodes_and_distances_by_removal(spark):
+    """Sixty sites of any shape at once."""
     rng = random.Random(2)
 
     def parts(nodes, pairs):
-        near, left, n = topology.adjacency(nodes, pairs), set(nodes), 0
+        left, n = set(nodes), 0
         while left:
-            left -= topology.distances(near, next(iter(left))).keys()
+            left -= distances(left, [p for p in pairs if set(p) <= set(nodes)], min(left)).keys()
             n += 1
         return n
 
-    for _ in range(60):
-        nodes = list(range(rng.randint(1, 12)))
-        pairs = sorted(p for p in combinations(nodes, 2) if rng.random() < 0.22)
-        bridges, cuts = topology.weak_points(topology.adjacency(nodes, pairs))
-        assert bridges == [p for p in pairs if parts(nodes, [q for q in pairs if q != p]) > parts(nodes, pairs)]
-        assert cuts == [n for n in nodes if parts([m for m in nodes if m != n], [q for q in pairs if n not in q]) > parts(nodes, pairs)]
+    sites, want_bridges, want_cuts, want_far = {}, set(), set(), {}
+    for s in range(60):
+        nodes = list(range(rng.randint(1, 14)))
+        pairs = sorted(p for p in combinations(nodes, 2) if rng.random() < (0.22, 0.4, 0.12)[s % 3])
+        sites[str(s)] = nodes, pairs
+        want_bridges |= {(str(s), *p) for p in pairs if parts(nodes, [q for q in pairs if q != p]) > parts(nodes, pairs)}
+        want_cuts |= {(str(s), n) for n in nodes if parts([m for m in nodes if m != n], pairs) > parts(nodes, pairs)}
+        far = [d for n in nodes for d in distances(nodes, pairs, n).values()]
+        want_far[str(s)] = (max(far), sum(far))
+    nodes = spark.createDataFrame([(s, n) for s, (ns, _) in sites.items() for n in ns], "site_id string, node long")
+    edges = spark.createDataFrame([(s, *e) for s, (_, ps) in sites.items() for p in ps for e in (p, p[::-1], (p[0], p[0]))], "site_id string, u long, v long")
+    links = topology.blocks(nodes, edges)[0]
+    assert {tuple(r) for r in topology.bridges(links).collect()} == want_bridges and {tuple(r) for r in topology.cut_nodes(links).collect()} == want_cuts
+    assert {r["site_id"]: (r["far"], r["steps"]) for r in topology.path_lengths(nodes, edges).collect()} == want_far
 
 
 def test_site_metrics(spark):
@@ -317,12 +335,12 @@ def test_keyword_reaches_endpoints_that_only_return_a_component(spark):
     assert bodies < found and any(eid and eid.startswith("GET:") for _, eid in found) and not any(eid.startswith("GET:") for _, eid in bodies)
 
 
-def test_path_lengths_in_blocks(spark, monkeypatch):
-    """Distances do not depend on how starts are dealt, and no size leaves them out."""
-    monkeypatch.setattr(topology, "STARTS", 2)
+def test_path_lengths_in_groups(spark, monkeypatch):
+    """Distances do not depend on how starts are numbered, and no size leaves them out."""
+    monkeypatch.setattr(topology, "GROUP", 9)
+    monkeypatch.setattr(topology, "WORD", 4)
     pairs = [(i, i + 1) for i in range(40)] + [(0, 17), (5, 33), (21, 40)]
-    near = topology.adjacency(list(range(41)), pairs)
-    far = [topology.distances(near, n) for n in range(41)]
+    far = [distances(list(range(41)), pairs, n) for n in range(41)]
     nodes = spark.createDataFrame([("a", i) for i in range(41)] + [("b", 1)], "site_id string, node long")
     edges = spark.createDataFrame([("a", u, v) for u, v in pairs] + [("b", 1, 1)], "site_id string, u long, v long")
     got = {r["site_id"]: r for r in topology.site_metrics(nodes, edges).collect()}
