@@ -1,12 +1,15 @@
-"""Keyword search and BM25 over text tables."""
+"""Keyword search, BM25 over text tables, and a stored index with fields and positions for scored words, phrases and prefixes."""
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from specgraph.operators.walk import shared_checkpoint
+
 K1, B = 1.2, 0.75
 WEIGHTS = {"path": 3, "summary": 2, "operation_id": 2, "tag": 2, "description": 1, "category": 1}
 
@@ -41,8 +44,10 @@ def postings(rows: DataFrame, key: str, text: Column) -> DataFrame:
 
 
 def query_postings(rows: DataFrame, key: str, text: Column, terms: DataFrame) -> DataFrame:
-    """Postings of query terms only, with documents' lengths: words are counted within each document, then joined with the terms."""
-    return postings(rows, key, text).join(terms.select("term").distinct(), "term", "left_semi")
+    """Postings of query terms only, with documents' lengths: a text is split once, and words that no query asks for go before anything is counted."""
+    split = rows.select(F.col(key).alias("doc"), tokens(text).alias("words"))
+    asked = split.select("doc", F.size("words").cast("long").alias("dl"), F.explode("words").alias("term")).join(terms.select("term").distinct(), "term", "left_semi")
+    return asked.groupBy("doc", "term", "dl").agg(F.count("*").alias("tf"))
 
 
 def bm25(rows: DataFrame, key: str, text: Column, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
@@ -69,3 +74,89 @@ def prefix_counts(rows: DataFrame, key: str, text: Column, prefix: str) -> DataF
     """(doc, n_words): documents with words that begin so."""
     n = F.size(F.filter(tokens(text), lambda w: w.startswith(prefix.lower())))
     return rows.select(F.col(key).alias("doc"), n.cast("long").alias("n_words")).where("n_words > 0")
+
+
+# --- stored index ---------------------------------------------------------------------------------------------------------
+
+#: Folders that an index's terms are dealt to.
+BUCKETS = 64
+
+
+def bucket(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+
+@dataclass
+class Index:
+    """A written index: ``postings`` (bucket, term, doc, field, tf, dl, places), ``terms`` (term, df) and ``totals`` (n, avg_dl, one row).
+
+    ``dl`` is the length of a document over all its fields; ``places`` are those of a term in one field.
+    """
+
+    postings: DataFrame
+    terms: DataFrame
+    totals: DataFrame
+
+    @staticmethod
+    def read(spark: SparkSession, path: str) -> Index:
+        return Index(*(spark.read.parquet(f"{path}/{part}") for part in ("postings", "terms", "totals")))
+
+    def of_terms(self, asked: DataFrame, fields: Sequence[str] | None = None) -> DataFrame:
+        """Postings joined with ``asked`` (term, ...): only the folders of these terms are read where they are few."""
+        wanted = asked.withColumn("bucket", bucket(F.col("term")))
+        rows = self.postings if fields is None else self.postings.where(F.col("field").isin(*fields))
+        return rows.join(wanted, ["bucket", "term"])
+
+    def scored(self, hits: DataFrame, df: DataFrame, k1: float, b: float) -> DataFrame:
+        """(query, doc, score) of hits (query, unit, doc, tf, dl), where a unit is a term or a phrase and ``df`` (unit, df) says in how many documents it is."""
+        idf = df.crossJoin(F.broadcast(self.totals))  # one row
+        idf = idf.select("unit", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "avg_dl")
+        part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avg_dl")))
+        return hits.join(idf, "unit").groupBy("query", "doc").agg(F.sum(part).alias("score"))
+
+    def any_word(self, queries: DataFrame, fields: Sequence[str] | None = None, k1: float = K1, b: float = B) -> DataFrame:
+        """(query, doc, score) of documents with any of a query's words; queries are (query, text)."""
+        asked = queries.select("query", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
+        return self._of_terms(asked, fields, k1, b)
+
+    def _of_terms(self, asked: DataFrame, fields: Sequence[str] | None, k1: float, b: float) -> DataFrame:
+        hits = self.of_terms(asked, fields).groupBy("query", F.col("term").alias("unit"), "doc", "dl").agg(F.sum("tf").alias("tf"))
+        df = self.terms.join(asked.select("term").distinct(), "term").select(F.col("term").alias("unit"), "df")
+        return self.scored(hits, df, k1, b)
+
+    def prefix(self, queries: DataFrame, fields: Sequence[str] | None = None, k1: float = K1, b: float = B) -> DataFrame:
+        """(query, doc, score) of documents with words that begin with a query's text, each such word of the dictionary a term of its own."""
+        asked = queries.select("query", F.lower("text").alias("start")).where("start <> ''")
+        lengths = sorted(r["n"] for r in asked.select(F.length("start").alias("n")).distinct().collect())  # at most as many as the longest text asked for has signs
+        if not lengths:
+            return self._of_terms(asked.select("query", F.col("start").alias("term")), fields, k1, b)
+        starts = self.terms.select("term", F.explode(F.array_distinct(F.array(*(F.substring("term", 1, n) for n in lengths)))).alias("start"))
+        return self._of_terms(starts.join(asked, "start").select("query", "term").distinct(), fields, k1, b)
+
+    def phrase(self, queries: DataFrame, fields: Sequence[str] | None = None, k1: float = K1, b: float = B) -> DataFrame:
+        """(query, doc, score) of documents that hold a query's words one after another in one field; the phrase counts as one term."""
+        asked = queries.select("query", F.size(tokens(F.col("text"))).alias("n_words"), F.posexplode(tokens(F.col("text"))).alias("at", "term"))
+        found = self.of_terms(asked, fields).select("query", "n_words", "doc", "field", "dl", F.expr("transform(places, p -> p - at)").alias("starts"))
+        # a group is one field of one document and at most the words of a phrase
+        each = found.groupBy("query", "n_words", "doc", "field", "dl").agg(F.collect_list("starts").alias("s")).where(F.size("s") == F.col("n_words"))
+        common = F.aggregate(F.slice("s", 2, F.size("s")), F.col("s")[0], lambda a, x: F.array_intersect(a, x))
+        hits = each.withColumn("tf", F.size(common).cast("long")).where("tf > 0").groupBy("query", "doc", "dl").agg(F.sum("tf").alias("tf"))
+        hits = shared_checkpoint(hits.withColumn("unit", F.col("query")))
+        return self.scored(hits, hits.groupBy("unit").agg(F.count("*").alias("df")), k1, b)
+
+
+def write_index(rows: DataFrame, key: str, fields: Mapping[str, Column], path: str) -> Index:
+    """Splits every field of every row once and writes the index; rows of one key must be one row. A document without words counts in ``totals``."""
+    split = rows.select(F.col(key).alias("doc"), *(tokens(c).alias(f"f{i}") for i, c in enumerate(fields.values())))
+    split = split.withColumn("dl", sum((F.size(f"f{i}") for i in range(1, len(fields))), F.size("f0")).cast("long"))
+    split.agg(F.count("*").alias("n"), F.avg("dl").alias("avg_dl")).write.parquet(f"{path}/totals")
+    words = [split.select("doc", "dl", F.lit(name).alias("field"), F.posexplode(f"f{i}").alias("place", "term")) for i, name in enumerate(fields)]
+    every = words[0]
+    for more in words[1:]:
+        every = every.unionByName(more)
+    held = every.groupBy("term", "doc", "field", "dl").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("place")).alias("places"))
+    # by range of term and document, so that a common word is spread over files
+    held.withColumn("bucket", bucket(F.col("term"))).repartitionByRange("bucket", "term", "doc").sortWithinPartitions("bucket", "term", "doc").write.partitionBy("bucket").parquet(f"{path}/postings")
+    index = rows.sparkSession.read.parquet(f"{path}/postings")
+    index.groupBy("term").agg(F.countDistinct("doc").alias("df")).repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/terms")
+    return Index.read(rows.sparkSession, path)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +20,11 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def scratch_folder(spark: SparkSession, name: str = "tables") -> str:
+    """A new path in the checkpoint folder; who owns that folder deletes it, with all that jobs leave there."""
+    return f"{checkpoint_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def shared_checkpoint(df: DataFrame) -> DataFrame:
     """The rows, written to the checkpoint folder."""
     checkpoint_folder(df.sparkSession)

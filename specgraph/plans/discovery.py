@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from specgraph.operators import discover, search
-from specgraph.operators.walk import closure, reached_values, within
+from specgraph.operators.walk import closure, reached_values, scratch_folder, within
 from specgraph.plans.bridge import frame
 from specgraph.plans.registry import query
 
@@ -324,3 +324,34 @@ def tk_6_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tk_8_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TK-8: row caps with the total; the cap is the feature."""
     return discover.capped(frame(spark, sf_dir, "SELECT doc_id, n_chars FROM documents"), [F.desc("n_chars"), F.col("doc_id")])
+
+
+FIELDED = f"d AS (SELECT doc_id AS doc, {WORDS.format('text')} AS f0, {WORDS.format('source')} AS f1 FROM documents), s AS (SELECT count(*) AS n, avg(len(f0) + len(f1)) AS avg_dl FROM d), o AS (SELECT doc, len(f0) + len(f1) AS dl, unnest(list_concat(f0, f1)) AS term FROM d), p AS (SELECT doc, dl, term, count(*) AS tf FROM o GROUP BY ALL)"
+_SCORE = "round(sum(ln(1 + (s.n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / s.avg_dl))), 6) AS score"
+ANY, PREFIXES, PHRASES = ("SELECT 1 AS query, 'The of WEB the' AS text UNION ALL SELECT 2, 'license est'", "SELECT 1 AS query, 'eren' AS text UNION ALL SELECT 2, 'th' UNION ALL SELECT 3, 'We'", "SELECT 1 AS query, 'of the' AS text UNION ALL SELECT 2, 'la de la' UNION ALL SELECT 3, 'no such words here'")
+
+
+def _index(spark: SparkSession, sf_dir: str) -> search.Index:
+    """An index of texts and sources of documents, written to the shared folder and read back."""
+    return search.write_index(frame(spark, sf_dir, "SELECT doc_id, text, source FROM documents"), "doc_id", {"text": F.col("text"), "source": F.col("source")}, scratch_folder(spark, "index"))
+
+
+@query(f"WITH {FIELDED}, q AS (SELECT DISTINCT query, unnest({WORDS.format('text')}) AS term FROM ({ANY}) x), i AS (SELECT term, count(*) AS df FROM p GROUP BY term) SELECT query, doc, {_SCORE} FROM q JOIN p USING (term) JOIN i USING (term), s GROUP BY query, doc")
+def tk_2_index_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TK-2, TK-3: scores of any of a query's words, from a written index of two fields."""
+    return _index(spark, sf_dir).any_word(frame(spark, sf_dir, ANY)).withColumn("score", F.round("score", 6))
+
+
+@query(f"WITH {FIELDED}, q AS ({PREFIXES}), i AS (SELECT term, count(*) AS df FROM p GROUP BY term) SELECT query, doc, {_SCORE} FROM q JOIN p ON starts_with(p.term, lower(q.text)) JOIN i ON i.term = p.term, s GROUP BY query, doc")
+def tk_3_index_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TK-3: scores of words that begin with what is asked for, from the index's dictionary."""
+    return _index(spark, sf_dir).prefix(frame(spark, sf_dir, PREFIXES)).withColumn("score", F.round("score", 6))
+
+
+@query(
+    f"""WITH {FIELDED}, q AS (SELECT query, {WORDS.format("text")} AS ws FROM ({PHRASES}) x), h AS (SELECT query, doc, dl, count(*) AS tf FROM (SELECT q.query, d.doc, len(f0) + len(f1) AS dl, q.ws, f.ws AS words, unnest(range(1, len(f.ws) + 1)) AS i FROM q CROSS JOIN d CROSS JOIN LATERAL (SELECT unnest([d.f0, d.f1]) AS ws) f) x WHERE words[i : i + len(ws) - 1] = ws GROUP BY ALL),
+    i AS (SELECT query, count(*) AS df FROM h GROUP BY query) SELECT query, doc, {_SCORE} FROM h JOIN i USING (query), s GROUP BY query, doc"""
+)
+def tk_3_index_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TK-3: scores of phrases, by the places of their words in one field."""
+    return _index(spark, sf_dir).phrase(frame(spark, sf_dir, PHRASES)).withColumn("score", F.round("score", 6))

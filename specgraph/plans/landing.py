@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from specgraph.operators import inventory, projection, specs
-from specgraph.operators.walk import checkpoint_folder, shared_checkpoint
+from specgraph.operators.walk import scratch_folder, shared_checkpoint
 from specgraph.plans.audits import GATES, ag_18_gates
 from specgraph.plans.bridge import frame
 from specgraph.plans.registry import query
@@ -164,7 +162,7 @@ ENDPOINT_ROWS = "SELECT eid, method, CASE WHEN ord % 4 = 0 THEN NULL ELSE summar
 
 
 def folder(spark: SparkSession) -> str:
-    return f"{checkpoint_folder(spark)}/tables-{uuid.uuid4().hex}"
+    return scratch_folder(spark)
 
 
 @query(f"SELECT 'component' AS table_name, id AS key, coalesce(kind, '') AS a, coalesce(body_json, '') AS b, false AS flag, 0::INT AS n_tags, ord FROM ({COMPONENT_ROWS}) c UNION ALL SELECT 'endpoint', eid, coalesce(summary, ''), method, coalesce(deprecated, false), NULL, ord FROM ({ENDPOINT_ROWS}) e")
@@ -288,3 +286,28 @@ def jn_2_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JN-2: the body found for every name asked for, and where."""
     found = projection.resolve_two_scopes(frame(spark, sf_dir, ASK), frame(spark, sf_dir, OWN), frame(spark, sf_dir, UNTIED))
     return found.groupBy("source", "name", "scope", F.coalesce("body", F.lit("")).alias("body")).agg(F.count("*").alias("n"))
+
+
+#: A file for each supplier: documents, broken ones, one that is no JSON for its bare word, lists, and nests beyond any limit.
+_FILES = """SELECT 'prov' || CAST(s_suppkey % 3 AS STRING) AS provider, s_suppkey AS k, CAST(s_suppkey AS STRING) AS t FROM supplier"""
+_TEXT = """CASE CAST(k % 7 AS INT) WHEN 1 THEN '{"info":{"title":"cut' WHEN 2 THEN '[{"info":1}]' WHEN 3 THEN '{"a":NaN}' WHEN 4 THEN repeat('{"a":', 5100) || '1' || repeat('}', 5100) WHEN 5 THEN repeat('[', 100000) ELSE '{"info": {"title": "T' || t || '"}, "paths": {"/b": {}, "/a": {"x": ' || t || '}}}' END"""
+
+
+def landed(spark: SparkSession, sf_dir: str) -> str:
+    """The files, written below a new folder by provider."""
+    at = scratch_folder(spark, "landed")
+    files = frame(spark, sf_dir, f"SELECT provider AS spec_source, 'd' || t || '.json' AS file, {_TEXT} AS value FROM ({_FILES}) x")
+    files.write.partitionBy("spec_source", "file").text(at)
+    return at
+
+
+@query(f"SELECT provider AS spec_source, CASE k % 7 WHEN 1 THEN 'broken' WHEN 2 THEN 'not an object' WHEN 3 THEN 'broken' WHEN 4 THEN 'too deep' WHEN 5 THEN 'too deep' ELSE 'ok' END AS status, count(*) AS n FROM ({_FILES}) x GROUP BY ALL")
+def io_1_landed_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """IO-1: files of each provider by what became of them."""
+    return documents.corpus_report(spark, landed(spark, sf_dir))
+
+
+@query(f"""SELECT provider AS spec_source, provider || '/d' || t || '.json' AS source, 'T' || t AS title, '{{"info":{{"title":"T' || t || '"}},"paths":{{"/b":{{}},"/a":{{"x":' || t || '}}}}}}' AS raw FROM ({_FILES}) x WHERE k % 7 IN (0, 6)""")
+def io_1_landed_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """IO-1, ST-1: the documents of all providers, read from files."""
+    return documents.load_corpus(spark, landed(spark, sf_dir))

@@ -10,53 +10,78 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from specgraph.functions import jsonwalk
+
+
+def read_files(spark: SparkSession, folder: str, first: int | None = None) -> DataFrame:
+    """(spec_source, file, content) of the JSON and YAML files in the provider folders below ``folder``, read by Spark.
+
+    The provider is the folder that holds a file. A folder written by Spark for one document (``spec_source=p/file=name.json/part-0``) counts as that file.
+    """
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    place = F.regexp_extract(F.col("path"), r"([^/]+)/([^/]+\.(?:json|ya?ml))(?:/part-[^/]*)?$", 0)
+    name = F.regexp_replace(place, r"/part-[^/]*$", "")
+    provider, file = (F.regexp_replace(F.element_at(F.split(name, "/"), k), "^[a-z_]+=", "") for k in (1, -1))
+    rows = found.where(name != "").select(provider.alias("spec_source"), file.alias("file"), "content")
+    if first is None:
+        return rows
+    return rows.withColumn("n", F.row_number().over(Window.partitionBy("spec_source").orderBy("file"))).where(F.col("n") <= first).drop("n")
+
+
+def read_document(file: str, content: bytes) -> tuple[dict | None, str]:
+    """(document, outcome): ``ok``, or no document and ``broken``, ``too deep``, ``not an object``, or ``no reader`` (YAML where no reader of it is installed)."""
+    try:
+        text = content.decode("utf-8")
+    except UnicodeDecodeError:
+        return None, "broken"
+    if file.endswith(".json"):
+        return jsonwalk.parsed(text)
+    try:
+        import yaml
+    except ModuleNotFoundError:
+        return None, "no reader"
+    try:
+        document = yaml.safe_load(text)
+    except yaml.YAMLError:
+        return None, "broken"
+    except RecursionError:
+        return None, "too deep"
+    return (document, "ok") if isinstance(document, dict) else (None, "not an object")
+
 
 def load_corpus(spark: SparkSession, folder: str, first: int | None = None, first_paths: int | None = None) -> DataFrame:
-    """(spec_source, source, title, raw) of the JSON and YAML files in the provider folders below ``folder``.
+    """(spec_source, source, title, raw) of the documents below ``folder`` (``read_files``).
 
-    Files that are no objects are left out (``corpus_report`` counts them). ``first`` keeps the first files of each provider by name,
+    Files that hold no document are left out (``corpus_report`` counts them). ``first`` keeps the first files of each provider by name,
     ``first_paths`` the first paths of each document: both are sampling features.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).where(F.col("path").rlike(r"\.(json|ya?ml)$"))
-    rows = files.select(F.element_at(F.split("path", "/"), -2).alias("spec_source"), F.element_at(F.split("path", "/"), -1).alias("file"), "content")
-    if first is not None:
-        rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("spec_source").orderBy("file"))).where(F.col("n") <= first).drop("n")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for provider, file, content in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                document = parse_document(file, content)
-                if isinstance(document, dict):
+                document = read_document(file, content)[0]
+                if document is not None:
                     if first_paths is not None and isinstance(document.get("paths"), dict):
                         document["paths"] = dict(list(document["paths"].items())[:first_paths])
                     info = document.get("info") if isinstance(document.get("info"), dict) else {}
-                    out.append((provider, f"{provider}/{file}", str(info.get("title") or ""), json.dumps(document, ensure_ascii=False, separators=(",", ":"))))
+                    out.append((provider, f"{provider}/{file}", str(info.get("title") or ""), jsonwalk.compact(document)))
             columns = list(zip(*out, strict=True)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()) for c in columns], names=["spec_source", "source", "title", "raw"])
 
-    return rows.mapInArrow(run, "spec_source string, source string, title string, raw string")
-
+    return read_files(spark, folder, first).mapInArrow(run, "spec_source string, source string, title string, raw string")
 
-def parse_document(file: str, content: bytes) -> object:
-    """The parsed file, or None if it is broken (or YAML and no YAML reader is installed)."""
-    try:
-        text = content.decode("utf-8")
-        if file.endswith(".json"):
-            return json.loads(text)
-        import yaml
 
-        return yaml.safe_load(text)
-    except Exception:  # whatever a broken file raises, it counts as broken
-        return None
+def corpus_report(spark: SparkSession, folder: str) -> DataFrame:
+    """(spec_source, status, n): files of each provider by outcome (``read_document``)."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            status = [read_document(f, c)[1] for f, c in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(status, pa.string())], names=["spec_source", "status"])
 
-def corpus_report(spark: SparkSession, folder: str) -> DataFrame:
-    """(spec_source, n_files, n_kept)."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).where(F.col("path").rlike(r"\.(json|ya?ml)$"))
-    found = files.select(F.element_at(F.split("path", "/"), -2).alias("spec_source")).groupBy("spec_source").agg(F.count("*").alias("n_files"))
-    kept = load_corpus(spark, folder).groupBy("spec_source").agg(F.count("*").alias("n_kept"))
-    return found.join(kept, "spec_source", "left").na.fill(0)
+    found = read_files(spark, folder).mapInArrow(run, "spec_source string, status string")
+    return found.groupBy("spec_source", "status").agg(F.count("*").alias("n"))
 
 
 def specs_in_markdown(pages: DataFrame, key: str, text: str) -> DataFrame:
