@@ -7,9 +7,7 @@ filters on those rows, keyed by (spec_id, pointer).
 from __future__ import annotations
 
 import hashlib
-import json
-from collections.abc import Callable, Iterator
-from typing import Any
+from collections.abc import Callable, Collection, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -24,8 +22,9 @@ _AST_TYPES = (pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa
 ROWS = 20_000
 
 
-def spec_id(source: str, raw: str) -> str:
-    return "oas:" + hashlib.sha1(f"{source}\0{jsonwalk.content_hash(json.loads(raw))}".encode()).hexdigest()[:20]
+def spec_id(source: str, document: dict, digest: str | None = None) -> str:
+    """The document's id from its source and content (or the content's hash, if that is known)."""
+    return "oas:" + hashlib.sha1(f"{source}\0{digest or jsonwalk.content_hash(document)}".encode()).hexdigest()[:20]
 
 
 def parsed(raw: str | None) -> dict | None:
@@ -99,31 +98,43 @@ def outcomes(corpus: DataFrame) -> DataFrame:
     return corpus.select("spec_source", "raw").mapInArrow(run, "spec_source string, status string").groupBy("spec_source", "status").agg(F.count("*").alias("n"))
 
 
-def flatten(corpus: DataFrame) -> DataFrame:
-    """One row per JSON value of every document, in document order (``ord``). Rows that are not JSON objects are left out."""
+def flatten(corpus: DataFrame, columns: Sequence[str] | None = None, kinds: Collection[str] | None = None) -> DataFrame:
+    """One row per JSON value of every document, in document order (``ord``). Rows that are not JSON objects are left out.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [c.split()[0] for c in AST.split(", ")]
+    ``columns`` are those of ``AST`` (all, if not given) or ``source``, ``kinds`` the kinds of values wanted: a Python step cannot be pruned
+    by Spark, and the text of nested values and the document's hash are the costly part of it, so they are made only where they are asked for.
+    """
+    types = dict(zip((c.split()[0] for c in AST.split(", ")), _AST_TYPES, strict=True)) | {"source": pa.string()}
+    given = ("source", *(c for c in types if c != "source"))
+    wanted = list(columns or [c for c in types if c != "source"])
+    places = [given.index(c) for c in wanted]
+    ids, texts = "spec_id" in wanted, "raw" in wanted
+    kept = None if kinds is None else frozenset(kinds)
 
-        def packed(rows: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), _AST_TYPES, strict=True)], names=names)
+    def packed(rows: list[tuple]) -> pa.RecordBatch:
+        made = list(zip(*rows, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(made[k], types[c]) for k, c in zip(places, wanted, strict=True)], names=wanted)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         for batch in batches:
             for source, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 document = parsed(raw)
                 if document is None:
                     continue
-                own = spec_id(source, raw)
-                for row in jsonwalk.walk(document):
-                    rows.append((own, *row))
-                    if len(rows) >= ROWS:
-                        yield packed(rows)
-                        rows = []
-        if rows:
-            yield packed(rows)
+                own = spec_id(source, document) if ids else None
+                for row in jsonwalk.walk(document, texts):
+                    if kept is None or row[4] in kept:
+                        rows.append((source, own, *row))
+                if len(rows) >= ROWS:
+                    for lo in range(0, len(rows), ROWS):
+                        yield packed(rows[lo : lo + ROWS])
+                    rows = []
+        for lo in range(0, len(rows), ROWS):
+            yield packed(rows[lo : lo + ROWS])
 
-    return corpus.select("source", "raw").mapInArrow(run, AST)
+    schema = dict(c.split() for c in AST.split(", ")) | {"source": "string"}
+    return corpus.select("source", "raw").mapInArrow(run, ", ".join(f"{c} {schema[c]}" for c in wanted))
 
 
 def spec_rows(corpus: DataFrame) -> DataFrame:
@@ -132,7 +143,7 @@ def spec_rows(corpus: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [
-                (spec_id(s, r), p, s, t, str(views.as_object(d.get("info")).get("version") or ""), jsonwalk.content_hash(d))
+                (spec_id(s, d, h := jsonwalk.content_hash(d)), p, s, t, str(views.as_object(d.get("info")).get("version") or ""), h)
                 for p, s, t, r in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True)
                 if (d := parsed(r)) is not None
             ]

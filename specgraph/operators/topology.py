@@ -1,11 +1,16 @@
 """Topology of sites: undirected simple graphs, analysed for all sites in one job by joins, whatever the size of a site.
 
-No task holds a site. Searches go on level by level; what a node asks of its ancestors or descendants is found by jump pointers, which double
-each round. Rounds therefore follow the depth of a site's tree (searches) or its logarithm (all else). Nodes are long numbers.
+Searches go on level by level; what a node asks of its ancestors or descendants is found by jump pointers, which double each round. Rounds
+therefore follow the depth of a site's tree (searches) or its logarithm (all else), and no task holds a site. Rounds cost the same however
+little there is to do, so ``site_metrics`` gives sites of up to ``SMALL`` nodes and links to a task each; the results do not depend on it.
+Nodes are long numbers.
 """
 
 from __future__ import annotations
 
+from collections import deque
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +19,8 @@ from specgraph.operators.walk import components, shared_checkpoint
 #: Start nodes in a group that is numbered together (about), and those that one word of bits stands for.
 GROUP, WORD = 1024, 63
 KEY = ["site_id", "node"]
+#: Most nodes and links together of a site that one task analyses.
+SMALL = 2000
 
 
 def simple_edges(edges: DataFrame) -> DataFrame:
@@ -168,18 +175,94 @@ def site_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return own.join(links, "site_id", "left").select("site_id", "n_nodes", F.coalesce("n_edges", F.lit(0)).alias("n_edges"), "n_components", (F.col("n_components") == 1).alias("connected"))
 
 
+def adjacency(nodes: list[int], pairs: list[tuple[int, int]]) -> dict[int, list[int]]:
+    near: dict[int, list[int]] = {n: [] for n in nodes}
+    for u, v in pairs:
+        near.setdefault(u, []).append(v)
+        near.setdefault(v, []).append(u)
+    return near
+
+
+def distances(near: dict[int, list[int]], start: int) -> dict[int, int]:
+    """Steps from one node to each that it reaches."""
+    seen, todo = {start: 0}, deque([start])
+    while todo:
+        u = todo.popleft()
+        for v in near[u]:
+            if v not in seen:
+                seen[v] = seen[u] + 1
+                todo.append(v)
+    return seen
+
+
+def weak_points(near: dict[int, list[int]]) -> tuple[list[tuple[int, int]], list[int]]:
+    """Bridges (u < v) and cut nodes, by depth-first low points without recursion."""
+    order: dict[int, int] = {}
+    low: dict[int, int] = {}
+    bridges: list[tuple[int, int]] = []
+    cuts: set[int] = set()
+    for root in near:
+        if root in order:
+            continue
+        order[root] = low[root] = len(order)
+        stack, branches = [(root, -1, iter(near[root]))], 0
+        while stack:
+            u, up, rest = stack[-1]
+            for v in rest:
+                if v not in order:
+                    order[v] = low[v] = len(order)
+                    branches += u == root
+                    stack.append((v, u, iter(near[v])))
+                    break
+                if v != up:
+                    low[u] = min(low[u], order[v])
+            else:
+                stack.pop()
+                if stack:
+                    low[up] = min(low[up], low[u])
+                    if low[u] > order[up]:
+                        bridges.append((min(u, up), max(u, up)))
+                    if up != root and low[u] >= order[up]:
+                        cuts.add(up)
+        if branches > 1:
+            cuts.add(root)
+    return sorted(bridges), sorted(cuts)
+
+
+def _of_site(key: tuple, nodes: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
+    """Bridges, cut nodes and path lengths of one small site."""
+    near = adjacency(sorted(set(nodes["node"])), list(zip(edges["u"], edges["v"], strict=True)))
+    found, cuts = weak_points(near)
+    reach = [distances(near, n).values() for n in near]
+    row = [key[0], max(map(max, reach)), sum(map(sum, reach)), ",".join(f"{u}-{v}" for u, v in found), ",".join(map(str, cuts))]
+    return pd.DataFrame([row], columns=["site_id", "far", "steps", "bridges", "cut_nodes"])
+
+
+def small_sites(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(site_id, far, steps, bridges, cut_nodes) of sites that fit in a task each."""
+    return nodes.groupBy("site_id").cogroup(pairs.groupBy("site_id")).applyInPandas(_of_site, "site_id string, far long, steps long, bridges string, cut_nodes string")
+
+
+def large_sites(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The same columns, by rounds of joins."""
+    links = blocks(nodes, pairs)[0]
+    weak = bridges(links).groupBy("site_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("u", "v"))), lambda b: F.concat_ws("-", b["u"], b["v"])), ",").alias("bridges"))
+    cuts = cut_nodes(links).groupBy("site_id").agg(F.array_join(F.array_sort(F.collect_list("node")), ",").alias("cut_nodes"))
+    return path_lengths(nodes, pairs).join(weak, "site_id", "left").join(cuts, "site_id", "left").na.fill("", ["bridges", "cut_nodes"])
+
+
 def site_metrics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Counts, components, diameter, average path (both null where a site is not connected), bridges and cut nodes of every site.
 
     Bridges (``u-v``) and cut nodes are given as one text for each site; ``bridges`` and ``cut_nodes`` have them as rows.
     """
-    counts = shared_checkpoint(site_counts(nodes, edges))
-    links, pairs = blocks(nodes, edges)
-    joined = counts.where("connected").select("site_id")
-    lengths = path_lengths(whole(nodes, pairs).join(joined, "site_id", "left_semi"), pairs.join(joined, "site_id", "left_semi"))
-    weak = bridges(links).groupBy("site_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("u", "v"))), lambda b: F.concat_ws("-", b["u"], b["v"])), ",").alias("bridges"))
-    cuts = cut_nodes(links).groupBy("site_id").agg(F.array_join(F.array_sort(F.collect_list("node")), ",").alias("cut_nodes"))
-    out = counts.join(lengths, "site_id", "left").join(weak, "site_id", "left").join(cuts, "site_id", "left")
+    pairs = shared_checkpoint(simple_edges(edges))
+    every = shared_checkpoint(whole(nodes, pairs))
+    counts = shared_checkpoint(site_counts(every, pairs))
+    large = counts.where(F.col("n_nodes") + F.col("n_edges") > SMALL).select("site_id")
+    found = small_sites(every.join(large, "site_id", "left_anti"), pairs.join(large, "site_id", "left_anti"))
+    if not large.isEmpty():
+        found = found.unionByName(large_sites(shared_checkpoint(every.join(large, "site_id", "left_semi")), shared_checkpoint(pairs.join(large, "site_id", "left_semi"))))
     pairs_of = F.col("n_nodes") * (F.col("n_nodes") - 1)
     average = F.when(F.col("connected"), F.when(pairs_of > 0, F.round(F.col("steps") / pairs_of, 2)).otherwise(0.0))
-    return out.select("site_id", "n_nodes", "n_edges", "n_components", "connected", F.col("far").alias("diameter"), average.alias("avg_path"), F.coalesce("bridges", F.lit("")).alias("bridges"), F.coalesce("cut_nodes", F.lit("")).alias("cut_nodes"))
+    return counts.join(found, "site_id").select("site_id", "n_nodes", "n_edges", "n_components", "connected", F.when(F.col("connected"), F.col("far")).alias("diameter"), average.alias("avg_path"), "bridges", "cut_nodes")

@@ -175,10 +175,9 @@ def cl_9_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def ast_1_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AST-1..5: objects of each kind in every document."""
-    ast, rows = _ast(spark, sf_dir)
     kinds = ("Operation", "Parameter", "PathItem", "Response", "MediaType", "Property", "Items", "RequestBody")
-    counts = ast.where(F.col("kind").isin(*kinds) & (F.col("value_type") == "object")).groupBy("spec_id", "kind").agg(F.count("*").alias("n"))
-    return rows.select("spec_id", "source").join(counts, "spec_id").drop("spec_id")
+    rows = specs.flatten(documents(spark, sf_dir), ("source", "kind", "value_type"), kinds)
+    return rows.where("value_type = 'object'").groupBy("source", "kind").agg(F.count("*").alias("n"))
 
 
 @query(f"SELECT {SOURCE} AS source, true AS lossless FROM ({LINES}) x GROUP BY o")

@@ -12,7 +12,8 @@ from specgraph.functions import jsonwalk
 from specgraph.functions.expand import Expansion
 from specgraph.functions.views import Views
 from specgraph.functions.shapes import shape_hash
-from specgraph.operators import audit, discover, inventory, merge, models, parts, projection, search, specs, topology, walk
+from specgraph.operators import parts as operation_parts
+from specgraph.operators import audit, discover, inventory, merge, models, projection, search, specs, topology, walk
 from specgraph.plans import discovery, registry  # noqa: F401
 from specgraph.plans import sources as source_plans  # noqa: F401
 from specgraph.sources import documents, sinks
@@ -192,10 +193,10 @@ def test_rows_of_a_document(spark):
     ast, rows = specs.flatten(docs), specs.spec_rows(docs)
     ends = specs.endpoint_rows(ast, rows)
     assert {r["eid"] for r in ends.collect()} == {"POST:/things/{id}", "GET:/things/{id}"} and rows.count() == 1
-    params = {(r["eid"][:3], r["name"]): (r["required"], r["hint"]) for r in parts.parameter_rows(ast, rows, ends).collect()}
+    params = {(r["eid"][:3], r["name"]): (r["required"], r["hint"]) for r in operation_parts.parameter_rows(ast, rows, ends).collect()}
     assert params == {("POS", "id"): (True, ""), ("POS", "filter"): (True, "odata-filter"), ("GET", "id"): (True, ""), ("GET", "filter"): (False, "odata-filter")}
-    media = parts.media_rows(ast, rows, ends)
-    assert media.count() == 3 and {r["media"] for r in parts.main_media(media).collect()} == {"application/json"}
+    media = operation_parts.media_rows(ast, rows, ends)
+    assert media.count() == 3 and {r["media"] for r in operation_parts.main_media(media).collect()} == {"application/json"}
     parts = {r["name"]: (r["kind"], r["shape"]) for r in specs.component_rows(ast, rows).collect()}
     assert parts == {"Thing": ("object", "object"), "Leaf": ("primitive", "primitive"), "Map": ("map", "map"), "Gone": ("unresolved", "")}
     props = {r["name"]: r["required"] for r in specs.property_rows(ast, rows).collect()}
@@ -263,6 +264,10 @@ def test_bridges_cut_nodes_and_distances_by_removal(spark):
     links = topology.blocks(nodes, edges)[0]
     assert {tuple(r) for r in topology.bridges(links).collect()} == want_bridges and {tuple(r) for r in topology.cut_nodes(links).collect()} == want_cuts
     assert {r["site_id"]: (r["far"], r["steps"]) for r in topology.path_lengths(nodes, edges).collect()} == want_far
+    pairs = topology.simple_edges(edges)
+    small = {r["site_id"]: tuple(r)[1:] for r in topology.small_sites(nodes, pairs).collect()}
+    assert {s: x[:2] for s, x in small.items()} == want_far
+    assert {(s, *map(int, b.split("-"))) for s, x in small.items() for b in x[2].split(",") if b} == want_bridges and {(s, int(n)) for s, x in small.items() for n in x[3].split(",") if n} == want_cuts
 
 
 def test_site_metrics(spark):
@@ -339,6 +344,7 @@ def test_keyword_reaches_endpoints_that_only_return_a_component(spark):
 
 def test_path_lengths_in_groups(spark, monkeypatch):
     """Distances do not depend on how starts are numbered, and no size leaves them out."""
+    monkeypatch.setattr(topology, "SMALL", 20)
     monkeypatch.setattr(topology, "GROUP", 9)
     monkeypatch.setattr(topology, "WORD", 4)
     pairs = [(i, i + 1) for i in range(40)] + [(0, 17), (5, 33), (21, 40)]
