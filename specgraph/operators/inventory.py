@@ -53,19 +53,26 @@ def scope_chain(devices: DataFrame, sites: DataFrame, collections: DataFrame, gr
 
 
 def aggregate_links(links: DataFrame) -> DataFrame:
-    """One row per (from, to): ports joined in order, the last lag that is set, other attributes of the first link."""
+    """One row per (from, to): port names that are not empty joined in order, the last lag that is set, other attributes of the first link.
+
+    Links without one of their ends are left out. ``edge_type`` and ``is_sibling`` are carried where ``links`` has them.
+    """
+    more = [c for c in ("edge_type", "is_sibling") if c in links.columns]
     ordered = F.array_sort(F.collect_list(F.struct("ord", "from_port", "to_port")))
-    grouped = links.groupBy("from_id", "to_id").agg(
+    grouped = links.where("from_id <> '' AND to_id <> ''").groupBy("from_id", "to_id").agg(
         ordered.alias("ports"),
         F.max_by(F.when(F.col("lag") != "", F.col("lag")), F.when(F.col("lag") != "", F.col("ord"))).alias("lag"),
-        F.min_by("speed_bps", "ord").alias("speed_bps"),
-        F.min_by("health", "ord").alias("health"),
-        F.min_by("stp_state", "ord").alias("stp_state"),
+        *(F.min_by(c, "ord").alias(c) for c in ("speed_bps", "health", "stp_state", *more)),
         F.count("*").alias("n_links"),
     )
+
+    def names(port: str) -> Column:
+        return F.array_join(F.filter(F.transform("ports", lambda p: p[port]), lambda n: n != ""), ",")
+
+    empty = {"edge_type": F.lit(""), "is_sibling": F.lit(False)}
     return grouped.select(
-        "from_id", "to_id", F.array_join(F.transform("ports", lambda p: p["from_port"]), ",").alias("from_ports"), F.array_join(F.transform("ports", lambda p: p["to_port"]), ",").alias("to_ports"),
-        F.coalesce("lag", F.lit("")).alias("lag"), (F.col("speed_bps") / 1e9).alias("speed_gbps"), "health", "stp_state", "n_links",
+        "from_id", "to_id", names("from_port").alias("from_ports"), names("to_port").alias("to_ports"), F.coalesce("lag", F.lit("")).alias("lag"), (F.col("speed_bps") / 1e9).alias("speed_gbps"), "health", "stp_state", "n_links",
+        *(F.coalesce(c, empty[c]).alias(c) for c in more),
     )
 
 
@@ -77,7 +84,7 @@ def split_links(links: DataFrame, devices: DataFrame, prefix: str = "tpd_") -> D
     """(kind, a, b, ...): both ends managed and known: CONNECTED_TO; one end unmanaged: LINKED_TO from the managed one to the unmanaged one's mac; both unmanaged: dropped."""
     serials = devices.select(F.col("serial").alias("a")).distinct()
     from_out, to_out = is_unmanaged("from_id", prefix), is_unmanaged("to_id", prefix)
-    rest = ["from_ports", "to_ports", "lag", "speed_gbps"]
+    rest = ["from_ports", "to_ports", "lag", "speed_gbps", *(c for c in ("edge_type", "is_sibling") if c in links.columns)]
     managed = links.where(~from_out & ~to_out).select(F.lit("CONNECTED_TO").alias("kind"), F.col("from_id").alias("a"), F.col("to_id").alias("b"), *rest)
     managed = managed.join(serials, "a", "left_semi").join(serials.withColumnRenamed("a", "b"), "b", "left_semi")
     half = links.where(from_out != to_out)

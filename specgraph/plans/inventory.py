@@ -210,3 +210,16 @@ def ta_3_cut_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ta_2_path_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TA-2: the longest shortest path of every site, and the sum of all."""
     return topology.path_lengths(*_web(spark, sf_dir))
+
+
+#: Links with kinds, siblings, ports without a name and ends that are missing.
+ODD_LINKS = "SELECT CASE WHEN ord % 31 = 0 THEN '' ELSE from_id END AS from_id, CASE WHEN ord % 29 = 0 THEN NULL ELSE to_id END AS to_id, ord, CASE WHEN ord % 4 = 0 THEN '' ELSE from_port END AS from_port, CASE WHEN ord % 5 = 0 THEN NULL ELSE to_port END AS to_port, speed_bps, lag, health, stp_state, CASE ord % 3 WHEN 0 THEN 'LLDP' WHEN 1 THEN 'mesh' END AS edge_type, CASE ord % 7 WHEN 0 THEN true WHEN 1 THEN false END AS is_sibling FROM b_link"
+
+
+@query(
+    f"""SELECT from_id, to_id, coalesce(string_agg(nullif(from_port, ''), ',' ORDER BY ord), '') AS from_ports, coalesce(string_agg(nullif(to_port, ''), ',' ORDER BY ord), '') AS to_ports, coalesce(arg_max(nullif(lag, ''), ord) FILTER (lag <> ''), '') AS lag, arg_min(speed_bps, ord) / 1e9 AS speed_gbps, arg_min(health, ord) AS health, arg_min(stp_state, ord) AS stp_state,
+    count(*) AS n_links, coalesce(arg_min(coalesce(edge_type, ''), ord), '') AS edge_type, coalesce(arg_min(coalesce(is_sibling, false), ord), false) AS is_sibling FROM ({ODD_LINKS}) x WHERE from_id <> '' AND to_id <> '' GROUP BY from_id, to_id"""
+)
+def ht_8_odd_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """HT-8: kinds of links and siblings as well, with nameless ports and ends that are missing."""
+    return inventory.aggregate_links(frame(spark, sf_dir, ODD_LINKS))
