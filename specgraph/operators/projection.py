@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from specgraph.operators.specs import references, semantic_id
+from specgraph.operators.walk import shared_checkpoint
 
 CONSTRAINTS = (
     "const", "default", "deprecated", "enum", "exclusiveMaximum", "exclusiveMinimum", "maxContains", "maximum", "maxItems", "maxLength", "maxProperties", "minContains", "minimum", "minItems", "minLength",
@@ -115,10 +116,38 @@ def resolve_two_scopes(refs: DataFrame, local: DataFrame, shared: DataFrame) ->
     return joined.select("source", "name", F.when(take_own, F.col("own")).otherwise(F.col("pool")).alias("body"), scope.alias("scope"))
 
 
+def subtree_hashes(ast: DataFrame) -> DataFrame:
+    """(spec_id, pointer, hash) of every value: equal values have equal hashes, whatever the order of their keys and the document they are in.
+
+    A value's hash is made of those of its members, so levels are hashed from the deepest up, a round of one group by parent for each; a group is
+    the members of one value. No text of a nested value is needed.
+    """
+    rows = shared_checkpoint(ast.select("spec_id", "pointer", "parent", "key", "idx", "value_type", "scalar", "depth"))
+    deepest = rows.agg(F.coalesce(F.max("depth"), F.lit(-1))).first()[0]
+    below = every = None
+    for depth in range(deepest, -1, -1):
+        level = rows.where(F.col("depth") == depth)
+        if below is None:
+            members = level.limit(0).select("spec_id", "pointer", F.lit("").alias("members"))
+        else:
+            each = F.array_sort(F.collect_list(F.struct(F.coalesce("idx", F.lit(-1)).alias("idx"), F.coalesce("key", F.lit("")).alias("key"), "hash")))
+            members = below.groupBy("spec_id", F.col("parent").alias("pointer")).agg(F.to_json(F.transform(each, lambda m: F.struct(m["key"].alias("k"), m["hash"].alias("h")))).alias("members"))
+        text = F.when(F.col("value_type") == "scalar", F.concat(F.lit("="), F.col("scalar"))).otherwise(F.concat(F.col("value_type"), F.coalesce("members", F.lit(""))))
+        below = shared_checkpoint(level.join(members, ["spec_id", "pointer"], "left").select("spec_id", "pointer", "parent", "key", "idx", F.sha1(text).alias("hash")))
+        own = below.select("spec_id", "pointer", "hash")
+        every = own if every is None else every.unionByName(own)
+    return rows.select("spec_id", "pointer", F.lit("").alias("hash")).limit(0) if every is None else every
+
+
 def shared_objects(ast: DataFrame, least: int = 2, properties: int = 3) -> DataFrame:
-    """(hash, n, n_specs, pointer): inline objects that occur in many places, over all documents: the cross-document counterpart of components within one."""
-    own = ast.where("value_type = 'object' AND raw <> ''").where(~F.col("pointer").rlike("^/components/[^/]+/[^/]+$") & (F.json_array_length(F.to_json(F.map_keys(F.from_json(at("raw", "properties"), "map<string,string>")))) >= properties))
-    return own.groupBy(F.sha1("raw").alias("hash")).agg(F.count("*").alias("n"), F.countDistinct("spec_id").alias("n_specs"), F.min(F.concat_ws("#", "spec_id", "pointer")).alias("pointer")).where(F.col("n") >= least)
+    """(hash, names, n, n_specs): inline objects with so many properties that stand in ``least`` places or more, over all documents: the counterpart of components within one. ``names`` are those of their properties, sorted."""
+    named = ast.where(F.col("parent").endswith("/properties")).groupBy("spec_id", F.regexp_replace("parent", "/properties$", "").alias("pointer")).agg(F.array_sort(F.collect_list("key")).alias("names"))
+    typed = ast.where((F.col("key") == "type") & (F.col("scalar") == '"object"')).select("spec_id", F.col("parent").alias("pointer"))
+    inline = named.where((F.size("names") >= properties) & ~F.col("pointer").rlike("^/components/[^/]+/[^/]+$")).join(typed, ["spec_id", "pointer"], "left_semi")
+    found = inline.join(subtree_hashes(ast), ["spec_id", "pointer"])
+    # first by document, so that a shape that most documents have meets as one row from each
+    by_spec = found.groupBy("hash", "spec_id").agg(F.count("*").alias("n"), F.min(F.array_join("names", ",")).alias("names"))
+    return by_spec.groupBy("hash").agg(F.min("names").alias("names"), F.sum("n").alias("n"), F.count("*").alias("n_specs")).where(F.col("n") >= least)
 
 
 def find_endpoints(endpoints: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -159,6 +159,16 @@ def cl_6_shared_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return specs.spec_rows(specs.normalised(shape_documents(spark, sf_dir))).select("spec_id", "source").join(counts, "spec_id").select("source", "n_schemas", "n_responses")
 
 
+@query(
+    f"""WITH x AS ({SHAPED}), s AS (SELECT c, 'b,c,x' || CAST(u AS STRING) AS names FROM x UNION ALL SELECT c, 'e,f,x' || CAST(u AS STRING) || 'y' || CAST(v AS STRING) FROM x)
+    SELECT names, count(*) AS n, count(DISTINCT c) AS n_specs FROM s GROUP BY names HAVING count(*) >= 2"""
+)
+def cl_6_shapes_of_all_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CL-6: nested objects that repeat anywhere in the corpus, by hashes of subtrees; every shape with its places and documents."""
+    ast = specs.flatten(shape_documents(spark, sf_dir), ("spec_id", "pointer", "parent", "key", "idx", "value_type", "scalar", "depth"))
+    return projection.shared_objects(shared_checkpoint(ast)).drop("hash")
+
+
 @query(f"SELECT {SOURCE} AS source, 0::BIGINT AS n_resolvable FROM ({LINES}) x GROUP BY o")
 def cl_9_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CL-9, JN-2: after expansion only unknown references are left."""
