@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from specgraph.operators import audit, merge
+from specgraph.operators.walk import scratch_folder
 from specgraph.plans.bridge import frame
 from specgraph.plans.registry import query
 
@@ -248,3 +249,24 @@ def wn_2_byte_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tk_7_largest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TK-7: the limit is the feature."""
     return frame(spark, sf_dir, "SELECT page_id, CAST(length(html) AS BIGINT) AS size FROM pages").orderBy(F.desc("size"), "page_id").limit(20)
+
+
+#: Two batches of components with rows of their sub-graphs, as many as their body's length says; the second has longer bodies for some.
+_BATCH = "SELECT id, body, ord FROM (SELECT provider || ':schemas:' || name AS id, body, ord, row_number() OVER (PARTITION BY provider, name ORDER BY length(body) DESC, ord, body) AS k FROM (SELECT provider, name, ord, body || repeat('x', CAST(ord % 5 AS INT)) AS body FROM b_source_row WHERE ord % 2 = {half}) w) x WHERE k = 1"
+_ROWS_OF = "SELECT id || '#prop:' || CAST(i AS STRING) AS row_id, id AS a, ord FROM (SELECT id, ord, {series} AS i FROM ({batch}) y WHERE length(body) % 4 > 0) z"
+
+
+@query(
+    f"""WITH b0 AS ({_BATCH.format(half=0)}), b1 AS ({_BATCH.format(half=1)}), won AS (SELECT coalesce(b0.id, b1.id) AS id, CASE WHEN b0.id IS NULL OR length(b1.body) > length(b0.body) THEN b1.body ELSE b0.body END AS body, CASE WHEN b0.id IS NULL OR length(b1.body) > length(b0.body) THEN b1.ord ELSE b0.ord END AS ord FROM b0 FULL JOIN b1 ON b1.id = b0.id)
+    SELECT 'component' AS table_name, id AS row_id, body AS value FROM won UNION ALL SELECT 'property', row_id, CAST(ord AS VARCHAR) FROM ({_ROWS_OF.format(series="unnest(range(0, length(body) % 4))", batch="SELECT * FROM won")}) p UNION ALL SELECT 'runs', 'third', '0'"""
+)
+def ag_4_incremental_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AG-4: a stored graph after two runs: richer components have replaced others with their sub-graphs; a third run rewrites nothing."""
+    path, rewritten = scratch_folder(spark, "graph"), 0
+    for half in (0, 1, 1):
+        batch = _BATCH.format(half=half)
+        rows = frame(spark, sf_dir, _ROWS_OF.format(series="explode(sequence(0, CAST(length(body) % 4 AS INT) - 1))", batch=batch)).select("row_id", "ord")
+        rewritten = merge.merge_graph(path, frame(spark, sf_dir, batch).select("id", "body"), {"property": (rows, "row_id")})
+    stored = spark.read.parquet(f"{path}/component").select(F.lit("component").alias("table_name"), F.col("id").alias("row_id"), F.col("body").alias("value"))
+    stored = stored.unionByName(spark.read.parquet(f"{path}/property").select(F.lit("property").alias("table_name"), "row_id", F.col("ord").cast("string").alias("value")))
+    return stored.unionByName(spark.range(1).select(F.lit("runs").alias("table_name"), F.lit("third").alias("row_id"), F.lit(str(rewritten)).alias("value")))
