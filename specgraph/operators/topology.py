@@ -21,6 +21,7 @@ GROUP, WORD = 1024, 63
 KEY = ["site_id", "node"]
 #: Most nodes and links together of a site that one task analyses.
 SMALL = 2000
+SITE = "site_id string, far long, steps long, bridges string, cut_nodes string, n_nodes long, n_edges long, n_components long, connected boolean"
 
 
 def simple_edges(edges: DataFrame) -> DataFrame:
@@ -234,13 +235,17 @@ def _of_site(key: tuple, nodes: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFra
     near = adjacency(sorted(set(nodes["node"])), list(zip(edges["u"], edges["v"], strict=True)))
     found, cuts = weak_points(near)
     reach = [distances(near, n).values() for n in near]
-    row = [key[0], max(map(max, reach)), sum(map(sum, reach)), ",".join(f"{u}-{v}" for u, v in found), ",".join(map(str, cuts))]
-    return pd.DataFrame([row], columns=["site_id", "far", "steps", "bridges", "cut_nodes"])
+    left, parts = set(near), 0
+    while left:
+        left -= distances(near, next(iter(left))).keys()
+        parts += 1
+    row = [key[0], max(map(max, reach)), sum(map(sum, reach)), ",".join(f"{u}-{v}" for u, v in found), ",".join(map(str, cuts)), len(near), len(edges), parts, parts == 1]
+    return pd.DataFrame([row], columns=[c.split()[0] for c in SITE.split(", ")])
 
 
 def small_sites(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(site_id, far, steps, bridges, cut_nodes) of sites that fit in a task each."""
-    return nodes.groupBy("site_id").cogroup(pairs.groupBy("site_id")).applyInPandas(_of_site, "site_id string, far long, steps long, bridges string, cut_nodes string")
+    """``SITE`` rows of sites that fit in a task each."""
+    return nodes.groupBy("site_id").cogroup(pairs.groupBy("site_id")).applyInPandas(_of_site, SITE)
 
 
 def large_sites(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -248,7 +253,7 @@ def large_sites(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     links = blocks(nodes, pairs)[0]
     weak = bridges(links).groupBy("site_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("u", "v"))), lambda b: F.concat_ws("-", b["u"], b["v"])), ",").alias("bridges"))
     cuts = cut_nodes(links).groupBy("site_id").agg(F.array_join(F.array_sort(F.collect_list("node")), ",").alias("cut_nodes"))
-    return path_lengths(nodes, pairs).join(weak, "site_id", "left").join(cuts, "site_id", "left").na.fill("", ["bridges", "cut_nodes"])
+    return path_lengths(nodes, pairs).join(weak, "site_id", "left").join(cuts, "site_id", "left").na.fill("", ["bridges", "cut_nodes"]).join(site_counts(nodes, pairs), "site_id")
 
 
 def site_metrics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -258,11 +263,11 @@ def site_metrics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """
     pairs = shared_checkpoint(simple_edges(edges))
     every = shared_checkpoint(whole(nodes, pairs))
-    counts = shared_checkpoint(site_counts(every, pairs))
-    large = counts.where(F.col("n_nodes") + F.col("n_edges") > SMALL).select("site_id")
+    sizes = every.select("site_id").unionByName(pairs.select("site_id")).groupBy("site_id").agg(F.count("*").alias("n"))
+    large = shared_checkpoint(sizes.where(F.col("n") > SMALL).select("site_id"))
     found = small_sites(every.join(large, "site_id", "left_anti"), pairs.join(large, "site_id", "left_anti"))
     if not large.isEmpty():
         found = found.unionByName(large_sites(shared_checkpoint(every.join(large, "site_id", "left_semi")), shared_checkpoint(pairs.join(large, "site_id", "left_semi"))))
     pairs_of = F.col("n_nodes") * (F.col("n_nodes") - 1)
     average = F.when(F.col("connected"), F.when(pairs_of > 0, F.round(F.col("steps") / pairs_of, 2)).otherwise(0.0))
-    return counts.join(found, "site_id").select("site_id", "n_nodes", "n_edges", "n_components", "connected", F.when(F.col("connected"), F.col("far")).alias("diameter"), average.alias("avg_path"), "bridges", "cut_nodes")
+    return found.select("site_id", "n_nodes", "n_edges", "n_components", "connected", F.when(F.col("connected"), F.col("far")).alias("diameter"), average.alias("avg_path"), "bridges", "cut_nodes")
