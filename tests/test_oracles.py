@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from specgraph.plans import audits, discovery, inventory, landing, lineage, registry, semantics, sources, specs  # noqa: F401
+from specgraph.plans import audits, details, discovery, inventory, landing, lineage, registry, semantics, sources, specs  # noqa: F401
 from tests.conftest import DATA
 
 SMALL = f"{DATA}/sf0.001"
