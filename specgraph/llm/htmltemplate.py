@@ -7,8 +7,11 @@ the host's template. Where every one of its pages has a token once, the stretch
 
 The article's slot is such a token: an ``article``, else a ``main``, else the deepest one below which nine tenths of the text lie. It
 is read block by block. A block that is in the class of an element (it stands wherever the element stands: a notice, a licence, a
-prompt) is part of the template, and is left out if at least ``SEEN`` pages show so; menus, footers, forms and the like are left out
-by the name of their element.
+prompt), where the class has the support of one page in ``SHARE`` of the host and of ``SUPPORT`` pages, is part of the template and left
+out; menus, footers, forms and the like, whose text may differ from page to page, are left out by the name of their element. Text elements
+(paragraphs, headings, cells) are never parts by their names alone.
+
+A host has at most ``SHARE`` times as many template blocks as its pages have blocks on average, so its row is as large as a few pages.
 
 Vectors are compared by the sum over pages of hash(page, count), which adds up in parts: a host with a third of all pages never
 meets in one task, and no task holds a host's tokens.
@@ -29,23 +32,25 @@ from pyspark.sql import functions as F
 
 from specgraph.llm.common import checkpointed, lookup
 
-#: Pages that must show a text block to be part of the template, and the share of a slot's text that such blocks hold at most (else the pages are copies).
-SEEN, MOST_FIXED = 8, 0.5
+#: A class of template text stands on one page in ``SHARE`` of its host, and on ``SUPPORT`` pages; and such blocks hold at most this share of a slot's text (else the pages are copies).
+SHARE, SUPPORT, MOST_FIXED = 8, 3, 0.5
 #: Share of a host's text below the slot of the article, where no element is named as one; and below a named part that is not one.
 GATHERED, WRAPS = 0.9, 0.5
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
-LEFT_OUT = frozenset("script style noscript template svg math nav footer aside form button select option textarea iframe object canvas dialog head title menu input audio video".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img math mi mn mo ms mtext mrow msup msub mfrac msqrt annotation".split())
+#: Elements that hold text of the page: their names do not make them parts.
+TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre td th dd dt figcaption caption".split())
+LEFT_OUT = frozenset("script style noscript template nav footer aside form button select option textarea iframe canvas dialog head title menu input audio video".split())
 #: Class, id or role names of page parts that are not the article ...
 PARTS = frozenset(
     "nav navbar navigation menu footer contentinfo sidebar aside complementary ad ads advert adverts advertisement advertising sponsor sponsored banner promo cookie cookies consent notice notices alert popup modal overlay"
-    " newsletter subscribe signup login search dialog share sharing social related recommended breadcrumb breadcrumbs pagination pager toolbar widget widgets skip masthead disclaimer".split()
+    " newsletter subscribe signup login search dialog dfp outbrain taboola stories share sharing social related recommended breadcrumb breadcrumbs pagination pager toolbar widget widgets skip masthead disclaimer".split()
 )
 #: ... of reader comments, however long ...
-COMMENTS = frozenset("comment comments respond replies disqus".split())
+COMMENTS = frozenset("comment comments respond replies disqus discussion".split())
 #: ... and words that may stand beside them in a name ("site-footer", "comment-list").
-BESIDE = frozenset("site page main global left right top bottom box list item items area block section wrapper wrap inner container content bar links link form thread form slot unit post entry article primary secondary header message text".split())
+BESIDE = frozenset("site page main global user users reader more our left right top bottom box list item items area block section wrapper wrap inner container content bar links link form thread form slot unit post entry article primary secondary header message text".split())
 #: Elements that a new block ends: a paragraph is closed by any of them, an item or a cell by the next one.
 ENDS = {"li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "option": frozenset(["option"])}
 _RAW = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in ("script", "style", "textarea", "title", "noscript", "iframe")}
@@ -69,6 +74,7 @@ class Node:
     soft: int
     link: bool
     inside: bool
+    block: int = 0
     text: int = 0
     held_back: int = 0
 
@@ -77,7 +83,7 @@ def named_part(names: list[str], words: frozenset[str]) -> bool:
     """Whether one of the names consists of ``words`` and the words that may stand beside them."""
     for name in names:
         parts = [p.lower() for p in _WORDS.findall(name)]
-        if any(p in words for p in parts) and all(p in words or p in BESIDE or p in PARTS for p in parts):
+        if any(p in words for p in parts) and all(p in words or p in BESIDE or p in PARTS or p.isdigit() for p in parts):
             return True
     return False
 
@@ -95,54 +101,81 @@ def open_node(tag: str, attributes: str, parent: Node | None, article: int | Non
     in_article = parent is not None and (parent.inside or parent.tag in ("article", "main"))
     hard = bool(parent and parent.hard) or tag in LEFT_OUT or (tag not in WHOLE and named_part(names, COMMENTS))
     soft = parent.soft if parent else 0
-    if not soft and tag not in WHOLE and token not in keep and ((names and (named_part(names, PARTS) or (named_part(names, HEADER) and not in_article))) or (tag == "header" and not in_article)):
+    if not soft and tag not in WHOLE and tag not in TEXTUAL and token not in keep and ((names and (named_part(names, PARTS) or (named_part(names, HEADER) and not in_article))) or (tag == "header" and not in_article)):
         soft = token
-    return Node(tag, token, parent, parent.depth + 1 if parent else 0, hard, soft, tag == "a" or bool(parent and parent.link), bool(parent and parent.inside) or token == article)
+    block = token if tag not in INLINE else parent.block if parent else 0
+    return Node(tag, token, parent, parent.depth + 1 if parent else 0, hard, soft, tag == "a" or bool(parent and parent.link), bool(parent and parent.inside) or token == article, block)
+
+
+class Open:
+    """Open elements of a page. The places of each tag, and those of elements that are not inline, are kept, so closing costs what it closes, however many are open."""
+
+    def __init__(self) -> None:
+        self.nodes: list[Node] = []
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+
+    def top(self) -> Node | None:
+        return self.nodes[-1] if self.nodes else None
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.nodes))
+        if node.tag not in INLINE:
+            self.blocks.append(len(self.nodes))
+        self.nodes.append(node)
+
+    def cut(self, place: int) -> None:
+        while len(self.nodes) > place:
+            tag = self.nodes.pop().tag
+            self.places[tag].pop()
+            if tag not in INLINE:
+                self.blocks.pop()
+
+    def close(self, tag: str) -> None:
+        """Ends the last open element of a tag and all in it; an inline one only within its block."""
+        places = self.places.get(tag)
+        if places and not (tag in INLINE and self.blocks and self.blocks[-1] > places[-1]):
+            self.cut(places[-1])
+
+    def make_way(self, tag: str) -> None:
+        """Ends what a new block of a tag ends: an open paragraph, or the item or cell before it."""
+        if self.blocks and ((last := self.nodes[self.blocks[-1]].tag) == "p" or last in ENDS.get(tag, ())):
+            self.cut(self.blocks[-1])
 
 
 def pieces(page: str, article: int | None = None, keep: frozenset[int] = frozenset()) -> Iterator[tuple[Node | None, str | None, bool]]:
     """(element, raw text or None, whether a block begins or ends here) in page order; an element comes once without text when it opens, no element where one ends."""
-    stack: list[Node] = []
+    stack = Open()
     end, size = 0, len(page)
     while end < size:
         m = _TAG.search(page, end)
         if m is None:
-            yield (stack[-1] if stack else None), page[end:], False
+            yield stack.top(), page[end:], False
             return
         if m.start() > end:
-            yield (stack[-1] if stack else None), page[end : m.start()], False
+            yield stack.top(), page[end : m.start()], False
         end = m.end()
         tag = m[2]
         if tag is None:
             if m[0].startswith("<![CDATA["):
-                yield (stack[-1] if stack else None), html.escape(m[0][9:-3]), False
+                yield stack.top(), html.escape(m[0][9:-3]), False
             continue
         tag = tag.lower()
         if m[1]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
-                if tag in INLINE and stack[k].tag not in INLINE:
-                    break
+            stack.close(tag)
             if tag not in INLINE:
                 yield None, None, True
             continue
         if tag not in INLINE and tag not in VOID:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k].tag == "p" or (tag in ENDS and stack[k].tag in ENDS[tag]):
-                    del stack[k:]
-                    break
-                if stack[k].tag not in INLINE:
-                    break
-        node = open_node(tag, m[3], stack[-1] if stack else None, article, keep)
+            stack.make_way(tag)
+        node = open_node(tag, m[3], stack.top(), article, keep)
         yield node, None, tag not in INLINE
         if tag in VOID or m[3].endswith("/"):
             continue
         if tag in _RAW:
             close = _RAW[tag].search(page, end)
             end = close.start() if close else size
-        stack.append(node)
+        stack.push(node)
 
 
 @dataclass(slots=True)
@@ -180,7 +213,7 @@ def parsed(page: str, article: int | None = None, keep: frozenset[int] = frozens
             if parts and now != inside:
                 end()
             if not parts:
-                element, inside = _around(node), now
+                element, inside = (node.block if node is not None else 0), now
             parts.append(html.unescape(text))
             if node is not None:
                 node.text += size
@@ -194,12 +227,6 @@ def parsed(page: str, article: int | None = None, keep: frozenset[int] = frozens
     return nodes, blocks
 
 
-def _around(node: Node | None) -> int:
-    while node is not None and node.tag in INLINE:
-        node = node.parent
-    return node.token if node is not None else 0
-
-
 def rank_of(tag: str) -> int:
     """Which elements are taken for the article: 2 article, 1 main, 0 others, -1 never."""
     return 2 if tag == "article" else 1 if tag == "main" else -1 if tag in INLINE or tag in ("p", "li", "head", "h1", "h2", "h3") else 0
@@ -273,13 +300,13 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def occurrence_vectors(pages: DataFrame, key: str = "page_id", url: str = "url", text: str = "html") -> DataFrame:
-    """(host, token, block, parent, rank, depth, vector, pages, times, text, held_back) of every element, and of every text block that ``SEEN`` pages have."""
+    """(host, token, block, parent, rank, depth, vector, pages, times, text, held_back) of every element, and of every text block that ``SUPPORT`` pages have."""
     rows = pages.select(host_of(F.col(url)).alias("host"), F.xxhash64(text).alias("page"), F.col(text).alias("html"))
     sums = rows.mapInArrow(_counted, COUNTED).groupBy("host", "token", "block").agg(
         F.min("parent").alias("parent"), F.min("rank").alias("rank"), F.min("depth").alias("depth"), F.sum(F.pmod(F.xxhash64("page", "times"), F.lit(1 << 40))).alias("vector"),
         F.count("*").alias("pages"), F.sum("times").alias("times"), F.sum("text").alias("text"), F.sum("held_back").alias("held_back"),
     )
-    return sums.where((F.col("block") == 0) | (F.col("pages") >= SEEN))
+    return sums.where((F.col("block") == 0) | (F.col("pages") >= SUPPORT))
 
 
 def host_classes(vectors: DataFrame) -> DataFrame:
@@ -305,7 +332,8 @@ def host_templates(vectors: DataFrame) -> DataFrame:
     order = F.struct("rank", F.when(F.col("rank") > 0, F.col("text")).otherwise(F.col("depth")).alias("x"), (-F.col("depth")).alias("y"), "token")
     slots = able.groupBy("host").agg(F.max(F.struct(order.alias("o"), "text")).alias("best")).select("host", F.col("best.o.token").alias("article"), F.col("best.text").alias("slot"))
     # a block with the vector of an element stands wherever that element stands
-    same = vectors.where("block <> 0").join(elements.select("host", "vector").distinct(), ["host", "vector"], "left_semi")
+    wide = vectors.where("block <> 0").join(whole.select("host", "of"), "host").where(F.lit(SHARE) * F.col("pages") >= F.col("of"))
+    same = wide.join(elements.select("host", "vector").distinct(), ["host", "vector"], "left_semi")
     fixed = same.groupBy("host").agg(F.collect_set("block").alias("fixed"), F.sum("text").alias("size"))
     found = slots.join(wraps, "host", "full").join(fixed, "host", "left")
     return found.select("host", "article", "keep", F.when(F.col("size") <= F.lit(MOST_FIXED) * F.col("slot"), F.col("fixed")).alias("fixed"))
