@@ -118,3 +118,21 @@ def sm_7_provenance_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = details.provenance_edges(nodes, ast)
     values = ast.join(specs.spec_rows(corpus).select("spec_id", "source"), "spec_id").select(F.concat_ws("#", "spec_id", "pointer").alias("target"), "source", "pointer")
     return edges.join(nodes.select(F.col("node_id").alias("source"), F.col("kind").alias("node_kind")), "source").drop("source").join(values, "target").select("source", "kind", "node_kind", "pointer", "evidence")
+
+
+_SHAPE = """'{"type":"object","title":"T ' || t || '","properties":{"a":{},"b":{},"c":{"type":"integer","default":' || q || '7' || q || '}}}'"""
+_REPEATED = f"""'{{"paths":{{"/a":{{"get":{{"responses":{{"404":{{"description":"e' || t || '"}},"200":{{"_x":1,"content":{{"application/json":{{"schema":' || {_SHAPE} || '}}}}}}}}}}}},"/b":{{"get":{{"responses":{{"404":{{"description":"e' || t || '"}},"418":{{"description":"tea"}},"200":{{"content":{{"application/json":{{"schema":' || {_SHAPE} || '}}}}}}}}}}}},'
+    || '"/c":{{"get":{{"responses":{{"418":{{"description":"tea"}}}}}}}}}}}}'"""
+_DIGEST = """substring(sha1('{"properties":{"a":{},"b":{},"c":{"default":7,"type":"integer"}},"title":"T ' || t || '","type":"object"}'), 1, 8)"""
+
+
+@query(
+    f"""WITH x AS (SELECT t, '' AS q, 'Error404_' || substring(sha1('{{"description":"e' || t || '"}}'), 1, 8) AS e, 'T' || t || '_' || {_DIGEST} AS s FROM ({ROWS}) y), z AS (SELECT *, '{{"$ref":"#/components/responses/' || e || '"}}' AS er, '{{"content":{{"application/json":{{"schema":{{"$ref":"#/components/schemas/' || s || '"}}}}}}}}' AS sr FROM x)
+    SELECT t AS source, '{{"paths":{{"/a":{{"get":{{"responses":{{"404":' || er || ',"200":' || sr || '}}}}}},"/b":{{"get":{{"responses":{{"404":' || er || ',"418":{{"description":"tea"}},"200":' || sr || '}}}}}},"/c":{{"get":{{"responses":{{"418":{{"description":"tea"}}}}}}}}}},"components":{{"responses":{{"' || e || '":{{"description":"e' || t || '"}}}},"schemas":{{"' || s || '":' || {_SHAPE} || '}}}}}}' AS raw, true AS same FROM z"""
+)
+def cl_7_normalised_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CL-1, CL-3, CL-5..7: whole normalised documents: cleaned, repeated error responses and shapes named by their content; a second time changes nothing."""
+    raw = frame(spark, sf_dir, f"""SELECT 'made' AS spec_source, t AS source, 'n' AS title, {_REPEATED} AS raw FROM (SELECT *, '"' AS q FROM ({ROWS}) y) x""")
+    once = shared_checkpoint(specs.normalised(raw))
+    again = specs.normalised(once).select("source", F.col("raw").alias("again"))
+    return once.join(again, "source").select("source", "raw", (F.col("raw") == F.col("again")).alias("same"))

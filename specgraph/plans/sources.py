@@ -47,6 +47,22 @@ def io_5_page_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.page_sections(frame(spark, sf_dir, "SELECT page_id, url, html FROM pages"), "article")
 
 
+_HTML = """'<html><head><title>x</title></head><body><h1>outside</h1><div id="main-content">' || CASE WHEN k % 3 = 0 THEN '' ELSE 'before ' || t || '<p>second</p>' END || '<h1 id="top-' || t || '">Title <a href="#x">' || t || '</a></h1><p>one &amp; two</p><ul><li>a<li>b</ul><script>gone()</script>'
+    || '<details><h2>hidden</h2>gone</details><div><img src=x>three<br>four</div><p></p><p></p><h3>deep</h3>tail<h2>Second Part: ' || t || '!</h2><noscript>gone</noscript>text' || CASE WHEN k % 2 = 0 THEN '<h2 id="empty">Empty</h2><p> </p>' ELSE '' END || '<h2> </h2>lost</div><h2>after</h2>out</body></html>'"""
+_PLAIN = "'<body><div id=\"main-content\"><p>all of ' || t || '</p><h3>low</h3>end</div></body>'"
+
+
+@query(
+    """WITH x AS (SELECT CAST(p_partkey AS VARCHAR) AS t, p_partkey AS k, 'page-' || CAST(p_partkey AS VARCHAR) AS slug FROM part) SELECT slug, slug || '-intro' AS section_id, 'Title ' || t || ' — Introduction' AS title, 'before ' || t || chr(10) || 'second' AS content, 'u/' || t AS source FROM x WHERE k % 5 <> 0 AND k % 3 <> 0
+    UNION ALL SELECT slug, slug || '-top-' || t, 'Title ' || t, 'one & two' || repeat(chr(10), 2) || 'a' || chr(10) || 'b' || chr(10) || 'three' || chr(10) || 'four' || repeat(chr(10), 2) || 'deep' || chr(10) || 'tail', 'u/' || t || '#top-' || t FROM x WHERE k % 5 <> 0
+    UNION ALL SELECT slug, slug || '-second-part-' || t, 'Second Part: ' || t || '!', 'text', 'u/' || t FROM x WHERE k % 5 <> 0 UNION ALL SELECT slug, slug, 'Page ' || t, 'all of ' || t || repeat(chr(10), 2) || 'low' || chr(10) || 'end', 'u/' || t FROM x WHERE k % 5 = 0"""
+)
+def io_5_written_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """IO-5: sections of written pages: an introduction, headings with and without ids, dropped parts, empty and nameless sections, pages without headings."""
+    pages = frame(spark, sf_dir, f"SELECT 'page-' || t AS slug, 'u/' || t AS url, CASE WHEN k % 5 = 0 THEN {_PLAIN} ELSE {_HTML} END AS html FROM (SELECT CAST(p_partkey AS STRING) AS t, p_partkey AS k FROM part) x")
+    return documents.page_sections(pages, "main-content", key="slug")
+
+
 RESPONSES = "SELECT o_orderkey AS page, o_custkey AS source, 7 AS total FROM orders"
 
 

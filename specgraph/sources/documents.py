@@ -118,53 +118,53 @@ class Sections(HTMLParser):
     """Text of a page split at h1 and h2 below a root element."""
 
     DROP = frozenset(["script", "style", "details", "noscript"])
-    BLOCK = frozenset("p div section ul ol li table tr h1 h2 h3 h4 h5 h6 pre blockquote br hr article header footer main dl dt dd figure".split())
+    OPENS = frozenset("p br li tr h1 h2 h3 h4 h5 h6 div".split())
+    CLOSES = OPENS - {"br", "div"}
+    VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
     def __init__(self, root: str):
         super().__init__(convert_charrefs=True)
-        self.root, self.inside, self.dropped = root, 0, 0
+        self.root, self.root_tag, self.inside, self.dropped = root, "", 0, 0  # ``inside`` counts open elements of the root's tag, so that items left open do not count
         self.found: list[list] = []  # heading id, title, text parts
         self.heading: str | None = None
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         own = dict(attrs)
-        if tag in ("br", "hr", "img", "meta", "link", "input"):
-            if self.inside and tag in self.BLOCK:
-                self._add("\n")
+        if not self.inside:
+            if tag == self.root or own.get("id") == self.root:
+                self.root_tag, self.inside = tag, 1
+                if not self.found:
+                    self.found.append(["", "", []])
             return
-        if self.inside:
-            self.inside += 1
-        elif tag == self.root or own.get("id") == self.root:
-            self.inside = 1
-            self.found.append(["", "", []])
+        self.inside += tag == self.root_tag
         if tag in self.DROP:
             self.dropped += 1
-        if self.inside and not self.dropped:
+        elif not self.dropped:
             if tag in ("h1", "h2"):
                 self.heading = tag
                 self.found.append([own.get("id") or "", "", []])
-            elif tag in self.BLOCK:
+            elif tag in self.OPENS:
                 self._add("\n")
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in self.DROP and self.dropped:
-            self.dropped -= 1
-        if tag == self.heading:
+        self.inside -= bool(self.inside) and tag == self.root_tag
+        if not self.inside:
+            return
+        if tag in self.DROP:
+            self.dropped -= bool(self.dropped)
+        elif tag == self.heading:
             self.heading = None
-        elif self.inside and tag in self.BLOCK:
+        elif not self.dropped and tag in self.CLOSES:
             self._add("\n")
-        if self.inside:
-            self.inside -= 1
 
     def handle_data(self, data: str) -> None:
         if self.inside and not self.dropped:
-            if self.heading:
-                self.found[-1][1] += data
-            else:
-                self._add(data)
+            self._add(data)
 
     def _add(self, text: str) -> None:
-        if self.found and not self.dropped:
+        if self.heading:
+            self.found[-1][1] += text
+        else:
             self.found[-1][2].append(text)
 
 
@@ -175,21 +175,24 @@ def slug_of(title: str) -> str:
 
 
 def sections(html: str | None, slug: str, root: str) -> list[tuple[str, str, str, str]]:
-    """(section id, title, content, fragment) of a page: an intro and a section for each heading; empty ones are left out."""
+    """(section id, title, content, fragment) of a page: what stands before the first H1 or H2, then a section for each.
+
+    A section without a title or without content is left out. The text before the first heading is called after it; a page without headings is one section, called after its slug.
+    Three and more line ends become two; other white space stays.
+    """
     import re
 
     parser = Sections(root)
     parser.feed(html or "")
     parser.close()
-    out = []
-    for i, (anchor, title, parts) in enumerate(parser.found):
-        lines = [" ".join(x.split()) for x in "".join(parts).split("\n")]
-        content = re.sub(r"\n{3,}", "\n\n", "\n".join(lines)).strip()
-        title = " ".join(title.split())
-        name = anchor or slug_of(title)
-        if content or title:
-            out.append((f"{slug}-{name}" if i and name else f"{slug}-intro" if len(parser.found) > 1 else slug, title, content, f"#{anchor}" if anchor else ""))
-    return out
+    found = [(anchor, title.strip(), re.sub(r"\n{3,}", "\n\n", "".join(parts)).strip()) for anchor, title, parts in parser.found]
+    if not found:
+        return []
+    before = found[0][2]
+    if len(found) == 1:
+        return [(slug, slug.replace("-", " ").title(), before, "")] if before else []
+    out = [(f"{slug}-intro", f"{found[1][1]} — Introduction", before, "")] if before else []
+    return out + [(f"{slug}-{anchor or slug_of(title)}", title, content, f"#{anchor}" if anchor else "") for anchor, title, content in found[1:] if title and content]
 
 
 def page_sections(pages: DataFrame, root: str, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

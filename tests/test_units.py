@@ -13,7 +13,7 @@ from specgraph.functions.expand import Expansion
 from specgraph.functions.views import Views
 from specgraph.functions.shapes import shape_hash
 from specgraph.operators import parts as operation_parts
-from specgraph.operators import audit, discover, inventory, merge, models, projection, search, specs, topology, walk
+from specgraph.operators import audit, details, discover, inventory, merge, models, projection, search, specs, topology, walk
 from specgraph.plans import discovery, registry  # noqa: F401
 from specgraph.plans import sources as source_plans  # noqa: F401
 from specgraph.sources import documents, sinks
@@ -289,7 +289,11 @@ def test_walks_on_a_cycle(spark):
 
 def test_page_sections_and_paging(spark):
     html = "<body><nav>x</nav><main id='main-content'><p>intro</p><script>s()</script><h1 id='one'>One</h1><p>a<br>b</p><details>no</details><h2>Two words</h2><ul><li>c</li></ul></main></body>"
-    assert documents.sections(html, "pg", "main-content") == [("pg-intro", "", "intro", ""), ("pg-one", "One", "a\nb", "#one"), ("pg-two-words", "Two words", "c", "")]
+    assert documents.sections(html, "pg", "main-content") == [("pg-intro", "One — Introduction", "intro", ""), ("pg-one", "One", "a\nb", "#one"), ("pg-two-words", "Two words", "c", "")]
+    # no heading, a nameless and an empty section, items that are left open, a root that is never closed
+    assert documents.sections("<main>some <b>text</b></main>x", "a-page", "main") == [("a-page", "A Page", "some text", "")]
+    assert documents.sections("<div id=m><h1>A</h1><p> </p><h2></h2>x<h2>B</h2><li>y<li>z</div><h2>C</h2>out", "p", "m") == [("p-b", "B", "y\nz", "")]
+    assert documents.sections("<div id=m><h1>A</h1>x", "p", "m") == [("p-a", "A", "x", "")]
     assert documents.sections("<p>x</p>", "pg", "main-content") == [] == documents.sections(None, "pg", "main")
     pages = spark.createDataFrame([("a", 1, 5, 9), ("a", 2, 0, 9), ("b", 1, 5, 9), ("c", 1, 5, 5)], "source string, page int, n int, total int")
     assert {r["source"]: r["truncated"] for r in documents.paging_report(pages, "source", "page", "n", "total").collect()} == {"a": False, "b": True, "c": False}
@@ -426,3 +430,42 @@ def test_carry_through_of_unreadable_documents(spark):
     corpus = spark.createDataFrame([("p", "a", "t", json.dumps(SPEC)), ("p", "b", "t", "{"), ("q", "c", "t", None), ("r", "d", "t", '{"paths":{"/x":{"get":{"responses":{"200":{"$ref":"#/nothing"}}}}}}')], "spec_source string, source string, title string, raw string")
     rows = {r["spec_source"]: tuple(r)[1:6] for r in specs.carry_through(corpus, specs.flatten(corpus)).collect()}
     assert rows["q"] == (1, 1, 0, 0, 0) and rows["r"] == (1, 0, 0, 1, 1) and rows["p"][:2] == (2, 1)
+
+
+ODD = [
+    None, "", "[1]", "{", "{}", '{"paths":5,"components":7}', '{"paths":{"/x":3,"/y":{"get":4,"post":{"parameters":5,"tags":"t","responses":[],"requestBody":6,"deprecated":"yes","summary":7}}}}',
+    '{"info":{"title":5},"paths":{"/z":{"get":{"parameters":[{"$ref":"#/components/parameters/P"}],"responses":{"200":{"$ref":"#/components/responses/None"}}}}},"components":{"parameters":{"P":{"name":"p","schema":{"$ref":"#/components/schemas/L"}}},"schemas":{"L":{"type":"object","required":"a","properties":{"a":{"$ref":"#/components/schemas/L"},"b":[1],"c":{"enum":"x","type":5,"minimum":true,"readOnly":0}}}}}}',
+]
+
+
+def odd_corpus(spark, rows=ODD):
+    return spark.createDataFrame([("p", f"s{i}", "t", r) for i, r in enumerate(rows)] * 2, "spec_source string, source string, title string, raw string")
+
+
+def test_whole_endpoints_of_odd_documents(spark):
+    rows = {r["eid"]: r for r in details.endpoint_details(odd_corpus(spark)).collect()}
+    assert set(rows) == {"POST:/y", "GET:/z"}
+    y, z = rows["POST:/y"], rows["GET:/z"]
+    assert (y["tags"], y["parameters"], y["request_body"], y["responses"], y["deprecated"], y["summary"], y["category"]) == ([], "[]", None, "[]", False, "", "Unknown")
+    assert z["category"] == "" and z["responses"] == '[{"status":"200","description":"","schema":null}]' and z["parameters"].count('"properties"') == 14 and '"$circular_ref":true' in z["parameters"]
+    # what would be too long stays as it is written
+    short = {r["eid"]: r for r in details.endpoint_details(odd_corpus(spark), 200).collect()}
+    assert short["GET:/z"]["parameters"] == '[{"name":"","in":"","required":false,"schema":{},"description":""}]'
+    assert details.endpoint_details(odd_corpus(spark).limit(0)).count() == 0
+
+
+def test_whole_properties_of_odd_documents(spark):
+    corpus = odd_corpus(spark).distinct()
+    rows = {r["id"]: r for r in details.property_details(specs.flatten(corpus), specs.spec_rows(corpus)).collect()}
+    assert set(rows) == {f"p:schemas:L#prop:{k}" for k in "abc"}
+    a, b, c = (rows[f"p:schemas:L#prop:{k}"] for k in "abc")
+    assert (a["type"], a["required"], a["device_types"], a["constraints"]) == ("object", False, None, "{}") and (b["type"], b["constraints"]) == ("", "{}")
+    assert (c["type"], c["enum_values"], c["minimum"], c["read_only"], c["constraints"]) == ("", [], None, False, '{"enum":"x","minimum":true,"readOnly":0}')
+
+
+def test_merged_models(spark):
+    rows = spark.createDataFrame([("i", 3, "late", ["b", "a"], "p3", False), ("i", 1, "", ["a", None, ""], "p1", True), ("i", 2, "first", None, "p1", None), ("j", 1, None, [], "", False)], "identity string, ord int, name string, kinds array<string>, pointer string, required boolean")
+    got = {r["identity"]: r for r in details.merged_models(rows, ["name"], {"kinds": "all_kinds", "pointer": "pointers"}).collect()}
+    assert (got["i"]["name"], got["i"]["all_kinds"], got["i"]["pointers"], got["i"]["required"], got["i"]["n"]) == ("first", ["a", "b"], ["p1", "p3"], True, 3)
+    assert (got["j"]["name"], got["j"]["all_kinds"], got["j"]["pointers"], got["j"]["required"]) == (None, [], [], False)
+    assert details.merged_models(rows.limit(0), ["name"], {"kinds": "k"}).count() == 0
