@@ -469,3 +469,24 @@ def test_merged_models(spark):
     assert (got["i"]["name"], got["i"]["all_kinds"], got["i"]["pointers"], got["i"]["required"], got["i"]["n"]) == ("first", ["a", "b"], ["p1", "p3"], True, 3)
     assert (got["j"]["name"], got["j"]["all_kinds"], got["j"]["pointers"], got["j"]["required"]) == (None, [], [], False)
     assert details.merged_models(rows.limit(0), ["name"], {"kinds": "k"}).count() == 0
+
+
+def test_estimates_follow_what_is_written_not_the_table_behind_it(spark):
+    from specgraph.operators.walk import shared_checkpoint
+
+    def estimate(df):
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+    rows = spark.range(20_000).select(F.sha2(F.col("id").cast("string"), 512).alias("a"))
+    kept = shared_checkpoint(rows.withColumn("b", F.sha2(F.concat("a", F.lit("x")), 512)))
+    assert estimate(kept) > 2_000_000 > estimate(rows)
+    for _ in range(4):
+        kept = shared_checkpoint(kept.join(kept, ["a", "b"]))
+    assert estimate(kept) < 10_000_000 and kept.count() == 20_000
+
+
+def test_documents_of_a_short_file_are_dealt_over_all_tasks(spark, tiny):
+    from specgraph.plans.bridge import dealt, frame
+
+    texts = frame(spark, tiny, f"SELECT CAST(k AS STRING) AS t FROM ({dealt(spark, 'SELECT p_partkey AS k FROM part')}) x")
+    assert sum(1 for n in texts.groupBy(F.spark_partition_id()).count().collect()) == int(spark.conf.get("spark.sql.shuffle.partitions"))
