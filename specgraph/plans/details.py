@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from specgraph.operators import details, merge, specs
 from specgraph.operators.walk import shared_checkpoint
-from specgraph.plans.bridge import frame
-from specgraph.plans.lineage import ROWS, _corpus, _hashed
+from specgraph.plans.bridge import dealt, frame
+from specgraph.plans.lineage import ROWS, _corpus, _documents, _hashed
 from specgraph.plans.registry import query
 
 #: Properties in place, behind references of the document, of the provider and to nothing, nested, with odd values; C differs between documents; a shape in an operation.
@@ -63,7 +63,7 @@ _S = "'{\"v\":' || t || '}'"
 )
 def ep_1_whole_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """EP-1, ST-4: endpoints with tags and all parts, references expanded; the first document of a method and path wins."""
-    return details.endpoint_details(_corpus(spark, sf_dir, _OPERATIONS)[0]).withColumn("tags", F.array_join("tags", ","))
+    return details.endpoint_details(_documents(spark, sf_dir, _OPERATIONS)).withColumn("tags", F.array_join("tags", ","))
 
 
 _MODELS = "SELECT id AS pointer, id AS ord, name AS label, yang_path, required, type, CASE WHEN device_types IS NULL THEN '' ELSE device_types END AS device, CASE WHEN required THEN 'x' ELSE '' END AS note, component_id AS owner FROM b_property"
@@ -132,7 +132,7 @@ _DIGEST = """substring(sha1('{"properties":{"a":{},"b":{},"c":{"default":7,"type
 )
 def cl_7_normalised_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CL-1, CL-3, CL-5..7: whole normalised documents: cleaned, repeated error responses and shapes named by their content; a second time changes nothing."""
-    raw = frame(spark, sf_dir, f"""SELECT 'made' AS spec_source, t AS source, 'n' AS title, {_REPEATED} AS raw FROM (SELECT *, '"' AS q FROM ({ROWS}) y) x""")
+    raw = frame(spark, sf_dir, f"""SELECT 'made' AS spec_source, t AS source, 'n' AS title, {_REPEATED} AS raw FROM (SELECT *, '"' AS q FROM ({dealt(spark, ROWS)}) y) x""")
     once = shared_checkpoint(specs.normalised(raw))
     again = specs.normalised(once).select("source", F.col("raw").alias("again"))
     return once.join(again, "source").select("source", "raw", (F.col("raw") == F.col("again")).alias("same"))

@@ -490,3 +490,10 @@ def test_documents_of_a_short_file_are_dealt_over_all_tasks(spark, tiny):
 
     texts = frame(spark, tiny, f"SELECT CAST(k AS STRING) AS t FROM ({dealt(spark, 'SELECT p_partkey AS k FROM part')}) x")
     assert sum(1 for n in texts.groupBy(F.spark_partition_id()).count().collect()) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_documents_alone_are_not_flattened(spark, tiny, monkeypatch):
+    from specgraph.plans import lineage
+
+    monkeypatch.setattr(lineage.specs, "flatten", lambda *_: pytest.fail("flattened"))
+    assert registry.QUERIES["cl_9_expanded_texts"](spark, tiny).columns == ["source", "section", "name", "body", "n_chars"]
