@@ -497,3 +497,9 @@ def test_documents_alone_are_not_flattened(spark, tiny, monkeypatch):
 
     monkeypatch.setattr(lineage.specs, "flatten", lambda *_: pytest.fail("flattened"))
     assert registry.QUERIES["cl_9_expanded_texts"](spark, tiny).columns == ["source", "section", "name", "body", "n_chars"]
+
+
+def test_rows_of_documents_are_joined_as_written(spark, tiny):
+    from specgraph.plans import specs as plans
+
+    assert "MapInArrow" not in plans.sg_1_first_media_type(spark, tiny)._jdf.queryExecution().toString()
