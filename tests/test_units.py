@@ -503,3 +503,11 @@ def test_rows_of_documents_are_joined_as_written(spark, tiny):
     from specgraph.plans import specs as plans
 
     assert "MapInArrow" not in plans.sg_1_first_media_type(spark, tiny)._jdf.queryExecution().toString()
+
+
+def test_endpoints_need_no_other_values(spark):
+    corpus = spark.createDataFrame([("p", "s", "t", json.dumps(SPEC))], "spec_source string, source string, title string, raw string")
+    few, every = specs.endpoint_values(corpus), specs.flatten(corpus)
+    rows = specs.spec_rows(corpus)
+    assert few.count() < every.count() / 4 and few.where("raw IS NOT NULL").count() == 0
+    assert sorted(map(tuple, specs.endpoint_rows(few, rows).collect())) == sorted(map(tuple, specs.endpoint_rows(every, rows).collect()))
