@@ -511,3 +511,21 @@ def test_endpoints_need_no_other_values(spark):
     rows = specs.spec_rows(corpus)
     assert few.count() < every.count() / 4 and few.where("raw IS NOT NULL").count() == 0
     assert sorted(map(tuple, specs.endpoint_rows(few, rows).collect())) == sorted(map(tuple, specs.endpoint_rows(every, rows).collect()))
+
+
+def test_documents_shuffle_lines_alone(spark, tiny):
+    """What a document is made of is grouped and joined where its lines are: rows are dealt by order, once for each branch, and no half of a document is broadcast."""
+    from specgraph.plans import specs as plans
+
+    plan = plans.documents(spark, tiny)._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in plan.splitlines() if "Exchange" in line]
+    assert moved and all("hashpartitioning(l_orderkey" in line for line in moved), moved
+
+
+def test_walk_makes_what_is_asked_for():
+    document = {"paths": {"/a~b": {"get": {"summary": 'é"', "tags": [1, 2.5, None, True, 10**30]}}}, "components": {"schemas": {"x-A": {"properties": {"p": {"type": "object"}}}}}}
+    every = list(jsonwalk.walk(document))
+    assert [r[7] for r in every if r[5] == "scalar"] == ['"é\\""', "1", "2.5", "null", "true", str(10**30), '"object"']
+    some = list(jsonwalk.walk(document, False, frozenset(["Operation", "Property"]), ("kind", "value_type")))
+    assert [(r[4], r[5], r[10], r[11]) for r in some] == [(r[4], r[5], r[10], r[11]) for r in every if r[4] in ("Operation", "Property")]
+    assert {r[0] for r in some} == {""}
