@@ -529,3 +529,18 @@ def test_walk_makes_what_is_asked_for():
     some = list(jsonwalk.walk(document, False, frozenset(["Operation", "Property"]), ("kind", "value_type")))
     assert [(r[4], r[5], r[10], r[11]) for r in some] == [(r[4], r[5], r[10], r[11]) for r in every if r[4] in ("Operation", "Property")]
     assert {r[0] for r in some} == {""}
+
+
+def test_projections_make_what_is_asked_for(spark):
+    corpus = spark.createDataFrame([("p", "s", "t", json.dumps(SPEC)), ("p", "b", "t", "[1]")], "spec_source string, source string, title string, raw string")
+    some = ["source", "method", "path", "n_components", "required"]
+    every = sorted(specs.endpoint_projections(corpus).select(*some).collect())
+    assert every and sorted(specs.endpoint_projections(corpus, some).collect()) == every
+    assert [tuple(r) for r in specs.spec_rows(corpus, ("source", "raw")).collect()] == [("s", json.dumps(SPEC))]
+
+
+def test_documents_are_made_once(spark, tiny):
+    """Cleaning or normalising and flattening are one step of Python each: counts go by the rows' own source, so no document is made again to name it."""
+    for name in ("cl_1_clean", "cl_6_shared_shapes"):
+        plan = registry.QUERIES[name](spark, tiny)._jdf.queryExecution().executedPlan().toString()
+        assert plan.lower().count("mapinarrow") == 2, name
