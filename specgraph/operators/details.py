@@ -31,7 +31,8 @@ def member_map(raw: Column) -> Column:
 def sorted_json(members: Column) -> Column:
     """Members as compact JSON with sorted keys at every level; ``{}`` if there is none."""
     keys = F.array_sort(F.map_keys(members))
-    return F.to_json(F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(members, k))))
+    # most values have no such members, and a JSON writer for each is the costly part
+    return F.when(F.size(members) > 0, F.to_json(F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(members, k))))).otherwise("{}")
 
 
 def text_value(value: Column) -> Column:
@@ -211,23 +212,29 @@ def merged_models(rows: DataFrame, first: Sequence[str], lists: Mapping[str, str
     return out
 
 
+#: The columns and kinds of flattened rows that ``node_summaries`` reads; what a schema requires is a list of constraints.
+SUMMARY_KEYS = ("spec_id", "source", "pointer", "parent", "key", "idx", "kind", "value_type", "scalar", "raw")
+SUMMARY_KINDS = ("Schema", "Items", "Property", "Constraint")
+
+
 def node_summaries(ast: DataFrame) -> DataFrame:
     """(node_id, spec_id, kind, pointer, required, type, description, constraints, extensions): overlay nodes of schemas and properties with what each says of itself; the last two are JSON texts with sorted keys.
 
     A schema node is a named schema, or an inline one that does more than refer (a property: one with a structure of its own). A property is required if the schema around it lists it.
+    Rows that have their document's ``source`` keep it.
     """
-    own = ast.where(F.col("kind").isin("Schema", "Items", "Property") & (F.col("value_type") == "object")).select("spec_id", "pointer", "kind", "key", "raw", without_last(F.col("parent"), 1).alias("holder"))
+    of = [c for c in ("spec_id", "source") if c in ast.columns]
+    own = ast.where(F.col("kind").isin("Schema", "Items", "Property") & (F.col("value_type") == "object")).select(*of, "pointer", "kind", "key", "raw", without_last(F.col("parent"), 1).alias("holder"))
     extra = F.size(F.array_except(F.json_object_keys("raw"), F.array(*map(F.lit, ("$ref", "description", "summary", "title"))))) == 0
     wrapper = F.coalesce(at("raw", "$ref").isNotNull() & extra, F.lit(False)) & ~F.col("pointer").rlike("^/components/schemas/[^/]+$")
     prop = F.col("kind") == "Property"
-    schemas = own.where(~wrapper & (~prop | (property_role() != ""))).select("spec_id", "pointer", F.lit("Schema").alias("kind"), F.lit(False).alias("required"), "raw")
+    schemas = own.where(~wrapper & (~prop | (property_role() != ""))).select(*of, "pointer", F.lit("Schema").alias("kind"), F.lit(False).alias("required"), "raw")
     needs = ast.where(F.col("idx").isNotNull() & F.col("parent").endswith("/required") & F.col("scalar").startswith('"'))
     needs = needs.select("spec_id", without_last(F.col("parent"), 1).alias("holder"), text_of(F.col("scalar")).alias("key"), F.lit(True).alias("needed")).distinct()
-    properties = own.where(prop).join(needs, ["spec_id", "holder", "key"], "left").select("spec_id", "pointer", F.lit("Property").alias("kind"), F.coalesce("needed", F.lit(False)).alias("required"), "raw")
-    rows = schemas.unionByName(properties).withColumn("all", member_map(F.col("raw"))).withColumn("bag", F.map_filter("all", lambda k, _: k.isin(*CONSTRAINTS)))
-    extensions = F.map_filter("all", lambda k, _: k.startswith("x-"))
+    properties = own.where(prop).join(needs, ["spec_id", "holder", "key"], "left").select(*of, "pointer", F.lit("Property").alias("kind"), F.coalesce("needed", F.lit(False)).alias("required"), "raw")
+    rows = schemas.unionByName(properties).withColumn("all", member_map(F.col("raw"))).withColumn("bag", F.map_filter("all", lambda k, _: k.isin(*CONSTRAINTS))).withColumn("more", F.map_filter("all", lambda k, _: k.startswith("x-")))
     key = F.concat(F.lower("kind"), F.lit(":"), F.col("pointer"))
-    return rows.select(semantic_id(F.col("spec_id"), F.col("kind"), key).alias("node_id"), "spec_id", "kind", "pointer", "required", *(F.coalesce(text_value(F.col("all")[k]), F.lit("")).alias(k) for k in ("type", "description")), sorted_json(F.col("bag")).alias("constraints"), sorted_json(extensions).alias("extensions"))
+    return rows.select(semantic_id(F.col("spec_id"), F.col("kind"), key).alias("node_id"), *of, "kind", "pointer", "required", *(F.coalesce(text_value(F.col("all")[k]), F.lit("")).alias(k) for k in ("type", "description")), sorted_json(F.col("bag")).alias("constraints"), sorted_json(F.col("more")).alias("extensions"))
 
 
 def provenance_edges(nodes: DataFrame, ast: DataFrame) -> DataFrame:

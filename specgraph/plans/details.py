@@ -106,8 +106,8 @@ _ALL_NODES = f"""SELECT t AS source, unnest(CASE WHEN k % 4 = 0 THEN [('/compone
 @query(f"SELECT source, v[2] AS kind, v[1] AS pointer, v[3] AS required, v[4] AS type, v[5] AS description, v[6] AS constraints, v[7] AS extensions FROM ({_ALL_NODES}) y")
 def sm_1_node_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SM-1, SM-2, SM-5: overlay nodes of schemas and properties with required marks, constraints and extensions."""
-    corpus, ast = _corpus(spark, sf_dir, _FIELDS)
-    return details.node_summaries(ast).join(specs.spec_rows(corpus).select("spec_id", "source"), "spec_id").drop("spec_id", "node_id")
+    ast = shared_checkpoint(specs.flatten(_documents(spark, sf_dir, _FIELDS), details.SUMMARY_KEYS, details.SUMMARY_KINDS))
+    return details.node_summaries(ast).drop("spec_id", "node_id")
 
 
 @query(f"""SELECT source, 'SEMANTIC_DERIVED_FROM' AS kind, v[2] AS node_kind, v[1] AS pointer, '{{"pointer":"' || v[1] || '"}}' AS evidence FROM ({_ALL_NODES}) y""")

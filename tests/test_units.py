@@ -544,3 +544,12 @@ def test_documents_are_made_once(spark, tiny):
     for name in ("cl_1_clean", "cl_6_shared_shapes"):
         plan = registry.QUERIES[name](spark, tiny)._jdf.queryExecution().executedPlan().toString()
         assert plan.lower().count("mapinarrow") == 2, name
+
+
+def test_summaries_need_no_other_values(spark):
+    """What ``sm_1_node_rows`` writes is enough: all other kinds and columns change no summary."""
+    made = corpus(spark, SPEC, {"components": {"schemas": {"A": {"required": ["x"], "properties": {"x": {"type": "object", "required": ["required"], "properties": {"required": {"x-k": {"required": ["q"]}}}}}, "allOf": [{"required": ["z"], "properties": {"z": {}}}]}}}})
+    few = details.node_summaries(specs.flatten(made, details.SUMMARY_KEYS, details.SUMMARY_KINDS))
+    every = details.node_summaries(specs.flatten(made))
+    assert sorted(map(str, few.drop("source").collect())) == sorted(map(str, every.collect())) and few.where("required").count() > 3
+    assert {r["source"] for r in few.select("source").collect()} == {"s0", "s1"}
