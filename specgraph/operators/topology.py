@@ -3,13 +3,16 @@
 Searches go on level by level; what a node asks of its ancestors or descendants is found by jump pointers, which double each round. Rounds
 therefore follow the depth of a site's tree (searches) or its logarithm (all else), and no task holds a site. Rounds cost the same however
 little there is to do, so ``site_metrics`` gives sites of up to ``SMALL`` nodes and links to a task each; the results do not depend on it.
-Nodes are long numbers.
+Path lengths need a row for each node and each word of starts, and write these every round. So the searches of a site of up to ``MEDIUM``
+nodes and links are dealt to tasks by groups of starts, each with the site's links (16 bytes a link) in numpy arrays, and write a row a group;
+larger sites go by rounds. Nodes are long numbers.
 """
 
 from __future__ import annotations
 
 from collections import deque
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,6 +24,8 @@ GROUP, WORD = 1024, 63
 KEY = ["site_id", "node"]
 #: Most nodes and links together of a site that one task analyses.
 SMALL = 2000
+#: Most nodes and links together of a site whose links a task of searches holds, starts of such a task, and words of 64 starts that are searched at once.
+MEDIUM, STARTS, WORDS = 2_000_000, 8192, 8
 SITE = "site_id string, far long, steps long, bridges string, cut_nodes string, n_nodes long, n_edges long, n_components long, connected boolean"
 
 
@@ -137,8 +142,62 @@ def cut_nodes(links: DataFrame) -> DataFrame:
     return at.groupBy(*KEY).agg(F.count("*").alias("n")).where("n > 1").select(*KEY)
 
 
+def searched(starts: np.ndarray, u: np.ndarray, v: np.ndarray) -> tuple[int, int]:
+    """(far, steps) of searches from some nodes over the links u - v: a word of bits of each node says which starts have come to it, and each round takes the bits of its neighbours."""
+    names, at = np.unique(np.concatenate([starts, u, v]), return_inverse=True)
+    a = np.concatenate([at[len(starts) : len(starts) + len(u)], at[len(starts) + len(u) :]])
+    b = np.concatenate([at[len(starts) + len(u) :], at[len(starts) : len(starts) + len(u)]])
+    order = np.argsort(b, kind="stable")
+    near, ends = a[order], b[order]
+    heads = np.flatnonzero(np.r_[True, ends[1:] != ends[:-1]]) if len(ends) else np.empty(0, np.int64)
+    heard_by = ends[heads]
+    far = steps = 0
+    for lo in range(0, len(starts), 64 * WORDS):
+        own = at[lo : min(lo + 64 * WORDS, len(starts))]
+        seen = np.zeros((len(names), -(-len(own) // 64)), np.uint64)
+        numbers = np.arange(len(own))
+        seen[own, numbers // 64] = np.left_shift(np.uint64(1), (numbers % 64).astype(np.uint64))
+        front, depth = seen.copy(), 0
+        while len(heads):
+            depth += 1
+            heard = np.bitwise_or.reduceat(front[near], heads, axis=0) & ~seen[heard_by]
+            new = int(np.bitwise_count(heard).sum())
+            if not new:
+                break
+            far, steps = max(far, depth), steps + new * depth
+            seen[heard_by] |= heard
+            front[heard_by] = heard
+    return far, steps
+
+
+def _of_group(key: tuple, starts: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
+    found = [[key[0], *searched(starts["node"].to_numpy(np.int64), pairs["u"].to_numpy(np.int64), pairs["v"].to_numpy(np.int64))]] if len(starts) else []
+    return pd.DataFrame(found, columns=["site_id", "far", "steps"])
+
+
+def medium_lengths(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``path_lengths`` of sites whose links a task can hold: a task has a group of starts."""
+    groups = nodes.groupBy("site_id").agg(F.ceil(F.count("*") / STARTS).alias("groups"))
+    starts = nodes.join(groups, "site_id").select(*KEY, F.pmod(F.xxhash64("node"), "groups").alias("group"))
+    links = pairs.join(groups, "site_id").select("site_id", "u", "v", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("group"))
+    found = starts.groupBy("site_id", "group").cogroup(links.groupBy("site_id", "group")).applyInPandas(_of_group, "site_id string, far long, steps long")
+    return found.groupBy("site_id").agg(F.max("far").alias("far"), F.sum("steps").alias("steps"))
+
+
 def path_lengths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(site_id, far, steps): the longest of all shortest paths between nodes that reach each other, and the sum of all of them (each pair from both ends).
+    """(site_id, far, steps): the longest of all shortest paths between nodes that reach each other, and the sum of all of them (each pair from both ends)."""
+    pairs = shared_checkpoint(simple_edges(edges))
+    nodes = shared_checkpoint(nodes.select(*KEY).distinct())
+    sizes = nodes.select("site_id").unionByName(pairs.select("site_id")).groupBy("site_id").agg(F.count("*").alias("n"))
+    large = shared_checkpoint(sizes.where(F.col("n") > MEDIUM).select("site_id"))
+    found = medium_lengths(nodes.join(large, "site_id", "left_anti"), pairs.join(large, "site_id", "left_anti"))
+    if not large.isEmpty():
+        found = found.unionByName(large_lengths(nodes.join(large, "site_id", "left_semi"), pairs.join(large, "site_id", "left_semi")))
+    return found
+
+
+def large_lengths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``path_lengths`` by rounds of joins, whatever the size of a site.
 
     Searches start at all nodes at once, ``WORD`` of them in a word of bits: a row says which starts have come to a node. Each round only bits that are
     new to a node move on.

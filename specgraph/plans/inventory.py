@@ -181,8 +181,13 @@ RANKED = "ranked AS (SELECT CAST(c_nationkey AS STRING) AS site_id, CAST(c_custk
 _LINKS = f"{RANKED}, e AS (SELECT DISTINCT site_id, least(u, v) AS u, greatest(u, v) AS v FROM ({WEB}) w WHERE u <> v), w AS (SELECT site_id, u AS a, v AS b FROM e UNION ALL SELECT site_id, v, u FROM e)"
 
 
+#: The same rows by the ranks that each customer is linked to: the join of ``WEB`` has no rank to meet on and compares all pairs of a site.
+_LINKED = """SELECT a.site_id, a.u, b.node AS v FROM (SELECT site_id, node AS u, explode(array_distinct(array_compact(array(CAST(floor((r - 1) / 2) AS BIGINT), CASE WHEN r % 8 = 5 THEN r - 3 END, CASE WHEN r % 8 = 6 THEN CAST(floor(r / 4) AS BIGINT) END)))) AS r FROM ranked WHERE r > 0) a
+    JOIN ranked b ON b.site_id = a.site_id AND b.r = a.r"""
+
+
 def _web(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return frame(spark, sf_dir, "b_site_node"), frame(spark, sf_dir, f"WITH {RANKED} {WEB}")
+    return frame(spark, sf_dir, "b_site_node"), frame(spark, sf_dir, f"WITH {RANKED} {_LINKED}")
 
 
 @query(

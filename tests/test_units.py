@@ -553,3 +553,32 @@ def test_summaries_need_no_other_values(spark):
     every = details.node_summaries(specs.flatten(made))
     assert sorted(map(str, few.drop("source").collect())) == sorted(map(str, every.collect())) and few.where("required").count() > 3
     assert {r["source"] for r in few.select("source").collect()} == {"s0", "s1"}
+
+
+@pytest.mark.parametrize("medium", [0, 30, 10**6])
+def test_path_lengths_by_groups_of_starts_and_by_rounds(spark, monkeypatch, medium):
+    """Sites below and above the limit have the same lengths; no site writes a row for each node and word of starts below it."""
+    monkeypatch.setattr(topology, "MEDIUM", medium)
+    monkeypatch.setattr(topology, "STARTS", 7)
+    rng = random.Random(5)
+    sites = {"ring": [(i, (i + 1) % 30) for i in range(30)], "odd": [(rng.randint(0, 90), rng.randint(0, 90)) for _ in range(100)], "small": [(1, 2), (2, 3)]}
+    nodes = {s: sorted({n for p in ps for n in p} | {200}) for s, ps in sites.items()}
+    far = {s: [d for n in ns for d in distances(ns, sites[s], n).values()] for s, ns in nodes.items()}
+    got = topology.path_lengths(spark.createDataFrame([(s, n) for s, ns in nodes.items() for n in ns], "site_id string, node long"), spark.createDataFrame([(s, *p) for s, ps in sites.items() for p in ps], "site_id string, u long, v long"))
+    assert {r["site_id"]: (r["far"], r["steps"]) for r in got.collect()} == {s: (max(d), sum(d)) for s, d in far.items()}
+
+
+def test_links_of_sites_meet_on_their_rank(spark, tiny):
+    from specgraph.plans import bridge, inventory
+
+    links = inventory._web(spark, tiny)[1]
+    assert "NestedLoop" not in links._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, links.collect())) == sorted(map(tuple, bridge.frame(spark, tiny, f"WITH {inventory.RANKED} {inventory.WEB}").collect()))
+    ranks = [c.strip() for c in links._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in c]
+    assert ranks and all(" OR " not in c for c in ranks)
+
+
+def test_searches_of_many_words():
+    pairs = [(i, i + 1) for i in range(1200)]
+    u, v = (topology.np.array(x) for x in zip(*pairs, strict=True))
+    assert topology.searched(topology.np.arange(1201), u, v) == (1200, sum(abs(a - b) for a in range(1201) for b in range(1201)))
