@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from specgraph.operators.walk import within
+from specgraph.operators.walk import shared_checkpoint, within
 
 HOPS = 5
 
@@ -114,26 +114,35 @@ def suggest_paths(unknown: DataFrame, endpoints: DataFrame, segments: int = 3, p
     return parts.join(known, "segment").select("path", "suggestion").distinct().withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= paths)
 
 
+#: Longest known segment of which all parts are made; longer ones meet the asked ones on three letters.
+SHORT = 64
+
+
 def suggest_endpoints(unknown: DataFrame, endpoints: DataFrame, segments: int = 3, paths: int = 5) -> DataFrame:
     """(path, rank, method, suggestion): for each unknown path, known endpoints whose path contains one of its longest segments: those of the longest segment first, shortest paths first.
 
     Version segments do not count, nor do those under three letters among the longest. A segment has no slash, so it stands inside one
-    segment of a known path: distinct segments of both sides meet on the rarest three letters of the asked one, and only pairs of
-    which one contains the other go on to the paths. Only the shortest paths of a segment can be suggested.
+    segment of a known path. Known segments are cut into all their parts of three letters and more, and these are joined with the asked
+    segments: an equality, whatever letters are frequent. Of each known segment, and of each asked one, only the shortest paths can be suggested.
     """
 
-    def grams(column: str) -> Column:
-        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(column) - 2), lambda i: F.substring(column, i, 3)))
+    def parts_of(column: str, length: Column) -> Column:
+        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(column) - length + 1), lambda i: F.substring(F.col(column), i, length)))
 
     pieces = unknown.select("path").distinct().select("path", F.posexplode(F.split("path", "/")).alias("pos", "segment"))
     pieces = pieces.where((F.col("segment") != "") & ~F.col("segment").rlike(r"(?i)^v\d+([a-z]+\d*)?$"))
     longest = Window.partitionBy("path").orderBy(F.length("segment").desc(), "pos")
     pieces = pieces.withColumn("n", F.row_number().over(longest)).where((F.col("n") <= segments) & (F.length("segment") >= 3)).select("path", "n", "segment")
-    known = endpoints.select("method", F.col("path").alias("suggestion")).distinct().select("method", "suggestion", F.explode(F.array_distinct(F.split("suggestion", "/"))).alias("part"))
-    parts = known.where(F.length("part") >= 3).select("part").distinct().select("part", F.explode(grams("part")).alias("gram"))
-    asked = pieces.select("segment").distinct().select("segment", F.explode(grams("segment")).alias("gram"))
-    asked = asked.join(parts.groupBy("gram").agg(F.count("*").alias("df")), "gram").groupBy("segment").agg(F.min_by("gram", F.struct("df", "gram")).alias("gram"))
-    inside = asked.join(parts, "gram").where(F.contains("part", "segment")).select("segment", "part")
+    known = endpoints.select("method", F.col("path").alias("suggestion")).distinct().select("method", "suggestion", F.explode(F.array_distinct(F.split("suggestion", "/"))).alias("part")).where(F.length("part") >= 3)
+    by_part = Window.partitionBy("part").orderBy(F.length("suggestion"), "suggestion", "method")
+    known = shared_checkpoint(known.withColumn("k", F.row_number().over(by_part)).where(F.col("k") <= paths).drop("k"))
+    asked = shared_checkpoint(pieces.select("segment").distinct())
+    parts = known.select("part").distinct()
+    lengths = parts.where(F.length("part") <= SHORT).select("part", F.explode(F.sequence(F.lit(3), F.length("part"))).alias("size"))
+    inside = lengths.select("part", F.explode(parts_of("part", F.col("size"))).alias("segment")).join(asked, "segment").select("segment", "part")
+    far = parts.where(F.length("part") > SHORT).select("part", F.explode(parts_of("part", F.lit(3))).alias("gram"))
+    rare = asked.select("segment", F.explode(parts_of("segment", F.lit(3))).alias("gram")).join(far.groupBy("gram").agg(F.count("*").alias("df")), "gram").groupBy("segment").agg(F.min_by("gram", F.struct("df", "gram")).alias("gram"))
+    inside = inside.unionByName(rare.join(far, "gram").where(F.contains("part", "segment")).select("segment", "part"))
     short = Window.partitionBy("segment").orderBy(F.length("suggestion"), "suggestion", "method")
     found = inside.join(known, "part").select("segment", "method", "suggestion").distinct().withColumn("k", F.row_number().over(short)).where(F.col("k") <= paths).drop("k")
     hits = pieces.join(found, "segment").groupBy("path", "method", "suggestion").agg(F.min("n").alias("n"))
