@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from specgraph.operators import specs
-from specgraph.plans.audits import ag_18_gates
-from specgraph.plans.bridge import frame
+from specgraph.plans.bridge import dealt, frame
 from specgraph.plans.registry import query
 from specgraph.sources import documents, sinks
 
@@ -59,7 +58,7 @@ _PLAIN = "'<body><div id=\"main-content\"><p>all of ' || t || '</p><h3>low</h3>e
 )
 def io_5_written_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """IO-5: sections of written pages: an introduction, headings with and without ids, dropped parts, empty and nameless sections, pages without headings."""
-    pages = frame(spark, sf_dir, f"SELECT 'page-' || t AS slug, 'u/' || t AS url, CASE WHEN k % 5 = 0 THEN {_PLAIN} ELSE {_HTML} END AS html FROM (SELECT CAST(p_partkey AS STRING) AS t, p_partkey AS k FROM part) x")
+    pages = frame(spark, sf_dir, f"SELECT 'page-' || t AS slug, 'u/' || t AS url, CASE WHEN k % 5 = 0 THEN {_PLAIN} ELSE {_HTML} END AS html FROM ({dealt(spark, 'SELECT CAST(p_partkey AS STRING) AS t, p_partkey AS k FROM part')}) x")
     return documents.page_sections(pages, "main-content", key="slug")
 
 
@@ -88,9 +87,7 @@ def io_6_paging(spark: SparkSession, sf_dir: str) -> DataFrame:
 def io_10_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """IO-10: counts of the tables. The manifest's gates are left to ``ag_18_gates``; nothing is written here."""
     tables = {n: frame(spark, sf_dir, f"b_{n}") for n in ("component", "endpoint")}
-    names = ("invariants_passed", "parity_passed", "traversal_passed")
-    gates = ag_18_gates(spark, sf_dir).select(F.explode(F.array(*(F.struct(F.lit(n).alias("gate"), F.col(n).alias("passed")) for n in names))).alias("g")).select("g.gate", "g.passed")
-    return sinks.manifest(tables, "v1", gates).select("version", "tables")
+    return sinks.table_sizes(tables).select(F.lit("v1").alias("version"), "tables")
 
 
 NEW = "SELECT s_name AS name, 'new' AS text FROM supplier WHERE s_suppkey % 3 <> 0"
