@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from specgraph.operators import audit, merge
 from specgraph.operators.walk import scratch_folder
-from specgraph.plans.bridge import frame
+from specgraph.plans.bridge import frame, keep
 from specgraph.plans.registry import query
 
 BEST = "best AS (SELECT provider, section, name, body, ord FROM (SELECT *, row_number() OVER (PARTITION BY provider, section, name ORDER BY length(body) DESC, ord) AS k FROM b_source_row) x WHERE k = 1)"
@@ -123,7 +123,8 @@ ALL_OFFENDERS = " UNION ALL ".join(f"SELECT '{n}' AS invariant, (SELECT count(*)
 @query(f"{WITH_GRAPH} {ALL_OFFENDERS}")
 def ag_9_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AG-9: offenders of each invariant with a sample, on a graph that has some of each."""
-    return audit.graph_invariants({n: frame(spark, sf_dir, s) for n, s in GRAPH.items()})
+    kept = keep(spark, sf_dir, "b_component", "b_property")
+    return audit.graph_invariants({n: frame(spark, sf_dir, s, kept) for n, s in GRAPH.items()})
 
 
 LEFT = """SELECT 'component' AS check, id AS key FROM b_component UNION ALL SELECT 'property', id FROM b_property UNION ALL SELECT 'composed', a || '|' || b FROM b_composed UNION ALL SELECT 'body', eid || '|' || root_id FROM b_body"""
