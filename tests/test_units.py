@@ -707,3 +707,29 @@ def test_bm25_splits_texts_once(spark):
                 part = math.log(1 + (len(words) - df + 0.5) / (df + 0.5)) * w.count(t) * 2.2 / (w.count(t) + 1.2 * (0.25 + 0.75 * len(w) / mean))
                 want[q, i] = want.get((q, i), 0) + part
     assert {(r["query"], r["doc"]): round(r["score"], 9) for r in scored.collect()} == {k: round(v, 9) for k, v in want.items()}
+
+
+def test_outcomes_are_those_of_the_librarys_reader(spark):
+    texts = ['{"a":1}', '{"a":1} x', "{'a':1}", '{"a":NaN}', '{"a":1,"a":2}', '{"a":"\t"}', '{"a":01}', '{"a":1}]', '{"a":1},{"h":2}', '{"a":1}],[{"b":1}', '{"h":"x"}', ' {"a":1}', '{"a":1}\n', '{"a":1}\x0b', "{a:1}", '{"a":/*c*/1}', '{"a":"\\q"}']
+    texts += ['{"a":1,}', '{"a":"\\ud800"}', '{"a":1e999}', '{"a":Infinity}', '{"a":' * 1200 + "1" + "}" * 1200, '{"a":' * 6000 + "1" + "}" * 6000, '{"a":' + "1" * 2000 + "}", "[]", "5", "", None, "{}"]
+    corpus = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "spec_source string, raw string")
+    assert {int(r["spec_source"]): r["status"] for r in specs.outcomes(corpus).collect()} == {i: jsonwalk.parsed(t)[1] for i, t in enumerate(texts)}
+    sure = {int(r["spec_source"]) for r in corpus.where(specs._surely_ok(F.col("raw"))).collect()}
+    assert {0, len(texts) - 1} <= sure <= {i for i, t in enumerate(texts) if jsonwalk.parsed(t)[1] == "ok"}
+
+
+def test_documents_of_odd_lines_group_no_texts(spark, tmp_path):
+    from specgraph.plans import specs as plans
+
+    lines = [(1, 1, 7, 3, 30.0, 'a"b\n'), (1, 2, 7, 4, 10.0, "N"), (1, 3, None, 3, 5.0, "A"), (2, 1, 5, None, None, None), (None, 1, 5, 2, 1.0, "R"), (3, None, 5, 2, 40.0, "R")]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_returnflag string").write.parquet(str(tmp_path / "lineitem.parquet"))
+    made = plans.documents(spark, str(tmp_path), rich=True)
+    assert "Join" not in made._jdf.queryExecution().optimizedPlan().toString()
+    found = {int(r["source"]): json.loads(r["raw"]) for r in made.collect()}
+    assert set(found) == {1, 2, 3}
+    assert set(found[1]["paths"]) == {"/parts/7/lines/1", "/parts/7/lines/2"} and set(found[1]["components"]["schemas"]) == {"P7", "S4", "S3"}
+    assert found[1]["paths"]["/parts/7/lines/1"]["put"]["summary"] == 'flag a"b\n' and found[1]["components"]["schemas"]["P7"]["properties"]["sup"] == {"$ref": "#/components/schemas/Gone4"}
+    operation = found[2]["paths"]["/parts/5/lines/1"]["get"]
+    assert "summary" not in operation and "deprecated" not in operation and "required" not in operation["parameters"][1]
+    assert found[2]["components"]["schemas"] == {"P5": {"type": "object", "_id": 1, "properties": {"qty": {"type": "integer", "format": "const", "x-path": "/m1:top/qty"}, "sup": {}, "all": {"type": "array", "items": {}}, "dim": {"type": "object", "properties": {"h": {"type": "integer", "minimum": 1}}}}}}
+    assert found[3]["paths"] == {} and found[3]["components"]["schemas"]["P5"]["allOf"] == [{"$ref": "#/components/schemas/S2"}]
