@@ -733,3 +733,12 @@ def test_documents_of_odd_lines_group_no_texts(spark, tmp_path):
     assert "summary" not in operation and "deprecated" not in operation and "required" not in operation["parameters"][1]
     assert found[2]["components"]["schemas"] == {"P5": {"type": "object", "_id": 1, "properties": {"qty": {"type": "integer", "format": "const", "x-path": "/m1:top/qty"}, "sup": {}, "all": {"type": "array", "items": {}}, "dim": {"type": "object", "properties": {"h": {"type": "integer", "minimum": 1}}}}}}
     assert found[3]["paths"] == {} and found[3]["components"]["schemas"]["P5"]["allOf"] == [{"$ref": "#/components/schemas/S2"}]
+
+
+def test_longest_wins_leaves_no_tie_open(spark):
+    """Of rows of one place the least body wins, whatever the order and the partitions; a null body or place never wins over another one."""
+    rows = [("p", "s", "N", "body 2", 7), ("p", "s", "N", "body 1", 7), ("p", "s", "N", None, 1), ("p", "s", "M", "aa", None), ("p", "s", "M", "bb", 9), ("p", "s", "O", None, 3)]
+    for order in (rows, rows[::-1]):
+        for n in (1, 5):
+            df = spark.createDataFrame(order, "provider string, section string, name string, body string, ord int").repartition(n)
+            assert {r["name"]: (r["body"], r["ord"]) for r in merge.longest_wins(df, ["provider", "section", "name"]).collect()} == {"N": ("body 1", 7), "M": ("bb", 9), "O": (None, 3)}
