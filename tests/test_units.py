@@ -797,54 +797,36 @@ def test_only_wanted_keys_are_rows(spark):
     assert sorted_rows(shut) == sorted_rows(specs.flatten(made, ("spec_source", "pointer", "depth")).where("depth <= 3 AND NOT pointer LIKE '/paths/%/%'"), "spec_source", "pointer")
 
 
-#: Documents whose references have odd spellings, values and places.
-TANGLED = [
-    *ODD, '{"$ref":"#","a":[{"$ref":"#/a/0"},{"$ref":"#/a/00"},{"$ref":"#/a/9"},{"$ref":"#/a/\u00b2"},{"$ref":5},{"$ref":null},{"$ref":true},{"$ref":["#/a"]},{"$ref":{"$ref":"other.json#/x"}}],"x~y/z":{"$ref":"#/x~0y~1z"},"b":{"$ref":"#/x~y/z"},"c":{"$ref":"#a"}}',
-    '{"paths":{"/a":{"get":{"x-q":{"tags":{"k":1}},"tags":["t"],"callbacks":{"cb":{"u":{"post":{"summary":1}}}},"parameters":[{"schema":{"$ref":"#/components/schemas/A~1B"}}]}}},"tags":[{"name":"n","q":1}],"components":{"schemas":{"A/B":{"properties":{"p":{"$ref":"#/components/schemas/N"},"all":{"items":{"$ref":"#/components/schemas/A~1B/properties/p"}}},"allOf":[{"$ref":"#/components/schemas/A~1B"}],"required":["p"],"discriminator":{"m":{"k":1}}},"x-S":7,"L":[{"$ref":"#/components/schemas/L/0"}]},"x-more":{"k":{"$ref":"#/components/x-more"}}}}',
-]
-
-
-def tangled_corpus(spark):
-    """Each document once, under its own source."""
-    return spark.createDataFrame([(f"p{i % 2}", f"s{i:02}", f"t{i}", r) for i, r in enumerate([*TANGLED, json.dumps(SPEC)])], "spec_source string, source string, title string, raw string")
-
-
-def sorted_rows(df, *columns):
-    return sorted(map(str, df.select(*(columns or df.columns)).collect()))
-
-
-def test_references_found_in_documents_equal_those_of_rows(spark):
+def test_first_operations_equal_those_of_rows(spark):
     made = tangled_corpus(spark)
-    ast, rows = specs.flatten(made), specs.spec_rows(made)
-    want = specs.references(ast).join(rows, "spec_id").withColumn("found", F.col("target").isNotNull())
-    got = specs.reference_rows(made)
-    assert sorted_rows(got, "source", "pointer", "ref", "found") == sorted_rows(want, "source", "pointer", "ref", "found") and got.count() > 15
-    assert "Join" not in got._jdf.queryExecution().toString()
-    counted = want.groupBy("source", "ref", "found").agg(F.count("*").alias("n"))
-    assert sorted_rows(specs.reference_links(made), "source", "ref", "found", "n") == sorted_rows(counted, "source", "ref", "found", "n")
+    rows = specs.spec_rows(made)
+    want = specs.endpoint_rows(specs.flatten(made), rows).drop("spec_id")
+    got = specs.first_operations(specs.operation_values(made))
+    assert sorted_rows(got, *want.columns) == sorted_rows(want) and got.count() > 4
 
 
-def test_edges_of_references_need_no_rows_of_values(spark):
-    made = tangled_corpus(spark)
-    ast, rows = specs.flatten(made), specs.spec_rows(made)
-    refs = specs.reference_rows(made, "/components/schemas")
-    assert sorted_rows(specs.edges_of_references(refs)) == sorted_rows(specs.reference_edges(ast, rows)) != []
-    assert sorted_rows(projection.type_edges_of(refs)) == sorted_rows(projection.type_edges(ast, rows)) != []
+#: Parts of operations in place, of the path, behind references of the document, of another document of the provider and to nothing, and of odd shapes.
+PARTED = [
+    '{"paths":{"/a":{"parameters":[{"name":"q","in":"query"},{"name":"r","in":"query"},3],"get":{"x-cliParam":{"commandName":"c","paramKeys":["a",{"key":"b"}]},"parameters":[{"name":"q","in":"query","required":true,"schema":{"type":"string","enum":["e",1]}},{"$ref":"#/components/parameters/P"},{"$ref":"#/components/parameters/Gone"},{"$ref":"other.json"},{"name":"q","in":"query","description":"last"},{"$ref":"#/x-odd"},{"$ref":"#/info"}],'
+    '"requestBody":{"$ref":"#/components/requestBodies/B"},"responses":{"200":{"content":{"b/b":{"schema":{"$ref":"#/components/schemas/A"}},"application/json":{"schema":{"$ref":"#/components/schemas/J"}}}},"4~/":{"$ref":"#/components/responses/R"},"500":{},"x-r":{"content":{"a/a":5}},"no":4}},'
+    '"post":{"responses":[{"content":{}}],"x-cliParam":5,"callbacks":{"cb":{"u":{"put":{"parameters":[{"name":"z"}],"responses":{"200":{}}}}}}}}},"info":{"name":"i","in":"query"},"x-odd":{"name":"o","in":"path"},"components":{"parameters":{"P":{"name":"p","in":"path"}},"responses":{"R":{"content":{"a/a":{}}}}}}',
+    '{"paths":{"/b":{"delete":{"parameters":[{"$ref":"#/components/parameters/P"}],"requestBody":{"required":true,"content":{"a/a":{"schema":{"type":"object"}}}},"responses":{"200":{"$ref":"#/components/responses/R"}}}}},"components":{"parameters":{"P":{"name":"p","in":"path","description":"a longer one"},"Gone":{"name":"g","in":"query"}},"requestBodies":{"B":{"required":true,"content":{"c/c":{"schema":{"$ref":"#/components/schemas/C"}}}}}}}',
+]
 
 
-def test_outcomes_of_checks_are_counted_in_documents(spark):
-    made = tangled_corpus(spark)
-    allowed = spark.createDataFrame([("Document", "paths"), ("Document", "a"), ("Operation", "tags"), ("Scalar", "p"), ("Schema", "required"), ("Tag", "name")], "kind string, key string")
-    want = specs.check_outcomes(specs.flatten(made), allowed).join(specs.spec_rows(made), "spec_id")
-    columns = ("source", "n_unknown", "n_unresolved", "n_external", "degraded")
-    assert sorted_rows(specs.checked(made, allowed), *columns) == sorted_rows(want, *columns)
-    counts = {r["source"]: r["n_found"] + r["n_lost"] for r in specs.reference_counts(made).collect()}
-    assert counts == {r["source"]: r["n"] for r in specs.spec_rows(made).join(specs.references(specs.flatten(made)), "spec_id", "left").groupBy("source").agg(F.count("ref").alias("n")).collect()}
+def test_parts_of_operations_equal_those_of_rows(spark):
+    texts = [*PARTED, PARTED[0].replace('"/a"', '"/c"'), *TANGLED, json.dumps(SPEC)]
+    made = spark.createDataFrame([(f"p{i % 3 // 2}", f"s{i:02}", "t", r) for i, r in enumerate(texts)], "spec_source string, source string, title string, raw string")
+    ast, rows = specs.flatten(made), specs.spec_rows(made)
+    ends = specs.endpoint_rows(ast, rows)
+    want = operation_parts.parameter_rows(ast, rows, ends)
+    assert sorted_rows(operation_parts.parameters_of(operation_parts.operation_parts(made, "parameters")), *want.columns) == sorted_rows(want) and want.count() > 8
+    want = operation_parts.media_rows(ast, rows, ends)
+    assert sorted_rows(operation_parts.media_of(operation_parts.operation_parts(made, "media")), *want.columns) == sorted_rows(want) and want.count() > 8
+    want = projection.cli_rows(ast, ends)
+    assert sorted_rows(projection.commands(specs.first_operations(specs.operation_values(made, "cli")))) == sorted_rows(want) and want.count() > 1
 
 
-def test_only_wanted_keys_are_rows(spark):
-    made = tangled_corpus(spark)
-    few = specs.flatten(made, ("source", "pointer", "key"), keys=lambda k: k == "tags")
-    assert sorted_rows(few) == sorted_rows(specs.flatten(made, ("source", "pointer", "key")).where("key = 'tags' OR pointer = ''"))
-    shut = specs.flatten(made, ("spec_source", "pointer"), closed=("PathItem",), deepest=3)
-    assert sorted_rows(shut) == sorted_rows(specs.flatten(made, ("spec_source", "pointer", "depth")).where("depth <= 3 AND NOT pointer LIKE '/paths/%/%'"), "spec_source", "pointer")
+def test_operations_alone_are_visited():
+    visited = {r[4] for r in jsonwalk.walk(json.loads(PARTED[0]), False, None, ("pointer",), specs.NO_OPERATIONS)}
+    assert "Operation" in visited and not visited & {"Schema", "MediaType", "Constraint"}
