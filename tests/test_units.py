@@ -830,3 +830,33 @@ def test_parts_of_operations_equal_those_of_rows(spark):
 def test_operations_alone_are_visited():
     visited = {r[4] for r in jsonwalk.walk(json.loads(PARTED[0]), False, None, ("pointer",), specs.NO_OPERATIONS)}
     assert "Operation" in visited and not visited & {"Schema", "MediaType", "Constraint"}
+
+
+@pytest.mark.parametrize("links", [walk.LINKS, 0])
+def test_searches_equal_walks(spark, monkeypatch, links):
+    """Counts and values of graphs with circles, joints and loose nodes, by groups of searches and by rounds; 1,300 labels are more than are searched at once, some with two starts."""
+    monkeypatch.setattr(walk, "LINKS", links)
+    draw = random.Random(4)
+    pairs = [(f"n{draw.randrange(60)}", f"n{draw.randrange(60)}") for _ in range(90)] + [("n0", "n1"), ("n1", "n0"), ("lone", "lone")]
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+
+    def reached(start):
+        seen, todo = set(), [start]
+        while todo:
+            if (node := todo.pop()) not in seen:
+                seen.add(node)
+                todo += near.get(node, ())
+        return seen
+
+    edges = spark.createDataFrame(pairs, "a string, b string")
+    names = [f"n{i}" for i in range(60)] + ["lone", "nowhere"]
+    roots = spark.createDataFrame([(n,) for n in names], "root string")
+    assert {r["root"]: r["n_reached"] for r in walk.reached_counts(roots, edges).collect()} == {n: len(reached(n)) for n in names}
+    held = [(f"n{i}", f"v{i % 7}") for i in range(0, 60, 3)] + [("nowhere", "v0"), ("nowhere", "w")]
+    count = 1300 if links else 60
+    starts = [(f"e{i}", names[i * 7 % len(names)]) for i in range(count)] + [(f"e{i}", names[i * 5 % len(names)]) for i in range(0, count, 3)]
+    want = {(e, v) for e, n in starts for m, v in held if m in reached(n)}
+    rows = [tuple(r) for r in walk.labelled_values(spark.createDataFrame(starts, "label string, node string"), edges, spark.createDataFrame(held, "node string, value string")).collect()]
+    assert len(rows) == len(want) and set(rows) == want
