@@ -860,3 +860,56 @@ def test_searches_equal_walks(spark, monkeypatch, links):
     want = {(e, v) for e, n in starts for m, v in held if m in reached(n)}
     rows = [tuple(r) for r in walk.labelled_values(spark.createDataFrame(starts, "label string, node string"), edges, spark.createDataFrame(held, "node string, value string")).collect()]
     assert len(rows) == len(want) and set(rows) == want
+
+
+def test_schemas_of_documents_equal_those_of_rows(spark):
+    made = tangled_corpus(spark)
+    ast, rows = specs.flatten(made), specs.spec_rows(made)
+    want = specs.component_rows(ast, rows)
+    assert sorted_rows(specs.components_of(specs.named_schemas(made), specs.unnamed_references(made)), *want.columns) == sorted_rows(want) and want.where("kind = 'unresolved'").count() > 1
+    want = specs.property_rows(ast, rows).drop("spec_id")
+    assert sorted_rows(specs.property_columns(specs.named_properties(made)), *want.columns) == sorted_rows(want) and want.where("required").count() > 0
+    want = projection.inline_components(ast, rows).drop("spec_id")
+    assert sorted_rows(projection.inline_of(projection.inline_values(made)), *want.columns) == sorted_rows(want) and want.count() > 0
+    parted = made.unionByName(spark.createDataFrame([("q", f"q{i}", "t", r) for i, r in enumerate([*PARTED, '{"components":{"x-a":{"k":1},"y":[2,3],"schemas":{"parameters":{}}}}'])], made.schema))
+    want = projection.reusable_parts(specs.flatten(parted), specs.spec_rows(parted))
+    assert sorted_rows(projection.parts_of(specs.flatten(parted, ("spec_source", "pointer", "key", "depth"), closed=("PathItem", "Schema"), deepest=3))) == sorted_rows(want) and want.count() > 5
+
+
+def test_overlay_of_documents_equals_that_of_rows(spark):
+    made = spark.createDataFrame([(f"p{i % 2}", f"s{i:02}", "t", r) for i, r in enumerate([*PARTED, *TANGLED, json.dumps(SPEC), '{"components":{"responses":{"R":{"content":{"a/b":{}}}}}}', '{"content":{"a":{}}}'])], "spec_source string, source string, title string, raw string")
+    ast = specs.flatten(made)
+    want = specs.semantic_nodes(ast)
+    assert sorted_rows(specs.overlay_rows(made), *want.columns) == sorted_rows(want) and want.count() > 20
+    want = specs.carry_through(made, ast)
+    assert sorted_rows(specs.carried(made)) == sorted_rows(want) and {r["n_failed"] > 0 for r in want.collect()} == {True}
+
+
+def test_rows_in_order_make_documents_again(spark):
+    texts = ['{"":{"":[[],{},"a\\\\\\"b",""]},"n":[null,true,false,1.5,-3,1e22,"null"],"é":"ü"}', "{}", *(json.dumps(json.loads(t)) for t in TANGLED[-2:]), "[1]", "{"]
+    made = spark.createDataFrame([("p", f"s{i}", "t", t) for i, t in enumerate(texts * 3)], "spec_source string, source string, title string, raw string").repartition(2)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = specs.rebuilt_in_order(specs.flatten(made, ("source", "key", "value_type", "scalar", "depth"))).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {r["source"]: r["raw"] for r in got} == {f"s{i}": jsonwalk.compact(json.loads(t)) for i, t in enumerate(texts * 3) if t[0] == "{" and t != "{"}
+
+
+def test_normalising_again_changes_nothing_and_odd_responses_break_nothing(spark):
+    made = tangled_corpus(spark).unionByName(spark.createDataFrame([("q", f"q{i}", "t", t) for i, t in enumerate(PARTED)], "spec_source string, source string, title string, raw string"))
+    once = specs.normalised(made)
+    want = specs.spec_rows(once).join(specs.spec_rows(specs.normalised(once)).select("source", F.col("content_hash").alias("again")), "source").select("spec_source", "source", (F.col("content_hash") == F.col("again")).alias("same"))
+    assert sorted_rows(specs.settled(made)) == sorted_rows(want) and want.count() > 6
+    document = json.loads(PARTED[0])
+    before = json.dumps(document)
+    assert jsonwalk.shared(document) == jsonwalk.shared(json.loads(before), copy=False) and json.dumps(document) == before
+
+
+def test_unique_keys_meet_as_numbers(spark, tmp_path):
+    schema = T.StructType([T.StructField("id", T.StringType())])
+    rows = spark.createDataFrame([(f"k{i}",) for i in range(500)], "id string")
+    sinks.write_table(rows, str(tmp_path / "once"), schema, "id")
+    for n in (1, 300):
+        with pytest.raises(sinks.DuplicateKeyError):
+            sinks.write_table(rows.unionByName(rows.limit(n)), str(tmp_path / f"twice{n}"), schema, "id")
