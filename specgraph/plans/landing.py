@@ -233,8 +233,7 @@ def ag_20_carry_through(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AG-20: documents from raw to overlay by provider; some are cut off, some are lists."""
     number = F.col("source").cast("long") % 11
     corpus = spec_documents(spark, sf_dir).withColumn("raw", F.when(number == 0, F.substring("raw", 1, 20)).when(number == 1, F.lit("[1]")).otherwise(F.col("raw")))
-    corpus = shared_checkpoint(corpus)
-    return specs.carry_through(corpus, shared_checkpoint(specs.flatten(corpus, (*specs.OVERLAY_KEYS, "parent", "key", "scalar"))))
+    return specs.carried(corpus)
 
 
 MODULES = "SELECT CAST(p_partkey AS STRING) AS t, p_partkey % 4 AS m, p_size AS n FROM part"
