@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from specgraph.operators import inventory, projection, specs
 from specgraph.operators.walk import scratch_folder, shared_checkpoint
 from specgraph.plans.audits import GATES, ag_18_gates
-from specgraph.plans.bridge import frame
+from specgraph.plans.bridge import dealt, frame
 from specgraph.plans.registry import query
 from specgraph.plans.semantics import MAPPED
 from specgraph.plans.specs import ASK, LINES, METHOD, OWN, PARTS, PATH, POOLED, PROVIDER, SOURCE
@@ -294,8 +294,9 @@ _TEXT = """CASE CAST(k % 7 AS INT) WHEN 1 THEN '{"info":{"title":"cut' WHEN 2 TH
 def landed(spark: SparkSession, sf_dir: str) -> str:
     """The files, written below a new folder by provider."""
     at = scratch_folder(spark, "landed")
-    files = frame(spark, sf_dir, f"SELECT provider AS spec_source, 'd' || t || '.json' AS file, {_TEXT} AS value FROM ({_FILES}) x")
-    files.write.partitionBy("spec_source", "file").text(at)
+    files = frame(spark, sf_dir, f"SELECT provider AS spec_source, 'd' || t || '.json' AS file, {_TEXT} AS value FROM ({dealt(spark, _FILES)}) x")
+    # tasks put their own files in place: the other way the driver moves them all, one by one
+    files.write.partitionBy("spec_source", "file").option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(at)
     return at
 
 

@@ -913,3 +913,36 @@ def test_unique_keys_meet_as_numbers(spark, tmp_path):
     for n in (1, 300):
         with pytest.raises(sinks.DuplicateKeyError):
             sinks.write_table(rows.unionByName(rows.limit(n)), str(tmp_path / f"twice{n}"), schema, "id")
+
+
+def test_landed_files_are_dealt_over_all_tasks(spark, tiny):
+    from specgraph.plans import landing
+
+    seen = landing.landed(spark, tiny)
+    parts = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").option("recursiveFileLookup", "true").load(seen).select(F.regexp_extract("path", "part-([0-9]+)", 1).alias("task"))
+    assert parts.distinct().count() > 1 and parts.count() == spark.read.parquet(f"{tiny}/supplier.parquet").count()
+
+
+def test_pairs_are_searched_in_connected_sites_alone(spark, monkeypatch):
+    monkeypatch.setattr(topology, "SMALL", 0)
+    asked, lengths = [], topology.path_lengths
+    monkeypatch.setattr(topology, "path_lengths", lambda nodes, pairs: asked.extend(r["site_id"] for r in nodes.select("site_id").distinct().collect()) or lengths(nodes, pairs))
+    nodes = spark.createDataFrame([("a", 1), ("a", 2), ("a", 3), ("b", 1), ("b", 2), ("b", 3), ("c", 1)], "site_id string, node long")
+    edges = spark.createDataFrame([("a", 1, 2), ("a", 2, 3), ("b", 1, 2)], "site_id string, u long, v long")
+    rows = {r["site_id"]: tuple(r)[1:] for r in topology.site_metrics(nodes, edges).collect()}
+    assert sorted(asked) == ["a", "c"]
+    assert rows == {"a": (3, 2, 1, True, 2, 1.33, "1-2,2-3", "2"), "b": (3, 1, 2, False, None, None, "1-2", ""), "c": (1, 0, 1, True, 0, 0.0, "", "")}
+
+
+def test_provenance_writes_no_other_values(spark, tiny):
+    """Only rows that overlay nodes stand for are written and meet nodes."""
+    from specgraph.plans import details as plans
+
+    asked = []
+    flat = plans.specs.flatten
+    plans.specs.flatten = lambda corpus, *more, **kw: asked.append(more) or flat(corpus, *more, **kw)
+    try:
+        assert plans.sm_7_provenance_edges(spark, tiny).count() == plans.sm_1_node_rows(spark, tiny).count() > 0
+    finally:
+        plans.specs.flatten = flat
+    assert asked == [(details.SUMMARY_KEYS, details.SUMMARY_KINDS)] * 2
