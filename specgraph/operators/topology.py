@@ -308,11 +308,14 @@ def small_sites(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def large_sites(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The same columns, by rounds of joins."""
+    """The same columns, by rounds of joins; all pairs are searched in connected sites alone, as the others have no path lengths."""
+    counts = shared_checkpoint(site_counts(nodes, pairs))
+    whole_ones = counts.where("connected").select("site_id")
+    lengths = path_lengths(nodes.join(whole_ones, "site_id", "left_semi"), pairs.join(whole_ones, "site_id", "left_semi")).select("site_id", "far", "steps")
     links = blocks(nodes, pairs)[0]
     weak = bridges(links).groupBy("site_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("u", "v"))), lambda b: F.concat_ws("-", b["u"], b["v"])), ",").alias("bridges"))
     cuts = cut_nodes(links).groupBy("site_id").agg(F.array_join(F.array_sort(F.collect_list("node")), ",").alias("cut_nodes"))
-    return path_lengths(nodes, pairs).join(weak, "site_id", "left").join(cuts, "site_id", "left").na.fill("", ["bridges", "cut_nodes"]).join(site_counts(nodes, pairs), "site_id")
+    return counts.join(lengths, "site_id", "left").join(weak, "site_id", "left").join(cuts, "site_id", "left").na.fill("", ["bridges", "cut_nodes"])
 
 
 def site_metrics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
