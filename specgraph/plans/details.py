@@ -113,10 +113,12 @@ def sm_1_node_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""SELECT source, 'SEMANTIC_DERIVED_FROM' AS kind, v[2] AS node_kind, v[1] AS pointer, '{{"pointer":"' || v[1] || '"}}' AS evidence FROM ({_ALL_NODES}) y""")
 def sm_7_provenance_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SM-7: from every overlay node to the value it stands for, with the node and the value looked up again by their ids."""
-    corpus, ast = _corpus(spark, sf_dir, _FIELDS)
-    nodes = shared_checkpoint(details.node_summaries(ast))
-    edges = details.provenance_edges(nodes, ast)
-    values = ast.join(specs.spec_rows(corpus).select("spec_id", "source"), "spec_id").select(F.concat_ws("#", "spec_id", "pointer").alias("target"), "source", "pointer")
+    # of the rows, those that nodes are made of and stand for, with their document's source; only a node's id, kind and place are used
+    ast = shared_checkpoint(specs.flatten(_documents(spark, sf_dir, _FIELDS), details.SUMMARY_KEYS, details.SUMMARY_KINDS))
+    nodes = shared_checkpoint(details.node_summaries(ast).select("node_id", "spec_id", "kind", "pointer"))
+    values = ast.where(F.col("kind").isin("Schema", "Items", "Property") & (F.col("value_type") == "object")).select("spec_id", "source", "pointer")
+    edges = details.provenance_edges(nodes, values)
+    values = values.select(F.concat_ws("#", "spec_id", "pointer").alias("target"), "source", "pointer")
     return edges.join(nodes.select(F.col("node_id").alias("source"), F.col("kind").alias("node_kind")), "source").drop("source").join(values, "target").select("source", "kind", "node_kind", "pointer", "evidence")
 
 
