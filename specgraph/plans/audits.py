@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from specgraph.operators import audit, merge
 from specgraph.operators.walk import scratch_folder
-from specgraph.plans.bridge import frame, keep
+from specgraph.plans.bridge import VIEWS, frame, keep
 from specgraph.plans.registry import query
 
 BEST = "best AS (SELECT provider, section, name, body, ord FROM (SELECT *, row_number() OVER (PARTITION BY provider, section, name ORDER BY length(body) DESC, ord) AS k FROM b_source_row) x WHERE k = 1)"
@@ -16,8 +16,11 @@ KEYS = ["provider", "section", "name"]
 
 @query(f"WITH {BEST} SELECT * FROM best")
 def ag_2_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AG-2: longest body of each name, first of equals."""
-    return merge.longest_wins(frame(spark, sf_dir, "b_source_row"), KEYS).select(*KEYS, "body", "ord")
+    """AG-2: longest body of each name, first of equals; of several rows at one place the first of the table's files."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    lines.select("*", F.col("_metadata.file_path").alias("at_file"), F.col("_metadata.row_index").alias("at_row")).createOrReplaceTempView("placed_lineitem")
+    rows = spark.sql(VIEWS["b_source_row"].replace(" FROM lineitem", ", at_file, at_row FROM placed_lineitem"))
+    return merge.longest_wins(rows, KEYS, ties=("at_file", "at_row")).select(*KEYS, "body", "ord")
 
 
 @query(f"WITH {BEST} SELECT r.provider, r.name, count(*) AS n_rows FROM b_source_row r JOIN best b ON b.provider = r.provider AND b.section = r.section AND b.name = r.name AND b.ord = r.ord GROUP BY ALL")

@@ -946,3 +946,13 @@ def test_provenance_writes_no_other_values(spark, tiny):
     finally:
         plans.specs.flatten = flat
     assert asked == [(details.SUMMARY_KEYS, details.SUMMARY_KINDS)] * 2
+
+
+def test_rows_at_one_place_go_by_the_tables_order(spark, tmp_path):
+    """Two lines of one order, number, part and provider: the first in the file wins, whatever its body."""
+    from specgraph.plans import audits
+
+    line = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_returnflag string, l_linestatus string"
+    for k, flags in enumerate(("RA", "AR")):
+        spark.createDataFrame([(5, 7, 3 * i, 1, 2.0, f, "O") for i, f in enumerate(flags)], line).coalesce(1).write.parquet(f"{tmp_path}/{k}/lineitem.parquet")
+        assert [r["body"][25] for r in audits.ag_2_pool(spark, f"{tmp_path}/{k}").collect()] == [flags[0]]
