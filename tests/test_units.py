@@ -956,3 +956,17 @@ def test_rows_at_one_place_go_by_the_tables_order(spark, tmp_path):
     for k, flags in enumerate(("RA", "AR")):
         spark.createDataFrame([(5, 7, 3 * i, 1, 2.0, f, "O") for i, f in enumerate(flags)], line).coalesce(1).write.parquet(f"{tmp_path}/{k}/lineitem.parquet")
         assert [r["body"][25] for r in audits.ag_2_pool(spark, f"{tmp_path}/{k}").collect()] == [flags[0]]
+
+
+def test_lineage_writes_schemas_and_documents_alone(spark, tiny, monkeypatch):
+    """What is written first has no scalar, no list and no operation, and rows that have their id are not written again."""
+    from specgraph.operators import lineage
+    from specgraph.plans import lineage as plans
+
+    written, keep = [], walk.shared_checkpoint
+    for module in (lineage, plans):
+        monkeypatch.setattr(module, "shared_checkpoint", lambda df: written.append(keep(df)) or written[-1])
+    rows = plans.pj_2_lineage_ids(spark, tiny).count()
+    _, values, first, *rounds = written
+    assert values.where("value_type <> 'object' OR kind = 'Operation'").isEmpty() and first.count() == rows
+    assert rounds and rounds[0].count() == first.where("id IS NULL").count() < rows
